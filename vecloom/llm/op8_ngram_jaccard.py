@@ -206,10 +206,11 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     size = clusters.groupBy("label").agg(F.count("*").alias("n"))
     member = staged(clusters, "op8-clusters").join(staged(size, "op8-size"), "label").select(F.col("node").alias("rep"), F.col("label").alias("cluster"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     member = staged(member.join(reps, "rep"), "op8-member")
-    # The shingles are made again, from the texts of clustered representatives alone.
-    full = text.join(member.select("rep", "key", F.col("doc_id").alias("_id")), F.col("doc_id").eqNullSafe(F.col("_id"))).select("rep", "key", "text")
+    # The shingles are made again, from the texts of clustered representatives alone.  These joins grow with the
+    # corpus, so they are merge joins at every size.
+    full = text.join(member.select("rep", "key", F.col("doc_id").alias("_id")).hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id"))).select("rep", "key", "text")
     sets = full.mapInArrow(_sets, "rep long, shingles binary").dropDuplicates(["rep"])
-    unit = member.select("rep", "cluster", "blocks", "copies").join(rows.select(F.col("row").alias("rep"), "sign"), "rep").join(sets, "rep")
+    unit = member.select("rep", "cluster", "blocks", "copies").join(rows.select(F.col("row").alias("rep"), "sign").hint("merge"), "rep").join(sets.hint("merge"), "rep")
     unit = unit.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     unit = unit.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     unit = unit.select("cluster", F.least("block", "with").alias("x"), F.greatest("block", "with").alias("y"), (F.col("block") > F.col("with")).cast("int").alias("side"), "rep", "copies", "sign", "shingles")
@@ -219,14 +220,14 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     known = staged(reps.join(links, "rep", "left").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep")), "op8-known")
     least = known.groupBy("label").agg(F.min("doc_id").alias("class_id"))
     known = staged(known.join(staged(least, "op8-least"), "label").select("key", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")).where("n_links > 0"), "op8-linked")
-    out = rows.select("doc_id", "key", "size").join(known, "key", "left")
+    out = rows.select("doc_id", "key", "size").join(known.hint("merge"), "key", "left")
     return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.col("size").cast("long").alias("n_shingles"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each class the row of the least id stays, with its columns."""
     kept = staged(jaccard_join(docs).where("class_id <=> doc_id").select(F.col("doc_id").alias("_k")), "op8-kept")
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_k")), "left_semi").select(*docs.columns)
+    return docs.join(kept.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_k")), "left_semi").select(*docs.columns)
 
 
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -248,7 +248,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(chars * PER_CHAR / PART_BYTES) + 1)
     found = staged(repeated(rows.select("doc", "text"), parts), "op10-repeats")
     ranges = found.groupBy(F.col("doc").alias("_doc")).agg(F.collect_list("ranges").alias("ranges"))
-    joined = rows.join(ranges, F.col("doc") == F.col("_doc"), "left").select("doc_id", "text", "ranges")
+    joined = rows.join(ranges.hint("merge"), F.col("doc") == F.col("_doc"), "left").select("doc_id", "text", "ranges")
     return joined.mapInArrow(lambda b: _cut(b, digest), "doc_id long, n_words long, n_removed long, kept string")
 
 

@@ -182,7 +182,7 @@ def replace_pii(docs: DataFrame, text_col: str = "text", key: str = KEY, count_c
     names = surrogate_table(staged(each.select("kind", "canon").distinct(), "op3-entities"), key)
     new = each.join(names, ["kind", "canon"]).select("row", F.struct("pos", written(F.col("kind"), F.col("raw"), F.col("surrogate")).alias("new")).alias("m"))
     new = new.groupBy("row").agg(F.transform(F.array_sort(F.collect_list("m")), lambda m: m["new"]).alias("new")).withColumnRenamed("row", "_r")
-    changed = mentions.join(new, F.col(row) == F.col("_r"))
+    changed = mentions.join(new.hint("merge"), F.col(row) == F.col("_r"))
     built = F.array_join(F.flatten(F.transform(F.arrays_zip(F.col(gaps).alias("g"), F.concat("new", F.array(F.lit(""))).alias("n")), lambda p: F.array(p["g"], p["n"]))), "")
     changed = changed.select(*[built.alias(c) if c == text_col else F.col(c) for c in docs.columns], F.size("new").cast("long").alias(count_col))
     return clean.unionByName(changed)

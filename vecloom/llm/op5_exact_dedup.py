@@ -72,7 +72,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the rows that stay, with the columns they came with."""
     kept = staged(exact_dedup(docs).where("kept").select(F.col("doc_id").alias("_k"), F.col("text_sha256").alias("_h")), "op5-kept")
     named = docs.withColumn("_h", F.sha2(normalised(F.col("text")), 256))
-    found = named.join(kept.withColumnRenamed("_h", "_g"), F.col("doc_id").eqNullSafe(F.col("_k")) & (F.col("_h") == F.col("_g")), "left_semi")
+    found = named.join(kept.withColumnRenamed("_h", "_g").hint("merge"), F.col("doc_id").eqNullSafe(F.col("_k")) & (F.col("_h") == F.col("_g")), "left_semi")
     return found.dropDuplicates(["doc_id", "_h"]).select(*docs.columns)
 
 

@@ -33,7 +33,8 @@ def betti_grid(intervals: DataFrame, grid: DataFrame, *keys: str) -> DataFrame:
 def uniform_grid(intervals: DataFrame, steps: int = 301, reach: float = 1.05, *keys: str) -> DataFrame:
     """(keys, t): ``steps`` times from 0 to ``reach`` times the largest finite death."""
     top = intervals.where(F.col("death") < INFINITY).groupBy(*keys).agg((F.max("death") * reach).alias("top"))
-    return top.select(*keys, (F.explode(F.sequence(F.lit(0), F.lit(steps - 1))) * F.col("top") / (steps - 1)).alias("t"))
+    each = top.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))))
+    return each.select(*keys, (F.col("i") * F.col("top") / (steps - 1)).alias("t"))
 
 
 def diagram_summary(intervals: DataFrame, *keys: str) -> DataFrame:

@@ -142,7 +142,7 @@ def build(ids: np.ndarray, x: np.ndarray) -> Tree:
 def search(t: Tree, query: int, q: np.ndarray, k: int, floor: float) -> list[tuple[int, int]]:
     """The k best (score, -id) of a tree for one query, none below ``floor``, its own id left out."""
     size = float(np.sqrt(q @ q))
-    slack = 1e-9 * (1 + size * (t.radius[0] + float(np.abs(t.routing[0]).max()) * len(q)))
+    slack = 1e-9 * (1 + size * (t.radius[0] + float(np.abs(t.routing[0]).max(initial=0)) * len(q)))
     best: list[tuple[int, int]] = []
     least = floor
     top = float(q @ t.routing[0])

@@ -226,14 +226,22 @@ def test_words_and_digits(spark):
     want = {0: "zero", 1: "one", 19: "nineteen", 20: "twenty", 21: "twenty-one", 40: "forty", 100: "one hundred", 101: "one hundred and one", 234: "two hundred and thirty-four", 999: "nine hundred and ninety-nine", 1000: "one thousand"}
     got = spark.createDataFrame([(n,) for n in want], "n int").select("n", text.number_words(F.col("n")).alias("w")).collect()
     assert {r["n"]: r["w"] for r in got} == want
-    cases = [("1234", "reverse", "4321"), ("1234", "swap_first", "2134"), ("1234", "swap_last", "1243"), ("1200", "reverse", "0021"), ("1020", "swap_first", "0120"), ("123", "copy", None)]
+    cases = [("1234", "reverse4", "4321"), ("1234", "swap_first4", "2134"), ("1234", "swap_last4", "1243"), ("1200", "reverse4", "0021"), ("1020", "swap_first4", "0120"), ("123", "copy4", None)]
     got = spark.createDataFrame(cases, "t string, k string, w string").select("w", text.transform_digits(F.col("t"), F.col("k")).alias("g")).collect()
     assert all(r["w"] == r["g"] for r in got)
 
 
 def test_task_dataset_and_pilot(spark):
     d = tasks.task_dataset(tasks.four_digit_targets(spark)).cache()
-    assert d.count() == 12_000 and tasks.pilot_rows(d).count() == 384
+    assert d.count() == 12_000 and tasks.pilot_rows(d).count() == 384 and d.select("point_id").distinct().count() == 12_000
+    small = {r["target"] for r in tasks.four_digit_targets(spark, 50).collect()}
+    assert {1000, 9999} <= small <= {r["target"] for r in tasks.four_digit_targets(spark, 1000).collect()}
+    assert d.where("point_id = 0").first()["prompt"].count("=") == 9
+
+
+def test_a_pilot_takes_in_a_zero(spark):
+    d = spark.createDataFrame([(i, "t", 0, 111 + i * 0 if i != 4 else 101) for i in range(10)], "point_id long, task string, context_id int, target long")
+    assert [r["point_id"] for r in tasks.pilot_rows(d, 4).orderBy("point_id").collect()] == [0, 4, 6, 9]
 
 
 def test_records_are_sound_and_a_smoke_run_has_the_same_demonstrations(spark):

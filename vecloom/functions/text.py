@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 ONES = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split()
 TENS = "zero ten twenty thirty forty fifty sixty seventy eighty ninety".split()
 # The tasks on four digits.
-DIGIT_TASKS = ("copy", "reverse", "swap_first", "swap_last")
+DIGIT_TASKS = ("copy4", "reverse4", "swap_first4", "swap_last4")
 
 
 def _name(names: list[str], i: Column) -> Column:
@@ -28,7 +28,7 @@ def number_words(n: Column) -> Column:
 def transform_digits(text: Column, task: Column) -> Column:
     """Copy, reverse, or swap the first or last two of four digits; NULL for other texts.  Leading zeros stay."""
     c = lambda i: F.substring(text, i, 1)
-    done = F.when(task == "copy", text).when(task == "reverse", F.reverse(text)).when(task == "swap_first", F.concat(c(2), c(1), c(3), c(4))).when(task == "swap_last", F.concat(c(1), c(2), c(4), c(3)))
+    done = F.when(task == "copy4", text).when(task == "reverse4", F.reverse(text)).when(task == "swap_first4", F.concat(c(2), c(1), c(3), c(4))).when(task == "swap_last4", F.concat(c(1), c(2), c(4), c(3)))
     return F.when(text.rlike("^[0-9]{4}$"), done)
 
 

@@ -9,10 +9,14 @@ from pyspark.sql import functions as F
 
 from ..functions.text import DIGIT_TASKS, number_words, transform_digits
 
-# Tasks by kind, contexts, and the boundary targets of a smoke run.
-TASKS = (*DIGIT_TASKS, "number_to_word", "word_copy")
+# Tasks, contexts, and the boundary targets of a smoke run.
+WORD_TASKS = ("numeric_copy", "word_copy")
+TASKS = (*DIGIT_TASKS, *WORD_TASKS)
 CONTEXTS = (0, 1)
-SMOKE = tuple(sorted({1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 19, 20, 21, 50, 98, 99, 100, 101, 102, 199, 200, 201, 500, 998, 999, 1000, 1001, 1002, 1999, 2000, 2001, 5000, 5001, 9000, 9001, 9998, 9999, 10000}))
+SMOKE = tuple(sorted({*range(1, 11), *(k * 10**e for k in range(1, 10) for e in (1, 2, 3)), 99, 999, 9999, 10_000}))
+# The demonstrations of each context, for digit tasks and for copying.
+DIGIT_DEMOS = ((1379, 4820, 6053, 7248, 9186, 3502, 8614, 2097), (2468, 9130, 5072, 3694, 8521, 4306, 7815, 1029))
+COPY_DEMOS = ((7, 46, 234, 817, 3, 92, 506, 681), (9, 58, 361, 926, 2, 74, 405, 713))
 
 
 def intervals_of(groups: DataFrame, half_width: int = 20) -> DataFrame:
@@ -21,21 +25,21 @@ def intervals_of(groups: DataFrame, half_width: int = 20) -> DataFrame:
     return groups.select("i", F.when(F.col("i") == 1, F.lit(1)).otherwise(p - half_width).cast("long").alias("low"), F.when(F.col("i") == 1, F.lit(2 * half_width)).otherwise(p + half_width).cast("long").alias("high"))
 
 
-def numeral_prompts(spark: SparkSession, k: int = 30, examples: int = 4, groups: int = 4, context: str = "random", seed: int = 0, half_width: int = 20) -> DataFrame:
-    """(group, pos, numbers, target): k targets a group, drawn before the contexts, then each with its examples.
+def numeral_prompts(spark: SparkSession, k: int = 30, examples: int = 4, groups: int = 4, context: str = "random", upper: int = 9999, seed: int = 0, half_width: int = 20) -> DataFrame:
+    """(group, pos, numbers, target): k targets a group, all drawn before any context, then each with its examples.
 
-    ``context``: `random` examples for each prompt, `same` ones for all, or the `fixed` 4, 54, 432, 9543.
+    ``context``: `random` numbers up to ``upper`` for each prompt, the group's first targets (`same`), or the `fixed` 4, 54, 432, 9543.
     """
+    if context not in ("random", "same", "fixed"):
+        raise ValueError(f"unknown context {context}")
     rng = random.Random(seed)
-    low = lambda i: 1 if i == 1 else 10**i - half_width
-    high = lambda i: 2 * half_width if i == 1 else 10**i + half_width
-    drawn = {g: rng.sample(range(low(g), high(g)), k) for g in range(1, groups + 1)}
-    one = lambda: [rng.randint(1, 10 ** (1 + j % 4) - 1) for j in range(examples)]
-    shared, rows = one(), []
-    for g, targets in drawn.items():
+    pool = lambda g: list(range(1, 2 * half_width) if g == 1 else range(10**g - half_width, 10**g + half_width))
+    drawn = [(g, [rng.choice(pool(g)) for _ in range(k)]) for g in range(1, groups + 1)]
+    rows = []
+    for g, targets in drawn:
         for pos, t in enumerate(targets):
-            given = [4, 54, 432, 9543][:examples] if context == "fixed" else shared if context == "same" else one()
-            rows.append((g, pos, [*given, t], float(t)))
+            given = {"fixed": [4, 54, 432, 9543][:examples], "same": targets[:examples]}.get(context)
+            rows.append((g, pos, [*([rng.randint(0, upper) for _ in range(examples)] if given is None else given), t], float(t)))
     return spark.createDataFrame(rows, "group int, pos int, numbers array<int>, target double")
 
 
@@ -80,37 +84,71 @@ def bad_records(rows: DataFrame) -> DataFrame:
 
 
 def four_digit_targets(spark: SparkSession, n: int = 1000, seed: int = 42) -> DataFrame:
-    """(pos, target): n of 1000..9999, dealt round the leading digits, 1000 and 9999 first in theirs; a smaller n is a prefix."""
-    order = Window.partitionBy("digit").orderBy("edge", F.xxhash64(F.lit(seed), "target"))
-    rows = spark.range(1000, 10_000).withColumnRenamed("id", "target").withColumn("digit", F.floor(F.col("target") / 1000)).withColumn("edge", ~F.col("target").isin(1000, 9999))
-    dealt = rows.withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= n // 9 + 1).orderBy("turn", "digit").limit(n)
-    return dealt.select(((F.col("turn") - 1) * 9 + F.col("digit") - 1).alias("pos"), "target")
-
-
-def expected_output(task: Column, target: Column) -> Column:
-    """What a task makes of a target; word tasks take it modulo 1000."""
-    word = number_words(F.pmod(target, F.lit(1000)))
-    return F.when(task.isin("number_to_word", "word_copy"), word).otherwise(transform_digits(target.cast("string"), task))
-
-
-def task_dataset(targets: DataFrame, tasks: tuple[str, ...] = TASKS, contexts: tuple[int, ...] = CONTEXTS) -> DataFrame:
-    """(point_id, task, context_id, target, input_text, expected_output, ...): tasks x contexts x targets; the small sides are literals."""
-    t = targets.withColumn("task", F.explode(F.array(*map(F.lit, tasks)))).withColumn("context_id", F.explode(F.array(*map(F.lit, contexts))))
-    word = F.col("task") == "word_copy"
-    text = F.when(word, number_words(F.pmod("target", F.lit(1000)))).when(F.col("task") == "number_to_word", F.pmod("target", F.lit(1000)).cast("string")).otherwise(F.col("target").cast("string"))
-    out = t.withColumn("input_text", text).withColumn("expected_output", expected_output(F.col("task"), F.col("target")))
-    return out.select(
-        F.col("pos").cast("long").alias("point_id"), "task", "context_id", "target", "input_text", "expected_output",
+    """(pos, target): n of 1000..9999 without the demonstrations, ascending: dealt round the leading digits, 1000 and 9999
+    first in theirs, so a smaller n is a subset of a larger."""
+    shown = {x for demos in DIGIT_DEMOS for x in demos}
+    if not 1 <= n <= 9000 - len(shown):
+        raise ValueError(f"n must be between 1 and {9000 - len(shown)}")
+    rng, turns = random.Random(seed), []
+    for digit in range(1, 10):
+        pool = [t for t in range(1000 * digit, 1000 * (digit + 1)) if t not in shown]
+        rng.shuffle(pool)
+        pool.sort(key=lambda t: t not in (1000, 9999))  # stable: the boundary to the front
+        turns += [(turn, digit, t) for turn, t in enumerate(pool)]
+    dealt = sorted(t for _, _, t in sorted(turns)[:n])
+    return spark.createDataFrame(list(enumerate(dealt)), "pos long, target long")
+
+
+def task_text(task: Column, target: Column) -> Column:
+    return F.when(task == "word_copy", number_words(target)).otherwise(target.cast("string"))
+
+
+def task_output(task: Column, target: Column) -> Column:
+    """What a task makes of a target: digits permuted, or the text as it is."""
+    return F.coalesce(F.when(task.isin(*DIGIT_TASKS), transform_digits(target.cast("string"), task)), task_text(task, target))
+
+
+def task_dataset(targets: DataFrame, copies: int = 1000) -> DataFrame:
+    """Every task, in two contexts, on its targets: the four-digit ``targets(pos, target)``, or 1 to ``copies``.
+
+    A context's demonstrations make its prompts' beginning; ids run through tasks, contexts and targets in that order.
+    """
+    spark, n = targets.sparkSession, targets.count()
+    heads, base = [], 0
+    for task in TASKS:
+        digits = task in DIGIT_TASKS
+        for c, demos in enumerate(DIGIT_DEMOS if digits else COPY_DEMOS):
+            heads.append((task, c, list(demos), digits, base))
+            base += n if digits else copies
+    head = spark.createDataFrame(heads, "task string, context_id int, demo_values array<long>, digits boolean, base long")  # a row a context
+    shown = F.transform("demo_values", lambda d: F.concat(task_text(F.col("task"), d), F.lit("="), task_output(F.col("task"), d)))
+    head = head.withColumn("prefix", F.array_join(shown, ","))
+    every = targets.withColumn("digits", F.lit(True)).unionByName(spark.range(copies).select(F.col("id").alias("pos"), (F.col("id") + 1).alias("target"), F.lit(False).alias("digits")))
+    t = every.join(F.broadcast(head), "digits").withColumn("input_text", task_text(F.col("task"), F.col("target"))).withColumn("expected_output", task_output(F.col("task"), F.col("target")))
+    return t.select(
+        (F.col("base") + F.col("pos")).alias("point_id"), "task", "context_id", "target", "input_text", "expected_output",
+        F.concat_ws("", F.col("prefix"), F.lit(","), F.col("input_text"), F.lit("=")).alias("prompt"), "demo_values", F.array_contains("demo_values", F.col("target")).alias("demonstration_equals_target"),
         (F.col("input_text") != F.col("expected_output")).alias("transformation_changed"), F.col("expected_output").startswith("0").alias("output_starts_zero"),
     )
 
 
-def pilot_rows(dataset: DataFrame, n: int = 32, keys: tuple[str, ...] = ("task", "context_id"), order: str = "point_id") -> DataFrame:
-    """n evenly spaced rows of each group: those numbered round(i (len - 1) / (n - 1)), halves to even."""
+def pilot_rows(dataset: DataFrame, n: int = 32, keys: tuple[str, ...] = ("task", "context_id"), order: str = "point_id", value: str = "target") -> DataFrame:
+    """n evenly spaced rows of each group: those numbered round(i (len - 1) / (n - 1)), halves to even.
+
+    A group of which none holds a zero digit, though some row does, has its first such row in place of the inner pick nearest to it.
+    """
     w = Window.partitionBy(*keys)
-    r = dataset.withColumn("_r", F.row_number().over(w.orderBy(order)) - 1).withColumn("_n", F.count("*").over(w))
-    wanted = F.transform(F.sequence(F.lit(0), F.least(F.lit(n), F.col("_n").cast("int")) - 1), lambda i: F.bround(i * (F.col("_n") - 1) / F.greatest(F.least(F.lit(n), F.col("_n")) - 1, F.lit(1))).cast("long"))
-    return r.where(F.array_contains(wanted, F.col("_r").cast("long"))).drop("_r", "_n")
+    r = dataset.withColumn("_r", (F.row_number().over(w.orderBy(order)) - 1).cast("long")).withColumn("_n", F.count("*").over(w))
+    count = F.least(F.lit(n), F.col("_n").cast("int"))
+    wanted = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.bround(i * (F.col("_n") - 1) / F.greatest(count - 1, F.lit(1))).cast("long"))
+    zero = F.col(value).cast("string").contains("0")
+    r = r.withColumn("_w", wanted).withColumn("_i", F.array_position("_w", F.col("_r")))
+    r = r.withColumn("_has", F.max((F.col("_i") > 0) & zero).over(w)).withColumn("_zero", F.min(F.when(zero, F.col("_r"))).over(w))
+    inner = F.slice("_w", F.lit(2), F.greatest(count - 2, F.lit(0)))
+    near = F.array_sort(F.transform(inner, lambda x, k: F.struct(F.abs(x - F.col("_zero")).alias("d"), k.alias("k"), x.alias("x"))))[0]["x"]
+    swap = ~F.col("_has") & F.col("_zero").isNotNull() & (count > 2)
+    chosen = F.when(swap, ((F.col("_i") > 0) & (F.col("_r") != near)) | (F.col("_r") == F.col("_zero"))).otherwise(F.col("_i") > 0)
+    return r.where(chosen).drop("_r", "_n", "_w", "_i", "_has", "_zero")
 
 
 def matched(rows: DataFrame, left: str, right: str, key: tuple[str, ...] = ("context", "target"), task: str = "task") -> DataFrame:

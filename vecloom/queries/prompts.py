@@ -11,7 +11,7 @@ from ..sources.tables import behaviour, cube, points, table
 from .base import BEHAVIOUR, rounded
 
 # Models by name, with levels and width.
-MODELS = [("crystal", 33, 4096), ("starcoderbase-3b", 37, 2816), ("openllama-3b", 27, 3200)]
+MODELS = [("model-a", 33, 4096), ("model-b", 37, 2816), ("model-c", 27, 3200)]
 
 
 def g1_intervals(spark, d):
@@ -63,7 +63,7 @@ def g9_transform_digits(spark, d):
 
 def g10_targets(spark, d):
     t = tasks.four_digit_targets(spark)
-    return t.groupBy(F.floor(F.col("target") / 1000).alias("digit")).agg(F.count("*").alias("n"), F.min("pos").alias("first"))
+    return t.groupBy(F.floor(F.col("target") / 1000).alias("digit")).agg(F.count("*").alias("n"))
 
 
 def _dataset(spark):
@@ -86,7 +86,7 @@ def g13_base26(spark, d):
 def g14_models(spark, d):
     """Asked names resolved against the known ones; the unknown are reported, not dropped."""
     known = spark.createDataFrame(MODELS, "name string, levels int, width int")
-    asked = spark.createDataFrame([("crystal",), ("openllama-3b",), ("nosuch",)], "name string")
+    asked = spark.createDataFrame([("model-a",), ("model-c",), ("nosuch",)], "name string")
     return asked.join(F.broadcast(known), "name", "left").select("name", F.coalesce("levels", F.lit(0)).alias("levels"), F.coalesce("width", F.lit(0)).alias("width"), F.col("levels").isNull().alias("unknown"))
 
 
@@ -162,10 +162,11 @@ def _sql_list(names):
 
 _SMALL = f"CASE WHEN n % 100 < 20 THEN {_sql_list(text.ONES)}[n % 100 + 1] WHEN n % 10 = 0 THEN {_sql_list(text.TENS)}[n % 100 // 10 + 1] ELSE {_sql_list(text.TENS)}[n % 100 // 10 + 1] || '-' || {_sql_list(text.ONES)}[n % 10 + 1] END"
 _WORDS = f"CASE WHEN n = 1000 THEN 'one thousand' WHEN n < 100 THEN {_SMALL} WHEN n % 100 = 0 THEN {_sql_list(text.ONES)}[n // 100 + 1] || ' hundred' ELSE {_sql_list(text.ONES)}[n // 100 + 1] || ' hundred and ' || {_SMALL} END"
-_DIGITS = "CASE task WHEN 'copy' THEN s WHEN 'reverse' THEN reverse(s) WHEN 'swap_first' THEN s[2] || s[1] || s[3] || s[4] WHEN 'swap_last' THEN s[1] || s[2] || s[4] || s[3] END"
-_DATASET = f"""t AS (SELECT i - 1000 AS point_id, i AS target, i % 1000 AS n, i::VARCHAR AS s FROM range(1000, 2000) r(i)), w AS (SELECT *, {_WORDS} AS word FROM t),
-ds AS (SELECT point_id, task, context_id, target, CASE task WHEN 'word_copy' THEN word WHEN 'number_to_word' THEN n::VARCHAR ELSE s END AS input_text, CASE WHEN task IN ('word_copy', 'number_to_word') THEN word ELSE {_DIGITS} END AS expected_output
-FROM w, unnest({_sql_list(tasks.TASKS)}) a(task), unnest([0, 1]) b(context_id))"""
+_DIGITS = "CASE task WHEN 'copy4' THEN s WHEN 'reverse4' THEN reverse(s) WHEN 'swap_first4' THEN s[2] || s[1] || s[3] || s[4] WHEN 'swap_last4' THEN s[1] || s[2] || s[4] || s[3] END"
+_DATASET = f"""t AS (SELECT i - 1000 AS pos, i AS target, i::VARCHAR AS s FROM range(1000, 2000) r(i)), c AS (SELECT n - 1 AS pos, n AS target, n::VARCHAR AS s, {_WORDS} AS word FROM range(1, 1001) r(n)),
+k AS (SELECT task, context_id, ((row_number() OVER (ORDER BY i, context_id)) - 1) * 1000 AS base FROM (SELECT unnest({_sql_list(tasks.TASKS)}) AS task, unnest(range({len(tasks.TASKS)})) AS i), unnest([0, 1]) b(context_id)),
+ds AS (SELECT base + pos AS point_id, task, context_id, target, s AS input_text, {_DIGITS} AS expected_output FROM k JOIN t ON task LIKE '%4'
+UNION ALL SELECT base + pos, task, context_id, target, CASE task WHEN 'word_copy' THEN word ELSE s END, CASE task WHEN 'word_copy' THEN word ELSE s END FROM k JOIN c ON task NOT LIKE '%4')"""
 
 QUERIES = {
     "g1_intervals": (g1_intervals, "SELECT i::INT AS i, CASE WHEN i = 1 THEN 1 ELSE (10 ** i)::BIGINT - 20 END::BIGINT AS low, CASE WHEN i = 1 THEN 40 ELSE (10 ** i)::BIGINT + 20 END::BIGINT AS high FROM range(1, 6) t(i)"),
@@ -178,11 +179,11 @@ QUERIES = {
     "g7_smoke": (g7_smoke, f"SELECT i::BIGINT AS target, length(i::VARCHAR)::INT AS digit_count FROM unnest({list(tasks.SMOKE)}) t(i)"),
     "g8_number_words": (g8_number_words, f"SELECT n, {_WORDS} AS words FROM range(0, 1001) t(n)"),
     "g9_transform_digits": (g9_transform_digits, f"SELECT i AS target, task, {_DIGITS} AS output FROM (SELECT i, i::VARCHAR AS s, task FROM range(1000, 10000) t(i), unnest({_sql_list(text.DIGIT_TASKS)}) u(task))"),
-    "g10_targets": (g10_targets, "SELECT d AS digit, CASE WHEN d = 1 THEN 112 ELSE 111 END::BIGINT AS n, d - 1 AS first FROM range(1, 10) t(d)"),
+    "g10_targets": (g10_targets, "SELECT d AS digit, CASE WHEN d = 1 THEN 112 ELSE 111 END::BIGINT AS n FROM range(1, 10) t(d)"),
     "g11_dataset": (g11_dataset, f"WITH {_DATASET} SELECT task, context_id, count(*) AS n, count(*) FILTER (input_text <> expected_output) AS changed, count(*) FILTER (expected_output LIKE '0%') AS zeros FROM ds GROUP BY ALL"),
-    "g12_pilot": (g12_pilot, f"WITH {_DATASET}, k AS (SELECT DISTINCT round_even(i * 999 / 31, 0)::BIGINT AS r FROM range(32) t(i)) SELECT task, context_id, point_id, target FROM ds WHERE point_id IN (SELECT r FROM k)"),
+    "g12_pilot": (g12_pilot, f"WITH {_DATASET}, picks AS (SELECT DISTINCT round_even(i * 999 / 31, 0)::BIGINT AS r FROM range(32) t(i)) SELECT task, context_id, point_id, target FROM ds WHERE point_id % 1000 IN (SELECT r FROM picks)"),
     "g13_base26": (g13_base26, "SELECT n_nationkey, list_reduce(list_prepend(0::BIGINT, list_transform(list_filter(string_split(lower(n_name), ''), lambda c: c BETWEEN 'a' AND 'z'), lambda c: (ascii(c) - 97)::BIGINT)), lambda s, v: s * 26 + v) AS number FROM nation"),
-    "g14_models": (g14_models, "SELECT * FROM (VALUES ('crystal', 33, 4096, false), ('openllama-3b', 27, 3200, false), ('nosuch', 0, 0, true)) t(name, levels, width, unknown)"),
+    "g14_models": (g14_models, "SELECT * FROM (VALUES ('model-a', 33, 4096, false), ('model-c', 27, 3200, false), ('nosuch', 0, 0, true)) t(name, levels, width, unknown)"),
     "s14_prefix": (s14_prefix, "SELECT o_orderkey, o_custkey, starts_with(o_orderkey::VARCHAR, o_custkey::VARCHAR) AS prefix FROM orders"),
     "s17_answers": (s17_answers, r"SELECT doc_id, trim(regexp_split_to_array(text, '[\n\r,]')[1]) AS answer FROM documents"),
     "s3_missing_ids": (s3_missing_ids, "SELECT l::INT AS level, vec_id AS point_id FROM embeddings, range(4) t(l) WHERE label < l"),

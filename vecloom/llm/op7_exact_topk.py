@@ -33,7 +33,7 @@ from pyspark.sql import Window
 from .common import python_batches, staged, table
 
 SCALE, LARGEST = 256, 1 << 22
-PAGE, TREE = 64, 8192
+PAGE, TREE = 512, 8192
 SAMPLE, PIVOTS, QUERIES = 4096, 128, 2048
 
 

@@ -171,6 +171,15 @@ def test_surrogates(spark):
     assert PEOPLE[5][1] in out[5] and out[3] == [None] and out[4] == [""]
 
 
+def test_keyed_tokens_in_any_case(spark):
+    """Upper and mixed case keywords hide a token as lower case ones do, also where the token is all letters."""
+    keys = ["token = ", "TOKEN = ", "API_KEY=", "PASSWORD: ", "Secret=", "ApiKey:"]
+    rows = spark.createDataFrame([(i, f'set {k}"{t}" now') for i, k in enumerate(keys) for t in ("9233A8EC40D1B7F2", "QWERTYUIOPASDFGH")], "doc_id long, text string")
+    got = op3_pii_surrogates.replace_pii(rows).collect()
+    assert len(got) == 12 and all(r["n_entities"] == 1 for r in got)
+    assert not [r["text"] for r in got if "9233A8EC40D1B7F2" in r["text"] or "QWERTYUIOPASDFGH" in r["text"]]
+
+
 def test_surrogates_stay_distinct_where_names_are_few(spark):
     names = [f"Kn{a}{b}" for a in "abcdefghij" for b in "abcdefghij"]
     e = spark.createDataFrame([("family", n.lower()) for n in names] + [("male", n.lower()) for n in op3_pii_surrogates.MALE], "kind string, canon string")

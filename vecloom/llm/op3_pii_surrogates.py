@@ -38,7 +38,7 @@ _octet = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})+",
     "key": r"\bAKIA[0-9A-Z]{16}\b",
-    "token": r"(?=[A-Za-z0-9_-]{16})(?<=\b(?:token|secret|password|api_key|apikey)\s{0,3}[=:]\s{0,3}[\"']?)[A-Za-z0-9_-]{16,}",
+    "token": r"(?=[A-Za-z0-9_-]{16})(?<=\b(?i:token|secret|password|api_key|apikey)\s{0,3}[=:]\s{0,3}[\"']?)[A-Za-z0-9_-]{16,}",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
     "ip": rf"(?<![\d.])(?:{_octet}\.){{3}}{_octet}(?!\d|\.\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
@@ -53,7 +53,7 @@ ENTITY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 def maybe(text: Column) -> Column:
     """Quick tests, of which every text with an entity passes one."""
     named = text.rlike(r"(?=\p{Lu}\p{Ll})(?:" + _first + "|" + TITLES + r") \p{Lu}")
-    secret = (text.contains("=") | text.contains(":")) & text.rlike(r"(?:token|secret|password|api_key|apikey)\s{0,3}[=:]")
+    secret = (text.contains("=") | text.contains(":")) & text.rlike(r"(?i:token|secret|password|api_key|apikey)\s{0,3}[=:]")
     return text.rlike("[0-9@]") | named | secret | text.contains("AKIA")
 
 

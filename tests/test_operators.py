@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from vecloom.functions import stats, text
 from vecloom.operators import compare, graph, homology, knn, metrics, project, shapes, tasks, topology
+from vecloom.queries import graphs
 
 INF = float("inf")
 
@@ -135,6 +136,19 @@ def test_rips_agrees_with_ranks():
         assert alive == homology.complex_betti(s)[1]
 
 
+def test_first_homology_of_every_label(spark, data):
+    """Each level and label has the bars of all its points, none left out."""
+    got = graphs.t4_rips_h1(spark, data).toPandas()
+    e = spark.read.parquet(f"{data}/embeddings.parquet").orderBy("vec_id").toPandas()
+    x, label = np.array(e["embedding"].tolist(), float), e["label"].to_numpy()
+    for level in range(4):
+        for g in np.unique(label):
+            bars = got[(got["level"] == level) & (got["label"] == g)].sort_values(["birth", "death"])[["birth", "death"]].to_numpy()
+            np.testing.assert_allclose(bars, homology.rips_h1(x[label == g, 16 * level : 16 * level + 16]), atol=1e-6)
+    with pytest.raises(Exception, match="3 points; first homology is for 2 at most"):
+        homology.h1_intervals(spark.createDataFrame([(0, i, [float(i)]) for i in range(3)], "level int, point_id long, vec array<double>"), most=2).collect()
+
+
 def test_zigzag_of_constant_and_changing_complexes():
     circle = [(0,), (1,), (2,), (0, 1), (1, 2), (0, 2)]
     assert homology.zigzag_bars([(s, 0, 6) for s in circle], 6) == [(0, 0, 6), (1, 0, 6)]

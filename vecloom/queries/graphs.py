@@ -107,9 +107,9 @@ def r12_induced_edges(spark, d):
 
 
 def t4_rips_h1(spark, d):
-    """First homology of each level's points 0 to 59: a stated cloud, as the kernel is cubic."""
-    c = cube(spark, d).where("point_id < 60")
-    return rounded(homology.h1_intervals(c))
+    """First homology of each level's labels, a cloud each: together they hold every point, and a cloud above the kernel's limit is refused."""
+    c = cube(spark, d).join(points(spark, d).select("point_id", "label"), "point_id")
+    return rounded(homology.h1_intervals(c, keys=("level", "label")))
 
 
 def t25_quotient(spark, d):

@@ -158,6 +158,14 @@ def test_zigzag_of_constant_and_changing_complexes():
     assert homology.zigzag_bars([((0,), 0, 6), ((1,), 0, 6), ((0, 1), 2, 4)], 6) == [(0, 0, 2), (0, 0, 6), (0, 4, 6)]
 
 
+def test_zigzag_runs_keep_edges_between_far_ids(spark):
+    """A circle whose ids lie far apart stays one class; a point without edges is a run of its own."""
+    nodes = spark.createDataFrame([(v, p) for v in range(2) for p in (1, 41, 81, 121, 200)], "level int, point_id long")
+    e = spark.createDataFrame([(v, *ab) for v in range(2) for ab in ((1, 41), (41, 81), (81, 121), (1, 121))], "level int, a long, b long")
+    got = homology.zigzag_intervals(graphs._component_runs(nodes, e), 2).collect()
+    assert sorted(map(tuple, got)) == [(1, 0, 0, 3), (1, 1, 0, 3), (200, 0, 0, 3)]
+
+
 def test_zigzag_matches_betti_numbers_at_every_time():
     rng = np.random.default_rng(5)
     every = [(i,) for i in range(5)] + [(i, j) for i in range(5) for j in range(i + 1, 5)] + [(i, j, k) for i in range(5) for j in range(i + 1, 5) for k in range(j + 1, 5)]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.stats import adjusted_rand, contingency, purity
 from ..operators import graph, homology, knn, topology
 from ..sources.tables import cube, points, table
+from ..staging import staged
 from .base import EDGES, rounded
 
 
@@ -92,12 +93,16 @@ def r10_ranges(spark, d):
     return graph.contiguous_ranges(table(spark, d, "orders").select("o_orderpriority", "o_orderkey"), ["o_orderpriority"], "o_orderkey")
 
 
+def _component_runs(nodes, e):
+    """(run, simplex, start, stop): the union graphs' zigzag, a run for each component of all levels' edges together, which no simplex crosses."""
+    joint = graph.components(nodes.select(F.lit(0).alias("level"), "point_id").distinct(), e.select(F.lit(0).alias("level"), "a", "b").distinct())
+    t = graph.zigzag_times(graph.simplices(nodes, e, 2)).withColumn("point_id", F.col("simplex")[0])
+    return t.join(joint.select("point_id", F.col("component").alias("run")), "point_id").select("run", "simplex", (F.col("start") - 1).alias("start"), (F.col("stop") - 1).alias("stop"))
+
+
 def r11_zigzag(spark, d):
-    """Zigzag intervals of the mutual graphs' complexes, one run for each block of 40 points."""
-    e = _edges(spark, d).where(F.floor(F.col("a") / 40) == F.floor(F.col("b") / 40))
-    s = graph.simplices(_nodes(spark, d), e, 2)
-    t = graph.zigzag_times(s).withColumn("run", F.floor(F.col("simplex")[0] / 40)).select("run", "simplex", (F.col("start") - 1).alias("start"), (F.col("stop") - 1).alias("stop"))
-    return topology.effective_levels(homology.zigzag_intervals(t, 4))
+    """Zigzag intervals of the union graphs' complexes, one run for each connected component of all levels' edges together."""
+    return topology.effective_levels(homology.zigzag_intervals(_component_runs(_nodes(spark, d), staged(_edges(spark, d), "zigzag-edges")), 4))
 
 
 def r12_induced_edges(spark, d):

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from vecloom.functions import stats, text
 from vecloom.operators import compare, graph, homology, knn, metrics, project, shapes, tasks, topology
 from vecloom.queries import graphs
+from vecloom.queries import shapes as shape_queries
 
 INF = float("inf")
 
@@ -289,6 +290,14 @@ def test_rank_change_contributions_sum_to_the_change_of_rho(spark):
     assert total == pytest.approx(rho[1] - rho[0])
 
 
+def test_every_level_and_label_is_fitted(spark, data):
+    """Clouds hold all points of every level, and fits take the cap of 384 for rows and template points."""
+    sizes = {r["cloud"]: r["n"] for r in shape_queries._clouds(spark, data).select("cloud", F.size("points").alias("n")).collect()}
+    labels = {r["label"]: r["count"] for r in spark.read.parquet(f"{data}/embeddings.parquet").groupBy("label").count().collect()}
+    assert sizes == {f"{v}-{g}": n for v in range(4) for g, n in labels.items()}
+    assert shapes.fit_all.__defaults__ == (384, 384)
+
+
 def test_shapes_fit_their_own_templates():
     kinds = {n: x for n, _, _, x in shapes.templates(128)}
     assert len(kinds) == 32

@@ -14,13 +14,17 @@ def g16_templates(spark, d):
     return t.groupBy("name", "family", "dimension").agg(F.count("*").alias("n"), F.round(F.avg(F.col("x") ** 2 + F.col("y") ** 2 + F.col("z") ** 2), 6).alias("size"))
 
 
-def f6_template_fits(spark, d):
-    """Every template on each level's first three components, a cloud for each label."""
+def _clouds(spark, d):
+    """(cloud, points): each level's first three components, a cloud for each label."""
     c = cube(spark, d)
     s = project.scores(c, project.pca(c, 3)).groupBy("level", "point_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("component", "score"))), lambda x: x["score"]).alias("p"))
-    s = s.where("level = 0").join(points(spark, d).select("point_id", "label"), "point_id")
-    clouds = s.where("label < 2").groupBy(F.concat_ws("-", "level", "label").alias("cloud")).agg(F.transform(F.array_sort(F.collect_list(F.struct("point_id", "p"))), lambda x: x["p"]).alias("points"))
-    return rounded(shapes.fit_all(clouds))
+    s = s.join(points(spark, d).select("point_id", "label"), "point_id")
+    return s.groupBy(F.concat_ws("-", "level", "label").alias("cloud")).agg(F.transform(F.array_sort(F.collect_list(F.struct("point_id", "p"))), lambda x: x["p"]).alias("points"))
+
+
+def f6_template_fits(spark, d):
+    """Every template on each level's first three components, a cloud for each label."""
+    return rounded(shapes.fit_all(_clouds(spark, d)))
 
 
 def f7_closest(spark, d):

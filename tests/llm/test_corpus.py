@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -60,25 +61,25 @@ def test_words_are_those_of_the_pattern():
 
 @pytest.mark.parametrize("ids", [[], [0], [65535] * 5000, list(range(7000)), [5, 6, 7] * 3000])
 def test_coder_round_trip(ids):
-    data, crcs = id_coder.encode(np.array(ids, np.int64))
-    assert id_coder.decode(data, crcs, len(ids)).tolist() == ids
+    prior, data, crcs = id_coder.encode(np.array(ids, np.int64))
+    assert id_coder.decode(prior, data, crcs, len(ids)).tolist() == ids
 
 
 def test_coder_random_and_damage():
-    ids = np.random.default_rng(0).integers(0, 1 << 16, 5000)
-    data, crcs = id_coder.encode(ids)
-    assert (id_coder.decode(data, crcs, 5000) == ids).all()
-    assert id_coder.decode(data[1:2], crcs[1:2], id_coder.BLOCK).tolist() == ids[id_coder.BLOCK : 2 * id_coder.BLOCK].tolist()  # blocks stand alone
+    ids = np.random.default_rng(0).integers(0, 1 << 16, 9000)
+    prior, data, crcs = id_coder.encode(ids)
+    assert (id_coder.decode(prior, data, crcs, 9000) == ids).all()
+    assert id_coder.decode(prior, data[1:2], crcs[1:2], id_coder.BLOCK).tolist() == ids[id_coder.BLOCK : 2 * id_coder.BLOCK].tolist()  # blocks stand alone
     hurt = bytes([data[0][0] ^ 255]) + data[0][1:]
     with pytest.raises(ValueError):
-        id_coder.decode([hurt, *data[1:]], crcs, 5000)
+        id_coder.decode(prior, [hurt, *data[1:]], crcs, 9000)
     with pytest.raises(ValueError):
         id_coder.encode(np.array([1 << 16]))
 
 
 def test_coder_beats_plain_ids_on_repeats():
     ids = np.tile(np.random.default_rng(0).integers(0, 50_000, 50), 80)
-    assert sum(map(len, id_coder.encode(ids)[0])) < 0.2 * 2 * len(ids)
+    assert sum(map(len, id_coder.encode(ids)[1])) < 0.2 * 2 * len(ids)
 
 
 def test_token_ids_are_the_librarys(spark, odd, empty, tmp_path):
@@ -107,7 +108,9 @@ def test_parts_of_texts_encode_as_the_whole():
     t, e = Tokenizer.from_file(path), op1_token_ids.Encoder(path)
     rng = np.random.default_rng(1)
     rows = ["".join(rng.choice(list("abc  \n\t.,'s  é日😀09 "), rng.integers(0, 40))) for _ in range(1500)] + ["x <|endoftext|> y", "  ", " a"]
-    assert [np.frombuffer(x, "<u2").tolist() for x in e.encode(rows)] == [t.encode(x, add_special_tokens=False).ids for x in rows]
+    rows += [None, "", "a" * 5000, "b c" * 3000]
+    ids, n = e.encode(pa.array(rows))
+    assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [[*t.encode(x or "", add_special_tokens=False).ids, 0] for x in rows]
 
 
 # 2. Toxicity.
@@ -399,12 +402,26 @@ def test_substrings_against_brute_force(spark, odd, empty):
         rows.append((2000 + i, " ".join(w), "en", "s", 1))
     rows += [(3000, "run " * 80, "en", "s", 1), (3001, "x " + "run " * 36, "en", "s", 1), (3002, "solo " * 36, "en", "s", 1)]
     few = spark.createDataFrame(rows, SCHEMA)
-    for df in (few, odd.unionByName(few)):
-        got = op10_substring_dedup.substring_dedup(df).collect()
+    for df, bits in ((few, op10_substring_dedup.BITS), (odd.unionByName(few), op10_substring_dedup.BITS), (few, 4)):
+        got = op10_substring_dedup.substring_dedup(df, bits=bits).collect()
         assert Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept"]) for r in got) == brute_cut(texts(df))
     assert op10_substring_dedup.substring_dedup(empty).count() == 0
 
 
+def test_windows_under_a_common_anchor(spark):
+    """Half of all windows hold the same phrase, in contexts of their own, and hashes of two bits clash: words decide."""
+    rng = np.random.default_rng(5)
+    phrase, rows = " ".join(f"p{k}" for k in range(14)), []
+    for i in range(80):
+        around = [" ".join(f"w{rng.integers(40)}" for _ in range(24)) for _ in range(2)]
+        rows.append((i, f"{around[0]} {phrase} {around[1]}", "en", "s", 1))
+    rows += [(100 + i, rows[i][1], "en", "s", 1) for i in range(3)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    for bits in (op10_substring_dedup.BITS, 2):
+        got = op10_substring_dedup.substring_dedup(df, bits=bits).collect()
+        assert Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept"]) for r in got) == brute_cut(texts(df))
+
+
 def test_anchors_depend_on_the_window_alone():
     rng = np.random.default_rng(9)
     core = rng.integers(0, 1 << 60, 50).astype(np.uint64)

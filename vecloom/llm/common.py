@@ -3,15 +3,20 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows handed to a Python worker at once; bounds its memory when texts are long.
-ARROW_ROWS = 512
+#: Rows, and bytes of text, that a kernel takes at once.
+ARROW_ROWS, ARROW_BYTES = 512, 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,19 +68,48 @@ def staged(df: DataFrame, name: str) -> DataFrame:
             spark.conf.set(cleanup, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_path = path
-    atexit.register(_delete, spark, path)
+    delete_at_exit(spark, path)
     return out
 
 
+def delete_at_exit(spark: SparkSession, path: str) -> None:
+    """Lazy plans may read a path until the driver ends; then it goes."""
+    atexit.register(_delete, spark, path)
+
+
 def release(df: DataFrame) -> None:
     """Delete a staged table that no later plan reads."""
     if path := getattr(df, "staged_path", None):
         _delete(df.sparkSession, path)
 
 
-def python_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Hand at most ``rows`` rows at once to Python, for long texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def sliced(batches: Iterator[pa.RecordBatch], column: str | None = None, rows: int = ARROW_ROWS, size: int = ARROW_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most ``rows`` rows and ``size`` bytes of ``column`` (a row at least).
+
+    So a kernel's memory doesn't depend on how many rows the session hands over at once.
+    """
+    for batch in batches:
+        if column is None:
+            for i in range(0, batch.num_rows, rows):
+                yield batch.slice(i, rows)
+            continue
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        i = 0
+        while i < batch.num_rows:
+            j = int(np.searchsorted(ends, (ends[i - 1] if i else 0) + size, side="right"))
+            j = min(max(j, i + 1), i + rows, batch.num_rows)
+            yield batch.slice(i, j - i)
+            i = j
+
+
+def give_back() -> None:
+    """Return what a finished task has freed to the system: workers live on, for other queries."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
 
 
 def free_name(taken: Sequence[str], wanted: str) -> str:

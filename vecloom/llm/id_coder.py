@@ -4,9 +4,11 @@ Blocks are independent: each starts from the same prior, so all blocks of a grou
 lockstep, one numpy lane a block.  For each id, the id that last followed the two ids before it
 (order 2) and the one that last followed the id before it (order 1) are candidates.  The share of the
 first candidate mixes, in the logistic domain and with weights that adapt, what order 2, order 1 and
-order 0 (the candidate's rank) say; the second candidate has a share of the rest; what is left is dealt
-by adaptive order-0 frequencies of the id's nibbles, the highest first (the lowest is coded flat).  An id takes one
-step of a 48-bit range coder if it is a candidate, else three.
+order 0 (the candidate's frequency class) say; the second candidate has a share of the rest; what is left is dealt
+by order-0 frequencies: shares of classes of ids that adapt in each block, and within a class those of the group's
+table.  An id takes one step of a range coder of 56 bits, whichever of the three it comes from.
+
+Candidates change with every id; shares, weights and classes learn after every ``STEP`` ids, from sums over ``SEEN`` of them.
 All arithmetic is on integers, so any machine decodes what another encoded.
 """
 
@@ -14,168 +16,148 @@ from __future__ import annotations
 
 import math
 import zlib
+from dataclasses import dataclass
 
 import numpy as np
 
 #: Ids of a block.
-BLOCK = 2048
-SLOTS1, SLOTS2 = 1024, 2048
-MASK = np.uint64((1 << 48) - 1)
-_SQUASH = np.array([min(4095, max(1, round(4096 / (1 + math.exp(-x / 256))))) for x in range(-2047, 2048)], np.int32)
+BLOCK = 4096
+#: Ids after which shares, weights and classes learn, from the first ``SEEN`` of them.
+STEP, SEEN = 64, 16
+SLOTS1, SLOTS2 = 256, 512
+#: Classes of a table: at most so many, each of so many slots.
+CLASSES, SLOT_BITS = 32, 14
+SLOTS = 1 << SLOT_BITS
+#: All shares of one step together; the least range before a step.
+TOTAL_BITS, LEAST = 36, 1 << 40
+_LOW = LEAST - 1
+_EDGE = 2047 * 6
+_SQUASH = np.array([min(4064, max(32, round(4096 / (1 + math.exp(-max(-4000, min(4000, x)) / 256))))) for x in range(-_EDGE, _EDGE + 1)], np.int16)
 _STRETCH = np.array([max(-2047, min(2047, round(256 * math.log((p + 0.5) / (4095.5 - p))))) for p in range(4096)], np.int32)
-
-
-TOP, FLAT = np.uint64(1 << 32), np.uint64((1 << 32) - 1)
-#: Below this range a lane gives up the part beyond the next multiple of 2 ** 32, so a step always has room.
-LEAST = np.uint64(1 << 26)
-GAIN, LIMIT = 24, 1 << 13
-_STEPS = np.arange(16)
-_AFTER = (_STEPS[None, :] >= _STEPS[:, None]).astype(np.int32) * GAIN
-_ONES = np.arange(1, 17, dtype=np.int32)
-
-
-def _prior() -> list[np.ndarray]:
-    """Cumulative counts of the first nibble, the second by the first, the third by both, for ids whose share falls as 1 / (id + 64)."""
-    weight = [(1 << 40) // (i + 64) for i in range(1 << 16)]
-    out = []
-    for n in (1, 16, 256):
-        width = (1 << 16) // n // 16
-        rows = []
-        for c in range(n):
-            share = [sum(weight[(c * 16 + k) * width : (c * 16 + k + 1) * width]) for k in range(16)]
-            cum, total = 0, sum(share)
-            row = []
-            for k in range(16):
-                cum += 1 + 96 * share[k] // total
-                row.append(cum)
-            rows.append(row)
-        out.append(np.array(rows, np.uint16))
-    return out
-
-
-_PRIOR = _prior()
+#: Cells of each share: order 2 by its certainty, order 1 by its certainty and agreement, order 0 by class, second candidate.
+_CELLS = (4, 8, CLASSES, 4)
+_FIRST = (20000, 12000, 6000, 6000)
+
+
+@dataclass
+class Table:
+    """A group's order-0 frequencies: ids in classes of about equal weight, the most frequent first."""
+
+    ids: np.ndarray  # uint16, by class
+    size: np.ndarray  # ids of each class
+    share: np.ndarray  # slots of each id; SLOTS in each class
+
+    def __post_init__(self):
+        n = len(self.size)
+        self.of = np.repeat(np.arange(n), self.size)
+        self.klass = np.zeros(1 << 16, np.int32)
+        self.klass[self.ids] = self.of
+        below = np.cumsum(self.share) - self.share - self.of * SLOTS
+        # An id's class, slots below it and slots, in one number.
+        self.place = np.zeros(1 << 16, np.int64)
+        self.place[self.ids] = self.of << 40 | below << 20 | self.share
+        self.slot = np.repeat(self.ids, self.share)
+
+    @classmethod
+    def of_ids(cls, ids: np.ndarray) -> Table:
+        count = np.bincount(ids, minlength=1 << 16)
+        count[0] += 1  # the id that fills the last block
+        some = np.flatnonzero(count)
+        some = some[np.argsort(-count[some], kind="stable")]
+        n, goal, most = count[some], -(-int(count.sum()) // (CLASSES // 2)), (1 << 16) // (CLASSES // 2)
+        cut, weight = [0], 0
+        for i, c in enumerate(n.tolist()):
+            weight += c
+            if weight >= goal or i + 1 - cut[-1] >= most:
+                cut.append(i + 1)
+                weight = 0
+        if cut[-1] < len(some):
+            cut.append(len(some))
+        share = np.empty(len(some), np.int64)
+        for x, y in zip(cut, cut[1:], strict=False):
+            part = n[x:y]
+            share[x:y] = 1 + part * (SLOTS - (y - x)) // part.sum()
+            share[x] += SLOTS - share[x:y].sum()
+        return cls(some.astype(np.uint16), np.diff(cut), share)
+
+    def to_bytes(self) -> bytes:
+        parts = np.array([len(self.size)], "<u4"), self.size.astype("<u4"), self.ids.astype("<u2"), self.share.astype("<u2")
+        return zlib.compress(b"".join(p.tobytes() for p in parts), 6)
+
+    @classmethod
+    def from_bytes(cls, data: bytes) -> Table:
+        raw = zlib.decompress(data)
+        n = int(np.frombuffer(raw, "<u4", 1)[0])
+        size = np.frombuffer(raw, "<u4", n, 4).astype(np.int64)
+        m = int(size.sum())
+        return cls(np.frombuffer(raw, "<u2", m, 4 + 4 * n), size, np.frombuffer(raw, "<u2", m, 4 + 4 * n + 2 * m).astype(np.int64))
 
 
 class _Model:
     """The state of all lanes; the same for coding and decoding."""
 
-    def __init__(self, lanes: int):
-        self.n = lanes
-        self.lane = np.arange(lanes)
-        self.count = [np.tile(p, (lanes, 1)) for p in _PRIOR]
+    def __init__(self, lanes: int, table: Table):
+        self.n, self.table, self.classes = lanes, table, len(table.size)
+        lane = np.arange(lanes)
         self.id1, self.id2 = np.zeros(lanes * SLOTS1, np.int32), np.zeros(lanes * SLOTS2, np.int32)
-        self.sure1, self.sure2 = np.zeros(lanes * SLOTS1, np.int8), np.zeros(lanes * SLOTS2, np.int8)
-        self.p2 = np.full(lanes * 4, 20000, np.int32)
-        self.p1 = np.full(lanes * 8, 12000, np.int32)
-        self.p0 = np.full(lanes * 17, 6000, np.int32)
-        self.second = np.full(lanes * 4, 6000, np.int32)
-        self.weight = np.full((3, lanes), 22000, np.int32)
-        self.before1, self.before2 = np.zeros(lanes, np.int32), np.zeros(lanes, np.int32)
-        self.base1, self.base2 = self.lane * SLOTS1, self.lane * SLOTS2
-        self.of = [self.lane * k for k in (4, 8, 17)]
-
-    def look(self) -> None:
-        """The candidates for the next id, and their shares: ``a`` of 4096, ``b`` of 4096 of the rest."""
-        self.at1 = h1 = (self.before1 * np.int32(40503) >> 4 & (SLOTS1 - 1)) + self.base1
-        self.at2 = h2 = (self.before1 * np.int32(30011) + self.before2 * np.int32(7919) >> 3 & (SLOTS2 - 1)) + self.base2
-        self.c1, self.c2, self.k1, self.k2 = c1, c2, k1, k2 = self.id1[h1], self.id2[h2], self.sure1[h1], self.sure2[h2]
+        self.base1, self.base2, self.base_class, self.base_slot = lane * SLOTS1, lane * SLOTS2, lane * self.classes, lane * 256
+        self.of = [lane * k for k in _CELLS]
+        self.p = [np.full(lanes * k, p, np.int64) for k, p in zip(_CELLS, _FIRST, strict=True)]
+        self.weight = [np.full(lanes, 22000, np.int64) for _ in range(3)]
+        self.count = np.tile(np.full(self.classes, 8, np.int64), (lanes, 1))
+        self.settle()
+
+    def settle(self) -> None:
+        """What each cell adds to the mixture, and each class's part of 256, until the next learning."""
+        self.st = [_STRETCH[p >> 4] for p in self.p[:3]]
+        self.mix = [(st.reshape(self.n, k) * w[:, None] >> 16).astype(np.int32).ravel() for st, w, k in zip(self.st, self.weight, _CELLS, strict=False)]
+        self.second = np.clip(self.p[3] >> 4, 32, 4064).astype(np.int32)
+        w = 1 + self.count * (256 - self.classes) // self.count.sum(1, keepdims=True)
+        w[:, 0] += 256 - w.sum(1)
+        self.part = ((np.cumsum(w, 1) - w << 16) + w).ravel()  # what is below a class, and its part
+        self.inverse = np.repeat(np.tile(np.arange(self.classes, dtype=np.uint8), self.n), w.ravel())
+
+    def slots(self, one, two) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the order-1 and order-2 candidates after the ids ``two``, ``one``."""
+        x = one * 40503
+        return (x >> 4 & SLOTS1 - 1) + self.base1, (x + two * 30011 >> 3 & SLOTS2 - 1) + self.base2
+
+    def look(self, e1, e2) -> tuple:
+        """Candidates, the cells that were asked, and the shares that they give."""
+        k1, k2, c1, c2 = e1 >> 16, e2 >> 16, e1 & 0xFFFF, e2 & 0xFFFF
         use2 = k2 > 0
-        self.first, self.other = np.where(use2, c2, c1), np.where(use2, c1, c2)
+        first, other = np.where(use2, c2, c1), np.where(use2, c1, c2)
         same = c1 == c2
-        self.i2, self.i1, self.i0 = k2 + self.of[0], k1 + 4 * same + self.of[1], _CLASS[self.first] + self.of[2]
-        self.q2, self.q1, self.q0 = self.p2[self.i2], self.p1[self.i1], self.p0[self.i0]
-        self.st = np.stack([_STRETCH[self.q2 >> 4], _STRETCH[self.q1 >> 4], _STRETCH[self.q0 >> 4]])
-        self.a = _SQUASH[np.clip((self.weight * self.st).sum(0) >> 16, -2047, 2047) + 2047]
-        self.ib = np.minimum(k1, k2) + self.of[0]
-        self.qb = self.second[self.ib]
-        self.b = np.where(same, 0, np.clip(self.qb >> 4, 1, 4095))
-        a, b = self.a.astype(np.int64), self.b.astype(np.int64)
-        self.low2 = a << 12  # of 2 ** 24
-        self.low3 = self.low2 + (4096 - a) * b
-        self.rest = (1 << 24) - self.low3
-
-    def learn(self, ids: np.ndarray) -> None:
-        hit, hit2 = ids == self.first, ids == self.other
-        target = hit * np.int32(65535)
-        self.p2[self.i2] = self.q2 + (target - self.q2 >> 5)
-        self.p1[self.i1] = self.q1 + (target - self.q1 >> 5)
-        self.p0[self.i0] = self.q0 + (target - self.q0 >> 5)
-        self.second[self.ib] = np.where(hit | (self.b == 0), self.qb, self.qb + (hit2 * np.int32(65535) - self.qb >> 5))
-        self.weight += self.st * ((hit * np.int32(4095) - self.a) * 6)[None, :] + 0x2000 >> 14
-        for at, c, k, table, sure in ((self.at1, self.c1, self.k1, self.id1, self.sure1), (self.at2, self.c2, self.k2, self.id2, self.sure2)):
-            same = c == ids
-            sure[at] = np.where(same, np.minimum(k + 1, 3), np.where(k > 1, k - 1, 1))
-            table[at] = np.where(same | (k > 1), c, ids)
-        self.before2, self.before1 = self.before1, ids
-
-    def grown(self, k: int, at: np.ndarray, row: np.ndarray, value: np.ndarray) -> None:
-        row = row + _AFTER[value]
-        if (full := row[:, 15] > LIMIT).any():
-            row[full] = (row[full] >> 1) + _ONES
-        self.count[k][at] = row
-
-
-_CLASS = np.array([0, *[i.bit_length() for i in range(1, 1 << 16)]], np.int64)
-
-
-def _narrow(x1: np.ndarray, x2: np.ndarray, low: np.ndarray, size: np.ndarray, total: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
-    unit = (x2 - x1) // np.asarray(total).astype(np.uint64)
-    x1 = x1 + unit * low.astype(np.uint64)
-    return x1, x1 + unit * size.astype(np.uint64) - np.uint64(1)
-
-
-def _done(x1: np.ndarray, x2: np.ndarray) -> np.ndarray:
-    """Lanes whose first 16 bits are settled, or are settled now for want of range."""
-    at = np.flatnonzero(x2 - x1 < TOP)
-    same = (x1[at] ^ x2[at]) < TOP
-    tight = ~same & (x2[at] - x1[at] < LEAST)
-    if tight.any():
-        x2[at[tight]] = x1[at[tight]] | FLAT
-        return at[same | tight]
-    return at[same]
-
-
-class _Encoder:
-    def __init__(self, lanes: int):
-        self.x1, self.x2 = np.zeros(lanes, np.uint64), np.full(lanes, MASK)
-        self.out, self.pos = np.zeros((lanes, BLOCK), np.uint16), np.zeros(lanes, np.int64)
-
-    def settle(self, lanes, x1, x2) -> None:
-        while len(at := _done(x1, x2)):
-            own = lanes[at]
-            if (pos := self.pos[own]).max() >= self.out.shape[1] - 1:
-                self.out = np.concatenate([self.out, np.zeros_like(self.out)], 1)
-            self.out[own, pos] = x1[at] >> np.uint64(32)
-            self.pos[own] = pos + 1
-            x1[at] = x1[at] << np.uint64(16) & MASK
-            x2[at] = x2[at] << np.uint64(16) & MASK | np.uint64(0xFFFF)
-
-
-class _Decoder:
-    def __init__(self, data: list[bytes]):
-        words = [np.frombuffer(d, "<u2") for d in data]
-        self.words = np.zeros((len(words), max(map(len, words)) + 4), np.uint16)
-        for row, w in zip(self.words, words, strict=True):
-            row[: len(w)] = w
-        self.x1, self.x2 = np.zeros(len(words), np.uint64), np.full(len(words), MASK)
-        first = self.words[:, :3].astype(np.uint64)
-        self.x = first[:, 0] << np.uint64(32) | first[:, 1] << np.uint64(16) | first[:, 2]
-        self.pos = np.full(len(words), 3)
-
-    def settle(self, lanes, x1, x2, x) -> None:
-        while len(at := _done(x1, x2)):
-            own = lanes[at]
-            pos = self.pos[own]
-            word = self.words[own, np.minimum(pos, self.words.shape[1] - 1)].astype(np.uint64)
-            self.pos[own] = pos + 1
-            x1[at] = x1[at] << np.uint64(16) & MASK
-            x2[at] = x2[at] << np.uint64(16) & MASK | np.uint64(0xFFFF)
-            x[at] = x[at] << np.uint64(16) & MASK | word
-
-
-def _value(x1, x2, x, total) -> np.ndarray:
-    total = np.asarray(total).astype(np.uint64)
-    return np.minimum((x - x1) // ((x2 - x1) // total), total - np.uint64(1)).astype(np.int64)
+        i2, i1, i0 = k2 + self.of[0], k1 + (same << 2) + self.of[1], self.table.klass[first] + self.of[2]
+        a = _SQUASH[self.mix[0][i2] + self.mix[1][i1] + self.mix[2][i0] + _EDGE].astype(np.int64)
+        ib = np.minimum(k1, k2) + self.of[3]
+        b = self.second[ib] * ~same
+        rest = 4096 - a
+        low2 = a << 24
+        low3 = low2 + (rest * b << 12)
+        return first, other, (i2, i1, i0, ib), a, low2, low3, rest * (4096 - b) << 4
+
+    def learn(self, cells, a, hit, hit2, missed) -> None:
+        """From arrays of ids (rows) by lanes; ``missed`` holds lane and class of ids that no candidate gave."""
+        error = (hit * 4095 - a).ravel()
+        seen = (1 + (hit << 20)).ravel()
+        for j in range(3):
+            at, size = cells[j].ravel(), len(self.p[j])
+            got = np.bincount(at, seen, size).astype(np.int64)
+            n, h = got & 0xFFFFF, got >> 20
+            slope = np.bincount(at, error, size).astype(np.int64) * self.st[j]
+            self.weight[j] = np.clip(self.weight[j] + (slope.reshape(self.n, -1).sum(1) * 12 >> 15), -(1 << 16), 3 << 15)
+            self.p[j] = (self.p[j] * 12 + h * 65535) // (12 + n)
+        out = ~hit.ravel()
+        got = np.bincount(cells[3].ravel()[out], (1 + (hit2 << 20)).ravel()[out], len(self.p[3])).astype(np.int64)
+        self.p[3] = (self.p[3] * 12 + (got >> 20) * 65535) // (12 + (got & 0xFFFFF))
+        self.count += 8 * np.bincount(missed, minlength=self.count.size).reshape(self.count.shape)
+        self.settle()
+
+
+def _after(e: np.ndarray, c: np.ndarray, ids: np.ndarray, sure: np.ndarray, new: np.ndarray) -> np.ndarray:
+    """Entries (certainty << 16 | id) once ``ids`` have followed: surer, less sure, or another."""
+    return np.where(c == ids, np.minimum(e + 0x10000, sure), np.where(e >= 0x20000, e - 0x10000, new))
 
 
 def _lanes(ids: np.ndarray) -> np.ndarray:
@@ -185,109 +167,137 @@ def _lanes(ids: np.ndarray) -> np.ndarray:
     return out
 
 
-def _of(row: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Cumulative counts below and at each row's value."""
-    i = np.arange(len(row))
-    return np.where(value > 0, row[i, value - 1], 0), row[i, value]
-
-
-def encode(ids: np.ndarray) -> tuple[list[bytes], list[int]]:
-    """The ids as coded blocks of BLOCK ids (the last may stand for fewer), and each block's crc32."""
+def encode(ids: np.ndarray) -> tuple[bytes, list[bytes], list[int]]:
+    """The group's table, the ids as coded blocks of BLOCK ids (the last may stand for fewer), and each block's crc32."""
     ids = np.asarray(ids)
     if not len(ids):
-        return [], []
+        return b"", [], []
     if ids.min() < 0 or ids.max() >= 1 << 16:
         raise ValueError("ids must be below 65536")
+    table = Table.of_ids(ids)
     columns = np.ascontiguousarray(_lanes(ids).T)
-    n = columns.shape[1]
-    m, e = _Model(n), _Encoder(n)
-    for t in range(min(BLOCK, len(ids))):
-        now = columns[t]
-        m.look()
-        high = now >> 12
-        row = m.count[0].astype(np.int64)
-        below, upto = _of(row, high)
-        total = row[:, 15]
-        low3, top3 = m.low3 + m.rest * below // total, m.low3 + m.rest * upto // total
-        hit, hit2 = now == m.first, (now == m.other) & (m.b > 0)
-        low = np.where(hit, 0, np.where(hit2, m.low2, low3))
-        size = np.where(hit, m.low2, np.where(hit2, m.low3, top3)) - low
-        e.x1, e.x2 = _narrow(e.x1, e.x2, low, size, 1 << 24)
-        e.settle(m.lane, e.x1, e.x2)
-        rest = np.flatnonzero(~(hit | hit2))
-        if len(rest):
-            x1, x2, value, high = e.x1[rest], e.x2[rest], now[rest], high[rest]
-            m.grown(0, rest, row[rest], high)
-            at, nibble = rest * 16 + high, value >> 8 & 15
-            row = m.count[1][at].astype(np.int64)
-            below, upto = _of(row, nibble)
-            x1, x2 = _narrow(x1, x2, below, upto - below, row[:, 15])
-            e.settle(rest, x1, x2)
-            m.grown(1, at, row, nibble)
-            at, nibble = rest * 256 + (value >> 8), value >> 4 & 15
-            row = m.count[2][at].astype(np.int64)
-            below, upto = _of(row, nibble)
-            size = upto - below
-            x1, x2 = _narrow(x1, x2, below * 16 + size * (value & 15), size, row[:, 15] * 16)
-            e.settle(rest, x1, x2)
-            m.grown(2, at, row, nibble)
-            e.x1[rest], e.x2[rest] = x1, x2
-        m.learn(now)
-    # Three more words tell the last value apart from all others.
-    data = []
-    for k in range(n):
-        tail = np.array([int(e.x1[k]) >> s & 0xFFFF for s in (32, 16, 0)], "<u2")
-        data.append(e.out[k, : e.pos[k]].astype("<u2").tobytes() + tail.tobytes())
-    return data, [zlib.crc32(ids[k : k + BLOCK].astype("<u4").tobytes()) for k in range(0, len(ids), BLOCK)]
-
-
-def decode(data: list[bytes], crcs: list[int], n: int) -> np.ndarray:
+    n, steps = columns.shape[1], min(BLOCK, len(ids))
+    m = _Model(n, table)
+    low, span = np.zeros(n, np.int64), np.full(n, 1 << 56, np.int64)
+    room = 3 * steps + 2  # an id takes three words at most
+    words, pos = np.zeros(n * room, np.uint32), np.arange(n) * room
+    start = pos.copy()
+    before = np.zeros((2, n), np.int32)
+    for t in range(0, steps, STEP):
+        now = columns[t : min(t + STEP, steps)]
+        h = len(now)
+        past = np.concatenate([before, now])
+        at1, at2 = m.slots(past[1 : h + 1].astype(np.int64), past[:h].astype(np.int64))
+        sure, new = now | 0x30000, now | 0x10000
+        e1, e2 = np.empty((h, n), np.int32), np.empty((h, n), np.int32)
+        for k in range(h):
+            x = e1[k] = m.id1[at1[k]]
+            y = e2[k] = m.id2[at2[k]]
+            m.id1[at1[k]] = _after(x, x & 0xFFFF, now[k], sure[k], new[k])
+            m.id2[at2[k]] = _after(y, y & 0xFFFF, now[k], sure[k], new[k])
+        first, other, cells, a, low2, low3, unit = m.look(e1, e2)
+        place = table.place[now]
+        klass = (place >> 40) + m.base_class
+        hit, hit2 = now == first, now == other
+        part = m.part[klass]
+        slot = unit * (part & 0xFFFF) >> SLOT_BITS
+        lows = np.where(hit, 0, np.where(hit2, low2, low3 + unit * (part >> 16) + slot * (place >> 20 & 0xFFFFF)))
+        sizes = np.where(hit, low2, np.where(hit2, low3 - low2, slot * (place & 0xFFFFF)))
+        for k in range(h):
+            r = span >> TOTAL_BITS
+            low += r * lows[k]
+            span = r * sizes[k]
+            short = span < LEAST
+            while True:  # twice or more only after an id of very small share
+                words[pos] = low >> 40
+                pos += short
+                by = short << 4
+                low = np.where(short, low & _LOW, low) << by
+                span <<= by
+                short = span < LEAST
+                if not short.any():
+                    break
+        m.learn([c[:SEEN] for c in cells], a[:SEEN], hit[:SEEN], hit2[:SEEN], klass[:SEEN][~(hit | hit2)[:SEEN]])
+        before = past[-2:]
+    words[pos] = low + _LOW >> 40
+    while len(over := np.flatnonzero(words > 0xFFFF)):  # a carry goes to the word before
+        words[over] -= 1 << 16
+        words[over - 1] += 1
+    flat = words.astype(">u2")
+    data = [flat[x : y + 1].tobytes() for x, y in zip(start.tolist(), pos.tolist(), strict=True)]
+    return table.to_bytes(), data, [zlib.crc32(ids[k : k + BLOCK].astype("<u4").tobytes()) for k in range(0, len(ids), BLOCK)]
+
+
+def _quotient(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Of numbers that are not negative."""
+    return (x.view(np.uint64) // y.view(np.uint64)).view(np.int64)
+
+
+def decode(header: bytes, data: list[bytes], crcs: list[int], n: int) -> np.ndarray:
     """The ``n`` ids of coded blocks; a block whose checksum differs is an error."""
     if not data:
         return np.zeros(0, np.int32)
-    d = _Decoder(data)
-    m = _Model(len(data))
-    columns = np.zeros((BLOCK, len(data)), np.int32)
-    for t in range(min(BLOCK, n)):
-        m.look()
-        v = _value(d.x1, d.x2, d.x, 1 << 24)
-        hit, hit2 = v < m.low2, (v >= m.low2) & (v < m.low3)
-        row = m.count[0].astype(np.int64)
-        total = row[:, 15]
-        high = (row[:, :15] <= (((v - m.low3 + 1) * total - 1) // m.rest)[:, None]).sum(1)
-        below, upto = _of(row, high)
-        low3, top3 = m.low3 + m.rest * below // total, m.low3 + m.rest * upto // total
-        low = np.where(hit, 0, np.where(hit2, m.low2, low3))
-        size = np.where(hit, m.low2, np.where(hit2, m.low3, top3)) - low
-        d.x1, d.x2 = _narrow(d.x1, d.x2, low, size, 1 << 24)
-        d.settle(m.lane, d.x1, d.x2, d.x)
-        now = np.where(hit, m.first, m.other)
-        rest = np.flatnonzero(~(hit | hit2))
-        if len(rest):
-            x1, x2, x, high = d.x1[rest], d.x2[rest], d.x[rest], high[rest]
-            m.grown(0, rest, row[rest], high)
-            at = rest * 16 + high
-            row = m.count[1][at].astype(np.int64)
-            nibble = (row[:, :15] <= _value(x1, x2, x, row[:, 15])[:, None]).sum(1)
-            below, upto = _of(row, nibble)
-            x1, x2 = _narrow(x1, x2, below, upto - below, row[:, 15])
-            d.settle(rest, x1, x2, x)
-            m.grown(1, at, row, nibble)
-            value = high * 16 + nibble
-            at = rest * 256 + value
-            row = m.count[2][at].astype(np.int64)
-            v = _value(x1, x2, x, row[:, 15] * 16)
-            nibble = (row[:, :15] <= (v >> 4)[:, None]).sum(1)
-            below, upto = _of(row, nibble)
-            size = upto - below
-            flat = (v - below * 16) // size
-            x1, x2 = _narrow(x1, x2, below * 16 + size * flat, size, row[:, 15] * 16)
-            d.settle(rest, x1, x2, x)
-            m.grown(2, at, row, nibble)
-            d.x1[rest], d.x2[rest], d.x[rest] = x1, x2, x
-            now[rest] = value * 256 + nibble * 16 + flat
-        columns[t] = now
-        m.learn(now)
+    table = Table.from_bytes(header)
+    lanes, steps = len(data), min(BLOCK, n)
+    # The first seven bytes of a block are the coder's first value; what follows are its words.
+    width = max(map(len, data)) // 2 + 8
+    raw = np.zeros((lanes, 2 * width + 8), np.uint8)
+    for row, d in zip(raw, data, strict=True):
+        row[: len(d)] = np.frombuffer(d, np.uint8)
+    x = np.zeros(lanes, np.int64)
+    for k in range(7):
+        x = x << 8 | raw[:, k]
+    words = np.ascontiguousarray(raw[:, 7 : 7 + 2 * width]).view(">u2").astype(np.int32).ravel()
+    m = _Model(lanes, table)
+    pos, last = np.arange(lanes) * width, np.arange(lanes) * width + width - 1
+    span = np.full(lanes, 1 << 56, np.int64)
+    columns = np.zeros((BLOCK, lanes), np.int32)
+    two, one = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+    for t in range(0, steps, STEP):
+        h = min(STEP, steps - t)
+        seen = min(h, SEEN)
+        cells = [np.empty((seen, lanes), np.int64) for _ in _CELLS]
+        shares, hits, hits2, classes = np.empty((seen, lanes), np.int64), np.empty((seen, lanes), bool), np.empty((seen, lanes), bool), np.empty((seen, lanes), np.int64)
+        for k in range(h):
+            at1, at2 = m.slots(one, two)
+            e1, e2 = m.id1[at1], m.id2[at2]
+            first, other, asked, a, low2, low3, unit = m.look(e1, e2)
+            r = span >> TOTAL_BITS
+            v = _quotient(x, r)
+            hit, below3 = v < low2, v < low3
+            p = np.maximum(v - low3, 0)
+            klass = m.inverse[np.minimum(_quotient(p, unit), 255) + m.base_slot]
+            at = klass + m.base_class
+            part = m.part[at]
+            under = unit * (part >> 16)
+            slot = unit * (part & 0xFFFF) >> SLOT_BITS
+            inner = np.minimum(_quotient(np.maximum(p - under, 0), slot), SLOTS - 1)
+            drawn = table.slot[(klass.astype(np.int64) << SLOT_BITS) + inner]
+            place = table.place[drawn]
+            now = np.where(hit, first, np.where(below3, other, drawn))
+            low = np.where(hit, 0, np.where(below3, low2, low3 + under + slot * (place >> 20 & 0xFFFFF)))
+            size = np.where(hit, low2, np.where(below3, low3 - low2, slot * (place & 0xFFFFF)))
+            x = x - r * low
+            span = r * size
+            short = span < LEAST
+            while True:
+                by = short << 4
+                x = x << by | words[np.minimum(pos, last)] * short
+                span <<= by
+                pos += short
+                short = span < LEAST
+                if not short.any():
+                    break
+            sure, new = now | 0x30000, now | 0x10000
+            m.id1[at1] = _after(e1, e1 & 0xFFFF, now, sure, new)
+            m.id2[at2] = _after(e2, e2 & 0xFFFF, now, sure, new)
+            columns[t + k] = now
+            two, one = one, now.astype(np.int64)
+            if k < seen:
+                for c, found in zip(cells, asked, strict=True):
+                    c[k] = found
+                shares[k], hits[k], hits2[k], classes[k] = a, hit, now == other, at
+        m.learn(cells, shares, hits, hits2, classes[~(hits | hits2)])
     ids = np.ascontiguousarray(columns.T).ravel()[:n]
     for k, crc in enumerate(crcs):
         if zlib.crc32(ids[k * BLOCK : (k + 1) * BLOCK].astype("<u4").tobytes()) != crc:

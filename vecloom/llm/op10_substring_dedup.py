@@ -7,10 +7,13 @@ symbols equal names, and equal stretches of text share all symbols but a few at
 
 Each window of ``WINDOW`` words has an anchor: the first symbol, of the highest round, that lies
 inside it whatever stands around it.  Equal windows have equal anchors, so windows travel to the part
-that their anchor's name picks, a stretch of neighbouring windows in one packed record.  There, an anchor
-met once settles its windows at once; windows under an anchor met again are held against each other by a second 64-bit
-hash of all their words.  A batch first settles what repeats within itself and sends each different window
-once, so a passage of a third of all documents arrives as one record for each batch.
+that their anchor's name picks, a stretch of neighbouring windows in one packed record (a window whose
+anchor is of a low round, which may be common, goes to a part by its hash too).  There, an anchor and a 64-bit hash
+of all words that meet again propose their windows.  A batch first proposes what repeats within itself and sends each
+different window once, and a part keeps one of each, so a passage of a third of all documents is never gathered.
+
+What is proposed is verified by its words: a cryptographic digest of every proposed window is counted over the
+corpus, and a window whose words occur nowhere else is refuted.  So names and hashes that clash change nothing.
 
 Null text counts as empty.  A document of fewer than WINDOW words is left as it is.  Rows that
 repeat an id (or have none) are documents of their own.  The words kept are joined by one space.
@@ -19,7 +22,7 @@ repeat an id (or have none) are documents of their own.  The words kept are join
 from __future__ import annotations
 
 from collections.abc import Iterator
-from hashlib import sha256
+from hashlib import blake2b, sha256
 from itertools import compress
 
 import numpy as np
@@ -27,10 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import python_batches, staged, table
+from .common import give_back, sliced, staged, table
 from .words import BASE, U, Words, batch_words, mix, powers
 
 WINDOW, ROUNDS = 35, 8
+#: Anchors of a lower round share a part with others of their hash alone; bits of a window's hash.
+LOW_ROUND, BITS = 4, 63
+#: Bytes of documents in which repeats are looked for at once, before anything is sent.
+BATCH = 1 << 20
 #: Bytes of records a part is to hold, and bytes of record for a character of text.
 PART_BYTES, PER_CHAR = 16 << 20, 1.8
 SEGMENT = np.dtype([("name", "<u8"), ("doc", "<u4"), ("first", "<u4"), ("n", "<u2")])
@@ -101,41 +108,50 @@ def _ranges(doc: np.ndarray, start: np.ndarray) -> Iterator[tuple[int, bytes]]:
         yield int(owner[i]), packed[i:j].tobytes()
 
 
-def _sent(w: Words, ids: np.ndarray, parts: int) -> Iterator[tuple[int, int, bytes, bytes, bytes]]:
-    """Records of one slice of documents: (part, doc, ids, segments, hashes), or the repeats it settled itself."""
+def _groups(name: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of windows with one anchor and hash: an order that brings them together, the place of each group in it, its size."""
+    order = np.lexsort((h, name))
+    new = np.ones(len(order), bool)
+    new[1:] = (h[order[1:]] != h[order[:-1]]) | (name[order[1:]] != name[order[:-1]])
+    first = np.flatnonzero(new)
+    return order, first, np.diff(np.append(first, len(order)))
+
+
+def _sent(w: Words, ids: np.ndarray, parts: int, bits: int) -> Iterator[tuple[int, int, bytes, bytes, bytes]]:
+    """Records of one slice of documents: (part, doc, ids, segments, hashes), or the repeats it found itself."""
     count = np.diff(w.offset)
     if not len(w.hash) or count.max() < WINDOW:
         return
     doc = np.repeat(np.arange(len(count)), count)
     start = np.flatnonzero(doc[: len(doc) - WINDOW + 1] == doc[WINDOW - 1 :])
-    h = window_hashes(w.hash)[start] & ~U(1)
-    values, first, inverse, times = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
-    again = times[inverse] > 1
+    h = (window_hashes(w.hash)[start] >> U(63 - bits)) >> U(1) << U(1)
+    name, place = anchors(w.hash, doc, start)
+    order, first, times = _groups(name, h)
+    again = np.zeros(len(start), bool)
+    again[order] = np.repeat(times > 1, times)
     own = doc[start]
     for d, data in _ranges(own[again], start[again] - w.offset[own[again]]):
         yield int(ids[d] % parts), int(ids[d]), b"", b"", data
-    keep = np.sort(first)
-    start, h, own = start[keep], h[keep] | again[keep].astype(np.uint64), own[keep]
-    name, place = anchors(w.hash, doc, start)
-    part = (name >> U(20)) % U(parts)
+    keep = np.sort(order[first])
+    start, h, own, again, name, place = (x[keep] for x in (start, h, own, again, name, place))
+    low = place % (ROUNDS + 2) < LOW_ROUND
+    part = mix(name ^ np.where(low, h + U(1), U(0))) % U(parts)
     new = np.ones(len(start), bool)
-    new[1:] = (place[1:] != place[:-1]) | (start[1:] != start[:-1] + 1)
+    new[1:] = (place[1:] != place[:-1]) | (start[1:] != start[:-1] + 1) | low[1:]
     at = np.flatnonzero(new)
     segment = np.zeros(len(at), SEGMENT)
     segment["name"], segment["doc"], segment["first"] = name[at], own[at], start[at] - w.offset[own[at]]
     n = np.diff(np.append(at, len(start)))
     segment["n"] = n
     order = np.argsort(part[at], kind="stable")
-    wpart = np.repeat(part[at], n)
-    worder = np.argsort(wpart, kind="stable")
-    segment, h = segment[order], h[worder]
-    bounds = np.arange(parts + 1, dtype=np.uint64)
-    x, y = np.searchsorted(part[at][order], bounds), np.searchsorted(wpart[worder], bounds)
-    for k in range(parts):
-        if x[k] < x[k + 1]:
-            s = segment[x[k] : x[k + 1]].copy()
-            docs, s["doc"] = np.unique(s["doc"], return_inverse=True)
-            yield k, -1, ids[docs].tobytes(), s.tobytes(), h[y[k] : y[k + 1]].tobytes()
+    worder = np.argsort(np.repeat(part[at], n), kind="stable")
+    sorted_part, segment, h = part[at][order], segment[order], (h | again.astype(np.uint64))[worder]
+    edge = np.append(0, np.cumsum(segment["n"], dtype=np.int64))
+    cut = np.flatnonzero(np.append(True, sorted_part[1:] != sorted_part[:-1]))  # the parts that occur, however many there are
+    for x, y in zip(cut.tolist(), [*cut[1:].tolist(), len(segment)], strict=True):
+        s = segment[x:y].copy()
+        docs, s["doc"] = np.unique(s["doc"], return_inverse=True)
+        yield int(sorted_part[x]), -1, ids[docs].tobytes(), s.tobytes(), h[edge[x] : edge[y]].tobytes()
 
 
 _RECORD = "part int, doc long, ids binary, segments binary, hashes binary"
@@ -146,42 +162,40 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["part", "doc", "ids", "segments", "hashes"])
 
 
-def settled(ids: list[bytes], segments: list[bytes], hashes: list[bytes]) -> Iterator[tuple[int, bytes]]:
-    """The windows of a part that start anywhere else too, by document."""
-    if not ids:
-        return
-    base = np.cumsum([0, *[len(x) // 8 for x in ids]])
-    seg = np.frombuffer(b"".join(segments), SEGMENT)
-    batch = np.repeat(np.arange(len(ids)), [len(x) // SEGMENT.itemsize for x in segments])
-    doc = np.frombuffer(b"".join(ids), "<i8")[base[batch] + seg["doc"]]
-    h = np.frombuffer(b"".join(hashes), "<u8")
-    # Anchors met once, with nothing their batch knew to repeat, settle their windows.
-    _, inverse, times = np.unique(seg["name"], return_inverse=True, return_counts=True)
-    n = seg["n"].astype(np.int64)
-    open_ = np.repeat(times[inverse] > 1, n)
-    which = np.repeat(np.arange(len(seg)), n)[open_]
-    start = (np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n))[open_] + seg["first"][which]
-    h = h[open_]
-    order = np.argsort(h, kind="stable")
-    key = h[order] >> U(1)
-    same = key[1:] == key[:-1]
-    again = np.zeros(len(h), bool)
-    again[order[1:]] |= same
-    again[order[:-1]] |= same
-    # What its batch knew to repeat it has marked itself.
-    again &= (h & U(1)) == 0
-    yield from _ranges(doc[which[again]], start[again])
-
-
-def repeated(docs: DataFrame, parts: int) -> DataFrame:
-    """(doc, ranges): for documents with repeated windows, packed pairs (first, number); several rows a document."""
+class _Part:
+    """One of each different window that has come, and whether it has been proposed."""
+
+    def __init__(self):
+        self.windows = [np.zeros(0, k) for k in ("<u8", "<u8", "<i8", "<i8")]  # anchor, hash and mark, document, start
+
+    def add(self, ids: list[bytes], segments: list[bytes], hashes: list[bytes]) -> Iterator[tuple[int, bytes]]:
+        """The windows that are known to repeat by now and have not been proposed, by document."""
+        base = np.cumsum([0, *[len(x) // 8 for x in ids]])
+        seg = np.frombuffer(b"".join(segments), SEGMENT)
+        batch = np.repeat(np.arange(len(ids)), [len(x) // SEGMENT.itemsize for x in segments])
+        owner = np.frombuffer(b"".join(ids), "<i8")[base[batch] + seg["doc"]]
+        n = seg["n"].astype(np.int64)
+        start = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(seg["first"], n)
+        new = np.repeat(seg["name"], n), np.frombuffer(b"".join(hashes), "<u8"), np.repeat(owner, n), start
+        name, h, doc, start = (np.concatenate(x) for x in zip(self.windows, new, strict=True))
+        order, first, times = _groups(name, h >> U(1))
+        again = np.zeros(len(order), bool)
+        again[order] = np.repeat(times > 1, times)
+        out = again & (h & U(1) == 0)  # the others are marked: they have been proposed
+        yield from _ranges(doc[out], start[out])
+        keep = order[first]
+        self.windows = [name[keep], h[keep] | (times > 1).astype(np.uint64), doc[keep], start[keep]]
+
+
+def repeated(docs: DataFrame, parts: int, bits: int = BITS) -> DataFrame:
+    """(doc, ranges): for documents with windows that may repeat, packed pairs (first, number); several rows a document."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc").to_numpy()
-            for w in batch_words(batch.column("text")):
+            for w in batch_words(batch.column("text"), BATCH):
                 rows, size = [], 0
-                for row in _sent(w, ids[w.first : w.first + len(w.offset) - 1], parts):
+                for row in _sent(w, ids[w.first : w.first + len(w.offset) - 1], parts, bits):
                     rows.append(row)
                     size += sum(map(len, row[2:]))
                     if size > 4 << 20:
@@ -189,56 +203,88 @@ def repeated(docs: DataFrame, parts: int) -> DataFrame:
                         rows, size = [], 0
                 if rows:
                     yield _batch(rows)
+        give_back()
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[list[bytes]] = [[], [], []]
+        part: dict[int, _Part] = {}
         kinds = (pa.int64(), pa.binary())
         out = lambda rows: pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc", "ranges"])
-        for batch in batches:
-            done = []
-            for d, *data in zip(*[batch.column(c).to_pylist() for c in ("doc", "ids", "segments", "hashes")], strict=True):
+        for batch in sliced(batches, "hashes", 1 << 20, 8 << 20):
+            done, came = [], {}
+            for p, d, *data in zip(*[batch.column(c).to_pylist() for c in ("part", "doc", "ids", "segments", "hashes")], strict=True):
                 if data[0]:
-                    for k, x in zip(kept, data, strict=True):
+                    for k, x in zip(came.setdefault(p, ([], [], [])), data, strict=True):
                         k.append(x)
                 else:
                     done.append((d, data[2]))
-            if done:
-                yield out(done)
-        found = list(settled(*kept))
-        for i in range(0, len(found), 10_000):
-            yield out(found[i : i + 10_000])
+            for p, data in came.items():
+                done += part.setdefault(p, _Part()).add(*data)
+            for i in range(0, len(done), 10_000):
+                yield out(done[i : i + 10_000])
+        part.clear()
+        give_back()
 
     sent = docs.mapInArrow(send, _RECORD).repartitionById(parts, F.col("part"))
     return sent.mapInArrow(settle, "doc long, ranges binary")
 
 
-def kept_words(raw: bytes, ranges: list[bytes]) -> tuple[int, list[bytes]]:
-    words = raw.split()
+def starts_of(ranges: list[bytes], refuted: list[int] = ()) -> np.ndarray:
+    """The windows of packed ranges, each once, without those that are refuted."""
     if not ranges:
-        return len(words), words
+        return np.zeros(0, np.int64)
     r = np.frombuffer(b"".join(ranges), "<u4").reshape(-1, 2).astype(np.int64)
+    at = np.unique(np.repeat(r[:, 0] - (np.cumsum(r[:, 1]) - r[:, 1]), r[:, 1]) + np.arange(r[:, 1].sum()))
+    return at[~np.isin(at, refuted)] if len(refuted) else at
+
+
+def kept_words(words: list[bytes], starts: np.ndarray) -> list[bytes]:
+    if not len(starts):
+        return words
     edge = np.zeros(len(words) + 1, np.int64)
-    np.add.at(edge, r[:, 0], 1)
-    np.add.at(edge, r[:, 0] + r[:, 1] - 1 + WINDOW, -1)
-    return len(words), list(compress(words, (np.cumsum(edge)[:-1] == 0).tolist()))
+    edge[starts] += 1
+    edge[starts + WINDOW] -= 1
+    return list(compress(words, (np.cumsum(edge)[:-1] == 0).tolist()))
+
+
+def digests(words: list[bytes], starts: np.ndarray) -> bytes:
+    """16 bytes for each window: a digest of its words."""
+    if not len(starts):
+        return b""
+    text = b" ".join(words)
+    at = np.cumsum([0, *[len(x) + 1 for x in words]])
+    return b"".join([blake2b(text[x:y], digest_size=16).digest() for x, y in zip(at[starts].tolist(), (at[starts + WINDOW] - 1).tolist(), strict=True)])
+
+
+_CUT = "doc long, doc_id long, n_words long, n_removed long, kept string, starts binary, digests binary"
 
 
 def _cut(batches: Iterator[pa.RecordBatch], digest: bool) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        n, removed, kept = [], [], []
-        for t, r in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("ranges").to_pylist(), strict=True):
-            total, words = kept_words(t or b"", r or [])
-            n.append(total)
-            removed.append(total - len(words))
-            text = b" ".join(words)
-            kept.append(sha256(text).hexdigest() if digest else text.decode("utf-8", "replace"))
-        yield pa.record_batch([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
-
-
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept): ``kept`` is the text that is left, or its sha256 if ``digest``."""
+    for batch in sliced(batches, "text"):
+        rows = []
+        for doc, i, t, r, no in zip(*[batch.column(c).to_pylist() for c in ("doc", "doc_id")], batch.column("text").cast(pa.binary()).to_pylist(), batch.column("ranges").to_pylist(), batch.column("refuted").to_pylist(), strict=True):
+            words = (t or b"").split()
+            starts = starts_of(r or [], no or [])
+            kept = kept_words(words, starts)
+            text = b" ".join(kept)
+            rows.append((doc, i, len(words), len(words) - len(kept), sha256(text).hexdigest() if digest else text.decode("utf-8", "replace"), starts.astype("<u4").tobytes(), digests(words, starts)))
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary())
+        yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [f.split()[0] for f in _CUT.split(", ")])
+    give_back()
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in sliced(batches, "digests"):
+        for doc, s, d in zip(*[batch.column(c).to_pylist() for c in ("doc", "starts", "digests")], strict=True):
+            n = len(s) // 4
+            yield pa.record_batch([pa.array(np.full(n, doc)), pa.array(np.frombuffer(s, "<u4").astype(np.int32)), pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), n, [None, pa.py_buffer(d)]).cast(pa.binary())], ["doc", "start", "digest"])
+
+
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: bool = False, bits: int = BITS) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept): ``kept`` is the text that is left, or its sha256 if ``digest``.
+
+    ``bits`` of a window's hash are used; fewer cost time and change nothing else.
+    """
     spark = docs.sparkSession
-    python_batches(spark, 1024)
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     if slim.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 OR doc_id IS NULL").isEmpty():
         rows = slim.withColumn("doc", F.col("doc_id"))
@@ -246,10 +292,22 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         rows = staged(slim.withColumn("doc", F.monotonically_increasing_id()), "op10-rows")
     chars = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(chars * PER_CHAR / PART_BYTES) + 1)
-    found = staged(repeated(rows.select("doc", "text"), parts), "op10-repeats")
-    ranges = found.groupBy(F.col("doc").alias("_doc")).agg(F.collect_list("ranges").alias("ranges"))
-    joined = rows.join(ranges.hint("merge"), F.col("doc") == F.col("_doc"), "left").select("doc_id", "text", "ranges")
-    return joined.mapInArrow(lambda b: _cut(b, digest), "doc_id long, n_words long, n_removed long, kept string")
+    found = staged(repeated(rows.select("doc", "text"), parts, bits), "op10-repeats")
+
+    def cut(rows: DataFrame, refuted: DataFrame | None = None) -> DataFrame:
+        ranges = found.groupBy(F.col("doc").alias("_doc")).agg(F.collect_list("ranges").alias("ranges"))
+        joined = rows.join(ranges.hint("merge"), F.col("doc") == F.col("_doc"), "left")
+        joined = joined.withColumn("refuted", F.lit(None).cast("array<int>")) if refuted is None else joined.join(refuted.hint("merge"), "doc")
+        return joined.select("doc", "doc_id", "text", "ranges", "refuted").mapInArrow(lambda b: _cut(b, digest), _CUT)
+
+    done = staged(cut(rows), "op10-cut")
+    each = done.where("octet_length(starts) > 0").select("doc", "starts", "digests").mapInArrow(_windows, "doc long, start int, digest binary")
+    alone = each.groupBy("digest").agg(F.count("*").alias("n"), F.min("doc").alias("doc"), F.min("start").alias("start")).where("n = 1")
+    refuted = staged(alone.groupBy("doc").agg(F.collect_list("start").alias("refuted")), "op10-refuted")
+    if not refuted.isEmpty():  # a hash has clashed: the documents of its windows are cut again
+        again = cut(rows.join(refuted.select("doc").hint("merge"), "doc", "left_semi"), refuted)
+        done = done.join(refuted.select("doc").hint("merge"), "doc", "left_anti").unionByName(again)
+    return done.select("doc_id", "n_words", "n_removed", "kept")
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

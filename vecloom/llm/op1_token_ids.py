@@ -2,12 +2,12 @@
 
 Documents are range-partitioned by id and sorted, whole texts encoded with the tokenizers library, an end id added to
 each, and written as one shard a partition.  A shard is rows of groups, each a number of whole documents:
-their ids and lengths, how many ids the shard holds before them, and the ids as independently reset,
-checksummed blocks of the adaptive coder in ``id_coder``.  The container is Parquet, so
+their ids and lengths, how many ids the shard holds before them, the group's order-0 table, and the ids as independently
+reset, checksummed blocks of the adaptive coder in ``id_coder``.  The container is Parquet, so
 Spark's own commit protocol writes it to whatever store the path names.
 
-A text is cut at single spaces, which no token spans, and each part encoded once while a worker remembers it;
-the ids are those of the whole text.  Null text counts as empty (the end id alone).  A null id comes first;
+Texts are cut at single spaces, which no token spans, and each different word of some megabytes of them is encoded
+once; the ids are those of the whole text.  Null text counts as empty (the end id alone).  A null id comes first;
 rows that repeat an id are documents of their own, in the order of their texts' hashes.  An empty table gives no rows.
 """
 
@@ -21,19 +21,20 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import python_batches, shared_dir, table
+from .common import delete_at_exit, give_back, shared_dir, sliced, table
 from .id_coder import decode, encode
 
 END = 0
 #: Ids after which a group ends, at the end of a document.
 GROUP = 6 << 20
-#: Parts of texts that a worker remembers, in each of two generations.
-REMEMBERED = 400_000
-_GROUPS = "shard int, before long, doc_id array<long>, length array<int>, n long, block array<binary>, crc array<long>"
+#: Bytes of texts whose different words are encoded once.
+BATCH = 16 << 20
+_GROUPS = "shard int, before long, doc_id array<long>, length array<int>, n long, prior binary, block array<binary>, crc array<long>"
 
 
 class Encoder:
@@ -44,36 +45,64 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian uint16."""
-        split = []
-        missing: dict[str, None] = {}
-        for t in texts:
-            parts = t.split(" ")
-            if "" in parts:  # a run of spaces, or one at an end: taken whole
-                parts = [t] if t else []
-            else:
-                parts[1:] = [" " + p for p in parts[1:]]
-            split.append(parts)
-            new, old = self.new, self.old
-            for p in parts:
-                if p not in new:
-                    if (found := old.get(p)) is not None:
-                        new[p] = found
-                    else:
-                        missing[p] = None
-        if missing:
-            todo = list(missing)
-            for p, e in zip(todo, self.tokenizer.encode_batch_fast(todo, add_special_tokens=False), strict=True):
-                self.new[p] = np.array(e.ids, "<u2").tobytes()
-        new = self.new
-        out = [b"".join([new[p] for p in parts]) for parts in split]
-        if len(new) > REMEMBERED:
-            self.old, self.new = {p: x for p, x in new.items() if len(p) <= 64}, {}
-        return out
+        size = self.tokenizer.get_vocab_size()
+        self.spaced = np.array([(self.tokenizer.id_to_token(i) or "").startswith("\u0120") for i in range(size)])
+
+    def words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words, each after a space, and where each word's begin."""
+        out, begin, n = [], [], 0
+        lists = pa.ListArray.from_arrays(pa.array(np.append(np.arange(0, len(words), 256), len(words)).astype(np.int32)), words)
+        for k, text in enumerate(pc.binary_join(lists, " ").to_pylist()):
+            ids = np.array(self.tokenizer.encode(" " + text, add_special_tokens=False).ids, "<u2")
+            at = np.flatnonzero(self.spaced[ids])
+            some = words[k * 256 : (k + 1) * 256]
+            # Each word begins with the id of a space, and no other id does: those ids part the words.
+            if len(at) != len(some):
+                found = [np.array(e.ids, "<u2") for e in self.tokenizer.encode_batch_fast([" " + w for w in some.to_pylist()], add_special_tokens=False)]
+                ids, at = np.concatenate(found), np.cumsum([0, *map(len, found[:-1])])
+            out.append(ids)
+            begin.append(at + n)
+            n += len(ids)
+        return np.concatenate([np.zeros(0, "<u2"), *out]), np.concatenate([np.zeros(0, np.int64), *begin])
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, END after each text, and how many each text has (uint16, int64)."""
+        if not len(texts):
+            return np.zeros(0, "<u2"), np.zeros(0, np.int64)
+        split = pc.split_pattern(pc.fill_null(texts, ""), " ")
+        offset = split.offsets.to_numpy().astype(np.int64)
+        coded = pc.dictionary_encode(split.values.slice(offset[0], offset[-1] - offset[0]))
+        offset -= offset[0]
+        at = coded.indices.to_numpy().astype(np.int64)
+        # A text with a run of spaces, or one at an end, is taken whole; of the others, the first part.
+        none = pc.index(coded.dictionary, "").as_py()
+        whole = np.zeros(len(texts), bool)
+        if none >= 0:
+            whole[np.searchsorted(offset, np.flatnonzero(at == none), side="right") - 1] = True
+        first = offset[:-1]
+        heads = pc.if_else(pa.array(whole), pc.fill_null(texts, ""), coded.dictionary.take(pa.array(at[first]))).to_pylist()
+        kept = ~np.repeat(whole, np.diff(offset))
+        kept[first] = False
+        n_words = len(coded.dictionary)
+        used = np.zeros(n_words, bool)
+        used[at[kept]] = True
+        ids, begin = self.words(coded.dictionary.filter(pa.array(used)))
+        own = [np.array(e.ids, "<u2") for e in self.tokenizer.encode_batch_fast(heads, add_special_tokens=False)]
+        begins, sizes = np.zeros(n_words + len(own) + 1, np.int64), np.zeros(n_words + len(own) + 1, np.int64)
+        begins[:n_words][used], sizes[:n_words][used] = begin, np.diff(begin, append=len(ids))
+        sizes[n_words:] = [*map(len, own), 1]
+        begins[n_words:] = len(ids) + np.cumsum(sizes[n_words:]) - sizes[n_words:]
+        ids = np.concatenate([ids, *own, np.array([END], "<u2")])
+        # Each text is its head, its other words, and END.
+        n_parts = np.add.reduceat(kept, first).astype(np.int64) + 2
+        last = np.cumsum(n_parts)
+        order = np.empty(last[-1], np.int64)
+        body = np.ones(last[-1], bool)
+        body[last - 1] = body[last - n_parts] = False
+        order[body], order[last - n_parts], order[last - 1] = at[kept], n_words + np.arange(len(own)), n_words + len(own)
+        n = sizes[order]
+        ends = np.cumsum(n)
+        return ids[np.repeat(begins[order] - (ends - n), n) + np.arange(ends[-1])], np.diff(ends[last - 1], prepend=0)
 
 
 @lru_cache(maxsize=2)
@@ -83,33 +112,34 @@ def encoder(path: str) -> Encoder:
 
 def write(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Write the container of all rows to ``path``."""
-    python_batches(docs.sparkSession)
 
     def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e, shard, before = encoder(tokenizer), TaskContext.get().partitionId(), 0
-        own: list[int] = []
-        data: list[bytes] = []
+        own: list[np.ndarray] = []
+        data: list[np.ndarray] = []
+        lengths: list[np.ndarray] = []
+        kinds = (pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.int64(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int64()))
 
         def group() -> pa.RecordBatch:
-            ids = np.frombuffer(b"".join(data), "<u2").astype(np.int32)
-            blocks, crcs = encode(ids)
-            row = {"shard": [shard], "before": [before], "doc_id": [own], "length": [[len(x) // 2 for x in data]], "n": [len(ids)], "block": [blocks], "crc": [crcs]}
-            kinds = (pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int64()))
-            return pa.record_batch([pa.array(v, k) for v, k in zip(row.values(), kinds, strict=True)], list(row))
+            ids = np.concatenate(data)
+            table_, blocks, crcs = encode(ids)
+            row = (shard, before, [x for o in own for x in o], np.concatenate(lengths), len(ids), table_, blocks, crcs)
+            return pa.record_batch([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], [f.split()[0] for f in _GROUPS.split(", ")])
 
         size = 0
-        for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            for i, x in zip(batch.column("doc_id").to_pylist(), e.encode(texts), strict=True):
-                own.append(i)
-                data.append(x + END.to_bytes(2, "little"))
-                size += len(data[-1]) // 2
-                if size >= GROUP:
-                    yield group()
-                    before += size
-                    own, data, size = [], [], 0
+        for batch in sliced(batches, "text", 1 << 20, BATCH):
+            ids, n = e.encode(batch.column("text"))
+            own.append(batch.column("doc_id").to_pylist())
+            data.append(ids)
+            lengths.append(n)
+            size += len(ids)
+            if size >= GROUP:
+                yield group()
+                before += size
+                own, data, lengths, size = [], [], [], 0
         if own:
             yield group()
+        give_back()
 
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     dealt = slim.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
@@ -131,20 +161,20 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 def documents(groups: DataFrame, with_ids: bool = False) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32[, ids]) of each document of a container."""
-    python_batches(groups.sparkSession, 1)
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, rows=1):
             for g in batch.to_pylist():
-                ids = decode(g["block"], g["crc"], g["n"]).astype("<u4")
+                ids = decode(g["prior"], g["block"], g["crc"], g["n"]).astype("<u4")
                 at = np.concatenate([[0], np.cumsum(g["length"])]).astype(np.int64)
                 crc = [zlib.crc32(ids[x:y].tobytes()) for x, y in zip(at[:-1], at[1:], strict=True)]
                 columns = [pa.array(g["doc_id"], pa.int64()), pa.array(at[:-1] + g["start"]), pa.array(np.diff(at)), pa.array(crc, pa.int64())]
                 if with_ids:
                     columns.append(pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids.astype(np.int32))))
                 yield pa.record_batch(columns, ["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: len(columns)])
+        give_back()
 
-    return groups.select("doc_id", "length", "n", "block", "crc", "start").mapInArrow(decoded, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
+    return groups.select("doc_id", "length", "n", "prior", "block", "crc", "start").mapInArrow(decoded, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
 
 
 def default_tokenizer() -> str:
@@ -155,5 +185,6 @@ def default_tokenizer() -> str:
 
 def op1_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/vecloom/op1-ids-{uuid.uuid4().hex}"
+    delete_at_exit(spark, path)
     write(table(spark, sf_dir, "documents"), path, default_tokenizer())
     return documents(read(spark, path))

@@ -5,14 +5,15 @@ Terms are a text's lower-case words and the first ``PREFIX`` letters of longer o
 for each bucket and the inner products of the buckets' factors for each pair, so that a pair
 (an insult with a group mention) can weigh more than its two terms.
 
-Training takes at most ``TRAIN_ROWS`` labelled rows, those with the least hash of their id; their
-hashed terms, not their texts, reach the driver.  Buckets whose share differs between the labels
-by fewer than ``LEAST_Z`` standard errors get neither weight nor factors, so the model that is sent to the
-executors has at most ``MOST_BUCKETS`` rows.
+Training takes at most ``TRAIN_ROWS`` labelled rows, those with the least hash of their id (of rows that repeat an id,
+one: that of the least hashed terms); their hashed terms, not their texts, reach the driver.  A bucket gets a weight and
+factors if its share differs between the labels by ``LEAST_Z`` standard errors, or if, with no such effect of its own, the share
+of its pair with another such bucket differs by ``PAIR_Z``: so terms that matter only together are learned.  The
+model has at most 2 ** BITS rows.
 
 Null and empty texts get the score of the bias.  Labels that are null are left out of training; where a
 label is missing altogether every score is the base rate (0.5 without labels).  Rows that repeat
-an id are scored each.
+an id are scored each.  The score column takes underscores before its name where the table has one of that name.
 """
 
 from __future__ import annotations
@@ -23,18 +24,21 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import python_batches, table
+from .common import ARROW_ROWS, free_name, give_back, sliced, table
 
 BITS, PREFIX = 20, 5
-TRAIN_ROWS, MOST_BUCKETS, LEAST_Z, LEAST_DOCS = 12_000, 4096, 5.0, 3
+TRAIN_ROWS, LEAST_DOCS, LEAST_Z = 12_000, 3, 5.0
+#: Rows of label 1 that hold a pair, its standard errors from label 0, and buckets (a power of two) that pairs are counted in.
+PAIR_DOCS, PAIR_Z, PAIR_BITS = 8, 7.0, 24
 FACTORS, EPOCHS, RATE, DECAY = 6, 40, 0.15, 1e-5
 CUT = 0.7
 #: Words that a worker remembers the bucket of.
-REMEMBERED = 400_000
+REMEMBERED = 60_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -68,18 +72,76 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(self.bias + linear + 0.5 * ((total * total).sum(1) - square), -30, 30)))
 
 
+def apart(c1: np.ndarray, c0: np.ndarray, n1: float, n0: float) -> np.ndarray:
+    """Standard errors between the shares c1 of n1 and c0 of n0."""
+    p = (c1 + c0) / (n1 + n0)
+    return (c1 / n1 - c0 / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / n1 + 1 / n0))
+
+
+def _pairs(rows: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """All pairs of each row's values and a bucket of each pair, a few million at a time."""
+    one, two, size = [], [], 0
+
+    def some() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        a, b = np.concatenate(one), np.concatenate(two)
+        return a, b, (a * 0x9E3779B1 + b * 0x85EBCA77 >> 7) & (1 << PAIR_BITS) - 1
+
+    for r in rows:
+        for k in range(len(r) - 1):
+            one.append(np.full(len(r) - k - 1, r[k]))
+            two.append(r[k + 1 :])
+            size += len(r) - k - 1
+            if size >= 1 << 22:
+                yield some()
+                one, two, size = [], [], 0
+    if size:
+        yield some()
+
+
+def paired(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
+    """The values of pairs whose share of rows is larger under label 1; rows hold values without an effect of their own."""
+    n1, n0 = y.sum(), (1 - y).sum()
+    none = np.zeros(0, np.int64)
+    values, at = np.unique(np.concatenate([none, *rows]), return_inverse=True)
+    if not n1 or not n0 or not len(values):
+        return none
+    own = np.split(at, np.cumsum([len(r) for r in rows])[:-1])
+    toxic, clean = ([r for r, k in zip(own, y, strict=True) if k == side] for side in (1, 0))
+    # As many rows of label 0 as there are of label 1 tell which pairs are worth counting in all.
+    some = clean[:: max(1, len(clean) // len(toxic))]
+    c1, c0 = (np.zeros(1 << PAIR_BITS, np.int32) for _ in range(2))
+    for c, part in ((c1, toxic), (c0, some)):
+        for *_, h in _pairs(part):
+            c += np.bincount(h, minlength=len(c)).astype(np.int32)
+    strong = (c1 >= PAIR_DOCS) & (apart(c1, c0, n1, len(some)) >= PAIR_Z - 1)
+    found = [none]
+    for a, b, h in _pairs(toxic):  # buckets may mix pairs, so those of strong ones are counted again
+        at = strong[h]
+        found.append(a[at] << 32 | b[at])
+    pairs, n_1 = np.unique(np.concatenate(found), return_counts=True)
+    pairs, n_1 = pairs[n_1 >= PAIR_DOCS], n_1[n_1 >= PAIR_DOCS]
+    named = np.zeros(len(values), bool)
+    named[pairs >> 32] = named[pairs & 0xFFFFFFFF] = True
+    n_0 = np.zeros(len(pairs), np.int64)
+    for a, b, _ in _pairs([r[named[r]] for r in clean]) if len(pairs) else ():
+        key = a << 32 | b
+        at = np.minimum(np.searchsorted(pairs, key), len(pairs) - 1)
+        n_0 += np.bincount(at[pairs[at] == key], minlength=len(pairs))
+    good = pairs[apart(n_1, n_0, n1, n0) >= PAIR_Z]
+    return values[np.unique(np.concatenate([good >> 32, good & 0xFFFFFFFF]))]
+
+
 def select(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
-    """The buckets whose share of documents differs between the labels, the surest first."""
-    both = np.concatenate([np.zeros(0, np.int64), *rows])
+    """The buckets that tell the labels apart by themselves or in a pair, in order."""
     label = np.repeat(y, [len(r) for r in rows])
-    values, at = np.unique(both, return_inverse=True)
-    n1, n0 = max(y.sum(), 1), max((1 - y).sum(), 1)
+    values, at = np.unique(np.concatenate([np.zeros(0, np.int64), *rows]), return_inverse=True)
     c1 = np.bincount(at, label, len(values))
-    c0 = np.bincount(at, minlength=len(values)) - c1
-    p = (c1 + c0) / (n1 + n0)
-    z = np.abs(c1 / n1 - c0 / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / n1 + 1 / n0))
-    keep = np.flatnonzero((z >= LEAST_Z) & (c1 + c0 >= LEAST_DOCS))
-    return values[keep[np.argsort(-z[keep], kind="stable")][:MOST_BUCKETS]]
+    n = np.bincount(at, minlength=len(values))
+    alone = (np.abs(apart(c1, n - c1, max(y.sum(), 1), max((1 - y).sum(), 1))) >= LEAST_Z) & (n >= LEAST_DOCS)
+    rest = ~alone & (c1 >= PAIR_DOCS)
+    cut = np.cumsum([len(r) for r in rows])[:-1]
+    others = [r[rest[a]] for r, a in zip(rows, np.split(at, cut), strict=True)] if len(rows) else []
+    return np.union1d(values[alone], paired(others, y))
 
 
 def fit(rows: list[np.ndarray], y: np.ndarray, seed: int = 2) -> Machine:
@@ -87,85 +149,91 @@ def fit(rows: list[np.ndarray], y: np.ndarray, seed: int = 2) -> Machine:
     y = np.asarray(y, float)
     if not len(y):
         return Machine(np.zeros(0, np.int64), 0.0, np.zeros(0), np.zeros((0, FACTORS)))
-    chosen = np.sort(select(rows, y))
-    found = [np.flatnonzero(np.isin(chosen, r, assume_unique=True)) for r in rows]
+    chosen = select(rows, y)
+    place = np.full((1 << BITS) + 1, -1, np.int32)
+    place[chosen] = np.arange(len(chosen))
+    found = [p[p >= 0] for p in (place[r] for r in rows)]
     rng = np.random.default_rng(seed)
     base = min(max(y.mean(), 1e-3), 1 - 1e-3)
     m = Machine(chosen, float(np.log(base / (1 - base))), np.zeros(len(chosen)), rng.normal(0, 0.05, (len(chosen), FACTORS)))
     if not len(chosen):
         return m
-    gw, gv, gb = np.full(len(chosen), 1e-4), np.full(m.factor.shape, 1e-4), 1e-4
+    n = len(chosen)
+    gw, gv, gb = np.full(n, 1e-4), np.full(m.factor.shape, 1e-4), 1e-4
     for _ in range(EPOCHS):
         order = rng.permutation(len(y))
         for low in range(0, len(y), 256):
             part = order[low : low + 256]
             own = [found[i] for i in part]
             at, doc = np.concatenate(own), np.repeat(np.arange(len(part)), [len(r) for r in own])
-            error = m.score(own) - y[part]
+            v = m.factor[at]
+            total = np.stack([np.bincount(doc, v[:, k], len(part)) for k in range(FACTORS)], 1)
+            margin = m.bias + np.bincount(doc, m.weight[at], len(part)) + 0.5 * ((total * total).sum(1) - np.bincount(doc, (v * v).sum(1), len(part)))
+            error = 1 / (1 + np.exp(-np.clip(margin, -30, 30))) - y[part]
             m.bias -= RATE * (g := error.mean()) / np.sqrt(gb := gb + g * g)
-            if not len(at):
-                continue
-            total = np.zeros((len(part), FACTORS))
-            np.add.at(total, doc, m.factor[at])
-            e = error[doc]
-            g = np.bincount(at, e, len(chosen)) / len(part)
-            touched = np.unique(at)
-            g = g[touched] + DECAY * m.weight[touched]
+            e = error[doc] / len(part)
+            touched = np.flatnonzero(np.bincount(at, minlength=n))
+            g = np.bincount(at, e, n)[touched] + DECAY * m.weight[touched]
             gw[touched] += g * g
             m.weight[touched] -= RATE * g / np.sqrt(gw[touched])
-            d = np.zeros_like(m.factor)
-            np.add.at(d, at, e[:, None] * (total[doc] - m.factor[at]) / len(part))
-            d = d[touched] + DECAY * m.factor[touched]
-            gv[touched] += d * d
-            m.factor[touched] -= 0.3 * RATE * d / np.sqrt(gv[touched])
+            for k in range(FACTORS):
+                d = np.bincount(at, e * (total[doc, k] - v[:, k]), n)[touched] + DECAY * m.factor[touched, k]
+                gv[touched, k] += d * d
+                m.factor[touched, k] -= 0.3 * RATE * d / np.sqrt(gv[touched, k])
     return m
 
 
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches, "text"):
         rows = [np.unique(np.fromiter((bucket(t) for t in terms(x or "")), np.int32)).tobytes() for x in batch.column("text").to_pylist()]
-        yield pa.record_batch([batch.column("label"), pa.array(rows, pa.binary())], ["label", "buckets"])
+        yield pa.record_batch([batch.column("doc_id"), batch.column("label"), pa.array(rows, pa.binary())], ["doc_id", "label", "buckets"])
+    give_back()
 
 
 def trained(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = TRAIN_ROWS, train: Column | None = None) -> Machine:
     """Fit on the labelled documents whose id satisfies ``train`` (a condition on ``doc_id``)."""
-    python_batches(docs.sparkSession)
     chosen = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).where("label IN (0, 1)")
     if train is not None:
         chosen = chosen.where(train)
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(rows)  # at most TRAIN_ROWS pairs of numbers, so they can be broadcast
+    chosen = chosen.groupBy("doc_id").agg(F.max("label").alias("label"))  # an id of several labels is toxic
+    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)  # at most TRAIN_ROWS pairs of numbers, so they can be broadcast
     text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    found = text.join(F.broadcast(chosen), "doc_id").select("label", "text").mapInArrow(_hashed, "label int, buckets binary").toArrow()
+    found = text.join(F.broadcast(chosen), "doc_id")
+    # Ids may repeat among documents: each trains once, so what reaches the driver is bounded.
+    found = found.select("doc_id", "label", "text").mapInArrow(_hashed, "doc_id long, label int, buckets binary")
+    found = found.groupBy("doc_id", "label").agg(F.min("buckets").alias("buckets")).select("label", "buckets").toArrow()
     data = sorted(zip(found.column("buckets").to_pylist(), found.column("label").to_pylist(), strict=True))  # one order, however the tasks ended
     return fit([np.frombuffer(b, np.int32).astype(np.int64) for b, _ in data], np.array([y for _, y in data]))
 
 
 def scored(docs: DataFrame, machine: Machine, text_col: str = "text", score_col: str = "score") -> DataFrame:
     """The table with a score column, every whole text read."""
-    spark = docs.sparkSession
-    python_batches(spark)
-    sent = spark.sparkContext.broadcast(machine)  # at most MOST_BUCKETS rows
+    sent = docs.sparkSession.sparkContext.broadcast(machine)  # at most 2 ** BITS rows
 
     @F.pandas_udf("double")
-    def score(text):
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         m = sent.value
-        index = {int(b): i for i, b in enumerate(m.buckets)}
-        known = m.__dict__.setdefault("known", {})  # a worker keeps the machine, and so this
-        rows = []
-        for t in text:
-            own = set()
-            for term in terms(t) if isinstance(t, str) else ():
-                i = known.get(term, -2)
-                if i == -2:
-                    if len(known) >= REMEMBERED:
-                        known.clear()
-                    i = known[term] = index.get(bucket(term), -1)
-                if i >= 0:
-                    own.add(i)
-            rows.append(np.array(sorted(own), np.int64))
-        import pandas as pd
-
-        return pd.Series(m.score(rows) if rows else np.zeros(0))
+        place = np.full(1 << BITS, -1, np.int32)
+        place[m.buckets] = np.arange(len(m.buckets))
+        known: dict[str, int] = {}
+        for texts in batches:
+            found = []
+            for low in range(0, len(texts), ARROW_ROWS):
+                rows = []
+                for t in texts.iloc[low : low + ARROW_ROWS]:
+                    own = set()
+                    for term in terms(t) if isinstance(t, str) else ():
+                        i = known.get(term)
+                        if i is None:
+                            if len(known) >= REMEMBERED:
+                                known.clear()
+                            i = known[term] = int(place[bucket(term)])
+                        if i >= 0:
+                            own.add(i)
+                    rows.append(np.array(sorted(own), np.int64))
+                found.append(m.score(rows))
+            yield pd.Series(np.concatenate([np.zeros(0), *found]))
+        give_back()
 
     return docs.withColumn(score_col, score(F.col(text_col).cast("string")))
 
@@ -181,9 +249,10 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the documents that are not rejected, with the columns they came with."""
+    """Pipeline stage: the documents that are not rejected, with the columns they came with, whatever their names."""
     machine = trained(docs, table(spark, sf_dir, "labels"), train=~held_out(3, 1))
-    return scored(docs, machine, score_col="_score").where(F.col("_score") < CUT).select(*docs.columns)
+    score = free_name(docs.columns, "toxicity_score")
+    return scored(docs, machine, score_col=score).where(F.col(score) < CUT).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import python_batches, table
+from .common import free_name, give_back, sliced, table
 
 BITS, ORDERS = 15, (1, 2, 3)
 PER_LANGUAGE, MOST_LANGUAGES, SMOOTHING = 3000, 512, 0.5
@@ -99,7 +99,7 @@ class Bayes:
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches, "text"):
         lang = np.array(batch.column("lang").to_pylist(), object)
         text = np.array([t or "" for t in batch.column("text").to_pylist()], object)
         for name in sorted(set(lang)):
@@ -111,7 +111,6 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def trained(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train: Column | None = None, per_language: int = PER_LANGUAGE) -> Bayes:
     spark = docs.sparkSession
-    python_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("doc_id IS NOT NULL AND lang IS NOT NULL")
     if train is not None:
         rows = rows.where(train)
@@ -135,7 +134,6 @@ def trained(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
 def language_id(docs: DataFrame, model: Bayes, text_col: str = "text") -> DataFrame:
     """The table with ``lang_pred`` and ``score``; columns of those names are replaced."""
     spark = docs.sparkSession
-    python_batches(spark)
     sent = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("struct<lang_pred: string, score: double>")

@@ -5,7 +5,8 @@ documents are compared by their ordered lists of identifiers.  A chunk's text mo
 after a map-side distinct; a document's text never does.
 
 Null text counts as empty.  Rows with equal text form a group whose row of the smallest id
-stays (null ids last; of rows that repeat an id, one stays).  An empty table gives no rows.
+stays (null ids last; of rows that repeat an id, one stays).  An empty table gives no rows.  Only the id and text
+columns are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import staged, table
+from .common import free_name, staged, table
 
 #: Characters of a chunk: the least, and the most where no boundary comes.
 MIN_CHUNK, MAX_CHUNK = 512, 4096
@@ -69,11 +70,15 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the rows that stay, with the columns they came with."""
-    kept = staged(exact_dedup(docs).where("kept").select(F.col("doc_id").alias("_k"), F.col("text_sha256").alias("_h")), "op5-kept")
-    named = docs.withColumn("_h", F.sha2(normalised(F.col("text")), 256))
-    found = named.join(kept.withColumnRenamed("_h", "_g").hint("merge"), F.col("doc_id").eqNullSafe(F.col("_k")) & (F.col("_h") == F.col("_g")), "left_semi")
-    return found.dropDuplicates(["doc_id", "_h"]).select(*docs.columns)
+    """Pipeline stage: the rows that stay, with the columns they came with, whatever their names.
+
+    A row is known by its id and text, so a whole text moves once; of rows that are equal in both, one stays.
+    """
+    key = free_name(docs.columns, "row_key")
+    of = lambda i, h: F.concat_ws(":", F.coalesce(i.cast("string"), F.lit("null")), h)
+    kept = staged(exact_dedup(docs).where("kept").select(of(F.col("doc_id"), F.col("text_sha256")).alias(key)), "op5-kept")
+    named = docs.withColumn(key, of(F.col("doc_id").cast("long"), F.sha2(normalised(F.col("text")), 256)))
+    return named.join(kept.hint("merge"), key, "left_semi").dropDuplicates([key]).select(*docs.columns)
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

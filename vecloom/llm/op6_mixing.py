@@ -9,9 +9,10 @@ shuffle in one exchange.
 Targets: ``weights`` by source, or, where none are given, each source's share of documents to
 the power ``TEMPERATURE``.  Either is normalised over the sources that the table holds, and the
 expected size of the mixture is ``scale`` times the table's.  A source that ``weights`` leaves out gets
-none.  Null sources are one source of their own (``weights`` may hold None); rows with a null
-id share the numbers of the text "null"; rows that repeat an id share its numbers.  An empty
-table gives no rows; an existing column named like one that is added gives way to it.
+none.  Null sources are one source of their own (``weights`` may hold None).  Rows with a null id draw by a hash of
+all their columns, so equal ones share a number; rows that repeat an id share its numbers, and are dealt by a hash of
+all columns.  An empty table gives no rows; where the table has a column named like one that is added, ours takes
+underscores before its name.
 """
 
 from __future__ import annotations
@@ -28,9 +29,13 @@ MOST_RATE = 32.0
 STEPS = 96
 
 
+#: Copies of a table of rates that is too large to send to every executor: a source's rows meet any of them.
+SALTS = 16
+
+
 def uniform(seed: str, *parts: Column) -> Column:
     """A number in [0, 1): 52 bits of an md5."""
-    text = F.concat_ws(":", F.lit(seed), *[F.coalesce(p.cast("string"), F.lit("null")) for p in parts])
+    text = F.concat_ws(":", F.lit(seed), *[p.cast("string") for p in parts])
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
 
 
@@ -60,25 +65,29 @@ def rates(docs: DataFrame, source_col: str, weights: dict | None, temperature: f
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", weights: dict | None = None, temperature: float = TEMPERATURE, scale: float = 1.0, seed: str = SEED) -> DataFrame:
     """The repeated, shuffled documents: their columns, ``copy`` (from 1) and ``shuffle_key``."""
-    docs = docs.drop("copy", "shuffle_key")
-    rate = staged(rates(docs, source_col, weights, temperature, scale), "op6-rates").withColumnRenamed("source", "_source")
-    if rate.limit(10_001).count() <= 10_000:  # a table of sources that small is sent to every executor; a larger one is shuffled
-        rate = F.broadcast(rate)
-    rate_col, count = free_name(docs.columns, "rate"), free_name(docs.columns, "_count")
-    found = docs.join(rate.withColumnRenamed("rate", rate_col), docs[source_col].eqNullSafe(F.col("_source")), "left").drop("_source")
+    taken = list(docs.columns)
+    rate_col, source, salt, count, copy, key = (free_name(taken, n) for n in ("rate", "rate_source", "rate_salt", "copies", "copy", "shuffle_key"))
+    rate = staged(rates(docs, source_col, weights, temperature, scale), "op6-rates").select(F.col("source").alias(source), F.col("rate").alias(rate_col))
+    row = F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString()])
+    ident = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("null"), row.cast("string")))
+    same = F.col(source_col).eqNullSafe(F.col(source))
+    if rate.limit(10_001).count() <= 10_000:  # a table of sources that small is sent to every executor
+        found = docs.join(F.broadcast(rate), same, "left")
+    else:  # a larger one meets the documents in shuffles, a hot source in several tasks
+        rate = rate.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        found = docs.join(rate, same & (F.pmod(row, F.lit(SALTS)).cast("int") == F.col(salt)), "left")
     r = F.coalesce(F.col(rate_col), F.lit(0.0))
     parts = F.greatest(F.ceil(r / MOST_RATE).cast("int"), F.lit(1))
-    one = poisson(r, uniform(seed, F.col(id_col), F.lit(0)))
-    many = F.aggregate(F.sequence(F.lit(0), parts - 1), F.lit(0), lambda s, i: s + poisson(r / parts, uniform(seed, F.col(id_col), i)))
+    one = poisson(r, uniform(seed, ident, F.lit(0)))
+    many = F.aggregate(F.sequence(F.lit(0), parts - 1), F.lit(0), lambda s, i: s + poisson(r / parts, uniform(seed, ident, i)))
     found = found.withColumn(count, F.when(r <= MOST_RATE, one).otherwise(many)).where(F.col(count) > 0)
-    found = found.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col(count)))).drop(count, rate_col)
-    found = found.withColumn("shuffle_key", F.xxhash64(F.lit(seed), F.lit("deal"), F.col(id_col), F.col("copy")))
-    return found.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
+    found = found.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(count)))).withColumn(key, F.xxhash64(F.lit(seed), F.lit("deal"), F.col(id_col), row, F.col(copy)))
+    return found.select(*[F.col(f"`{c}`") for c in taken], copy, key).repartition(F.col(key)).sortWithinPartitions(key)
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the mixture, with the columns the documents came with."""
-    return mix_sources(docs).select(*docs.columns)
+    return mix_sources(docs).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

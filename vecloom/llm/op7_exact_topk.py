@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import python_batches, staged, table
+from .common import give_back, sliced, staged, table
 
 SCALE, LARGEST = 256, 1 << 22
 PAGE, TREE = 512, 8192
@@ -219,7 +219,6 @@ def index(vectors: DataFrame) -> DataFrame:
 def top_k(table_: DataFrame, queries: str, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score) for the rows that satisfy ``queries``, a condition on ``vec_id``."""
     spark = table_.sparkSession
-    python_batches(spark, 2048)
     vectors = table_.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
     vectors = staged(vectors.mapInArrow(quantised, "vec_id long, dim int, v binary"), "op7-vectors")
     trees = index(vectors)

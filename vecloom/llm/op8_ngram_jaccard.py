@@ -5,8 +5,10 @@ them; one without words has none).  Documents with equal sets are one representa
 of MinHash values propose clusters of representatives; inside a cluster, pairs are compared
 ``STEP`` MinHash values at a time and dropped once the posterior probability that their
 similarity reaches the threshold is below ``TOLERANCE``; the rest are verified exactly, on the
-whole shingle sets.  Large clusters are verified block against block, so no task holds a whole
-group and no pair is emitted: a unit of work returns link counts and a spanning forest.
+whole shingle sets.  Large clusters are compared block against block, so no task holds a whole
+group and no pair is emitted: a unit of work returns link counts and a spanning forest.  The first comparison has
+MinHash values alone and splits clusters, which bands may chain together, into those that its survivors connect; only
+their members' shingle sets are made and sent, in blocks of ``BLOCK_BYTES``.
 
 Null text counts as empty; documents without words link to nothing.  Rows that repeat an id
 are rows of their own.  A pair of similarity s shares a band with probability
@@ -23,18 +25,19 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .common import connected, python_batches, staged, table
+from .common import connected, free_name, give_back, sliced, staged, table
 from .words import U, batch_words, grams, mix
 
 N, THRESHOLD = 5, (4, 5)
 BANDS, R = 36, 6
 STEP, TOLERANCE = 24, 1e-7
-#: Representatives of a block; a unit of work compares two blocks.
-BLOCK = 256
+#: Representatives of a block, and bytes of their sets; a unit of work compares two blocks.
+BLOCK, BLOCK_BYTES = 512, 4 << 20
 #: Columns of the incidence matrix at a time.
-WIDTH = 8192
+WIDTH = 2048
 _rng = np.random.default_rng(8)
 _XOR = _rng.integers(0, 1 << 32, BANDS * R, dtype=np.uint64).astype(np.uint32)
 _MUL = _rng.integers(0, 1 << 31, BANDS * R, dtype=np.uint64).astype(np.uint32) * np.uint32(2) + np.uint32(1)
@@ -75,8 +78,8 @@ LEAST = [(k, needed(k, THRESHOLD[0] / THRESHOLD[1], TOLERANCE)) for k in range(S
 
 def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each document: a key of its shingle set, the set's size, MinHash values and keys of the bands."""
-    for batch in batches:
-        ids = batch.column("doc_id")
+    for batch in sliced(batches, "text"):
+        ids, hashes = batch.column("doc_id"), batch.column("text_hash")
         for w in batch_words(batch.column("text")):
             n, key, size, sign, bands = len(w.offset) - 1, [], [], [], []
             for i in range(n):
@@ -87,7 +90,8 @@ def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 sign.append(m.tobytes())
                 bands.append(band_keys(m))
             keys = pa.ListArray.from_arrays(pa.array(np.arange(0, n * BANDS + 1, BANDS, dtype=np.int32)), pa.array(np.concatenate(bands)))
-            yield pa.record_batch([ids.slice(w.first, n), pa.array(key, pa.binary()), pa.array(size, pa.int32()), pa.array(sign, pa.binary()), keys], ["doc_id", "key", "size", "sign", "bands"])
+            yield pa.record_batch([ids.slice(w.first, n), hashes.slice(w.first, n), pa.array(key, pa.binary()), pa.array(size, pa.int32()), pa.array(sign, pa.binary()), keys], ["doc_id", "text_hash", "key", "size", "sign", "bands"])
+    give_back()
 
 
 def band_keys(m: np.ndarray) -> np.ndarray:
@@ -136,14 +140,51 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray], i: np.ndarray, j:
     return total[i, j].astype(np.int64)
 
 
+def _signs(f: pd.DataFrame) -> np.ndarray:
+    return np.frombuffer(b"".join(f["sign"]), np.uint32).reshape(len(f), -1)
+
+
+def _forest(p: np.ndarray, q: np.ndarray) -> dict[int, int]:
+    """For each end of the pairs the least that it is connected with."""
+    ids, at = np.unique(np.concatenate([p, q]), return_inverse=True)
+    a, b = at[: len(p)], at[len(p) :]
+    label = np.arange(len(ids))
+    while len(a):
+        least = np.minimum(label[a], label[b])
+        np.minimum.at(label, label[a], least)
+        np.minimum.at(label, label[b], least)
+        label = label[label]
+        apart = label[a] != label[b]
+        a, b = a[apart], b[apart]
+    while (up := label[label]).tolist() != label.tolist():
+        label = up
+    return dict(zip(ids.tolist(), ids[label].tolist(), strict=True))
+
+
+def _near(rows: pd.DataFrame) -> pd.DataFrame:
+    """What pruning leaves of one block, or of one block with another, as a spanning forest."""
+    first, second = rows[rows["side"] == 0], rows[rows["side"] == 1]
+    same = not len(second)
+    second = first if same else second
+    i, j = surviving(_signs(first), _signs(second), same)
+    forest = _forest(first["rep"].to_numpy()[i], second["rep"].to_numpy()[j])
+    return pd.DataFrame({"rep": list(forest), "root": list(forest.values())}, columns=["rep", "root"]).astype("int64")
+
+
+def _dealt(member: DataFrame, blocks: str) -> DataFrame:
+    """Each row once for every unit of its cluster that its block is in: (cluster, x, y, side) and the row's columns."""
+    rest = [c for c in member.columns if c not in ("cluster", blocks)]
+    unit = member.withColumn("block", F.pmod(F.xxhash64("rep"), F.col(blocks)).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col(blocks) - 1)))
+    return unit.select("cluster", F.least("block", "with").alias("x"), F.greatest("block", "with").alias("y"), (F.col("block") > F.col("with")).cast("int").alias("side"), *rest)
+
+
 def _unit(rows: pd.DataFrame) -> pd.DataFrame:
     """Links of one block, or of one block with another: counts for each representative, and a spanning forest."""
     first, second = rows[rows["side"] == 0], rows[rows["side"] == 1]
     same = not len(second)
     second = first if same else second
-    matrix = lambda f: np.frombuffer(b"".join(f["sign"]), np.uint32).reshape(len(f), -1)
     sets = lambda f: [np.frombuffer(x, np.uint64) for x in f["shingles"]]
-    a, b = (matrix(first), sets(first)), (matrix(second), sets(second))
+    a, b = (_signs(first), sets(first)), (_signs(second), sets(second))
     i, j = surviving(a[0], b[0], same)
     if len(i):
         (x, xi), (y, yj) = np.unique(i, return_inverse=True), np.unique(j, return_inverse=True)
@@ -158,24 +199,13 @@ def _unit(rows: pd.DataFrame) -> pd.DataFrame:
         for k, v in enumerate(np.bincount(mine, weights=theirs, minlength=len(ids))):
             if v:
                 links[ids[k]] = links.get(ids[k], 0) + int(v)
-    root = {k: k for k in links}
-
-    def find(k: int) -> int:
-        while root[k] != k:
-            root[k] = root[root[k]]
-            k = root[k]
-        return k
-
-    for p, q in zip(r[i].tolist(), s[j].tolist(), strict=True):
-        p, q = find(p), find(q)
-        if p != q:
-            root[max(p, q)] = min(p, q)
-    return pd.DataFrame({"rep": list(links), "links": list(links.values()), "root": [find(k) for k in links]}, columns=["rep", "links", "root"]).astype("int64")
+    root = _forest(r[i], s[j])
+    return pd.DataFrame({"rep": list(links), "links": list(links.values()), "root": [root[k] for k in links]}, columns=["rep", "links", "root"]).astype("int64")
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The shingles of representatives; of rows that share an id, those whose set is the wanted one."""
-    for batch in batches:
+    for batch in sliced(batches, "text"):
         rep, want = batch.column("rep"), batch.column("key").to_pylist()
         for w in batch_words(batch.column("text")):
             at, found = [], []
@@ -185,49 +215,71 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     at.append(w.first + i)
                     found.append(s)
             yield pa.record_batch([rep.take(pa.array(at, pa.int64())), pa.array(found, pa.binary())], ["rep", "shingles"])
+    give_back()
 
 
-def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, class_id (least id of the linked class), n_links, n_shingles.
-
-    ``n_links`` counts the other rows of similarity 0.8 or more, rows with an equal set included.
-    """
-    spark = docs.sparkSession
-    python_batches(spark)
+def classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row per input row: doc_id, text_hash, key (of its shingle set), size, class_id, n_links, label (of the class)."""
     text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = text.mapInArrow(_prints, "doc_id long, key binary, size int, sign binary, bands array<long>")
+    hashed = text.withColumn("text_hash", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)))
+    rows = hashed.mapInArrow(_prints, "doc_id long, text_hash binary, key binary, size int, sign binary, bands array<long>")
     rows = staged(rows.withColumn("row", F.monotonically_increasing_id()), "op8-rows")
     order = F.coalesce("doc_id", F.lit((1 << 63) - 1))
-    reps = rows.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.min_by("row", order).alias("rep"), F.count("*").alias("copies"))
+    reps = rows.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.min_by("row", order).alias("rep"), F.count("*").alias("copies"), F.first("size").alias("size"))
     reps = staged(reps, "op8-reps")
     band = rows.join(reps.select(F.col("rep").alias("row")), "row", "left_semi").select(F.col("row").alias("rep"), F.explode("bands").alias("band"))
     heads = staged(band.groupBy("band").agg(F.min("rep").alias("head"), F.max("rep").alias("most")).where("head < most").select("band", "head"), "op8-heads")
     clusters = connected(band.join(heads, "band").select(F.col("rep").alias("a"), F.col("head").alias("b")), "op8-near")
-    size = clusters.groupBy("label").agg(F.count("*").alias("n"))
-    member = staged(clusters, "op8-clusters").join(staged(size, "op8-size"), "label").select(F.col("node").alias("rep"), F.col("label").alias("cluster"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    member = staged(member.join(reps, "rep"), "op8-member")
-    # The shingles are made again, from the texts of clustered representatives alone.  These joins grow with the
+
+    def members(labels: DataFrame, name: str) -> DataFrame:
+        """Each labelled representative, with its cluster and the number of blocks that it is compared in."""
+        own = staged(labels.select(F.col("node").alias("rep"), F.col("label").alias("cluster")).join(reps, "rep"), f"{name}-own")
+        sizes = own.groupBy("cluster").agg(F.count("*").alias("n"), F.sum("size").alias("shingles"))
+        by_count, by_bytes = F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"), F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("shingles") * 8 / BLOCK_BYTES)).cast("int").alias("set_blocks")
+        return staged(own.join(sizes.select("cluster", by_count, by_bytes), "cluster"), name)
+
+    signs = rows.select(F.col("row").alias("rep"), "sign").hint("merge")
+    loose = members(clusters, "op8-loose").select("rep", "cluster", "blocks").join(signs, "rep")
+    near = staged(_dealt(loose, "blocks").groupBy("cluster", "x", "y").applyInPandas(_near, "rep long, root long"), "op8-pruned")
+    member = members(connected(near.select(F.col("rep").alias("a"), F.col("root").alias("b")), "op8-split"), "op8-member")
+    # The shingles are made again, from the texts of those representatives alone.  These joins grow with the
     # corpus, so they are merge joins at every size.
     full = text.join(member.select("rep", "key", F.col("doc_id").alias("_id")).hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id"))).select("rep", "key", "text")
     sets = full.mapInArrow(_sets, "rep long, shingles binary").dropDuplicates(["rep"])
-    unit = member.select("rep", "cluster", "blocks", "copies").join(rows.select(F.col("row").alias("rep"), "sign").hint("merge"), "rep").join(sets.hint("merge"), "rep")
-    unit = unit.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    unit = unit.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    unit = unit.select("cluster", F.least("block", "with").alias("x"), F.greatest("block", "with").alias("y"), (F.col("block") > F.col("with")).cast("int").alias("side"), "rep", "copies", "sign", "shingles")
-    found = staged(unit.groupBy("cluster", "x", "y").applyInPandas(_unit, "rep long, links long, root long"), "op8-found")
+    unit = member.select("rep", "cluster", "set_blocks", "copies").join(signs, "rep").join(sets.hint("merge"), "rep")
+    found = staged(_dealt(unit, "set_blocks").groupBy("cluster", "x", "y").applyInPandas(_unit, "rep long, links long, root long"), "op8-found")
     labels = connected(found.select(F.col("rep").alias("a"), F.col("root").alias("b")), "op8-class")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     known = staged(reps.join(links, "rep", "left").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep")), "op8-known")
     least = known.groupBy("label").agg(F.min("doc_id").alias("class_id"))
-    known = staged(known.join(staged(least, "op8-least"), "label").select("key", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")).where("n_links > 0"), "op8-linked")
-    out = rows.select("doc_id", "key", "size").join(known.hint("merge"), "key", "left")
-    return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.col("size").cast("long").alias("n_shingles"))
+    known = staged(known.join(staged(least, "op8-least"), "label").select("key", "label", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")).where("n_links > 0"), "op8-linked")
+    out = rows.select("doc_id", "text_hash", "key", "size").join(known.hint("merge"), "key", "left")
+    return out.select("doc_id", "text_hash", "key", "size", "label", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: doc_id, class_id (least id of the linked class), n_links, n_shingles.
+
+    ``n_links`` counts the other rows of similarity 0.8 or more, rows with an equal set included.
+    """
+    return classes(docs, id_col, text_col).select("doc_id", "class_id", "n_links", F.col("size").cast("long").alias("n_shingles"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each class the row of the least id stays, with its columns."""
-    kept = staged(jaccard_join(docs).where("class_id <=> doc_id").select(F.col("doc_id").alias("_k")), "op8-kept")
-    return docs.join(kept.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_k")), "left_semi").select(*docs.columns)
+    """Pipeline stage: of each class one row stays, of the least id, with its columns, whatever their names.
+
+    Of rows of a class that share that id, the one of the least hash of its text stays; rows that link to nothing all stay.
+    """
+    key, n, wordy = (free_name(docs.columns, c) for c in ("row_key", "row_number", "has_words"))
+    of = lambda i, h: F.concat(F.coalesce(i.cast("string"), F.lit("null")), F.lit(":"), h)
+    found = staged(classes(docs, "doc_id", "text").select("doc_id", "label", "n_links", of(F.col("doc_id"), F.hex("text_hash")).alias("k")), "op8-classes")
+    lone = found.where("n_links = 0").select(F.col("k").alias(key))
+    least = found.where("n_links > 0").groupBy("label").agg(F.min(F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)), "k")).alias("m")).select(F.col("m.k").alias(key))
+    named = docs.withColumn(key, of(F.col("doc_id").cast("long"), F.upper(F.sha2(F.coalesce("text", F.lit("")), 256))))
+    named = named.join(lone.unionAll(least).hint("merge"), key, "left_semi")
+    # A row without words links to nothing, so its repetitions stay.
+    named = named.withColumn(n, F.row_number().over(Window.partitionBy(key).orderBy(key))).withColumn(wordy, F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))
+    return named.where((F.col(n) == 1) | ~F.col(wordy)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

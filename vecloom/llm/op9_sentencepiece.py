@@ -23,11 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import python_batches, table
+from .common import free_name, give_back, sliced, table
 
 SPACE = "▁"
 #: Entries of a worker's table of encoded parts, and of checked pairs of pieces.
-PARTS, PAIRS = 400_000, 300_000
+PARTS, PAIRS = 60_000, 100_000
 
 
 class Model:
@@ -65,9 +65,7 @@ class Model:
         self.joined = {p[k : k + 2] for p in self.id for k in range(len(p) - 1)}
         self.shorter: dict[int, int] = {}
         self.sound: dict[int, bool] = {}
-        self.pair: dict[int, bool] = {}
-        self.part: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.forget()
         # What an id stands for in a decoded text; bytes and unknown ids take the slow way.
         self.text = [p.replace(SPACE, " ") for p in self.piece]
         for i in (self.bos, self.eos):
@@ -76,6 +74,12 @@ class Model:
         self.special = np.zeros(n, bool)
         self.special[[*self.byte_of, self.unk]] = True
 
+    def forget(self) -> None:
+        """Drop what was remembered of texts: a worker outlives the task."""
+        self.part: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.pair: dict[int, bool] = {}
+
     def merged(self, text: str) -> list[str]:
         """Pieces by repeated merging of the best adjacent pair, leftmost first among equals."""
         symbols, score = list(text), self.score
@@ -226,18 +230,19 @@ def model(path: str) -> Model:
 
 def encoded(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids", decoded_col: str = "decoded", keep_text: bool = True) -> DataFrame:
     """The table with two more columns: the ids and the text decoded from them."""
-    python_batches(docs.sparkSession)
     names = [f for f in docs.schema.fields if (keep_text or f.name != text_col) and f.name not in (ids_col, decoded_col)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
-        for batch in batches:
+        for batch in sliced(batches, text_col):
             ids = [m.encode(t or "") for t in batch.column(text_col).to_pylist()]
             data = [batch.column(f.name) for f in names]
             at = np.zeros(len(ids) + 1, np.int32)
             np.cumsum([len(i) for i in ids], out=at[1:])
             flat = np.concatenate(ids).astype(np.int32) if ids else np.zeros(0, np.int32)
             yield pa.record_batch([*data, pa.ListArray.from_arrays(pa.array(at), pa.array(flat)), pa.array([m.decode(i) for i in ids], pa.string())], [*[f.name for f in names], ids_col, decoded_col])
+        m.forget()
+        give_back()
 
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in names], f"`{ids_col}` array<int>", f"`{decoded_col}` string"])
     return docs.mapInArrow(run, schema)
@@ -245,11 +250,10 @@ def encoded(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "
 
 def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each row's ids and decoded text."""
-    python_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
-        for batch in batches:
+        for batch in sliced(batches, "text"):
             n, a, b = [], [], []
             for t in batch.column("text").to_pylist():
                 ids = m.encode(t or "")
@@ -257,6 +261,8 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
                 a.append(sha256(ids.tobytes()).hexdigest())
                 b.append(sha256(m.decode(ids).encode()).hexdigest())
             yield pa.record_batch([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        m.forget()
+        give_back()
 
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return slim.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

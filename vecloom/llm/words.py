@@ -19,7 +19,7 @@ _BYTES = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 #: Bytes of text hashed at once; a longer document is taken alone.
-SLICE = 1 << 21
+SLICE = 1 << 18
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -73,6 +73,8 @@ def _hashed(data: np.ndarray, bounds: np.ndarray, first: int) -> Words:
     last = inside & (~after | cut[1:])
     start, end = np.flatnonzero(begin), np.flatnonzero(last) + 1
     p, q = powers(n + 1)
+    if n > 4 * SLICE:  # a very long document: its powers are not kept
+        _powers[:] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(_BYTES[data] * p[:n], out=total[1:])
     h = mix((total[end] - total[start]) * q[start] + (end - start).astype(np.uint64))
@@ -89,12 +91,12 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets
 
 
-def batch_words(column: pa.Array) -> Iterator[Words]:
-    """The words of a batch, a few megabytes of documents at a time."""
+def batch_words(column: pa.Array, size: int = SLICE) -> Iterator[Words]:
+    """The words of a batch, about ``size`` bytes of documents at a time."""
     data, offsets = text_bytes(column)
     i, n = 0, len(column)
     while i < n:
-        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + SLICE, side="right")) - 1)
+        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + size, side="right")) - 1)
         j = min(j, n)
         yield _hashed(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], i)
         i = j

@@ -8,7 +8,7 @@ for each bucket and the inner products of the buckets' factors for each pair, so
 Training takes at most ``TRAIN_ROWS`` labelled rows, those with the least hash of their id (of rows that repeat an id,
 one: that of the least hashed terms); their hashed terms, not their texts, reach the driver.  A bucket gets a weight and
 factors if its share differs between the labels by ``LEAST_Z`` standard errors, or if, with no such effect of its own, the share
-of its pair with another such bucket differs by ``PAIR_Z``: so terms that matter only together are learned.  The
+of its pair with another such word differs by ``PAIR_Z``: so terms that matter only together are learned.  The
 model has at most 2 ** BITS rows.
 
 Null and empty texts get the score of the bias.  Labels that are null are left out of training; where a
@@ -34,7 +34,7 @@ from .common import ARROW_ROWS, free_name, give_back, sliced, table
 BITS, PREFIX = 20, 5
 TRAIN_ROWS, LEAST_DOCS, LEAST_Z = 12_000, 3, 5.0
 #: Rows of label 1 that hold a pair, its standard errors from label 0, and buckets (a power of two) that pairs are counted in.
-PAIR_DOCS, PAIR_Z, PAIR_BITS = 8, 7.0, 24
+PAIR_DOCS, PAIR_Z, PAIR_BITS = 8, 9.0, 23
 FACTORS, EPOCHS, RATE, DECAY = 6, 40, 0.15, 1e-5
 CUT = 0.7
 #: Words that a worker remembers the bucket of.
@@ -48,7 +48,8 @@ def terms(text: str) -> set[str]:
 
 
 def bucket(term: str) -> int:
-    return zlib.crc32(term.encode("utf-8", "surrogatepass")) >> 32 - BITS
+    """Even for words, odd for word beginnings."""
+    return zlib.crc32(term.encode("utf-8", "surrogatepass")) >> 33 - BITS << 1 | term.endswith("*")
 
 
 @dataclass
@@ -79,11 +80,11 @@ def apart(c1: np.ndarray, c0: np.ndarray, n1: float, n0: float) -> np.ndarray:
 
 
 def _pairs(rows: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """All pairs of each row's values and a bucket of each pair, a few million at a time."""
+    """All pairs of each row's values and a bucket of each pair, some two million at a time."""
     one, two, size = [], [], 0
 
     def some() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        a, b = np.concatenate(one), np.concatenate(two)
+        a, b = np.concatenate(one).astype(np.int64), np.concatenate(two).astype(np.int64)
         return a, b, (a * 0x9E3779B1 + b * 0x85EBCA77 >> 7) & (1 << PAIR_BITS) - 1
 
     for r in rows:
@@ -91,7 +92,7 @@ def _pairs(rows: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.
             one.append(np.full(len(r) - k - 1, r[k]))
             two.append(r[k + 1 :])
             size += len(r) - k - 1
-            if size >= 1 << 22:
+            if size >= 1 << 21:
                 yield some()
                 one, two, size = [], [], 0
     if size:
@@ -101,26 +102,27 @@ def _pairs(rows: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.
 def paired(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
     """The values of pairs whose share of rows is larger under label 1; rows hold values without an effect of their own."""
     n1, n0 = y.sum(), (1 - y).sum()
-    none = np.zeros(0, np.int64)
-    values, at = np.unique(np.concatenate([none, *rows]), return_inverse=True)
-    if not n1 or not n0 or not len(values):
-        return none
-    own = np.split(at, np.cumsum([len(r) for r in rows])[:-1])
-    toxic, clean = ([r for r, k in zip(own, y, strict=True) if k == side] for side in (1, 0))
+    if not n1 or not n0:
+        return np.zeros(0, np.int64)
+    toxic, clean = ([r for r, k in zip(rows, y, strict=True) if k == side] for side in (1, 0))
     # As many rows of label 0 as there are of label 1 tell which pairs are worth counting in all.
     some = clean[:: max(1, len(clean) // len(toxic))]
     c1, c0 = (np.zeros(1 << PAIR_BITS, np.int32) for _ in range(2))
     for c, part in ((c1, toxic), (c0, some)):
         for *_, h in _pairs(part):
             c += np.bincount(h, minlength=len(c)).astype(np.int32)
-    strong = (c1 >= PAIR_DOCS) & (apart(c1, c0, n1, len(some)) >= PAIR_Z - 1)
-    found = [none]
+    strong = np.zeros(1 << PAIR_BITS, bool)
+    for k in range(0, len(strong), 1 << 20):
+        x, y_ = c1[k : k + (1 << 20)], c0[k : k + (1 << 20)]
+        strong[k : k + (1 << 20)] = (x >= PAIR_DOCS) & (apart(x, y_, n1, len(some)) >= PAIR_Z / 2)
+    del c1, c0
+    found = [np.zeros(0, np.int64)]
     for a, b, h in _pairs(toxic):  # buckets may mix pairs, so those of strong ones are counted again
         at = strong[h]
         found.append(a[at] << 32 | b[at])
     pairs, n_1 = np.unique(np.concatenate(found), return_counts=True)
     pairs, n_1 = pairs[n_1 >= PAIR_DOCS], n_1[n_1 >= PAIR_DOCS]
-    named = np.zeros(len(values), bool)
+    named = np.zeros(1 << BITS, bool)
     named[pairs >> 32] = named[pairs & 0xFFFFFFFF] = True
     n_0 = np.zeros(len(pairs), np.int64)
     for a, b, _ in _pairs([r[named[r]] for r in clean]) if len(pairs) else ():
@@ -128,20 +130,19 @@ def paired(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(pairs, key), len(pairs) - 1)
         n_0 += np.bincount(at[pairs[at] == key], minlength=len(pairs))
     good = pairs[apart(n_1, n_0, n1, n0) >= PAIR_Z]
-    return values[np.unique(np.concatenate([good >> 32, good & 0xFFFFFFFF]))]
+    return np.unique(np.concatenate([good >> 32, good & 0xFFFFFFFF]))
 
 
 def select(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
     """The buckets that tell the labels apart by themselves or in a pair, in order."""
-    label = np.repeat(y, [len(r) for r in rows])
-    values, at = np.unique(np.concatenate([np.zeros(0, np.int64), *rows]), return_inverse=True)
-    c1 = np.bincount(at, label, len(values))
-    n = np.bincount(at, minlength=len(values))
+    n, c1 = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, np.int64)
+    for r, k in zip(rows, y, strict=True):  # a row's buckets are distinct
+        n[r] += 1
+        c1[r] += int(k)
     alone = (np.abs(apart(c1, n - c1, max(y.sum(), 1), max((1 - y).sum(), 1))) >= LEAST_Z) & (n >= LEAST_DOCS)
     rest = ~alone & (c1 >= PAIR_DOCS)
-    cut = np.cumsum([len(r) for r in rows])[:-1]
-    others = [r[rest[a]] for r, a in zip(rows, np.split(at, cut), strict=True)] if len(rows) else []
-    return np.union1d(values[alone], paired(others, y))
+    rest[1::2] = False  # a beginning goes with its word
+    return np.union1d(np.flatnonzero(alone), paired([r[rest[r]] for r in rows], y)).astype(np.int64)
 
 
 def fit(rows: list[np.ndarray], y: np.ndarray, seed: int = 2) -> Machine:
@@ -203,7 +204,8 @@ def trained(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     found = found.select("doc_id", "label", "text").mapInArrow(_hashed, "doc_id long, label int, buckets binary")
     found = found.groupBy("doc_id", "label").agg(F.min("buckets").alias("buckets")).select("label", "buckets").toArrow()
     data = sorted(zip(found.column("buckets").to_pylist(), found.column("label").to_pylist(), strict=True))  # one order, however the tasks ended
-    return fit([np.frombuffer(b, np.int32).astype(np.int64) for b, _ in data], np.array([y for _, y in data]))
+    del found
+    return fit([np.frombuffer(b, np.int32) for b, _ in data], np.array([y for _, y in data]))
 
 
 def scored(docs: DataFrame, machine: Machine, text_col: str = "text", score_col: str = "score") -> DataFrame:

@@ -12,7 +12,10 @@ keeps it, and none keeps one that is itself an entity of the corpus or taken bef
 next round's hash, whose space is larger.  So different entities of a type always have different surrogates.
 
 DataFrame operations only.  Documents without an entity are neither moved nor changed; of the others, each text is moved once.
-Null text stays null, empty text empty.  Rows that repeat an id are replaced each.  Other columns are kept.
+Null text stays null, empty text empty.  Rows that repeat an id are replaced each.  Other columns are kept, whatever their
+names: the number of entities takes underscores before its name where the table has one of that name.
+
+An e-mail address has at most 64 characters before its @, as in the mail standards; what is longer is no address.
 """
 
 from __future__ import annotations
@@ -22,7 +25,11 @@ from pyspark.sql import functions as F
 
 from .common import free_name, staged, table
 
-KEY, ROUNDS = "surrogate-key-1", 40
+KEY = "surrogate-key-1"
+#: Attempts after which a number, whose space may be full, is lengthened by hexadecimal digits.
+FULL = 24
+#: A hot entity's mentions meet its surrogate in so many tasks.
+SALTS = 8
 # First names by script and gender, family names by script, titles: what is detected and what replaces it.
 MALE = "James Robert Michael William David Richard Thomas Charles Daniel Matthew Andrew Kenneth George Edward Hans Klaus Jürgen Wolfgang Pierre François Laurent Carlos Miguel Javier".split()
 FEMALE = "Mary Patricia Jennifer Linda Elizabeth Susan Karen Sarah Margaret Sandra Ashley Emily Donna Michelle Heike Ursula Sabine Monika Sophie Camille Nathalie Carmen Lucía Isabel".split()
@@ -45,7 +52,7 @@ PATTERNS = {
     "card": r"(?<!\d)[3-6]\d{3}[ -]?\d{4}[ -]?\d{4}[ -]?\d{1,7}(?!\d)",
     "phone": r"(?<![\d+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\) ?|\d{3}[ .-])\d{3}[ .-]?\d{4}(?!\d)|(?<![\d+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)",
     # The look ahead first: looking behind costs most, and few places begin with a capital after a space.
-    "name": rf"(?=\p{{Lu}}\p{{Ll}})(?:\b(?:{_first})(?= {_name})|(?<= )(?:(?<=\b(?:{_first}) )|(?<=\b{TITLES} )|(?<=\b{TITLES} \p{{Lu}}\p{{Ll}}{{1,20}} )){_name})",
+    "name": rf"(?=\p{{Lu}}\p{{Ll}})(?:\b(?:{_first})(?= {_name})|(?<= )(?:(?<=\b(?:{_first}) )|(?<=\b{TITLES} )|(?<=\b{TITLES} \p{{Lu}}\p{{Ll}}{{1,60}} )){_name})",
 }
 ENTITY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 
@@ -134,7 +141,7 @@ def proposal(kind_: Column, canon: Column, attempt: Column, key: str = KEY) -> C
     octets = F.concat_ws(".", *[(_byte(hash_, F.lit(i)) % 254 + 1).cast("string") for i in range(4)])
     local = _shaped(F.regexp_extract(canon, "^([^@]*)", 1), hash_, F.lit(0))
     email = F.concat(local, F.lit("@m"), F.substring(hash_, 49, 8), F.lit(".example."), _pick(hash_, 57, ["com", "org", "net"]))
-    return (
+    made = (
         F.when(kind_ == "email", email).when(kind_ == "ip", octets).when(kind_.startswith("card"), F.concat(head, last.cast("string")))
         .when(kind_.startswith("phone"), _shaped(canon, hash_, F.lit(0)))
         .when(kind_ == "key", _shaped(canon, hash_, F.lit(4))).when(kind_.startswith("iban"), _shaped(canon, hash_, F.lit(2)))
@@ -143,23 +150,27 @@ def proposal(kind_: Column, canon: Column, attempt: Column, key: str = KEY) -> C
         .when(kind_ == "family", names(FAMILY)).when(kind_ == "family_cyrillic", names(FAMILY_CYRILLIC))
         .otherwise(_shaped(canon, hash_, F.lit(0)))
     )
+    longer = (attempt >= FULL) & ~kind_.rlike("male|family")
+    return F.when(longer, F.concat(made, F.when(kind_ == "ip", ".").otherwise(""), F.substring(hash_, 33, 16))).otherwise(made)
 
 
 def surrogate_table(entities: DataFrame, key: str = KEY) -> DataFrame:
     """(kind, canon, surrogate) for distinct ``entities(kind, canon)``: a one-to-one table."""
     real = entities.select("kind", F.col("canon").alias("taken"))
-    open_, done = entities, None
-    for attempt in range(ROUNDS):
-        offered = staged(open_.withColumn("surrogate", proposal(F.col("kind"), F.col("canon"), F.lit(attempt), key)).withColumn("taken", F.lower("surrogate")), "op3-offered")
+    open_, done, attempt = entities, None, 0
+    tasks = int(entities.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    while True:  # each round offers others, of a space that grows
+        offered = staged(open_.repartition(tasks, "kind", "canon").withColumn("surrogate", proposal(F.col("kind"), F.col("canon"), F.lit(attempt), key)).withColumn("taken", F.lower("surrogate")), "op3-offered")
         first = offered.groupBy("kind", "taken").agg(F.min("canon").alias("canon"))
-        used = real.withColumn("taken", F.lower("taken")) if done is None else real.withColumn("taken", F.lower("taken")).union(done.select("kind", F.lower("surrogate")))
+        used = real.withColumn("taken", F.lower("taken"))
+        used = used if done is None else used.union(done.select("kind", F.lower("surrogate")))
         kept = offered.join(first, ["kind", "taken", "canon"], "left_semi").join(used, ["kind", "taken"], "left_anti")
         kept = staged(kept.select("kind", "canon", "surrogate"), "op3-kept")
-        done = kept if done is None else staged(done.unionByName(kept), "op3-done")
+        done = kept if done is None else done.unionByName(kept)
+        attempt += 1
         open_ = staged(open_.join(kept, ["kind", "canon"], "left_anti"), "op3-open")
         if open_.isEmpty():
-            return done
-    raise RuntimeError("surrogates ran out")
+            return staged(done, "op3-done")
 
 
 def written(kind_: Column, raw: Column, surrogate: Column) -> Column:
@@ -170,13 +181,15 @@ def written(kind_: Column, raw: Column, surrogate: Column) -> Column:
     digits = F.regexp_replace(raw, r"\D", "")
     surrogate = F.when(kind_.rlike("^phone"), F.concat(F.substring(digits, F.lit(1), F.greatest(F.length(digits) - 10, F.lit(0))), surrogate)).otherwise(surrogate)
     taken = F.transform(chars, lambda c, i: F.when(mark(c), c).otherwise(F.substring(surrogate, i + 1 - F.size(F.filter(F.slice(chars, F.lit(1), i + 1), mark)), F.lit(1))))
-    return F.when(spaced, F.array_join(taken, "")).when((kind_ == "email") & (raw == F.upper(raw)), F.upper(surrogate)).otherwise(surrogate)
+    rest = F.substring(surrogate, F.size(chars) - F.size(F.filter(chars, mark)) + 1, F.length(surrogate))
+    return F.when(spaced, F.concat(F.array_join(taken, ""), rest)).when((kind_ == "email") & (raw == F.upper(raw)), F.upper(surrogate)).otherwise(surrogate)
 
 
 def replace_pii(docs: DataFrame, text_col: str = "text", key: str = KEY, count_col: str = "n_entities") -> DataFrame:
     """The table with its texts' entities replaced, and the number of them."""
-    docs = docs.drop(count_col)
+    count_col = free_name(docs.columns, count_col)
     row, found, gaps = (free_name(docs.columns, n) for n in ("_row", "_found", "_gaps"))
+    made, joined = (free_name(docs.columns, n) for n in ("_new", "_joined"))
     text = F.col(text_col)
     has = F.coalesce(maybe(text) & text.rlike(ENTITY), F.lit(False))
     clean = docs.where(~has).withColumn(count_col, F.lit(0).cast("long"))
@@ -186,11 +199,13 @@ def replace_pii(docs: DataFrame, text_col: str = "text", key: str = KEY, count_c
     each = each.withColumn("kind", kind(F.col("raw"))).withColumn("canon", canonical(F.col("kind"), F.col("raw")))
     each = staged(each, "op3-each")
     names = surrogate_table(staged(each.select("kind", "canon").distinct(), "op3-entities"), key)
-    new = each.join(names, ["kind", "canon"]).select("row", F.struct("pos", written(F.col("kind"), F.col("raw"), F.col("surrogate")).alias("new")).alias("m"))
-    new = new.groupBy("row").agg(F.transform(F.array_sort(F.collect_list("m")), lambda m: m["new"]).alias("new")).withColumnRenamed("row", "_r")
-    changed = mentions.join(new.hint("merge"), F.col(row) == F.col("_r"))
-    built = F.array_join(F.flatten(F.transform(F.arrays_zip(F.col(gaps).alias("g"), F.concat("new", F.array(F.lit(""))).alias("n")), lambda p: F.array(p["g"], p["n"]))), "")
-    changed = changed.select(*[built.alias(c) if c == text_col else F.col(c) for c in docs.columns], F.size("new").cast("long").alias(count_col))
+    # A hot entity's mentions are dealt over several tasks, each with a copy of the table's row.
+    names = names.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    new = each.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")).join(names, ["kind", "canon", "salt"]).select("row", F.struct("pos", written(F.col("kind"), F.col("raw"), F.col("surrogate")).alias("new")).alias("m"))
+    new = new.groupBy("row").agg(F.transform(F.array_sort(F.collect_list("m")), lambda m: m["new"]).alias(made)).withColumnRenamed("row", joined)
+    changed = mentions.join(new.hint("merge"), F.col(row) == F.col(joined))
+    built = F.array_join(F.flatten(F.transform(F.arrays_zip(F.col(gaps).alias("g"), F.concat(F.col(made), F.array(F.lit(""))).alias("n")), lambda p: F.array(p["g"], p["n"]))), "")
+    changed = changed.select(*[built.alias(c) if c == text_col else F.col(c) for c in docs.columns], F.size(made).cast("long").alias(count_col))
     return clean.unionByName(changed)
 
 

@@ -2,21 +2,23 @@
 
 A text is lower-cased, all but its letters count as one kind of space, and its 1- to 3-grams are hashed to
 2 ** BITS buckets.  Executors count buckets by language over the training rows; the matrix of
-log-probabilities (languages x buckets, at most MOST_LANGUAGES rows) is broadcast, and batches
-are scored in numpy.
+log-probabilities (a row a language, 128 KB each) is broadcast, ``PART`` languages at once, and batches
+are scored in numpy, part after part.  Ties go to the first language in alphabetical order.
 
 Training takes at most about ``PER_LANGUAGE`` documents of each language, those with the least hash of their id.
 Null text and text without a letter get `und` and the score 0; with no language learned all do.
-Rows that repeat an id are scored each; rows with a null id are never trained on.
+Rows that repeat an id are scored each; rows with a null id are never trained on.  The two columns that are added take
+underscores before their names where the table has columns of those names.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import free_name, give_back, sliced, table
 
 BITS, ORDERS = 15, (1, 2, 3)
-PER_LANGUAGE, MOST_LANGUAGES, SMOOTHING = 3000, 512, 0.5
+PER_LANGUAGE, PART, SMOOTHING = 3000, 256, 0.5
 #: Characters of a batch scored at once.
 CHARS = 1 << 20
 
@@ -80,7 +82,7 @@ def pieces(texts: list[str]) -> Iterator[list[str]]:
 @dataclass
 class Bayes:
     languages: list[str]
-    logp: np.ndarray  # languages x buckets
+    logp: Sequence[np.ndarray]  # languages x buckets
     prior: np.ndarray
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
@@ -114,37 +116,41 @@ def trained(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("doc_id IS NOT NULL AND lang IS NOT NULL")
     if train is not None:
         rows = rows.where(train)
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES + 1).collect()
-    if len(sizes) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    share = F.pmod(F.xxhash64("doc_id", F.lit("lang")), F.lit(1 << 30)) / F.lit(float(1 << 30)) < F.lit(float(per_language)) / F.col("n")
+    sample = rows.join(F.broadcast(sizes), "lang").where(share)  # a row a language
+    sizes = sizes.collect()
     if not sizes:
-        return Bayes([], np.zeros((0, 1 << BITS)), np.zeros(0))
-    share = F.coalesce(*[F.when(F.col("lang") == r["lang"], F.lit(min(1.0, per_language / r["n"]))) for r in sizes])
-    sample = rows.where(F.pmod(F.xxhash64("doc_id", F.lit("lang")), F.lit(1 << 30)) / F.lit(float(1 << 30)) < share)
+        return Bayes([], np.zeros((0, 1 << BITS), np.float32), np.zeros(0))
     counts = sample.select("lang", "text").mapInArrow(_counted, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     languages = sorted(r["lang"] for r in sizes)
     row = {name: i for i, name in enumerate(languages)}
-    c = np.full((len(languages), 1 << BITS), SMOOTHING)
+    c = np.full((len(languages), 1 << BITS), SMOOTHING, np.float32)
     c[[row[x] for x in counts.column("lang").to_pylist()], counts.column("bucket").to_numpy()] += counts.column("n").to_numpy()
     n = {r["lang"]: r["n"] for r in sizes}
     prior = np.log(np.array([n[x] for x in languages], float) / sum(n.values()))
-    return Bayes(languages, np.log(c / c.sum(1, keepdims=True)), prior)
+    return Bayes(languages, np.log(c / c.sum(1, keepdims=True, dtype=np.float64)).astype(np.float32), prior)
 
 
 def language_id(docs: DataFrame, model: Bayes, text_col: str = "text") -> DataFrame:
-    """The table with ``lang_pred`` and ``score``; columns of those names are replaced."""
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(model)
+    """The table with ``lang_pred`` and ``score``."""
+    sc = docs.sparkSession.sparkContext
+    parts = range(0, max(1, len(model.languages)), PART)
+    sent = [sc.broadcast(model.logp[k : k + PART]) for k in parts]
+    languages, prior = model.languages, model.prior
 
     @F.pandas_udf("struct<lang_pred: string, score: double>")
-    def predict(text):
-        import pandas as pd
-
-        names, score = sent.value.predict([t if isinstance(t, str) else "" for t in text])
-        return pd.DataFrame({"lang_pred": names, "score": score})
-
-    taken = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    return docs.select(*taken, predict(F.col(text_col).cast("string")).alias("_found")).select(*taken, "_found.lang_pred", "_found.score")
+    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        m = Bayes(languages, [row for part in sent for row in part.value], prior)
+        for text in batches:
+            names, score = m.predict([t if isinstance(t, str) else "" for t in text])
+            yield pd.DataFrame({"lang_pred": names, "score": score})
+        give_back()
+
+    taken = [F.col(f"`{c}`") for c in docs.columns]
+    found, name, score = (free_name(docs.columns, n) for n in ("found", "lang_pred", "score"))
+    out = docs.select(*taken, predict(F.col(text_col).cast("string")).alias(found))
+    return out.select(*taken, F.col(f"{found}.lang_pred").alias(name), F.col(f"{found}.score").alias(score))
 
 
 def _held_out() -> Column:

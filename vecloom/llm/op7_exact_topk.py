@@ -8,12 +8,15 @@ x within r of a routing vector p scores more than q.p + |q| r.  Before q.p is co
 distance to the parent o gives the bound q.o + |q| (d(p, o) + r); an entry that it rules out is never looked at.
 A bounded sample of the rows gives each query a first k-th best score, so most pages are ruled out at once.
 
-Queries are taken in blocks of ``QUERIES`` and each block is broadcast; every block meets every tree.
+Queries are rows, packed into blocks; the trees' roots are rows, packed into pages.  Blocks meet pages in one join, which
+leaves, for each tree, the queries that it may answer; those meet the tree in another, some blocks at a time.  Nothing
+but a sample is sent to every executor, and the plan is the same however many queries there are.
 
 Vectors that are null, or hold a null or a non-finite component, take no part; vectors of different lengths
-don't score against each other; an empty vector scores 0 against empty ones.  Components beyond
-2 ** 22 in size are refused, as sums would not be exact.  Rows that repeat an id are candidates each,
-but never for a query of their own id.
+don't score against each other; an empty vector scores 0 against empty ones.  Rows that repeat an id are candidates each,
+but never for a query of their own id; of rows that repeat a query's id, the least vector (by length, then bytes) asks.
+Sums are exact for components of any size: where doubles would not do, candidates are scored in whole numbers.  A score
+beyond a long is null; it is ranked by its value, up to 38 digits.
 """
 
 from __future__ import annotations
@@ -22,6 +25,7 @@ import heapq
 import io
 from collections.abc import Iterator
 from dataclasses import dataclass, fields
+from decimal import Decimal
 
 import numpy as np
 import pandas as pd
@@ -30,17 +34,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import give_back, sliced, staged, table
+from .common import sliced, staged, table
 
-SCALE, LARGEST = 256, 1 << 22
+SCALE = 256
+#: Components of vectors that are not wide: below this in size, and their number times its square is below 2 ** 53.
+NARROW = 1 << 22
 PAGE, TREE = 512, 8192
 SAMPLE, PIVOTS, QUERIES = 4096, 128, 2048
+#: Blocks of queries that meet a tree at once, and decimal digits that scores are ranked by.
+SLICE, DIGITS = 8, 38
 
 
 def quantised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(vec_id, dim, v): the vectors that take part, as little-endian int32."""
-    for batch in batches:
-        ids, out, own = batch.column("vec_id").to_pylist(), [], []
+    """(vec_id, dim, wide, v): the vectors that take part, as little-endian int32, or as doubles if they are wide."""
+    for batch in sliced(batches, rows=4096):
+        ids, out, own, dims, wides = batch.column("vec_id").to_pylist(), [], [], [], []
         column = batch.column("v")
         for i, x in enumerate(column):
             if not x.is_valid or x.values.null_count or ids[i] is None:
@@ -48,17 +56,20 @@ def quantised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             a = x.values.to_numpy(zero_copy_only=False).astype(np.float64)
             if not np.isfinite(a).all():
                 continue
-            a = np.floor(SCALE * a)
-            if len(a) and np.abs(a).max() > LARGEST:
-                raise ValueError(f"a component of vector {ids[i]} is too large for exact sums")
+            with np.errstate(over="ignore"):
+                a = np.clip(np.floor(SCALE * a), -np.finfo(float).max, np.finfo(float).max)
+            most = np.abs(a).max(initial=0)
+            wide = bool(most >= NARROW or len(a) * most * most >= 1 << 53)
             own.append(ids[i])
-            out.append(a.astype("<i4").tobytes())
-        yield pa.record_batch([pa.array(own, pa.int64()), pa.array([len(x) // 4 for x in out], pa.int32()), pa.array(out, pa.binary())], ["vec_id", "dim", "v"])
+            dims.append(len(a))
+            wides.append(wide)
+            out.append(a.astype("<f8" if wide else "<i4").tobytes())
+        yield pa.record_batch([pa.array(own, pa.int64()), pa.array(dims, pa.int32()), pa.array(wides, pa.bool_()), pa.array(out, pa.binary())], ["vec_id", "dim", "wide", "v"])
 
 
-def matrix(rows: list[bytes], dim: int) -> np.ndarray:
-    """Rows as doubles: products of at most 2 ** 22 sums are whole numbers below 2 ** 53."""
-    return np.frombuffer(b"".join(rows), "<i4").reshape(len(rows), dim).astype(np.float64)
+def matrix(rows: list[bytes], dim: int, wide: bool = False) -> np.ndarray:
+    """Rows as doubles."""
+    return np.frombuffer(b"".join(rows), "<f8" if wide else "<i4").reshape(len(rows), dim).astype(np.float64)
 
 
 @dataclass
@@ -139,8 +150,16 @@ def build(ids: np.ndarray, x: np.ndarray) -> Tree:
     return Tree(np.array([node[0] for node in nodes]), radius, column(2, float), column(3, np.int64), column(4, np.int64), column(5, bool), ids[rows], x[rows], np.concatenate(offset))
 
 
+def exact(x: np.ndarray, y: np.ndarray) -> int:
+    return sum(int(a) * int(b) for a, b in zip(x.tolist(), y.tolist(), strict=True))
+
+
 def search(t: Tree, query: int, q: np.ndarray, k: int, floor: float) -> list[tuple[int, int]]:
     """The k best (score, -id) of a tree for one query, none below ``floor``, its own id left out."""
+    most = float(np.abs(t.rows).max(initial=0)) * float(np.abs(q).max(initial=0)) * len(q)
+    if not most < 1e150:  # bounds would not be numbers: every row is scored
+        return heapq.nlargest(k, ((exact(x, q), -int(v)) for x, v in zip(t.rows, t.ids, strict=True) if v != query))
+    whole = most < 1 << 53  # doubles are exact
     size = float(np.sqrt(q @ q))
     slack = 1e-9 * (1 + size * (t.radius[0] + float(np.abs(t.routing[0]).max(initial=0)) * len(q)))
     best: list[tuple[int, int]] = []
@@ -155,14 +174,17 @@ def search(t: Tree, query: int, q: np.ndarray, k: int, floor: float) -> list[tup
         if t.leaf[i]:
             at = low + np.flatnonzero(own + size * t.offset[low:high] + slack >= least)
             score = t.rows[at] @ q
-            good = np.flatnonzero(score >= least)
-            for s, v in sorted(((int(score[g]), -int(t.ids[at[g]])) for g in good if t.ids[at[g]] != query), reverse=True)[:k]:
+            good = [g for g in np.flatnonzero(score >= least - (0 if whole else slack)) if t.ids[at[g]] != query]
+            if whole and len(good) > k:  # scores are sums already: few are the best
+                cut = np.partition(score[good], len(good) - k)[len(good) - k]
+                good = [g for g in good if score[g] >= cut]
+            for s, v in sorted(((int(score[g]) if whole else exact(t.rows[at[g]], q), -int(t.ids[at[g]])) for g in good), reverse=True)[:k]:
                 if len(best) < k:
                     heapq.heappush(best, (s, v))
                 elif (s, v) > best[0]:
                     heapq.heapreplace(best, (s, v))
             if len(best) == k:
-                least = max(least, best[0][0])
+                least = max(least, float(best[0][0]) - (0 if whole else slack))
         else:
             at = low + np.flatnonzero(own + size * (t.parent[low:high] + t.radius[low:high]) + slack >= least)
             mine = t.routing[at] @ q
@@ -181,77 +203,132 @@ def floors(q: np.ndarray, ids: np.ndarray, sample: np.ndarray, own: np.ndarray,
     return np.partition(score, len(sample) - k, axis=1)[:, len(sample) - k]
 
 
-def index(vectors: DataFrame) -> DataFrame:
-    """(dim, tree): every vector in one of the trees, written to the shared folder."""
+def index(vectors: DataFrame, some: pd.DataFrame) -> DataFrame:
+    """(tree, dim, wide, data): every vector in one of the trees, written to the shared folder; ``some`` is a sample."""
     spark = vectors.sparkSession
-    some = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toPandas()
     total = vectors.count()
     pivots = {}
-    for dim, f in some.groupby("dim"):
-        x = matrix(list(f["v"]), int(dim))
-        pivots[int(dim)] = partition(x, min(PIVOTS, 1 + total // 2048))[0]
+    for (dim, wide), f in some.groupby(["dim", "wide"]):
+        pivots[int(dim), bool(wide)] = partition(_bounded(matrix(list(f["v"]), int(dim), bool(wide))), min(PIVOTS, 1 + total // 2048))[0]
     sent = spark.sparkContext.broadcast(pivots)  # at most PIVOTS vectors for each length
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            dims, v = batch.column("dim").to_numpy(), batch.column("v").to_pylist()
+        for batch in sliced(batches, rows=4096):
+            dims, wide, v = batch.column("dim").to_numpy(), batch.column("wide").to_numpy(zero_copy_only=False), batch.column("v").to_pylist()
             to = np.zeros(len(v), np.int32)
-            for dim in np.unique(dims):
-                at = np.flatnonzero(dims == dim)
-                if (p := sent.value.get(int(dim))) is not None:
-                    x = matrix([v[i] for i in at], int(dim))
+            for dim, w in {*zip(dims.tolist(), wide.tolist(), strict=True)}:
+                at = np.flatnonzero((dims == dim) & (wide == w))
+                if (p := sent.value.get((dim, w))) is not None:
+                    x = _bounded(matrix([v[i] for i in at], dim, w))
                     to[at] = ((p * p).sum(1)[None, :] - 2 * (x @ p.T)).argmin(1)
-            yield pa.record_batch([*[batch.column(c) for c in ("vec_id", "dim", "v")], pa.array(to)], ["vec_id", "dim", "v", "pivot"])
+            yield pa.record_batch([*[batch.column(c) for c in ("vec_id", "dim", "wide", "v")], pa.array(to)], ["vec_id", "dim", "wide", "v", "pivot"])
 
-    own = staged(vectors.mapInArrow(dealt, "vec_id long, dim int, v binary, pivot int"), "op7-dealt")
-    trees = own.groupBy("dim", "pivot").agg(F.ceil(F.count("*") / TREE).cast("int").alias("trees"))
-    split = own.join(F.broadcast(trees), ["dim", "pivot"])  # at most PIVOTS rows for each length
+    own = staged(vectors.mapInArrow(dealt, "vec_id long, dim int, wide boolean, v binary, pivot int"), "op7-dealt")
+    trees = own.groupBy("dim", "wide", "pivot").agg(F.ceil(F.count("*") / TREE).cast("int").alias("trees"))
+    split = own.join(F.broadcast(trees), ["dim", "wide", "pivot"])  # at most PIVOTS rows for each length
     split = split.withColumn("part", F.pmod(F.xxhash64("vec_id", "v"), F.col("trees")).cast("int"))
 
     def grown(f: pd.DataFrame) -> pd.DataFrame:
-        dim = int(f["dim"].iloc[0])
-        t = build(f["vec_id"].to_numpy(np.int64), matrix(list(f["v"]), dim))
-        return pd.DataFrame({"dim": [dim], "tree": [t.to_bytes()]})
+        dim, wide = int(f["dim"].iloc[0]), bool(f["wide"].iloc[0])
+        f = f.sort_values(["vec_id", "v"])
+        t = build(f["vec_id"].to_numpy(np.int64), matrix(list(f["v"]), dim, wide))
+        return pd.DataFrame({"tree": [f"{dim}-{wide}-{f['pivot'].iloc[0]}-{f['part'].iloc[0]}"], "dim": [dim], "wide": [wide], "data": [t.to_bytes()]})
+
+    return staged(split.groupBy("dim", "wide", "pivot", "part").applyInPandas(grown, "tree string, dim int, wide boolean, data binary"), "op7-trees")
+
+
+def _bounded(x: np.ndarray) -> np.ndarray:
+    """For choosing pivots: components too large for squares count as large."""
+    return np.clip(x, -1e100, 1e100)
+
+
+def _packed(ids: np.ndarray, q: np.ndarray, floor: np.ndarray) -> list[bytes]:
+    return [ids.astype("<i8").tobytes(), q.astype("<f8").tobytes(), floor.astype("<f8").tobytes()]
+
+
+def _unpacked(ids: bytes, q: bytes, floor: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    i = np.frombuffer(ids, "<i8")
+    return i, np.frombuffer(q, "<f8").reshape(len(i), -1) if len(q) else np.zeros((len(i), 0)), np.frombuffer(floor, "<f8")
+
 
-    return staged(split.groupBy("dim", "pivot", "part").applyInPandas(grown, "dim int, tree binary"), "op7-trees")
+def _pages(roots: DataFrame, pages: int) -> DataFrame:
+    """(dim, page, trees, centre, radius): the roots of some trees in a row."""
+
+    def page(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values("tree")
+        return pd.DataFrame({"dim": [f["dim"].iloc[0]], "page": [f["page"].iloc[0]], "trees": [list(f["tree"])], "centre": [b"".join(f["centre"])], "radius": [f["radius"].to_numpy("<f8").tobytes()]})
+
+    dealt = roots.withColumn("page", F.pmod(F.xxhash64("tree"), F.lit(pages)).cast("int"))
+    return dealt.groupBy("dim", "page").applyInPandas(page, "dim int, page int, trees array<string>, centre binary, radius binary")
+
+
+def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in sliced(batches, rows=1):
+        t = Tree.from_bytes(batch.column("data")[0].as_py())
+        yield pa.record_batch([batch.column("tree"), batch.column("dim"), pa.array([t.routing[0].astype("<f8").tobytes()], pa.binary()), pa.array([float(t.radius[0])])], ["tree", "dim", "centre", "radius"])
+
+
+def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For a block of queries and a page of roots: the trees that may answer, and the queries they may."""
+    for batch in sliced(batches, rows=1):
+        r = batch.to_pylist()[0]
+        ids, q, floor = _unpacked(r["ids"], r["q"], r["floor"])
+        radius = np.frombuffer(r["radius"], "<f8")
+        centre = np.frombuffer(r["centre"], "<f8").reshape(len(radius), -1) if len(r["centre"]) else np.zeros((len(radius), 0))
+        with np.errstate(over="ignore", invalid="ignore"):
+            size = np.sqrt((q * q).sum(1))[:, None]
+            most = q @ centre.T + size * radius[None, :]
+            slack = 1e-9 * (1 + size * (radius + np.abs(centre).max(1, initial=0) * q.shape[1])[None, :])
+            may = ~(most + slack < floor[:, None])
+        rows = [(tree, r["block"] // SLICE, *_packed(ids[m], q[m], floor[m])) for tree, m in zip(r["trees"], may.T, strict=True) if m.any()]
+        kinds = (pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+        yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 5, kinds, strict=True)], ["tree", "slice", "ids", "q", "floor"])
 
 
 def top_k(table_: DataFrame, queries: str, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score) for the rows that satisfy ``queries``, a condition on ``vec_id``."""
     spark = table_.sparkSession
     vectors = table_.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
-    vectors = staged(vectors.mapInArrow(quantised, "vec_id long, dim int, v binary"), "op7-vectors")
-    trees = index(vectors)
-    sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toPandas()
-    wanted = staged(vectors.where(queries).withColumn("block", F.monotonically_increasing_id()), "op7-queries")
+    vectors = staged(vectors.mapInArrow(quantised, "vec_id long, dim int, wide boolean, v binary"), "op7-vectors")
+    sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(SAMPLE).toPandas()
+    trees = index(vectors, sample)
+    roots = staged(trees.mapInArrow(_roots, "tree string, dim int, centre binary, radius double"), "op7-roots")
+    pages = roots.count() // PAGE + 1
+    wanted = staged(vectors.where(queries).groupBy("vec_id").agg(F.min(F.struct("dim", "wide", "v")).alias("m")).select("vec_id", "m.*"), "op7-queries")
     blocks = wanted.count() // QUERIES + 1
-    found = None
-    for b in range(blocks):
-        asked = wanted.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).toPandas()  # QUERIES rows or thereabouts
-        sent = spark.sparkContext.broadcast(_block(asked, sample, k))
-
-        def answer(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for dim, data in zip(batch.column("dim").to_pylist(), batch.column("tree").to_pylist(), strict=True):
-                    if dim not in sent.value:
-                        continue
-                    t, (ids, q, floor) = Tree.from_bytes(data), sent.value[dim]
-                    rows = [(i, -v, s) for i, x, f in zip(ids.tolist(), q, floor, strict=True) for s, v in search(t, i, x, k, f)]
-                    yield pa.record_batch([pa.array([r[c] for r in rows], pa.int64()) for c in range(3)], ["query_id", "vec_id", "score"])
-
-        part = trees.repartition(F.xxhash64("tree")).mapInArrow(answer, "query_id long, vec_id long, score long")
-        found = part if found is None else found.unionByName(part)
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
+    sent = spark.sparkContext.broadcast(sample)  # at most SAMPLE rows
 
-def _block(asked: pd.DataFrame, sample: pd.DataFrame, k: int) -> dict:
-    out = {}
-    for dim, f in asked.drop_duplicates("vec_id").groupby("dim"):
-        q, ids = matrix(list(f["v"]), int(dim)), f["vec_id"].to_numpy()
-        s = sample[sample["dim"] == dim]
-        out[int(dim)] = (ids, q, floors(q, ids, matrix(list(s["v"]), int(dim)), s["vec_id"].to_numpy(), k))
-    return out
+    def packed(f: pd.DataFrame) -> pd.DataFrame:
+        dim = int(f["dim"].iloc[0])
+        q = np.concatenate([matrix([v], dim, w) for v, w in zip(f["v"], f["wide"], strict=True)])
+        ids = f["vec_id"].to_numpy(np.int64)
+        s = sent.value[sent.value["dim"] == dim]
+        x = np.concatenate([np.zeros((0, dim)), *[matrix([v], dim, w) for v, w in zip(s["v"], s["wide"], strict=True)]])
+        with np.errstate(over="ignore", invalid="ignore"):
+            floor = floors(q, ids, x, s["vec_id"].to_numpy(), k)
+            floor = floor - 1e-9 * (1 + np.abs(q).max(1, initial=0) * np.abs(x).max(initial=0) * dim)  # sums may be rounded
+        floor = np.where(np.isfinite(floor), floor, -np.inf)
+        row = _packed(ids, q, floor)
+        return pd.DataFrame({"dim": [dim], "block": [f["block"].iloc[0]], "ids": [row[0]], "q": [row[1]], "floor": [row[2]]})
+
+    dealt = wanted.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
+    asking = staged(dealt.groupBy("dim", "block").applyInPandas(packed, "dim int, block int, ids binary, q binary, floor binary"), "op7-asking")
+    met = asking.withColumn("page", F.explode(F.sequence(F.lit(0), F.lit(pages - 1)))).join(_pages(roots, pages).hint("shuffle_hash"), ["dim", "page"])
+    asked = staged(met.select("block", "ids", "q", "floor", "trees", "centre", "radius").mapInArrow(_asked, "tree string, slice int, ids binary, q binary, floor binary"), "op7-asked")
+    ready = trees.select("tree", "data").join(asked.select(F.col("tree").alias("tree"), F.col("slice").alias("slice")).distinct(), "tree")
+
+    def answer(key: tuple, tree: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        t, rows = Tree.from_bytes(tree["data"].iloc[0]), []
+        for ids, q, floor in zip(asked["ids"], asked["q"], asked["floor"], strict=True):
+            for i, x, f in zip(*_unpacked(ids, q, floor), strict=True):
+                rows += [(int(i), -v, s) for s, v in search(t, int(i), x, k, float(f))]
+        limit = 10**DIGITS - 1
+        fits = [s if -(1 << 63) <= s < 1 << 63 else None for *_, s in rows]
+        return pd.DataFrame({"query_id": [r[0] for r in rows], "vec_id": [r[1] for r in rows], "score": pd.array(fits, "Int64"), "value": [Decimal(max(-limit, min(limit, r[2]))) for r in rows]})
+
+    found = ready.groupBy("tree", "slice").cogroup(asked.groupBy("tree", "slice")).applyInPandas(answer, f"query_id long, vec_id long, score long, value decimal({DIGITS},0)")
+    w = Window.partitionBy("query_id").orderBy(F.desc("value"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

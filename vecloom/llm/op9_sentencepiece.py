@@ -6,7 +6,9 @@ and the piece before it, merged again from characters, come out as the same two
 position from which no match stands is marked in a bitfield and never tried again.  Parts of a
 text repeat, so each worker keeps a bounded table of those it has encoded.
 
-Null text counts as empty: begin and end id alone.  Very long texts are encoded whole.
+Null text counts as empty: begin and end id alone.  Very long texts are encoded whole.  Rows that repeat an id are
+encoded each; an empty table gives no rows.  Columns that are added take underscores before their names where the table
+has columns of those names.
 """
 
 from __future__ import annotations
@@ -230,7 +232,8 @@ def model(path: str) -> Model:
 
 def encoded(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids", decoded_col: str = "decoded", keep_text: bool = True) -> DataFrame:
     """The table with two more columns: the ids and the text decoded from them."""
-    names = [f for f in docs.schema.fields if (keep_text or f.name != text_col) and f.name not in (ids_col, decoded_col)]
+    names = [f for f in docs.schema.fields if keep_text or f.name != text_col]
+    ids_col, decoded_col = free_name(docs.columns, ids_col), free_name(docs.columns, decoded_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
@@ -275,8 +278,9 @@ def default_model() -> str:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage, the last: the documents' columns, ids and decoded text."""
-    return encoded(docs, default_model(), decoded_col="decoded").withColumn("n_tokens", F.size("ids").cast("long"))
+    """Pipeline stage, the last: the documents' columns, whatever their names, and the ids, decoded text and number of ids."""
+    found = encoded(docs, default_model())
+    return found.withColumn(free_name(found.columns, "n_tokens"), F.size(found.columns[-2]).cast("long"))
 
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

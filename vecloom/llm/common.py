@@ -102,6 +102,17 @@ def sliced(batches: Iterator[pa.RecordBatch], column: str | None = None, rows: i
             i = j
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound what is handed to Python at once by bytes, where the session has not set a bound of its own.
+
+    Plans are lazy, so this can't be undone after a call; it is one constant, the same for every operator, and
+    changes no result.  Kernels slice what they get, whatever its size.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key)) > ARROW_BYTES and not spark.sparkContext.getConf().contains(key):
+        spark.conf.set(key, str(ARROW_BYTES))
+
+
 def give_back() -> None:
     """Return what a finished task has freed to the system: workers live on, for other queries."""
     gc.collect()

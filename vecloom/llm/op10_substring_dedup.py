@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import give_back, sliced, staged, table
+from .common import bounded_batches, give_back, sliced, staged, table
 from .words import BASE, U, Words, batch_words, mix, powers
 
 WINDOW, ROUNDS = 35, 8
@@ -285,6 +285,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ``bits`` of a window's hash are used; fewer cost time and change nothing else.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     if slim.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 OR doc_id IS NULL").isEmpty():
         rows = slim.withColumn("doc", F.col("doc_id"))

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import delete_at_exit, give_back, shared_dir, sliced, table
+from .common import bounded_batches, delete_at_exit, give_back, shared_dir, sliced, table
 from .id_coder import decode, encode
 
 END = 0
@@ -112,6 +112,7 @@ def encoder(path: str) -> Encoder:
 
 def write(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Write the container of all rows to ``path``."""
+    bounded_batches(docs.sparkSession)
 
     def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e, shard, before = encoder(tokenizer), TaskContext.get().partitionId(), 0
@@ -161,6 +162,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 def documents(groups: DataFrame, with_ids: bool = False) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32[, ids]) of each document of a container."""
+    bounded_batches(groups.sparkSession)
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, rows=1):

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ARROW_ROWS, free_name, give_back, sliced, table
+from .common import ARROW_ROWS, bounded_batches, free_name, give_back, sliced, table
 
 BITS, PREFIX = 20, 5
 TRAIN_ROWS, LEAST_DOCS, LEAST_Z = 12_000, 3, 5.0
@@ -193,6 +193,7 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def trained(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = TRAIN_ROWS, train: Column | None = None) -> Machine:
     """Fit on the labelled documents whose id satisfies ``train`` (a condition on ``doc_id``)."""
+    bounded_batches(docs.sparkSession)
     chosen = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).where("label IN (0, 1)")
     if train is not None:
         chosen = chosen.where(train)
@@ -210,6 +211,7 @@ def trained(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
 
 def scored(docs: DataFrame, machine: Machine, text_col: str = "text", score_col: str = "score") -> DataFrame:
     """The table with a score column, every whole text read."""
+    bounded_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(machine)  # at most 2 ** BITS rows
 
     @F.pandas_udf("double")

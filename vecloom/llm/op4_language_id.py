@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free_name, give_back, sliced, table
+from .common import bounded_batches, free_name, give_back, sliced, table
 
 BITS, ORDERS = 15, (1, 2, 3)
 PER_LANGUAGE, PART, SMOOTHING = 3000, 256, 0.5
@@ -112,7 +112,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def trained(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train: Column | None = None, per_language: int = PER_LANGUAGE) -> Bayes:
-    spark = docs.sparkSession
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("doc_id IS NOT NULL AND lang IS NOT NULL")
     if train is not None:
         rows = rows.where(train)
@@ -134,6 +134,7 @@ def trained(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
 
 def language_id(docs: DataFrame, model: Bayes, text_col: str = "text") -> DataFrame:
     """The table with ``lang_pred`` and ``score``."""
+    bounded_batches(docs.sparkSession)
     sc = docs.sparkSession.sparkContext
     parts = range(0, max(1, len(model.languages)), PART)
     sent = [sc.broadcast(model.logp[k : k + PART]) for k in parts]

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import sliced, staged, table
+from .common import bounded_batches, sliced, staged, table
 
 SCALE = 256
 #: Components of vectors that are not wide: below this in size, and their number times its square is below 2 ** 53.
@@ -288,6 +288,7 @@ def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def top_k(table_: DataFrame, queries: str, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score) for the rows that satisfy ``queries``, a condition on ``vec_id``."""
     spark = table_.sparkSession
+    bounded_batches(spark)
     vectors = table_.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
     vectors = staged(vectors.mapInArrow(quantised, "vec_id long, dim int, wide boolean, v binary"), "op7-vectors")
     sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(SAMPLE).toPandas()

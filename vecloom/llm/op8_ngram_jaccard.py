@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .common import connected, free_name, give_back, sliced, staged, table
+from .common import bounded_batches, connected, free_name, give_back, sliced, staged, table
 from .words import U, batch_words, grams, mix
 
 N, THRESHOLD = 5, (4, 5)
@@ -220,6 +220,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """One row per input row: doc_id, text_hash, key (of its shingle set), size, class_id, n_links, label (of the class)."""
+    bounded_batches(docs.sparkSession)
     text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     hashed = text.withColumn("text_hash", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)))
     rows = hashed.mapInArrow(_prints, "doc_id long, text_hash binary, key binary, size int, sign binary, bands array<long>")

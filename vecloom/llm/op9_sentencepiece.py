@@ -25,11 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free_name, give_back, sliced, table
+from .common import bounded_batches, free_name, give_back, sliced, table
 
 SPACE = "▁"
 #: Entries of a worker's table of encoded parts, and of checked pairs of pieces.
-PARTS, PAIRS = 60_000, 100_000
+PARTS, PAIRS = 150_000, 300_000
 
 
 class Model:
@@ -67,6 +67,7 @@ class Model:
         self.joined = {p[k : k + 2] for p in self.id for k in range(len(p) - 1)}
         self.shorter: dict[int, int] = {}
         self.sound: dict[int, bool] = {}
+        self.pair: dict[int, bool] = {}
         self.forget()
         # What an id stands for in a decoded text; bytes and unknown ids take the slow way.
         self.text = [p.replace(SPACE, " ") for p in self.piece]
@@ -77,10 +78,9 @@ class Model:
         self.special[[*self.byte_of, self.unk]] = True
 
     def forget(self) -> None:
-        """Drop what was remembered of texts: a worker outlives the task."""
+        """Drop what was remembered of texts: a worker outlives the task.  (Of the model it keeps some pairs.)"""
         self.part: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        self.pair: dict[int, bool] = {}
 
     def merged(self, text: str) -> list[str]:
         """Pieces by repeated merging of the best adjacent pair, leftmost first among equals."""
@@ -232,6 +232,7 @@ def model(path: str) -> Model:
 
 def encoded(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids", decoded_col: str = "decoded", keep_text: bool = True) -> DataFrame:
     """The table with two more columns: the ids and the text decoded from them."""
+    bounded_batches(docs.sparkSession)
     names = [f for f in docs.schema.fields if keep_text or f.name != text_col]
     ids_col, decoded_col = free_name(docs.columns, ids_col), free_name(docs.columns, decoded_col)
 
@@ -253,6 +254,7 @@ def encoded(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "
 
 def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each row's ids and decoded text."""
+    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)

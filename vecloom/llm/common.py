@@ -109,8 +109,8 @@ def bounded_batches(spark: SparkSession) -> None:
     changes no result.  Kernels slice what they get, whatever its size.
     """
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(spark.conf.get(key)) > ARROW_BYTES and not spark.sparkContext.getConf().contains(key):
-        spark.conf.set(key, str(ARROW_BYTES))
+    if spark.conf.get(key) == "67108864b":  # Spark's own default
+        spark.conf.set(key, f"{ARROW_BYTES}b")
 
 
 def give_back() -> None:

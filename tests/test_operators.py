@@ -53,6 +53,35 @@ def test_scalar_knn_over_the_full_range(spark):
     assert knn.scalar_knn(points, buckets=5).count() == 40_000
 
 
+def brute_scalar(rows, k):
+    return {(i, r + 1, j, d) for i, x in rows for r, (d, j) in enumerate(sorted((abs(x - y), j) for j, y in rows if j != i)[:k])}
+
+
+@pytest.mark.parametrize("buckets", [None, 2, 7, 60, 100])
+def test_scalar_knn_with_ties_and_thin_ranges(spark, buckets):
+    rng = np.random.default_rng(3)
+    tied = [(i, 5) for i in range(20)]
+    mixed = [(i, int(rng.integers(40)) ** 2) for i in range(120)]
+    for rows in (tied, mixed, [(0, 1)], [(0, 1), (1, 1)], [(i, i) for i in range(63)]):
+        got = knn.scalar_knn(spark.createDataFrame(rows, "point_id long, target long"), buckets=buckets).collect()
+        assert {(r["src"], r["rank"], r["dst"], r["dist"]) for r in got} == brute_scalar(rows, 4)
+
+
+def test_edge_changes_skip_missing_levels(spark):
+    e = spark.createDataFrame([(0, 1, 2), (0, 2, 3), (3, 1, 2), (3, 1, 3)], "level int, a long, b long")
+    assert [tuple(r) for r in metrics.edge_changes(e).collect()] == [(3, 1, 1, 1, pytest.approx(1 / 3))]
+
+
+def test_pair_median_is_that_of_all_pairs(spark):
+    rng = np.random.default_rng(5)
+    for n in (2, 3, 9, 40):
+        x = rng.normal(size=(n, 3))
+        rows = [(0, i, v.tolist()) for i, v in enumerate(x)] + [(1, i, [1.0, 1.0, 1.0]) for i in range(n)]
+        got = {r["level"]: (r["pairs"], r["scale"]) for r in knn.pair_median(spark.createDataFrame(rows, "level int, point_id long, vec array<double>"), block=7, bins=8).collect()}
+        want = np.median([np.linalg.norm(x[i] - x[j]) for i in range(n) for j in range(i)])
+        assert got == {0: (n * (n - 1) // 2, pytest.approx(want)), 1: (n * (n - 1) // 2, None)}
+
+
 def test_components_and_partition(spark):
     tree = spark.createDataFrame([(0, 0, 1, 0.1), (0, 1, 2, 0.5), (0, 2, 3, 0.8)], "level int, a long, b long, length double")
     nodes = spark.createDataFrame([(0, i) for i in range(4)], "level int, point_id long")
@@ -227,7 +256,7 @@ def test_pca_matches_a_full_decomposition(spark):
 
 def test_spacing_fit():
     assert project.spacing_fit([2, 4, 8]) == pytest.approx((2, 2, 1))
-    assert all(math.isnan(v) for v in project.spacing_fit([1, 0]))
+    assert project.spacing_fit([1, 0])[0] == pytest.approx(math.exp(-8), rel=1e-3) and all(math.isnan(v) for v in project.spacing_fit([0, 0]))
 
 
 def test_agreement_of_partitions(spark):

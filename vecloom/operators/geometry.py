@@ -1,0 +1,241 @@
+"""Seeded pairs, spreads of centroids, planes, branches and trees of labelled clouds."""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions.stats import adjusted_mutual_information, spearman
+
+#: Restarts of the two-means of a group.
+RESTARTS = 50
+
+
+def seeded_pairs(spark: SparkSession, n: int, pairs: int, seed: int = 42, kind: str = "skip") -> DataFrame:
+    """(k, i, j): ``pairs`` draws of two of n places by NumPy's default generator; a bounded table, whatever n is.
+
+    ``skip`` draws j among the places other than i, ``shift`` a distance from i, round the end, ``free`` both alike.
+    """
+    rng = np.random.default_rng(seed)
+    if kind == "free":
+        i, j = rng.integers(0, n, (2, pairs))
+    else:
+        i = rng.integers(0, n, pairs)
+        if kind == "shift":
+            j = (i + rng.integers(1, n, pairs)) % n
+        else:
+            j = rng.integers(0, n - 1, pairs)
+            j = j + (j >= i)
+    return spark.createDataFrame(pd.DataFrame({"k": np.arange(pairs), "i": i, "j": j}), "k long, i long, j long")
+
+
+def _distance(x: str, y: str):
+    return F.sqrt(F.aggregate(F.zip_with(x, y, lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, v: s + v))
+
+
+def pair_distances(vectors: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(level, k, d) of ``pairs(k, i, j)``: two joins on the points, at every level."""
+    a = vectors.select("level", F.col("point_id").alias("i"), F.col("vec").alias("x")).join(pairs, "i")
+    b = vectors.select("level", F.col("point_id").alias("j"), F.col("vec").alias("y"))
+    return a.join(b, ["level", "j"]).select("level", "k", _distance("x", "y").alias("d"))
+
+
+def pair_correlations(vectors: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(level, previous, pearson, rho): how the distances of the pairs go with those at the level present before."""
+    d = pair_distances(vectors, pairs)
+    levels = d.select("level").distinct().withColumn("previous", F.lag("level").over(Window.orderBy("level"))).where("previous IS NOT NULL")  # one row a level
+    both = d.join(F.broadcast(levels), "level").join(d.select(F.col("level").alias("previous"), "k", F.col("d").alias("e")), ["previous", "k"])
+    pearson = both.groupBy("level", "previous").agg(F.corr("d", "e").alias("pearson"))
+    return pearson.join(spearman(both, "d", "e", "level"), "level")
+
+
+def relative_errors(vectors: DataFrame, stored: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(level, pairs, max_rel_distance_error): stored vectors against their originals, over pairs that are apart."""
+    d = pair_distances(vectors, pairs).join(pair_distances(stored, pairs).withColumnRenamed("d", "e"), ["level", "k"]).where("d > 0")
+    return d.groupBy("level").agg(F.count("*").alias("pairs"), F.max(F.abs(F.col("e") - F.col("d")) / F.col("d")).alias("max_rel_distance_error"))
+
+
+def centroid_statistics(centres: DataFrame, vectors: DataFrame, labels: DataFrame) -> DataFrame:
+    """(level, spread_ratio, gap_rho, nearest, within_rms) of ``centres(level, label, centroid)`` with digits 1 to 9 for labels.
+
+    The mean distance of the centroids 7 to 9 over that of 1 to 5; the rank correlation of distances with gaps of
+    labels; the least distance of any two; the root mean square distance of points from their centroid.
+    """
+    a = centres.select("level", F.col("label").alias("a"), F.col("centroid").alias("x"))
+    b = centres.select("level", F.col("label").alias("b"), F.col("centroid").alias("y"))
+    d = a.join(b, "level").where("a < b").select("level", "a", "b", _distance("x", "y").alias("d"), (F.col("b") - F.col("a")).alias("gap"))  # 36 rows a level
+    spread = d.groupBy("level").agg((F.avg(F.when(F.col("a") >= 7, F.col("d"))) / F.avg(F.when(F.col("b") <= 5, F.col("d")))).alias("spread_ratio"), F.min("d").alias("nearest"))
+    own = vectors.join(labels, "point_id").join(F.broadcast(centres.select("level", "label", "centroid")), ["level", "label"])
+    square = F.aggregate(F.zip_with("vec", "centroid", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, v: s + v)
+    within = own.groupBy("level").agg(F.sqrt(F.avg(square)).alias("within_rms"))
+    return spread.join(spearman(d, "gap", "d", "level", name="gap_rho"), "level").join(within, "level").select("level", "spread_ratio", "gap_rho", "nearest", "within_rms")
+
+
+def shape_of_scores(model: DataFrame, centres: DataFrame) -> DataFrame:
+    """(level, third_fraction, participation, planarity, adjacent_ratio, end_ratio).
+
+    From the variances of a three-component ``model`` and the labels' centroids in its scores: the third's part of the
+    three, how many components take part, the centroids' variance in their best plane, the mean step from a label to the
+    next over the mean distance, and the way from the first to the last over the mean step.
+    """
+    v = model.groupBy("level").agg((F.max(F.when(F.col("component") == 3, F.col("variance"))) / F.sum("variance")).alias("third_fraction"), (F.sum("variance") ** 2 / F.sum(F.col("variance") ** 2)).alias("participation"))
+
+    def shape(f: pd.DataFrame) -> pd.DataFrame:
+        c = np.array(f.sort_values("label")["centroid"].tolist(), float)  # a row a label
+        e = np.linalg.svd(c - c.mean(0), compute_uv=False) ** 2
+        step = np.linalg.norm(np.diff(c, axis=0), axis=1)
+        every = np.linalg.norm(c[:, None] - c[None], axis=-1)[np.triu_indices(len(c), 1)]
+        ratio = lambda x, y: x / y if y > 0 else None
+        row = ratio(e[:2].sum(), e.sum()), ratio(step.mean(), every.mean()) if len(step) else None, ratio(np.linalg.norm(c[-1] - c[0]), step.mean()) if len(step) else None
+        return pd.DataFrame([(f["level"].iloc[0], *row)], columns=["level", "planarity", "adjacent_ratio", "end_ratio"])
+
+    return v.join(centres.groupBy("level").applyInPandas(shape, "level int, planarity double, adjacent_ratio double, end_ratio double"), "level")
+
+
+def subspace_angles(model: DataFrame) -> DataFrame:
+    """(level, previous, angle1, angle2, ..., cosines): principal angles, in degrees and the largest first, between the planes of
+    neighbouring levels, and the cosines of their components, row after row."""
+    rows = model.groupBy("level").agg(F.transform(F.array_sort(F.collect_list(F.struct("component", "loadings"))), lambda s: s["loadings"]).alias("basis"))  # k rows a level
+    before = rows.withColumn("previous", F.lag("level").over(Window.orderBy("level"))).withColumn("other", F.lag("basis").over(Window.orderBy("level"))).where("previous IS NOT NULL")
+
+    def angles(batches):
+        for f in batches:
+            out = []
+            for level, previous, a, b in zip(f["level"], f["previous"], f["basis"], f["other"], strict=True):
+                a, b = np.array(a.tolist(), float), np.array(b.tolist(), float)
+                c = b @ a.T
+                x, y = np.linalg.qr(a.T)[0], np.linalg.qr(b.T)[0]
+                s = np.clip(np.linalg.svd(y.T @ x, compute_uv=False), 0, 1)
+                # Small angles from sines, which cosines near 1 can't tell.
+                sines = np.linalg.svd(x - y @ (y.T @ x), compute_uv=False)
+                angle = np.where(s**2 > 0.5, np.arcsin(np.clip(np.sort(sines), 0, 1)), np.arccos(s))
+                out.append((level, previous, sorted(np.degrees(angle).tolist(), reverse=True), c.ravel().tolist()))
+            yield pd.DataFrame(out, columns=["level", "previous", "angles", "cosines"])
+
+    return before.mapInPandas(angles, "level int, previous int, angles array<double>, cosines array<double>")
+
+
+def _two_means(x: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Labels of the best of RESTARTS runs of Lloyd's algorithm, each from two points far apart by chance."""
+    best, least = np.zeros(len(x), np.int64), np.inf
+    for _ in range(RESTARTS):
+        first = x[rng.integers(len(x))]
+        far = ((x - first) ** 2).sum(1)
+        if not far.sum():
+            return best
+        c = np.stack([first, x[rng.choice(len(x), p=far / far.sum())]])
+        label = None
+        while True:
+            d = ((x[:, None] - c[None]) ** 2).sum(-1)
+            new = d.argmin(1)
+            if label is not None and (new == label).all():
+                break
+            label = new
+            c = np.stack([x[label == k].mean(0) if (label == k).any() else c[k] for k in (0, 1)])
+        if (cost := d.min(1).sum()) < least - 1e-12:
+            best, least = label, cost
+    return best
+
+
+def silhouette(x: np.ndarray, label: np.ndarray) -> float:
+    """Mean silhouette by Euclidean distances, 256 rows at a time; 0 for a point alone in its cluster; NaN for one cluster."""
+    kinds, at, n = np.unique(label, return_inverse=True, return_counts=True)
+    if not 1 < len(kinds) < len(x):
+        return float("nan")
+    one_hot = np.eye(len(kinds))[at]
+    total = 0.0
+    for i in range(0, len(x), 256):
+        part = x[i : i + 256]
+        d = np.sqrt(np.maximum(((part[:, None] - x[None]) ** 2).sum(-1), 0)) @ one_hot
+        own, row = at[i : i + 256], np.arange(len(part))
+        a = d[row, own] / np.maximum(n[own] - 1, 1)
+        d = d / n
+        d[row, own] = np.inf
+        b = d.min(1)
+        total += np.where(n[own] > 1, (b - a) / np.maximum(np.maximum(a, b), 1e-300), 0).sum()
+    return total / len(x)
+
+
+def branches(scores_: DataFrame, vectors: DataFrame, points: DataFrame, group: str = "digit_count") -> tuple[DataFrame, DataFrame]:
+    """Two-means of each level's group in its scores: (level, grp, point_id, branch) and (level, grp, n, silhouette, silhouette_full).
+
+    Branch 0 is that of the smaller mean target.  A group is one unit of work, as its restarts go over it again and again.
+    """
+    wide = scores_.groupBy("level", "point_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("component", "score"))), lambda s: s["score"]).alias("z"))
+    rows = wide.join(vectors, ["level", "point_id"]).join(points.select("point_id", "target", F.col(group).cast("long").alias("grp")), "point_id")
+
+    def split(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values("point_id")
+        z, x, t = np.array(f["z"].tolist(), float), np.array(f["vec"].tolist(), float), f["target"].to_numpy(float)
+        label = _two_means(z, np.random.default_rng(0))
+        if label.any() and not label.all() and t[label == 0].mean() > t[label == 1].mean():
+            label = 1 - label
+        return pd.DataFrame({"level": f["level"], "grp": f["grp"], "point_id": f["point_id"], "branch": label, "silhouette": silhouette(z, label), "silhouette_full": silhouette(x, label)})
+
+    out = rows.groupBy("level", "grp").applyInPandas(split, "level int, grp long, point_id long, branch int, silhouette double, silhouette_full double")
+    some = lambda c: F.when(~F.isnan(F.first(c)), F.first(c)).alias(c)
+    return out.select("level", "grp", "point_id", "branch"), out.groupBy("level", "grp").agg(F.count("*").alias("n"), F.sum("branch").alias("n_upper"), some("silhouette"), some("silhouette_full"))
+
+
+def component_runs(parts: DataFrame, points: DataFrame, least: int = 100) -> tuple[DataFrame, DataFrame]:
+    """Of a partition (level, point_id, component): each component's size, extremes and runs of consecutive targets, and each
+    level's number of components, of single ones, and of large ones with their points."""
+    t = parts.join(points.select("point_id", "target"), "point_id")
+    gap = F.col("target") - F.lag("target").over(Window.partitionBy("level", "component").orderBy("target"))
+    each = t.withColumn("gap", gap).groupBy("level", "component").agg(F.count("*").alias("size"), F.min("target").alias("minimum"), F.max("target").alias("maximum"), (F.count_if(F.col("gap") > 1) + 1).alias("runs"))
+    large = F.col("size") >= least
+    level = each.groupBy("level").agg(F.count("*").alias("components"), F.max("size").alias("largest"), F.count_if(F.col("size") == 1).alias("singletons"), F.count_if(large).alias("large"), F.sum(F.when(large, F.col("size")).otherwise(0)).alias("large_mass"))
+    return each, level
+
+
+def tree_labels(tree: DataFrame, points: DataFrame) -> DataFrame:
+    """(level, same_digit, same_length, jump_median, jump_mean, consecutive, length_q50, length_q95, length_q99) over a tree's edges."""
+    side = lambda c: points.select(F.col("point_id").alias(c), F.col("target").alias(f"{c}t"), F.col("leading_digit").alias(f"{c}d"), F.col("digit_count").alias(f"{c}n"))
+    e = tree.join(side("a"), "a").join(side("b"), "b").withColumn("jump", F.abs(F.col("at") - F.col("bt")).cast("double"))
+    q = F.percentile("length", F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
+    share = lambda c: F.avg(c.cast("double"))
+    return e.groupBy("level").agg(
+        share(F.col("ad") == F.col("bd")).alias("same_digit"), share(F.col("an") == F.col("bn")).alias("same_length"), F.median("jump").alias("jump_median"), F.avg("jump").alias("jump_mean"),
+        share(F.col("jump") == 1).alias("consecutive"), q[0].alias("length_q50"), q[1].alias("length_q95"), q[2].alias("length_q99"),
+    )
+
+
+def mutual_information(table: DataFrame) -> DataFrame:
+    """(ami) of contingency counts (a, b, n): adjusted for chance, over the mean entropy; a table of labels is small."""
+
+    def ami(f: pd.DataFrame) -> pd.DataFrame:
+        counts = f.pivot_table(index="a", columns="b", values="n", aggfunc="sum", fill_value=0).to_numpy()
+        return pd.DataFrame({"ami": [adjusted_mutual_information(counts)]})
+
+    return table.groupBy().applyInPandas(ami, "ami double")
+
+
+def best_radius(curve: DataFrame) -> DataFrame:
+    """(level, radius, clusters, ari): the least radius of a merge curve at which agreement is largest."""
+    w = Window.partitionBy("level").orderBy(F.desc("ari"), "radius")
+    return curve.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+
+
+def bottleneck_matrix(intervals: DataFrame, key: str, keep: int = 24) -> DataFrame:
+    """(a, b, distance, lower, upper): bottleneck distances of the longest ``keep`` bars of each two diagrams, and what the whole ones' lies between.
+
+    Bars that are left out match the diagonal at half the longest of them, so they raise the distance to that at most, and
+    lower it by the sum of both diagrams' halves at most.
+    """
+    from .homology import bottleneck
+
+    life = F.col("death") - F.col("birth")
+    w = Window.partitionBy(key).orderBy(F.desc(life), "birth")
+    top = intervals.where(life > 0).where(F.col("death") < float("inf")).withColumn("r", F.row_number().over(w)).where(F.col("r") <= keep + 1)
+    packed = top.groupBy(F.col(key).alias("a")).agg(F.collect_list(F.when(F.col("r") <= keep, F.array("birth", "death"))).alias("bars"), F.coalesce(F.max(F.when(F.col("r") > keep, life / 2)), F.lit(0.0)).alias("rest"))
+    other = packed.select(F.col("a").alias("b"), F.col("bars").alias("bars2"), F.col("rest").alias("rest2"))
+
+    def solve(batches):
+        for f in batches:
+            d = [bottleneck(np.array([x.tolist() for x in p]), np.array([x.tolist() for x in q])) for p, q in zip(f["bars"], f["bars2"], strict=True)]
+            x, y = f["rest"].to_numpy(float), f["rest2"].to_numpy(float)
+            yield pd.DataFrame({"a": f["a"], "b": f["b"], "distance": d, "lower": np.maximum(np.array(d) - x - y, 0), "upper": np.maximum(np.array(d), np.maximum(x, y))})
+
+    return packed.join(other, F.col("a") < F.col("b")).mapInPandas(solve, "a string, b string, distance double, lower double, upper double")  # a row a pair of diagrams

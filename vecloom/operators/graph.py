@@ -55,18 +55,28 @@ def cliques(edges: DataFrame, size: int) -> DataFrame:
     e = edges.select("level", "a", "b")
     found = e.select("level", F.col("a").alias("v1"), F.col("b").alias("v2"))
     for n in range(3, size + 1):
-        found = found.join(e.select("level", F.col("a").alias(f"v{n - 1}"), F.col("b").alias(f"v{n}")), ["level", f"v{n - 1}"])
-        for i in range(1, n - 1):
-            found = found.join(e.select("level", F.col("a").alias(f"v{i}"), F.col("b").alias(f"v{n}")), ["level", f"v{i}", f"v{n}"], "left_semi")
-        found = found.select("level", *[f"v{i}" for i in range(1, n + 1)])
+        found = grown(found, e, n)
     return found
 
 
+def grown(found: DataFrame, edges: DataFrame, n: int) -> DataFrame:
+    """Cliques of n - 1 nodes grown to n, the last node an upper neighbour of all."""
+    e = edges.select("level", "a", "b")
+    found = found.join(e.select("level", F.col("a").alias(f"v{n - 1}"), F.col("b").alias(f"v{n}")), ["level", f"v{n - 1}"])
+    for i in range(1, n - 1):
+        found = found.join(e.select("level", F.col("a").alias(f"v{i}"), F.col("b").alias(f"v{n}")), ["level", f"v{i}", f"v{n}"], "left_semi")
+    return found.select("level", *[f"v{i}" for i in range(1, n + 1)])
+
+
 def simplices(nodes: DataFrame, edges: DataFrame, max_dim: int = 2) -> DataFrame:
     """(level, dim, simplex): the flag complex up to ``max_dim``, a simplex as the array of its nodes."""
     out = nodes.select("level", F.lit(0).alias("dim"), F.array("point_id").alias("simplex"))
-    for d in range(1, max_dim + 1):
-        out = out.union(cliques(edges, d + 1).select("level", F.lit(d).alias("dim"), F.array(*[f"v{i}" for i in range(1, d + 2)]).alias("simplex")))
+    edges = staged(edges.select("level", "a", "b"), "flag-edges") if max_dim > 1 else edges
+    found = None
+    for d in range(1, max_dim + 1):  # a dimension's cliques are written once and grown to the next
+        found = cliques(edges, 2) if d == 1 else grown(found, edges, d + 1)
+        found = staged(found, "cliques") if 1 < d < max_dim else found
+        out = out.union(found.select("level", F.lit(d).alias("dim"), F.array(*[f"v{i}" for i in range(1, d + 2)]).alias("simplex")))
     return out
 
 

@@ -1,9 +1,10 @@
 """Exact nearest neighbours within each level, with deterministic ties.
 
-The pair comparison is done on blocks: points are packed into blocks of ``BLOCK`` rows, each pair of blocks of a level
-is one unit of work for a numpy kernel, and a unit returns only the k nearest it saw.  So no task holds more than two
-blocks, no pair of points is ever a row, and the work spreads over (N / BLOCK) ** 2 units.  Differences are
-taken before squaring, in doubles: vectors far from the origin lose nothing.
+The pair comparison is done on blocks: points are packed into blocks of ``BLOCK`` rows, written once, and each pair of
+blocks of a level is a cell, the key of the join that brings the two together.  A cell is one unit of work for a numpy kernel and
+returns only the k nearest it saw, so no task gathers a level, no pair of points is ever a row, and the work spreads over
+(N / BLOCK) ** 2 cells.  A matrix product of centred blocks proposes neighbours, with room for its rounding; distances are then
+taken by differences before squaring, in doubles: vectors far from the origin lose nothing.
 """
 
 from __future__ import annotations
@@ -15,7 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK, CHUNK = 512, 64
+from ..staging import staged
+
+BLOCK = 512
+#: Numbers that a step of direct differences holds.
+CHUNK = 1 << 19
 
 
 def blocks(vectors: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -23,30 +28,54 @@ def blocks(vectors: DataFrame, block: int = BLOCK) -> DataFrame:
     sizes = vectors.groupBy("level").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     dealt = vectors.join(F.broadcast(sizes), "level").withColumn("block", F.pmod(F.xxhash64("point_id"), F.col("blocks")).cast("int"))
     rows = dealt.groupBy("level", "block").agg(F.array_sort(F.collect_list(F.struct("point_id", "vec"))).alias("rows"))
-    return rows.select("level", "block", F.transform("rows", lambda r: r["point_id"]).alias("ids"), F.flatten(F.transform("rows", lambda r: r["vec"])).alias("data"))
+    return rows.join(F.broadcast(sizes), "level").select("level", "block", "blocks", F.transform("rows", lambda r: r["point_id"]).alias("ids"), F.flatten(F.transform("rows", lambda r: r["vec"])).alias("data"))
 
 
 def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Euclidean distances of all rows of x and y, by direct differences, CHUNK rows at a time."""
+    """Euclidean distances of all rows of x and y, by direct differences, CHUNK numbers at a time."""
     out = np.empty((len(x), len(y)))
-    for i in range(0, len(x), CHUNK):
-        d = x[i : i + CHUNK, None, :] - y[None, :, :]
-        np.sqrt(np.einsum("ijk,ijk->ij", d, d), out=out[i : i + CHUNK])
+    step = max(1, CHUNK // max(1, y.size))
+    for i in range(0, len(x), step):
+        d = x[i : i + step, None, :] - y[None, :, :]
+        np.sqrt(np.einsum("ijk,ijk->ij", d, d), out=out[i : i + step])
+    return out
+
+
+def _paired(x: np.ndarray, y: np.ndarray, row: np.ndarray, col: np.ndarray) -> np.ndarray:
+    """Distances of the pairs of rows, by direct differences."""
+    out, step = np.empty(len(row)), max(1, CHUNK // max(1, x.shape[1]))
+    for i in range(0, len(row), step):
+        d = x[row[i : i + step]] - y[col[i : i + step]]
+        np.sqrt(np.einsum("ij,ij->i", d, d), out=out[i : i + step])
     return out
 
 
 def nearest(x: np.ndarray, xi: np.ndarray, y: np.ndarray, yi: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row of x, id of y, distance) of each x's k nearest other points of y, ties by id; ``yi`` ascends."""
-    d = distances(x, y)
-    d[xi[:, None] == yi[None, :]] = np.inf
     k = min(k, len(yi))
-    cut = np.partition(d, k - 1, axis=1)[:, k - 1]
-    row, col = np.nonzero((d <= cut[:, None]) & np.isfinite(d))
-    order = np.lexsort((yi[col], d[row, col], row))
-    row, col = row[order], col[order]
+    middle = y.mean(0)
+    p, q = x - middle, y - middle
+    pp, qq = (p * p).sum(1), (q * q).sum(1)
+    rough = qq[None, :] - 2 * (p @ q.T)  # squared distances but for a number of each row
+    own = xi[:, None] == yi[None, :]
+    rough[own] = np.inf
+    room = 1e-13 * x.shape[1] * (pp + qq.max(initial=0)) + np.finfo(float).tiny
+    cut = np.partition(rough, k - 1, axis=1)[:, k - 1] + 4 * room
+    row, col = np.nonzero((rough <= cut[:, None]) & ~own)
+    d = _paired(x, y, row, col)
+    order = np.lexsort((yi[col], d, row))
+    row, col, d = row[order], col[order], d[order]
     first = np.searchsorted(row, np.arange(len(x)))
     keep = np.arange(len(row)) - first[row] < k
-    return row[keep], yi[col[keep]], d[row[keep], col[keep]]
+    return row[keep], yi[col[keep]], d[keep]
+
+
+def cells(packed: DataFrame) -> DataFrame:
+    """(level, x, y, ids, data, ids2, data2): every ordered pair of a level's blocks, brought together by its own key."""
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    left = packed.select("level", F.col("block").alias("x"), every.alias("y"), "ids", "data")
+    right = packed.select("level", every.alias("x"), F.col("block").alias("y"), F.col("ids").alias("ids2"), F.col("data").alias("data2"))
+    return left.join(right.hint("shuffle_hash"), ["level", "x", "y"])
 
 
 def exact_knn(vectors: DataFrame, k: int = 4, block: int = BLOCK) -> DataFrame:
@@ -55,9 +84,7 @@ def exact_knn(vectors: DataFrame, k: int = 4, block: int = BLOCK) -> DataFrame:
     Points at distance 0 are neighbours; only the point itself is left out.  A level with no more
     than k points gives each all others.
     """
-    packed = blocks(vectors, block)
-    other = packed.select("level", F.col("ids").alias("ids2"), F.col("data").alias("data2"))
-    units = packed.select("level", "ids", "data").join(other.hint("shuffle_hash"), "level").repartition(F.hash(F.element_at("ids", 1)), F.hash(F.element_at("ids2", 1)), "level")
+    units = cells(staged(blocks(vectors, block), "knn-blocks"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -69,7 +96,8 @@ def exact_knn(vectors: DataFrame, k: int = 4, block: int = BLOCK) -> DataFrame:
 
     found = units.mapInArrow(run, "level int, src long, dst long, dist double")
     w = Window.partitionBy("level", "src").orderBy("dist", "dst")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("level", "src", "rank", "dst", "dist")
+    best = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("level", "src", "rank", "dst", "dist")
+    return staged(best, "knn")  # a query asks it more than once
 
 
 def exact_knn_sql(vectors: DataFrame, k: int = 4) -> DataFrame:
@@ -82,34 +110,42 @@ def exact_knn_sql(vectors: DataFrame, k: int = 4) -> DataFrame:
 
 
 def scalar_knn(points: DataFrame, k: int = 4, value: str = "target", id_col: str = "point_id", buckets: int | None = None) -> DataFrame:
-    """(src, rank, dst, dist): nearest by a number.  A nearest neighbour in one dimension is among the k before and
-    the k after in order, so a sort replaces the pair join.
+    """(src, rank, dst, dist): nearest by a number, ties by id.
 
-    Points are range-partitioned; each range is completed by the k rows next to it on either side.
+    Equal values are one: of each, the least k + 1 ids can be neighbours.  A value's neighbours are among itself and the k
+    values before and after it in order, so a sort replaces the pair join.  Values are numbered over the whole table and
+    dealt into ranges of equally many, each completed by the k values next to it on either side.
     """
-    n = points.count()
     ordered = points.select(F.col(id_col).alias("src"), F.col(value).cast("double").alias("v"))
-    parts = buckets or max(1, n // 100_000)
+    least = Window.partitionBy("v").orderBy("src")
+    values = ordered.withColumn("r", F.row_number().over(least)).where(F.col("r") <= k + 1).groupBy("v").agg(F.array_sort(F.collect_list("src")).alias("ids"))
+    values = staged(values, "scalar-values")
+    n = values.count()
+    parts = min(buckets or n // 100_000 + 1, max(1, n // (k + 1)))
     if parts > 1:
-        cuts = ordered.approxQuantile("v", [i / parts for i in range(1, parts)], 0.001)
-        b = sum(((F.col("v") > c).cast("int") for c in cuts), F.lit(0))
-        ordered = ordered.withColumn("b", b)
-        edge_low, edge_high = Window.partitionBy("b").orderBy("v", "src"), Window.partitionBy("b").orderBy(F.desc("v"), F.desc("src"))
-        # Empty ranges pass nothing on, so a range gives its edges to every range that its neighbours may need: the next non-empty one.
-        filled = {r["b"]: i for i, r in enumerate(ordered.groupBy("b").count().orderBy("b").collect())}
-        dense = F.create_map(*[F.lit(x) for kv in filled.items() for x in kv])
-        ordered = ordered.withColumn("b", dense[F.col("b")])
-        low = ordered.withColumn("r", F.row_number().over(edge_low)).where(F.col("r") <= 2 * k).select("src", "v", (F.col("b") - 1).alias("b"))
-        high = ordered.withColumn("r", F.row_number().over(edge_high)).where(F.col("r") <= 2 * k).select("src", "v", (F.col("b") + 1).alias("b"))
-        every = ordered.withColumn("own", F.lit(True)).unionByName(low.withColumn("own", F.lit(False))).unionByName(high.withColumn("own", F.lit(False)))
+        cuts = values.approxQuantile("v", [i / parts for i in range(1, parts)], 0.001)
+        values = values.withColumn("c", sum(((F.col("v") > c).cast("int") for c in cuts), F.lit(0)))
+        sizes = {r["c"]: r["count"] for r in values.groupBy("c").count().collect()}  # a row a range
+        before = {c: sum(m for x, m in sizes.items() if x < c) for c in sizes}
+        offset = F.create_map(*[F.lit(x) for kv in before.items() for x in kv])
+        size = -(-n // parts)  # k + 1 or more, so all that a range lacks is in the ranges next to it
+        values = values.withColumn("i", offset[F.col("c")] + F.row_number().over(Window.partitionBy("c").orderBy("v")) - 1)
+        values = staged(values.select("v", "ids", "i", F.floor(F.col("i") / size).cast("int").alias("b")), "scalar-ranges")
+        place = F.pmod("i", F.lit(size))
+        low = values.where(place < k).select("v", "ids", (F.col("b") - 1).alias("b"), F.lit(False).alias("own"))
+        # The last range may hold fewer than k: its rows go back two ranges, and what it lacks comes from two.
+        far = values.where(F.col("i") >= n - k).select("v", "ids", (F.col("b") - 2).alias("b"), F.lit(False).alias("own")) if n % size and n % size < k else low.limit(0)
+        high = values.where(place >= size - k).select("v", "ids", (F.col("b") + 1).alias("b"), F.lit(False).alias("own"))
+        every = values.select("v", "ids", "b", F.lit(True).alias("own")).unionByName(low).unionByName(high).unionByName(far.where("b >= 0"))
     else:
-        every = ordered.withColumn("b", F.lit(0)).withColumn("own", F.lit(True))
-    w = Window.partitionBy("b").orderBy("v", "src")
-    around = F.array_compact(F.array(*[f(F.struct("src", "v"), i).over(w) for i in range(1, k + 1) for f in (F.lag, F.lead)]))
-    near = every.select("src", "v", "own", around.alias("around")).where("own").select("src", "v", F.explode("around").alias("o"))
-    pairs = near.select("src", F.col("o.src").alias("dst"), F.abs(F.col("v") - F.col("o.v")).alias("dist"))
-    r = Window.partitionBy("src").orderBy("dist", "dst")
-    return pairs.withColumn("rank", F.row_number().over(r)).where(F.col("rank") <= k).select("src", "rank", "dst", "dist")
+        every = values.withColumn("b", F.lit(0)).withColumn("own", F.lit(True))
+    w = Window.partitionBy("b").orderBy("v")
+    around = F.array_compact(F.array(F.struct("v", "ids"), *[f(F.struct("v", "ids"), i).over(w) for i in range(1, k + 1) for f in (F.lag, F.lead)]))
+    near = every.select("v", "own", around.alias("around")).where("own")
+    options = F.flatten(F.transform("around", lambda o: F.transform(o["ids"], lambda i: F.struct(F.abs(o["v"] - F.col("v")).alias("dist"), i.alias("dst")))))
+    near = near.select("v", F.slice(F.array_sort(options), 1, k + 1).alias("near"))
+    pairs = ordered.join(near, "v").select("src", F.posexplode(F.slice(F.filter("near", lambda o: o["dst"] != F.col("src")), 1, k)).alias("rank", "o"))
+    return pairs.select("src", (F.col("rank") + 1).alias("rank"), F.col("o.dst").alias("dst"), F.col("o.dist").alias("dist"))
 
 
 def neighbour_overlap(knn: DataFrame, k: int = 4) -> DataFrame:
@@ -120,3 +156,71 @@ def neighbour_overlap(knn: DataFrame, k: int = 4) -> DataFrame:
     old = knn.select(F.col("level").alias("previous"), "src", "dst")
     shared = now.join(old.withColumn("both", F.lit(1)), ["previous", "src", "dst"], "left")
     return shared.groupBy("level", "previous").agg((F.sum(F.coalesce("both", F.lit(0))) / F.countDistinct("src") / k).alias("overlap"))
+
+
+def distance_checks(vectors: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(level, pairs, total, largest, asymmetric, diagonal) of all ordered pairs of a level, a cell of blocks at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                xi, yi = (batch.column(c)[i].values.to_numpy() for c in ("ids", "ids2"))
+                x, y = (batch.column(c)[i].values.to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1) for c, n in (("data", len(xi)), ("data2", len(yi))))
+                d, e = distances(x, y), distances(y, x).T
+                same = xi[:, None] == yi[None, :]
+                row = (batch.column("level")[i].as_py(), d.size, float(d.sum()), float(d.max()), int((d != e).sum()), int((same & (d != 0)).sum()))
+                yield pa.record_batch([pa.array([v], k) for v, k in zip(row, (pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.int64()), strict=True)], ["level", "pairs", "total", "largest", "asymmetric", "diagonal"])
+
+    found = cells(staged(blocks(vectors, block), "check-blocks")).mapInArrow(run, "level int, pairs long, total double, largest double, asymmetric long, diagonal long")
+    return found.groupBy("level").agg(*[(F.max if c == "largest" else F.sum)(c).alias(c) for c in found.columns[1:]])
+
+
+def pair_median(vectors: DataFrame, block: int = BLOCK, bins: int = 4096) -> DataFrame:
+    """(level, pairs, scale): the exact median distance of all pairs of different points, NULL where it is 0 or there is none.
+
+    Cells count their distances by bins of equal width up to the largest; then only the distances of the bins that hold the
+    middle are sorted.
+    """
+    packed = staged(blocks(vectors, block), "median-blocks")
+    upper = cells(packed).where("x <= y")
+
+    def measured(batch, i):
+        xi, yi = (batch.column(c)[i].values.to_numpy() for c in ("ids", "ids2"))
+        x, y = (batch.column(c)[i].values.to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1) for c, n in (("data", len(xi)), ("data2", len(yi))))
+        d = distances(x, y)
+        return d[np.triu(np.ones(d.shape, bool), 1)] if batch.column("x")[i] == batch.column("y")[i] else d.ravel()
+
+    def largest(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                d = measured(batch, i)
+                yield pa.record_batch([pa.array([batch.column("level")[i].as_py()], pa.int32()), pa.array([float(d.max(initial=0))]), pa.array([d.size], pa.int64())], ["level", "most", "pairs"])
+
+    sizes = staged(upper.mapInArrow(largest, "level int, most double, pairs long").groupBy("level").agg(F.max("most").alias("most"), F.sum("pairs").alias("pairs")), "median-sizes")
+
+    def counted(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                at, n = np.unique(np.floor(measured(batch, i) / (batch.column("most")[i].as_py() or 1.0) * bins).astype(np.int32), return_counts=True)
+                yield pa.record_batch([pa.array(np.full(len(at), batch.column("level")[i].as_py(), np.int32)), pa.array(at), pa.array(n)], ["level", "bin", "n"])
+
+    sized = upper.join(F.broadcast(sizes), "level")  # one row a level
+    histogram = sized.mapInArrow(counted, "level int, bin int, n long").groupBy("level", "bin").agg(F.sum("n").alias("n"))
+    running = histogram.withColumn("upto", F.sum("n").over(Window.partitionBy("level").orderBy("bin"))).join(F.broadcast(sizes), "level")
+    low, high = F.floor((F.col("pairs") - 1) / 2), F.floor(F.col("pairs") / 2)
+    middle = running.where((F.col("upto") > low) & (F.col("upto") - F.col("n") <= high)).groupBy("level").agg(F.min("bin").alias("first"), F.max("bin").alias("last"), F.min(F.col("upto") - F.col("n")).alias("before"))
+    middle = staged(middle, "median-bins")
+
+    def within(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                d = measured(batch, i)
+                at = np.floor(d / (batch.column("most")[i].as_py() or 1.0) * bins)
+                d = d[(at == batch.column("first")[i].as_py()) | (at == batch.column("last")[i].as_py())]
+                yield pa.record_batch([pa.array(np.full(len(d), batch.column("level")[i].as_py(), np.int32)), pa.array(d)], ["level", "d"])
+
+    kept = sized.join(F.broadcast(middle), "level").mapInArrow(within, "level int, d double")
+    ranked = kept.withColumn("r", F.row_number().over(Window.partitionBy("level").orderBy("d"))).join(F.broadcast(middle), "level").join(F.broadcast(sizes), "level")
+    at = F.col("r") - 1 + F.col("before")
+    found = ranked.where((at == low) | (at == high)).groupBy("level").agg(F.avg("d").alias("scale"))
+    return sizes.select("level", "pairs").join(F.broadcast(found), "level", "left").select("level", "pairs", F.when(F.col("scale") > 0, F.col("scale")).alias("scale"))

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import distribution
-from .graph import union_graph
+from .graph import components, union_graph
+from .knn import neighbour_overlap
 
 PREVIOUS = "previous"
 
@@ -39,6 +40,21 @@ def graph_metrics(knn: DataFrame, points: DataFrame, k: int = 4) -> DataFrame:
     return stats.join(F.broadcast(mutual), "level").withColumn("mutual_fraction", 2 * F.col("mutual_edges") / (F.col("point_count") * k))
 
 
+def metric_row(knn: DataFrame, points: DataFrame, k: int = 4) -> DataFrame:
+    """One row a level: locality, gaps of logarithms, the union graph's components, overlap with the level present before (NULL
+    for the first), and for each leading digit the share of its relations that stay within it."""
+    r = labelled(knn, points)
+    log_gap = F.abs(F.log10(F.col("st").cast("double")) - F.log10(F.col("dt").cast("double")))
+    same = F.col("sd") == F.col("dd")
+    by_digit = [F.avg(F.when(F.col("sd") == i, same.cast("double"))).alias(f"same_{i}") for i in range(1, 10)]
+    stats = r.groupBy("level").agg(F.countDistinct("src").alias("point_count"), F.avg(same.cast("double")).alias("same_leading_digit"), F.median(log_gap).alias("log_gap_median"), F.max(log_gap).alias("log_gap_max"), *by_digit)
+    nodes = knn.select("level", F.col("src").alias("point_id")).distinct()
+    size = components(nodes, union_graph(knn)).groupBy("level", "component").agg(F.count("*").alias("n"))
+    parts = size.groupBy("level").agg(F.count("*").alias("components"), (F.max("n") / F.sum("n")).alias("largest_share"))
+    overlap = neighbour_overlap(knn, k).select("level", "overlap")
+    return stats.join(F.broadcast(parts), "level").join(F.broadcast(overlap), "level", "left")  # a row a level
+
+
 def digit_transitions(knn: DataFrame, points: DataFrame) -> DataFrame:
     """(level, source_digit, target_digit, n, share) on the full 9 x 9 grid; the share is NULL in an empty row."""
     n = labelled(knn, points).groupBy("level", F.col("sd").alias("source_digit"), F.col("dd").alias("target_digit")).agg(F.count("*").alias("n"))
@@ -93,10 +109,11 @@ def centroid_ranking(centres: DataFrame, k: int = 4) -> DataFrame:
 
 
 def edge_changes(edges: DataFrame) -> DataFrame:
-    """(level, kept, gained, lost, jaccard) of each level's union edges against the level before."""
+    """(level, kept, gained, lost, jaccard) of each level's union edges against the level present before it."""
     e = edges.select("level", "a", "b")
-    before = e.select((F.col("level") + 1).alias("level"), "a", "b").withColumn("old", F.lit(1))
-    levels = F.broadcast(e.agg(F.min("level").alias("low"), F.max("level").alias("high")))
-    j = e.withColumn("new", F.lit(1)).join(before, ["level", "a", "b"], "full").crossJoin(levels).where("level > low AND level <= high")
+    levels = e.select("level").distinct().withColumn("next", F.lead("level").over(Window.orderBy("level"))).where("next IS NOT NULL")  # one row a level
+    before = e.join(F.broadcast(levels), "level").select(F.col("next").alias("level"), "a", "b").withColumn("old", F.lit(1))
+    later = e.join(F.broadcast(levels.select(F.col("next").alias("level"))), "level").withColumn("new", F.lit(1))
+    j = later.join(before, ["level", "a", "b"], "full")
     out = j.groupBy("level").agg(F.count_if(F.expr("new = 1 AND old = 1")).alias("kept"), F.count_if(F.expr("old IS NULL")).alias("gained"), F.count_if(F.expr("new IS NULL")).alias("lost"))
     return out.withColumn("jaccard", F.col("kept") / (F.col("kept") + F.col("gained") + F.col("lost")))

@@ -95,7 +95,7 @@ def spacing_fit(gaps: np.ndarray) -> tuple[float, float, float]:
     """(beta, scale, r2) of gaps d_i = scale * beta ** i: the scale in closed form, log beta in [-8, 8] by golden section on a bracket."""
     d = np.asarray(gaps, float)
     i = np.arange(len(d))
-    if len(d) < 2 or not np.isfinite(d).all() or (d <= 0).any():
+    if len(d) < 2 or not np.isfinite(d).all() or not d.any():
         return float("nan"), float("nan"), float("nan")
 
     def fit(t: float) -> tuple[float, float]:

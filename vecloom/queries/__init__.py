@@ -10,9 +10,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def registered() -> dict[str, tuple[Query, str | None]]:
-    from . import graphs, levels, prompts, relations, shapes, topology
+    from . import geometry, graphs, levels, prompts, relations, shapes, topology
 
     found: dict[str, tuple[Query, str | None]] = {}
-    for module in (prompts, relations, graphs, levels, topology, shapes):
+    for module in (prompts, relations, graphs, levels, topology, shapes, geometry):
         found |= module.QUERIES
     return found

@@ -30,21 +30,22 @@ def r2_degrees(spark, d):
 
 def r3_components(spark, d):
     """Partition sizes and the largest share, by level."""
-    c = graph.components(_nodes(spark, d), _edges(spark, d).where("mutual"))
+    c = graph.components(_nodes(spark, d), _edges(spark, d))
     by = c.groupBy("level", "component").agg(F.count("*").alias("n"))
     return rounded(by.groupBy("level").agg(F.count("*").alias("components"), (F.max("n") / F.sum("n")).alias("largest"), F.sum("component").alias("least_ids")))
 
 
 def r3_component_labels(spark, d):
-    return graph.components(_nodes(spark, d), _edges(spark, d).where("mutual"))
+    return graph.components(_nodes(spark, d), _edges(spark, d))
 
 
 def r4_strong_components(spark, d):
-    """Within each label's induced subgraph of level 0: groups are small."""
-    k = knn.exact_knn(cube(spark, d).where("level = 0"))
+    """Within each label's induced subgraph of every level: groups are small."""
+    k = knn.exact_knn(cube(spark, d))
     p = points(spark, d).select("point_id", "label")
     e = k.join(p.select(F.col("point_id").alias("src"), F.col("label").alias("g")), "src").join(p.select(F.col("point_id").alias("dst"), F.col("label").alias("h")), "dst").where("g = h")
-    return graph.strong_components(e.select(F.col("g").cast("long").alias("grp"), "src", "dst"))
+    found = graph.strong_components(e.select((F.col("level") * 1000 + F.col("g")).cast("long").alias("grp"), "src", "dst"))
+    return found.select(F.floor(F.col("grp") / 1000).cast("int").alias("level"), F.pmod("grp", F.lit(1000)).alias("label"), "node", "component")
 
 
 def r5_mst(spark, d):
@@ -134,7 +135,7 @@ def a26_ari(spark, d):
     return rounded(adjusted_rand(contingency(table(spark, d, "orders"), "o_orderstatus", "o_orderpriority")))
 
 
-_COMP = EDGES + """, m AS (SELECT level, a AS x, b AS y FROM edges WHERE mutual UNION ALL SELECT level, b, a FROM edges WHERE mutual),
+_COMP = EDGES + """, m AS (SELECT level, a AS x, b AS y FROM edges UNION ALL SELECT level, b, a FROM edges),
 reach(level, node, c) AS (SELECT level, point_id, point_id FROM cube UNION SELECT m.level, m.y, r.c FROM reach r JOIN m ON m.level = r.level AND m.x = r.node AND r.c < m.y),
 comp AS (SELECT level, node AS point_id, min(c) AS component FROM reach GROUP BY ALL)"""
 _CL = EDGES + """, e AS (SELECT level, a, b FROM edges), c3 AS (SELECT x.level, x.a, x.b, y.b AS c FROM e x JOIN e y ON x.level = y.level AND x.b = y.a JOIN e z ON z.level = x.level AND z.a = x.a AND z.b = y.b),

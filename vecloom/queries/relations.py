@@ -14,24 +14,25 @@ def j1_exact_knn(spark, d):
 
 
 def j1_exact_knn_sql(spark, d):
-    return rounded(knn.exact_knn_sql(cube(spark, d).where("level = 0")))
+    return rounded(knn.exact_knn_sql(cube(spark, d)))
 
 
 def j4_scalar_knn(spark, d):
     return knn.scalar_knn(points(spark, d))
 
 
+def j4_scalar_knn_tied(spark, d):
+    """By the label: a value of many points, whose neighbours are the least ids."""
+    return knn.scalar_knn(points(spark, d), value="label", buckets=3)
+
+
 def j5_distance_checks(spark, d):
-    """Symmetric, zero on the diagonal: the pairs of one level that break either, counted; and their number."""
-    c = cube(spark, d).where("level = 1")
-    a, b = c.select(F.col("point_id").alias("i"), F.col("vec").alias("x")), c.select(F.col("point_id").alias("j"), F.col("vec").alias("y"))
-    dist = lambda p, q: F.sqrt(F.aggregate(F.zip_with(p, q, lambda u, v: (u - v) * (u - v)), F.lit(0.0), lambda s, v: s + v))
-    m = a.join(b, F.col("i") <= F.col("j")).select("i", "j", dist("x", "y").alias("d"), dist("y", "x").alias("e"))
-    return m.agg(F.count("*").alias("pairs"), F.count_if(F.col("d") != F.col("e")).alias("asymmetric"), F.count_if((F.col("i") == F.col("j")) & (F.col("d") != 0)).alias("diagonal"))
+    """Each level's pairs, a distance for either order: their number, sum and largest, and those that differ or are not 0 on the diagonal."""
+    return rounded(knn.distance_checks(cube(spark, d)))
 
 
 def j8_unknown_ids(spark, d):
-    return metrics.unknown_ids(knn.exact_knn(cube(spark, d).where("level = 0")), points(spark, d))
+    return metrics.unknown_ids(knn.exact_knn(cube(spark, d)), points(spark, d))
 
 
 def j9_left_defaults(spark, d):
@@ -123,10 +124,11 @@ s AS (SELECT level, sqrt(sum(ss) / max(n)) AS a, sqrt(sum(cs) / max(n)) AS b FRO
     "a17_variance_by_label": (a17_variance_by_label, _variance("true")),
     "a41_equivalence": (a41_equivalence, f"WITH {CUBE} SELECT level, count(*) AS n, 0.0::DOUBLE AS max_abs, 0.0::DOUBLE AS rel_l2, 0.0::DOUBLE AS cosine_error FROM cube GROUP BY level"),
     "j1_exact_knn": (j1_exact_knn, f"WITH {KNN} SELECT level, src, rank, dst, round(dist, 6) AS dist FROM knn"),
-    "j1_exact_knn_sql": (j1_exact_knn_sql, f"WITH {KNN} SELECT level, src, rank, dst, round(dist, 6) AS dist FROM knn WHERE level = 0"),
+    "j1_exact_knn_sql": (j1_exact_knn_sql, f"WITH {KNN} SELECT level, src, rank, dst, round(dist, 6) AS dist FROM knn"),
     "j4_scalar_knn": (j4_scalar_knn, f"WITH {POINTS}, p AS (SELECT a.point_id AS src, b.point_id AS dst, abs(a.target - b.target)::DOUBLE AS dist FROM points a JOIN points b ON a.point_id <> b.point_id) SELECT src, (row_number() OVER w)::INT AS rank, dst, dist FROM p WINDOW w AS (PARTITION BY src ORDER BY dist, dst) QUALIFY row_number() OVER w <= 4"),
-    "j5_distance_checks": (j5_distance_checks, "SELECT (count(*) * (count(*) + 1) // 2)::BIGINT AS pairs, 0::BIGINT AS asymmetric, 0::BIGINT AS diagonal FROM embeddings"),
-    "j8_unknown_ids": (j8_unknown_ids, f"WITH {KNN} SELECT src AS point_id FROM knn WHERE level = 0 AND src NOT IN (SELECT vec_id FROM embeddings)"),
+    "j4_scalar_knn_tied": (j4_scalar_knn_tied, f"WITH {POINTS}, p AS (SELECT a.point_id AS src, b.point_id AS dst, abs(a.label - b.label)::DOUBLE AS dist FROM points a JOIN points b ON a.point_id <> b.point_id) SELECT src, (row_number() OVER w)::INT AS rank, dst, dist FROM p WINDOW w AS (PARTITION BY src ORDER BY dist, dst) QUALIFY row_number() OVER w <= 4"),
+    "j5_distance_checks": (j5_distance_checks, f"WITH {CUBE}, p AS (SELECT a.level, a.point_id AS i, b.point_id AS j, list_distance(a.vec, b.vec) AS d, list_distance(b.vec, a.vec) AS e FROM cube a JOIN cube b ON a.level = b.level) SELECT level, count(*) AS pairs, round(sum(d), 6) AS total, round(max(d), 6) AS largest, count(*) FILTER (d <> e) AS asymmetric, count(*) FILTER (i = j AND d <> 0) AS diagonal FROM p GROUP BY level"),
+    "j8_unknown_ids": (j8_unknown_ids, f"WITH {KNN} SELECT src AS point_id FROM knn WHERE src NOT IN (SELECT vec_id FROM embeddings)"),
     "j9_left_defaults": (j9_left_defaults, "SELECT c_custkey, count(o_orderkey) AS n, coalesce(max(o_orderpriority), '?') AS top FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey"),
     "j11_centroid_ranking": (j11_centroid_ranking, f"""WITH {CUBE}, {POINTS}, x AS (SELECT level, leading_digit AS label, unnest(range(16)) AS dim, unnest(vec) AS x FROM cube JOIN points USING (point_id)),
 c AS (SELECT level, label, list(m ORDER BY dim) AS v FROM (SELECT level, label, dim, avg(x) AS m FROM x GROUP BY ALL) GROUP BY ALL), p AS (SELECT a.level, a.label, b.label AS other, list_distance(a.v, b.v) AS dist FROM c a JOIN c b ON a.level = b.level AND a.label <> b.label)

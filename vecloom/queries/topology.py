@@ -21,7 +21,8 @@ LEVELS = 9
 
 
 def t1_normalisation(spark, d):
-    pairs = points(spark, d).select(F.col("point_id").alias("i"), F.pmod(F.col("point_id") * 7 + 1, F.lit(500)).alias("j")).where("i <> j")
+    n = points(spark, d).agg(F.count("*").alias("n"))
+    pairs = points(spark, d).crossJoin(F.broadcast(n)).select(F.col("point_id").alias("i"), F.pmod(F.col("point_id") * 7 + 1, F.col("n")).alias("j")).where("i <> j")
     return rounded(topology.normalisation(cube(spark, d), pairs))
 
 
@@ -124,7 +125,7 @@ SELECT a, b, round(sum(abs(h) * dt), 6) AS distance FROM rn GROUP BY ALL"""
 _TENTS = "g AS (SELECT i + 0.25::DOUBLE AS t FROM range(23) r(i)), tents AS (SELECT diagram, t, least(t - birth, death - t) AS h FROM g JOIN intervals ON birth < t AND t < death), rk AS (SELECT *, row_number() OVER (PARTITION BY diagram, t ORDER BY h DESC) AS level FROM tents), dn AS (SELECT DISTINCT diagram FROM intervals), ls AS (SELECT dn.diagram, g.t, l::INT AS level, coalesce(h, 0) AS height FROM dn CROSS JOIN g CROSS JOIN range(1, 6) r(l) LEFT JOIN rk ON rk.diagram = dn.diagram AND rk.t = g.t AND rk.level = l)"
 
 QUERIES = {
-    "t1_normalisation": (t1_normalisation, f"WITH {CUBE}, dd AS (SELECT a.level, list_distance(a.vec, b.vec) AS x FROM cube a JOIN cube b ON a.level = b.level AND b.point_id = (a.point_id * 7 + 1) % 500 AND a.point_id <> b.point_id), m AS (SELECT level, CASE WHEN median(x) > 0 THEN median(x) ELSE max(x) END AS s FROM dd GROUP BY level) SELECT level, round(s, 6) AS scale, s = 0 AS degenerate FROM m"),
+    "t1_normalisation": (t1_normalisation, f"WITH {CUBE}, dd AS (SELECT a.level, list_distance(a.vec, b.vec) AS x FROM cube a JOIN cube b ON a.level = b.level AND b.point_id = (a.point_id * 7 + 1) % (SELECT count(*) FROM embeddings) AND a.point_id <> b.point_id), m AS (SELECT level, CASE WHEN median(x) > 0 THEN median(x) ELSE max(x) END AS s FROM dd GROUP BY level) SELECT level, round(s, 6) AS scale, s = 0 AS degenerate FROM m"),
     "t6_summary": (t6_summary, f"""WITH {INTERVALS}, l AS (SELECT diagram, birth, death - birth AS life, CASE WHEN death > birth THEN (death - birth) / sum(death - birth) OVER (PARTITION BY diagram) END AS p FROM intervals)
 SELECT diagram, count(*) AS bars, 0::BIGINT AS censored, count(*) FILTER (life > 0) AS positive, round(max(life), 6) AS max_life, round(avg(life), 6) AS mean_life, round(sum(life), 6) AS total_life, round(quantile_cont(life, 0.25) FILTER (life > 0), 6) AS q25, round(quantile_cont(life, 0.5) FILTER (life > 0), 6) AS median,
 round(quantile_cont(life, 0.75) FILTER (life > 0), 6) AS q75, round(-sum(p * ln(p)) FILTER (p > 0) / ln(count(*) FILTER (life > 0)), 6) AS entropy, round(max(p), 6) AS largest_share, arg_max(birth, (life, -birth)) AS birth_of_longest FROM l GROUP BY diagram"""),

@@ -370,7 +370,7 @@ def test_sentencepiece_rows(spark, odd, empty):
     assert got.count() == odd.count() and got.where("doc_id = 0").first()["n_tokens"] == 2
     clash = odd.withColumnRenamed("source", "ids")
     full = op9_sentencepiece.encoded(clash, path)
-    assert full.columns == ["doc_id", "text", "lang", "n_chars", "ids", "decoded"] and full.where("ids IS NULL").isEmpty()
+    assert full.columns == [*clash.columns, "_ids", "decoded"] and full.where("_ids IS NULL").isEmpty() and full.where("ids IS NOT NULL").count() == clash.where("ids IS NOT NULL").count()
     assert op9_sentencepiece.digests(empty, path).count() == 0
 
 

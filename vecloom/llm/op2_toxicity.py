@@ -239,7 +239,7 @@ def scored(docs: DataFrame, machine: Machine, text_col: str = "text", score_col:
             yield pd.Series(np.concatenate([np.zeros(0), *found]))
         give_back()
 
-    return docs.withColumn(score_col, score(F.col(text_col).cast("string")))
+    return docs.withColumn(free_name(docs.columns, score_col), score(F.col(text_col).cast("string")))
 
 
 def held_out(n: int, rest: int) -> Column:

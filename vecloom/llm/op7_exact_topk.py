@@ -16,7 +16,7 @@ Vectors that are null, or hold a null or a non-finite component, take no part; v
 don't score against each other; an empty vector scores 0 against empty ones.  Rows that repeat an id are candidates each,
 but never for a query of their own id; of rows that repeat a query's id, the least vector (by length, then bytes) asks.
 Sums are exact for components of any size: where doubles would not do, candidates are scored in whole numbers.  A score
-beyond a long is null; it is ranked by its value, up to 38 digits.
+beyond a long is null, and ranked by its value all the same.
 """
 
 from __future__ import annotations
@@ -25,7 +25,6 @@ import heapq
 import io
 from collections.abc import Iterator
 from dataclasses import dataclass, fields
-from decimal import Decimal
 
 import numpy as np
 import pandas as pd
@@ -41,8 +40,8 @@ SCALE = 256
 NARROW = 1 << 22
 PAGE, TREE = 512, 8192
 SAMPLE, PIVOTS, QUERIES = 4096, 128, 2048
-#: Blocks of queries that meet a tree at once, and decimal digits that scores are ranked by.
-SLICE, DIGITS = 8, 38
+#: Blocks of queries that meet a tree at once.
+SLICE = 8
 
 
 def quantised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,6 +153,16 @@ def exact(x: np.ndarray, y: np.ndarray) -> int:
     return sum(int(a) * int(b) for a, b in zip(x.tolist(), y.tolist(), strict=True))
 
 
+_NINES = str.maketrans("0123456789", "9876543210")
+
+
+def ordered(value: int) -> str:
+    """A text that sorts as the number does: its sign, its length and its digits, those of a negative one turned round."""
+    digits = str(abs(value))
+    text = f"{len(digits):05d}{digits}"
+    return f"1{text}" if value >= 0 else f"0{text.translate(_NINES)}"
+
+
 def search(t: Tree, query: int, q: np.ndarray, k: int, floor: float) -> list[tuple[int, int]]:
     """The k best (score, -id) of a tree for one query, none below ``floor``, its own id left out."""
     most = float(np.abs(t.rows).max(initial=0)) * float(np.abs(q).max(initial=0)) * len(q)
@@ -323,12 +332,11 @@ def top_k(table_: DataFrame, queries: str, k: int = 5, id_col: str = "vec_id", v
         for ids, q, floor in zip(asked["ids"], asked["q"], asked["floor"], strict=True):
             for i, x, f in zip(*_unpacked(ids, q, floor), strict=True):
                 rows += [(int(i), -v, s) for s, v in search(t, int(i), x, k, float(f))]
-        limit = 10**DIGITS - 1
         fits = [s if -(1 << 63) <= s < 1 << 63 else None for *_, s in rows]
-        return pd.DataFrame({"query_id": [r[0] for r in rows], "vec_id": [r[1] for r in rows], "score": pd.array(fits, "Int64"), "value": [Decimal(max(-limit, min(limit, r[2]))) for r in rows]})
+        return pd.DataFrame({"query_id": [r[0] for r in rows], "vec_id": [r[1] for r in rows], "score": pd.array(fits, "Int64"), "place": [ordered(r[2]) for r in rows]})
 
-    found = ready.groupBy("tree", "slice").cogroup(asked.groupBy("tree", "slice")).applyInPandas(answer, f"query_id long, vec_id long, score long, value decimal({DIGITS},0)")
-    w = Window.partitionBy("query_id").orderBy(F.desc("value"), "vec_id")
+    found = ready.groupBy("tree", "slice").cogroup(asked.groupBy("tree", "slice")).applyInPandas(answer, "query_id long, vec_id long, score long, place string")
+    w = Window.partitionBy("query_id").orderBy(F.desc("place"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

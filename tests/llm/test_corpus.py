@@ -362,6 +362,9 @@ def test_encoding_and_decoding_are_the_librarys(spark, data):
     for t in rows:
         ids = sp.encode(t, add_bos=True, add_eos=True)
         assert m.encode(t).tolist() == ids and m.decode(np.array(ids, "<u4")) == sp.decode(ids)
+    for low in range(0, len(rows), 300):  # words known from earlier batches, and new ones
+        part = rows[low : low + 300]
+        assert [i.tolist() for i in m.encode_all(pa.array(part))] == [sp.encode(t, add_bos=True, add_eos=True) for t in part]
 
 
 def test_sentencepiece_rows(spark, odd, empty):

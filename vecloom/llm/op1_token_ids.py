@@ -6,8 +6,8 @@ their ids and lengths, how many ids the shard holds before them, the group's ord
 reset, checksummed blocks of the adaptive coder in ``id_coder``.  The container is Parquet, so
 Spark's own commit protocol writes it to whatever store the path names.
 
-Texts are cut at single spaces, which no token spans, and each different word of some megabytes of them is encoded
-once; the ids are those of the whole text.  Null text counts as empty (the end id alone).  A null id comes first;
+Texts are cut at single spaces, which no token spans, and each different word of some megabytes of them, if it is not known yet, is
+encoded once; the ids are those of the whole text.  Null text counts as empty (the end id alone).  A null id comes first;
 rows that repeat an id are documents of their own, in the order of their texts' hashes.  An empty table gives no rows.
 """
 
@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, delete_at_exit, give_back, shared_dir, sliced, table
 from .id_coder import decode, encode
+from .parts import Words, assembled
 
 END = 0
 #: Ids after which a group ends, at the end of a document.
@@ -48,61 +49,30 @@ class Encoder:
         size = self.tokenizer.get_vocab_size()
         self.spaced = np.array([(self.tokenizer.id_to_token(i) or "").startswith("\u0120") for i in range(size)])
 
+        self.known = Words(self.words, "<u2")
+
     def words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words, each after a space, and where each word's begin."""
         out, begin, n = [], [], 0
-        lists = pa.ListArray.from_arrays(pa.array(np.append(np.arange(0, len(words), 256), len(words)).astype(np.int32)), words)
-        for k, text in enumerate(pc.binary_join(lists, " ").to_pylist()):
-            ids = np.array(self.tokenizer.encode(" " + text, add_special_tokens=False).ids, "<u2")
-            at = np.flatnonzero(self.spaced[ids])
-            some = words[k * 256 : (k + 1) * 256]
-            # Each word begins with the id of a space, and no other id does: those ids part the words.
-            if len(at) != len(some):
-                found = [np.array(e.ids, "<u2") for e in self.tokenizer.encode_batch_fast([" " + w for w in some.to_pylist()], add_special_tokens=False)]
-                ids, at = np.concatenate(found), np.cumsum([0, *map(len, found[:-1])])
-            out.append(ids)
-            begin.append(at + n)
-            n += len(ids)
+        cuts = np.append(np.arange(0, len(words), 64), len(words)).astype(np.int32)
+        texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(cuts), words), " ")
+        for low in range(0, len(texts), 64):
+            for k, e in enumerate(self.tokenizer.encode_batch_fast([f" {t}" for t in texts[low : low + 64].to_pylist()], add_special_tokens=False), low):
+                ids = np.array(e.ids, "<u2")
+                at = np.flatnonzero(self.spaced[ids])
+                # Each word begins with the id of a space, and no other id does: those ids part the words.
+                if len(at) != cuts[k + 1] - cuts[k]:
+                    found = [np.array(x.ids, "<u2") for x in self.tokenizer.encode_batch_fast([f" {w}" for w in words[cuts[k] : cuts[k + 1]].to_pylist()], add_special_tokens=False)]
+                    ids, at = np.concatenate(found), np.cumsum([0, *map(len, found[:-1])])
+                out.append(ids)
+                begin.append(at + n)
+                n += len(ids)
         return np.concatenate([np.zeros(0, "<u2"), *out]), np.concatenate([np.zeros(0, np.int64), *begin])
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, END after each text, and how many each text has (uint16, int64)."""
-        if not len(texts):
-            return np.zeros(0, "<u2"), np.zeros(0, np.int64)
-        split = pc.split_pattern(pc.fill_null(texts, ""), " ")
-        offset = split.offsets.to_numpy().astype(np.int64)
-        coded = pc.dictionary_encode(split.values.slice(offset[0], offset[-1] - offset[0]))
-        offset -= offset[0]
-        at = coded.indices.to_numpy().astype(np.int64)
-        # A text with a run of spaces, or one at an end, is taken whole; of the others, the first part.
-        none = pc.index(coded.dictionary, "").as_py()
-        whole = np.zeros(len(texts), bool)
-        if none >= 0:
-            whole[np.searchsorted(offset, np.flatnonzero(at == none), side="right") - 1] = True
-        first = offset[:-1]
-        heads = pc.if_else(pa.array(whole), pc.fill_null(texts, ""), coded.dictionary.take(pa.array(at[first]))).to_pylist()
-        kept = ~np.repeat(whole, np.diff(offset))
-        kept[first] = False
-        n_words = len(coded.dictionary)
-        used = np.zeros(n_words, bool)
-        used[at[kept]] = True
-        ids, begin = self.words(coded.dictionary.filter(pa.array(used)))
-        own = [np.array(e.ids, "<u2") for e in self.tokenizer.encode_batch_fast(heads, add_special_tokens=False)]
-        begins, sizes = np.zeros(n_words + len(own) + 1, np.int64), np.zeros(n_words + len(own) + 1, np.int64)
-        begins[:n_words][used], sizes[:n_words][used] = begin, np.diff(begin, append=len(ids))
-        sizes[n_words:] = [*map(len, own), 1]
-        begins[n_words:] = len(ids) + np.cumsum(sizes[n_words:]) - sizes[n_words:]
-        ids = np.concatenate([ids, *own, np.array([END], "<u2")])
-        # Each text is its head, its other words, and END.
-        n_parts = np.add.reduceat(kept, first).astype(np.int64) + 2
-        last = np.cumsum(n_parts)
-        order = np.empty(last[-1], np.int64)
-        body = np.ones(last[-1], bool)
-        body[last - 1] = body[last - n_parts] = False
-        order[body], order[last - n_parts], order[last - 1] = at[kept], n_words + np.arange(len(own)), n_words + len(own)
-        n = sizes[order]
-        ends = np.cumsum(n)
-        return ids[np.repeat(begins[order] - (ends - n), n) + np.arange(ends[-1])], np.diff(ends[last - 1], prepend=0)
+        heads = lambda own, _: [np.array(e.ids, "<u2") for e in self.tokenizer.encode_batch_fast(own, add_special_tokens=False)]
+        return assembled(texts, self.known, heads, True, END)
 
 
 @lru_cache(maxsize=2)

@@ -22,14 +22,16 @@ from hashlib import sha256
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, free_name, give_back, sliced, table
+from .parts import Words, assembled
 
 SPACE = "▁"
 #: Entries of a worker's table of encoded parts, and of checked pairs of pieces.
-PARTS, PAIRS = 150_000, 300_000
+PARTS, PAIRS = 60_000, 300_000
 
 
 class Model:
@@ -74,6 +76,7 @@ class Model:
         for i in (self.bos, self.eos):
             if i >= 0:
                 self.text[i] = ""
+        self.known = Words(self.words, "<u4")
         self.special = np.zeros(n, bool)
         self.special[[*self.byte_of, self.unk]] = True
 
@@ -206,6 +209,20 @@ class Model:
                 out = [self.lookup(w) if x is None else x for w, x in zip(words, out, strict=True)]
         return np.frombuffer(array("I", [self.bos]).tobytes() + b"".join(out) + array("I", [self.eos]).tobytes(), "<u4")
 
+    def words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words, each after a space mark, and where each word's begin."""
+        found = [self.lookup(SPACE + w) for w in words.to_pylist()]
+        size = np.array([len(x) // 4 for x in found], np.int64)
+        return np.frombuffer(b"".join(found), "<u4"), np.cumsum(size) - size
+
+    def encode_all(self, texts: pa.Array) -> list[np.ndarray]:
+        """All ids of each text, begin and end included: as ``encode`` gives them, each new word of the batch encoded once."""
+        begin, nothing = np.array([self.bos], "<u4"), np.zeros(0, "<u4")
+        heads = lambda own, whole: [np.concatenate([begin, self.encode(t)[1:-1] if w else nothing]) for t, w in zip(own, whole, strict=True)]
+        plain = pc.replace_substring(pc.fill_null(texts, ""), SPACE, " ")
+        ids, n = assembled(plain, self.known, heads, False, self.eos)
+        return np.split(ids, np.cumsum(n)[:-1]) if len(n) else []
+
     def decode(self, ids: np.ndarray) -> str:
         text = self.text
         if not self.special[ids].any():
@@ -238,8 +255,8 @@ def encoded(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
-        for batch in sliced(batches, text_col):
-            ids = [m.encode(t or "") for t in batch.column(text_col).to_pylist()]
+        for batch in sliced(batches, text_col, 1 << 20, 4 << 20):
+            ids = m.encode_all(batch.column(text_col))
             data = [batch.column(f.name) for f in names]
             at = np.zeros(len(ids) + 1, np.int32)
             np.cumsum([len(i) for i in ids], out=at[1:])
@@ -258,10 +275,9 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
-        for batch in sliced(batches, "text"):
+        for batch in sliced(batches, "text", 1 << 20, 4 << 20):
             n, a, b = [], [], []
-            for t in batch.column("text").to_pylist():
-                ids = m.encode(t or "")
+            for ids in m.encode_all(batch.column("text")):
                 n.append(len(ids))
                 a.append(sha256(ids.tobytes()).hexdigest())
                 b.append(sha256(m.decode(ids).encode()).hexdigest())

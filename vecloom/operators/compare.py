@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import average_rank, spearman
+from ..staging import staged
+from .knn import blocks, cells
 
 
 def relative_depth(levels: DataFrame, model: str = "model", level: str = "level") -> DataFrame:
@@ -75,10 +79,26 @@ def rank_changes(scores: DataFrame, points: DataFrame, first: int, second: int)
 def rank_flips(scores: DataFrame, points: DataFrame, first: int, second: int, group: str) -> DataFrame:
     """(g1, g2, pairs, flips, unflips, ties) over all pairs of points: concordant with the target at the first level and discordant at the second, and the reverse."""
     wide = scores.where(F.col("level") == first).select("point_id", F.col("score").alias("x")).join(scores.where(F.col("level") == second).select("point_id", F.col("score").alias("y")), "point_id").join(points.select("point_id", "target", F.col(group).alias("g")), "point_id")
-    other = wide.select(F.col("point_id").alias("q"), F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("target").alias("t2"), F.col("g").alias("h"))
-    j = wide.join(other, F.col("point_id") < F.col("q"))
-    s1, s2 = F.signum((F.col("x2") - F.col("x")) * (F.col("t2") - F.col("target"))), F.signum((F.col("y2") - F.col("y")) * (F.col("t2") - F.col("target")))
-    return j.groupBy(F.least("g", "h").alias("g1"), F.greatest("g", "h").alias("g2")).agg(F.count("*").alias("pairs"), F.count_if((s1 > 0) & (s2 < 0)).alias("flips"), F.count_if((s1 < 0) & (s2 > 0)).alias("unflips"), F.count_if((s1 == 0) | (s2 == 0)).alias("ties"))
+    # Blocks of points meet by cell, so a pair of points is never a row.
+    row = F.array(*[F.col(c).cast("double") for c in ("x", "y", "target", "g")])
+    packed = staged(blocks(wide.select(F.lit(0).alias("level"), "point_id", row.alias("vec"))), "flip-blocks")
+
+    def count(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                p, q = (batch.column(c)[i].values.to_numpy(zero_copy_only=False).reshape(-1, 4) for c in ("data", "data2"))
+                d = [q[None, :, k] - p[:, None, k] for k in range(3)]
+                one, two = np.sign(d[0] * d[2]), np.sign(d[1] * d[2])
+                use = np.triu(np.ones(one.shape, bool), 1) if batch.column("x")[i] == batch.column("y")[i] else np.ones(one.shape, bool)
+                kind = ((one > 0) & (two < 0)) + 2 * ((one < 0) & (two > 0)) + 4 * ((one == 0) | (two == 0))
+                low, high = np.minimum(p[:, None, 3], q[None, :, 3]), np.maximum(p[:, None, 3], q[None, :, 3])
+                found, n = np.unique(np.stack([low[use], high[use], kind[use]], 1), axis=0, return_counts=True)
+                yield pa.record_batch([pa.array(found[:, 0]), pa.array(found[:, 1]), pa.array(found[:, 2].astype(np.int32)), pa.array(n)], ["g1", "g2", "kind", "n"])
+
+    found = cells(packed).where("x <= y").mapInArrow(count, "g1 double, g2 double, kind int, n long")
+    of = lambda k: F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0))
+    out = found.groupBy("g1", "g2").agg(F.sum("n").alias("pairs"), of(1).alias("flips"), of(2).alias("unflips"), of(4).alias("ties"))
+    return out.withColumns({c: F.col(c).cast(wide.schema["g"].dataType) for c in ("g1", "g2")})
 
 
 def phase_medians(metrics: DataFrame, value: str) -> DataFrame:

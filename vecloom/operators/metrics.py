@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.stats import distribution
 from .graph import components, union_graph
 from .knn import neighbour_overlap
+from .moments import moments, shares
 
 PREVIOUS = "previous"
 
@@ -74,9 +75,10 @@ def digit_baseline(points: DataFrame) -> DataFrame:
 
 def degeneration(vectors: DataFrame) -> DataFrame:
     """(level, rms_norm, rms_centred, degenerate): whether a level's vectors are all but one point."""
-    x = vectors.select("level", F.posexplode("vec").alias("dim", "x"))
-    per = x.groupBy("level", "dim").agg(F.count("*").alias("n"), F.sum(F.col("x") * F.col("x")).alias("ss"), (F.var_pop("x") * F.count("x")).alias("cs"))
-    out = per.groupBy("level").agg(F.sqrt(F.sum("ss") / F.max("n")).alias("rms_norm"), F.sqrt(F.sum("cs") / F.max("n")).alias("rms_centred"))
+    m = moments(vectors, "level")  # a row a level
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, v: a + v)
+    squares = total("m2") + F.col("n") * total(F.transform("mean", lambda v: v * v))
+    out = m.select("level", F.sqrt(squares / F.col("n")).alias("rms_norm"), F.sqrt(total("m2") / F.col("n")).alias("rms_centred"))
     return out.withColumn("degenerate", F.col("rms_centred") <= 1e-7 * F.greatest(F.lit(1.0), F.col("rms_norm")))
 
 
@@ -85,19 +87,13 @@ def group_variance(vectors: DataFrame, labels: DataFrame, keys: tuple[str, ...]
 
     ``labels(point_id, name, label)``; rows with a NULL label take no part; NULL without rows or variance.
     """
-    x = vectors.join(labels.where("label IS NOT NULL"), "point_id").select(*keys, "name", "label", F.posexplode("vec").alias("dim", "x"))
-    by = x.groupBy(*keys, "name", "dim", "label").agg(F.count("*").alias("n"), F.avg("x").alias("m"), (F.var_pop("x") * F.count("x")).alias("within"))
-    w = Window.partitionBy(*keys, "name", "dim")
-    by = by.withColumn("mean", F.sum(F.col("n") * F.col("m")).over(w) / F.sum("n").over(w))
-    parts = by.groupBy(*keys, "name").agg(F.sum(F.col("n") * (F.col("m") - F.col("mean")) ** 2).alias("between"), F.sum("within").alias("within"))
-    return parts.select(*keys, "name", F.when(F.col("between") + F.col("within") > 0, F.least(F.greatest(F.col("between") / (F.col("between") + F.col("within")), F.lit(0.0)), F.lit(1.0))).alias("share"))
+    rows = vectors.join(labels.where("label IS NOT NULL"), "point_id")
+    return shares(moments(rows, *keys, "name", "label"), *keys, "name")
 
 
 def centroids(vectors: DataFrame, labels: DataFrame) -> DataFrame:
     """(level, label, n, centroid) of ``labels(point_id, label)``."""
-    x = vectors.join(labels, "point_id").select("level", "label", F.posexplode("vec").alias("dim", "x"))
-    per = x.groupBy("level", "label", "dim").agg(F.avg("x").alias("m"), F.count("*").alias("n"))
-    return per.groupBy("level", "label").agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("dim", "m"))), lambda s: s["m"]).alias("centroid"))
+    return moments(vectors.join(labels, "point_id"), "level", "label").select("level", "label", "n", F.col("mean").alias("centroid"))
 
 
 def centroid_ranking(centres: DataFrame, k: int = 4) -> DataFrame:

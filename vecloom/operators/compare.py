@@ -124,7 +124,8 @@ def peak_windows(metrics: DataFrame, value: str, reach: int = 2) -> DataFrame:
 
 def equivalence(reference: DataFrame, candidate: DataFrame) -> DataFrame:
     """(level, n, max_abs, rel_l2, cosine_error): how far a candidate's vectors are from a reference's."""
-    j = reference.join(candidate.withColumnRenamed("vec", "other"), ["level", "point_id"]).select("level", "point_id", F.posexplode(F.arrays_zip("vec", "other")).alias("dim", "p"))
-    x, y = F.col("p.vec"), F.col("p.other")
-    per = j.groupBy("level", "point_id").agg(F.max(F.abs(x - y)).alias("m"), F.sum((x - y) ** 2).alias("dd"), F.sum(x * x).alias("xx"), F.sum(y * y).alias("yy"), F.sum(x * y).alias("xy"))
+    j = reference.join(candidate.withColumnRenamed("vec", "other"), ["level", "point_id"])
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
+    apart = F.zip_with("vec", "other", lambda p, q: p - q)
+    per = j.select("level", F.array_max(F.transform(apart, F.abs)).alias("m"), dot(apart, apart).alias("dd"), dot("vec", "vec").alias("xx"), dot("other", "other").alias("yy"), dot("vec", "other").alias("xy"))
     return per.groupBy("level").agg(F.count("*").alias("n"), F.max("m").alias("max_abs"), (F.sqrt(F.sum("dd")) / F.sqrt(F.sum("xx"))).alias("rel_l2"), F.max(1 - F.col("xy") / F.sqrt(F.col("xx") * F.col("yy"))).alias("cosine_error"))

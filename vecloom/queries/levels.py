@@ -48,9 +48,8 @@ def a15_group_gaps(spark, d):
 
 def a18_digit_positions(spark, d):
     """Share of the variance between the digits at each position from the right."""
-    p = points(spark, d)
-    names = ", ".join(f"'p{k}', if(target >= {10**k}, cast(floor(target / {10**k}) % 10 as int), null)" for k in range(3))
-    return rounded(metrics.group_variance(cube(spark, d), p.select("point_id", F.expr(f"stack(3, {names}) AS (name, label)"))))
+    each = points(spark, d).select("point_id", F.col("target").cast("string").alias("t"), F.explode(F.sequence(F.lit(1), F.length(F.col("target").cast("string")))).alias("k"))
+    return rounded(metrics.group_variance(cube(spark, d), each.select("point_id", F.concat(F.lit("p"), F.col("k") - 1).alias("name"), F.substring("t", -F.col("k"), F.lit(1)).cast("int").alias("label"))))
 
 
 def a19_streaming_variance(spark, d):
@@ -197,7 +196,7 @@ QUERIES = {
     "a12_best_level": (a12_best_level, None),
     "a13_spearman": (a13_spearman, f"WITH r AS (SELECT l_returnflag, {_rank('l_quantity', 'l_returnflag')} AS x, {_rank('l_extendedprice', 'l_returnflag')} AS y FROM lineitem) SELECT l_returnflag, round(corr(x, y), 6) AS rho FROM r GROUP BY ALL"),
     "a15_group_gaps": (a15_group_gaps, None),
-    "a18_digit_positions": (a18_digit_positions, f"""WITH {CUBE}, {POINTS}, l AS (SELECT point_id, 'p' || k AS name, (target // (10 ** k)::BIGINT % 10)::INT AS label FROM points, range(3) t(k) WHERE target >= 10 ** k),
+    "a18_digit_positions": (a18_digit_positions, f"""WITH {CUBE}, {POINTS}, l AS (SELECT point_id, 'p' || k AS name, (target // (10 ** k)::BIGINT % 10)::INT AS label FROM points, range(18) t(k) WHERE target >= 10 ** k),
 x AS (SELECT level, name, label, unnest(range(16)) AS dim, unnest(vec) AS x FROM cube JOIN l USING (point_id)), m AS (SELECT *, avg(x) OVER (PARTITION BY level, name, dim) AS mu, avg(x) OVER (PARTITION BY level, name, dim, label) AS g FROM x)
 SELECT level, name, round(sum((g - mu) ** 2) / sum((x - mu) ** 2), 6) AS share FROM m GROUP BY ALL"""),
     "a19_streaming_variance": (a19_streaming_variance, f"WITH {CUBE}, {POINTS}, x AS (SELECT level, leading_digit, unnest(range(16))::INT AS dim, unnest(vec) AS x FROM cube JOIN points USING (point_id)) SELECT level, leading_digit, dim, count(*) AS n, round(sum(x), 6) AS s, round(sum(x * x), 6) AS ss FROM x GROUP BY ALL"),

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.moments import moments
+
 VECTORS = "level int, point_id long, vec array<float>"
 
 
@@ -84,9 +86,7 @@ def verify_manifest(manifest: DataFrame, found: DataFrame) -> DataFrame:
 
 def centred(vectors: DataFrame) -> DataFrame:
     """Each level's vectors less their mean, cast to floats: a published slice."""
-    x = vectors.select("level", "point_id", F.posexplode("vec").alias("dim", "x"))
-    mean = x.groupBy("level", "dim").agg(F.avg("x").alias("m"))
-    means = mean.groupBy("level").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "m"))), lambda s: s["m"]).alias("mean"))
+    means = moments(vectors, "level").select("level", "mean")  # a row a level
     return vectors.join(F.broadcast(means), "level").select("level", "point_id", F.zip_with("vec", "mean", lambda a, b: (a - b).cast("float")).alias("vec"))
 
 

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vecloom import schemas
+from vecloom.operators import shapes, tasks
 from vecloom.plans import catalog, full_range
 from vecloom.sources import store, tables
 from vecloom.streaming import ingest
@@ -54,6 +55,49 @@ def test_catalogue_makes_a_result_once(spark, tmp_path):
         c.require("nosuch")
 
 
+def test_catalogue_leaves_no_half_results(spark, tmp_path):
+    c = catalog.Catalog(spark, str(tmp_path), {"k": 4})
+
+    def fails():
+        return spark.range(3).select(F.raise_error(F.lit("stopped")).alias("x"))
+
+    with pytest.raises(Exception, match="stopped"):
+        c.get("a", fails)
+    assert not c.complete(c.key("a")) and c.recover() == 1 and c.recover() == 0
+
+    def late():  # another writer ends while this one works
+        c.get("b", lambda: spark.range(5))
+        return spark.range(7)
+
+    assert c.get("b", late)[0].count() == 5 and c.recover() >= 0
+
+
+def test_rows_of_a_condition(spark, tmp_path):
+    v = spark.createDataFrame([(0, level, i, [float(i)]) for level in range(2) for i in range(6)], "model int, level int, point_id long, vec array<double>")
+    store.write_levels(v.drop("model"), f"{tmp_path}/v")
+    rows = spark.createDataFrame([(i, "copy" if i % 2 else "reverse", "a") for i in range(6)] + [(9, "copy", "b")], "point_id long, task string, context_id string")
+    got = store.read_group(spark, f"{tmp_path}/v", rows, "copy", "a").collect()
+    assert sorted((r["level"], r["point_id"]) for r in got) == [(level, i) for level in range(2) for i in (1, 3, 5)]
+    with pytest.raises(Exception, match="no stored vector of point 9"):
+        store.read_group(spark, f"{tmp_path}/v", rows, "copy", "b").collect()
+
+
+def test_json_and_csv_round_trips(spark, tmp_path):
+    df = spark.createDataFrame([(1, 0.1 + 0.2, "a,b"), (2, None, 'q"')], "i long, x double, s string")
+    store.write_csv(df, f"{tmp_path}/csv")
+    got = store.read_csv(spark, f"{tmp_path}/csv", "i long, x double, s string").orderBy("i").collect()
+    assert [(r["i"], r["x"]) for r in got] == [(1, 0.3), (2, None)] and got[0]["s"] == "a,b"
+    (tmp_path / "rows.json").write_text('[{"i": 1, "s": "x"},\n {"i": 2, "s": null}]')
+    assert sorted(tuple(r) for r in store.read_json_rows(spark, f"{tmp_path}/rows.json", "i long, s string").collect()) == [(1, "x"), (2, None)]
+
+
+def test_controls_and_costs(spark):
+    x = np.random.default_rng(0).normal(size=(400, 3)) * [1, 2, 3]
+    null = shapes.null_clouds(x)
+    assert sorted(null["permuted"][:, 1]) == sorted(x[:, 1]) and np.cov(null["gaussian"].T).diagonal() == pytest.approx(np.cov(x.T).diagonal(), rel=0.3)
+    assert spark.range(1).select(tasks.reservation_cost(F.lit(60.0), F.lit(2.0)).alias("c")).first()["c"] == pytest.approx(750)
+
+
 def test_receipts(spark):
     good, bad = catalog.merge_receipts(spark.createDataFrame([("a", "1"), ("a", "1"), ("b", "1"), ("b", "2")], "key string, sha256 string"))
     assert [r["key"] for r in good.collect()] == ["a"] and [r["key"] for r in bad.collect()] == ["b"]

@@ -1,14 +1,16 @@
 """A catalogue of materialised results keyed by what they were made from.
 
 An artifact's key is the sha256 of its name, its configuration (canonical JSON), its inputs' keys and the
-code's version; a result is written under its key and then marked complete, so an interrupted write is never taken
-for a result, an unchanged one is never made again, and anything that differs has another key.
+code's version.  A result is prepared under a name of its own and moved to its key when it is whole, so an interrupted write is
+never taken for a result and of two writers the first one's stands; an unchanged result is never made again, and anything that
+differs has another key.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -39,9 +41,22 @@ class Catalog:
         key = self.key(name, inputs)
         path = f"{self.root}/{key}"
         if not self.complete(key):
-            make().write.mode("overwrite").parquet(path)
+            prepared = f"{self.root}/_prepared/{key}-{uuid.uuid4().hex}"
+            make().write.parquet(prepared)
+            fs, source = self._fs(prepared)
+            target = self._fs(path)[1]
+            if self.complete(key) or not fs.rename(source, target):
+                fs.delete(source, True)  # another writer was first
+                self.require(key)
         return self.spark.read.parquet(path), key
 
+    def recover(self) -> int:
+        """Delete what interrupted writers have left behind, and tell how much; none may be at work."""
+        fs, p = self._fs(f"{self.root}/_prepared")
+        n = len(fs.listStatus(p)) if fs.exists(p) else 0
+        fs.delete(p, True)
+        return n
+
     def require(self, key: str) -> DataFrame:
         if not self.complete(key):
             raise FileNotFoundError(f"no complete artifact {key}")

@@ -7,7 +7,6 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -90,7 +89,14 @@ def centred(vectors: DataFrame) -> DataFrame:
     return vectors.join(F.broadcast(means), "level").select("level", "point_id", F.zip_with("vec", "mean", lambda a, b: (a - b).cast("float")).alias("vec"))
 
 
-def arrow_schema_of(df: DataFrame) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
+def read_group(spark: SparkSession, path: str, rows: DataFrame, task: str, context: str, model: str | None = None) -> DataFrame:
+    """The stored vectors of one condition's rows: ``rows(point_id, task, context_id)`` of the task and context, at every level.
 
-    return to_arrow_schema(df.schema)
+    The filter on the rows comes first; a model's directory is pruned.  Ids that the store lacks are an error on use, as a missing level would be.
+    """
+    wanted = rows.where((F.col("task") == task) & (F.col("context_id") == context)).select("point_id", F.lit(True).alias("wanted"))
+    found = spark.read.parquet(path)
+    found = found.where(F.col("model") == model) if model is not None else found
+    joined = found.join(wanted, "point_id", "right")
+    stored = F.when(F.col("level").isNull(), F.raise_error(F.concat(F.lit("no stored vector of point "), F.col("point_id")))).otherwise(F.col("wanted"))
+    return joined.withColumn("wanted", stored).where("wanted").drop("wanted")

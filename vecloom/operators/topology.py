@@ -17,6 +17,36 @@ def betti_steps(intervals: DataFrame, *keys: str) -> DataFrame:
     return step.withColumn("betti", F.sum("v").over(w)).drop("v")
 
 
+def feature_vector(intervals: DataFrame, key: str, longer: tuple[float, ...] = (0.1, 0.5, 1.0), radii: tuple[float, ...] = (0.1, 0.5, 1.0), most: int = 30) -> DataFrame:
+    """(key, ...): what a diagram of finite bars is described by.
+
+    The number of bars, quartiles, tails and sum of their lives, the longest bars and their shares, the entropy of the positive
+    lives (also over its largest), bars longer than some lives and alive at some radii, the largest Betti number and the
+    first radius that has it.
+    """
+    i = intervals.withColumn("life", F.col("death") - F.col("birth"))
+    life = F.col("life")
+    q = F.percentile("life", F.array(*map(F.lit, (0.25, 0.5, 0.75, 0.9, 0.99))))
+    positive = F.when(life > 0, life)
+    name = lambda x: str(x).replace(".", "_")
+    stats = i.groupBy(key).agg(
+        F.count("*").alias("bars"), F.max("life").alias("top"), F.sum("life").alias("total"), F.min("birth").alias("first_birth"), F.max("death").alias("last_death"),
+        *[q[k].alias(n) for k, n in enumerate(("q25", "q50", "q75", "q90", "q99"))],
+        F.count(positive).alias("positive"), F.sum(positive * F.ln(positive)).alias("_l"),
+        *[F.count_if(life > x).alias(f"longer_{name(x)}") for x in longer], *[F.count_if((F.col("birth") <= x) & (F.col("death") > x)).alias(f"betti_{name(x)}") for x in radii],
+    )
+    entropy = F.when(F.col("total") > 0, F.ln("total") - F.col("_l") / F.col("total"))
+    w = Window.partitionBy(key).orderBy(F.desc("life"), "birth", "death")
+    best = i.withColumn("r", F.row_number().over(w)).where(F.col("r") <= most)  # few rows a diagram
+    at = lambda k, c: F.max(F.when(F.col("r") == k, F.col(c)))
+    tops = best.groupBy(key).agg(at(2, "life").alias("second"), at(1, "birth").alias("top_birth"), at(1, "death").alias("top_death"), F.sum("life").alias("_most"))
+    steps = betti_steps(intervals, key)
+    peak = steps.groupBy(key).agg(F.max(F.struct("betti", -F.col("t"))).alias("p")).select(key, F.col("p.betti").alias("peak_betti"), (-F.col("p.col2")).alias("peak_radius"))
+    out = stats.join(F.broadcast(tops), key).join(F.broadcast(peak), key)  # a row a diagram
+    out = out.withColumn("entropy", entropy).withColumn("entropy_share", F.when(F.col("positive") > 1, F.col("entropy") / F.ln("positive")))
+    return out.withColumn("top_ratio", F.try_divide("top", "second")).withColumn("top_share", F.try_divide("top", "total")).withColumn("most_share", F.try_divide("_most", "total")).drop("_l", "_most")
+
+
 def betti_grid(intervals: DataFrame, grid: DataFrame, *keys: str) -> DataFrame:
     """(keys, t, betti) at the times of ``grid(keys, t)``: intervals with birth <= t < death.
 

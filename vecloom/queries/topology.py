@@ -30,6 +30,10 @@ def t6_summary(spark, d):
     return rounded(topology.diagram_summary(intervals(spark, d), "diagram"))
 
 
+def t24_feature_vector(spark, d):
+    return rounded(topology.feature_vector(intervals(spark, d), "diagram"))
+
+
 def t9_betti_grid(spark, d):
     i = intervals(spark, d)
     return topology.betti_grid(i, topology.uniform_grid(i, 31, 1.0, "diagram").withColumn("t", F.round("t", 6)), "diagram")
@@ -130,6 +134,15 @@ QUERIES = {
 SELECT diagram, count(*) AS bars, 0::BIGINT AS censored, count(*) FILTER (life > 0) AS positive, round(max(life), 6) AS max_life, round(avg(life), 6) AS mean_life, round(sum(life), 6) AS total_life, round(quantile_cont(life, 0.25) FILTER (life > 0), 6) AS q25, round(quantile_cont(life, 0.5) FILTER (life > 0), 6) AS median,
 round(quantile_cont(life, 0.75) FILTER (life > 0), 6) AS q75, round(-sum(p * ln(p)) FILTER (p > 0) / ln(count(*) FILTER (life > 0)), 6) AS entropy, round(max(p), 6) AS largest_share, arg_max(birth, (life, -birth)) AS birth_of_longest FROM l GROUP BY diagram"""),
     "t9_betti_grid": (t9_betti_grid, f"WITH {INTERVALS}, m AS (SELECT diagram, max(death) * 1.0::DOUBLE AS top FROM intervals GROUP BY diagram), g AS (SELECT diagram, round(i * top / 30, 6) AS t FROM m, range(31) r(i)) SELECT g.diagram, t, count(birth) AS betti FROM g LEFT JOIN intervals i ON i.diagram = g.diagram AND birth <= t AND t < death GROUP BY ALL"),
+    "t24_feature_vector": (t24_feature_vector, f"""WITH {_STEPS}, l AS (SELECT *, death - birth AS life FROM intervals), r AS (SELECT *, row_number() OVER (PARTITION BY diagram ORDER BY life DESC, birth, death) AS r FROM l),
+s AS (SELECT diagram, count(*) AS bars, max(life) AS top, sum(life) AS total, min(birth) AS first_birth, max(death) AS last_death, {", ".join(f"quantile_cont(life, {q / 100}) AS q{q}" for q in (25, 50, 75, 90, 99))},
+count(*) FILTER (life > 0) AS positive, sum(life * ln(life)) FILTER (life > 0) AS ll, {", ".join(f"count(*) FILTER (life > {x}) AS longer_{str(x).replace('.', '_')}, count(*) FILTER (birth <= {x} AND death > {x}) AS betti_{str(x).replace('.', '_')}" for x in (0.1, 0.5, 1.0))} FROM l GROUP BY diagram),
+b AS (SELECT diagram, max(life) FILTER (r = 2) AS second, max(birth) FILTER (r = 1) AS top_birth, max(death) FILTER (r = 1) AS top_death, sum(life) FILTER (r <= 30) AS most FROM r GROUP BY diagram),
+p AS (SELECT diagram, betti AS peak_betti, t AS peak_radius FROM bt QUALIFY row_number() OVER (PARTITION BY diagram ORDER BY betti DESC, t) = 1)
+SELECT diagram, bars, round(top, 6) AS top, round(total, 6) AS total, round(first_birth, 6) AS first_birth, round(last_death, 6) AS last_death, {", ".join(f"round(q{q}, 6) AS q{q}" for q in (25, 50, 75, 90, 99))}, positive,
+longer_0_1, longer_0_5, longer_1_0, betti_0_1, betti_0_5, betti_1_0, round(second, 6) AS second, round(top_birth, 6) AS top_birth, round(top_death, 6) AS top_death, peak_betti, round(peak_radius, 6) AS peak_radius,
+round(ln(total) - ll / total, 6) AS entropy, round((ln(total) - ll / total) / ln(positive), 6) AS entropy_share, round(top / second, 6) AS top_ratio, round(top / total, 6) AS top_share, round(most / total, 6) AS most_share
+FROM s JOIN b USING (diagram) JOIN p USING (diagram)"""),
     "t10_betti_steps": (t10_betti_steps, f"WITH {_STEPS} SELECT * FROM bt"),
     "t11_layer_betti": (t11_layer_betti, f"WITH {_LAYERS} SELECT l AS level, (SELECT count(*) FROM ef WHERE birth_layer <= l AND l < death_layer) AS betti FROM range({LEVELS}) t(l)"),
     "t12_effective_levels": (t12_effective_levels, f"WITH {_LAYERS} SELECT raw_birth, raw_death, birth_layer, death_layer, lifetime_layers, count(*) AS n FROM ef GROUP BY ALL"),

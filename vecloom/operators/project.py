@@ -158,25 +158,39 @@ def cross_validated(points: DataFrame, folds: int = 5, degree: int = 3) -> DataF
     """(level, component, basis, r2): out-of-fold fits of scores by the target: a line, a polynomial, and means by leading digit.
 
     ``points`` holds level, component, target, leading_digit, score; a fold is a block of 100 targets dealt round.
-    Normal equations are summed by fold in one pass; a fold's prediction uses the sums of the others.
+    Tasks sum one product matrix of all bases a fold, which is all that moves; a fold's prediction uses the sums of the others.
     """
+    scale = points.groupBy("level", "component").agg(F.avg("target").alias("m"), F.stddev_pop("target").alias("s"), F.avg("score").alias("y"))
+    rows = points.join(F.broadcast(scale), ["level", "component"])  # a row a level and component
+    spans = {"linear": slice(0, 2), "cubic": slice(2, degree + 3), "digit": slice(degree + 3, degree + 13)}
+    keys = ["level", "component", "fold"]
+
+    def partial(batches):
+        sums: dict = {}
+        for f in batches:
+            f = f.assign(fold=(f["target"] // 100) % folds)
+            for key, g in f.groupby(keys):
+                u = ((g["target"] - g["m"]) / g["s"].where(g["s"] > 0, 1.0)).to_numpy(float)
+                y = (g["score"] - g["y"]).to_numpy(float)
+                x = np.concatenate([np.vander(u, 2), np.vander(u, degree + 1), np.eye(10)[g["leading_digit"].to_numpy(int)], y[:, None]], 1)
+                sums[key] = sums.get(key, 0) + x.T @ x
+        yield pd.DataFrame([(*key, p.ravel().tolist()) for key, p in sums.items()], columns=[*keys, "p"])
 
     def fit(f: pd.DataFrame) -> pd.DataFrame:
-        t = f["target"].to_numpy(float)
-        u = (t - t.mean()) / (t.std() or 1)
-        fold = (f["target"].to_numpy() // 100) % folds
-        y = f["score"].to_numpy(float)
-        one_hot = np.eye(10)[f["leading_digit"].to_numpy(int)]
-        bases = {"linear": np.vander(u, 2), "cubic": np.vander(u, degree + 1), "digit": one_hot}
-        sst = ((y - y.mean()) ** 2).sum()
-        out = []
-        for name, b in bases.items():
+        size = degree + 14
+        by = np.zeros((folds, size, size))
+        for k, p in zip(f["fold"], f["p"], strict=True):
+            by[int(k)] += np.array(p).reshape(size, size)
+        total, out = by.sum(0), []
+        for name, at in spans.items():
             sse = 0.0
-            for k in range(folds):
-                test = fold == k
-                w, *_ = np.linalg.lstsq(b[~test], y[~test], rcond=None) if (~test).any() else (np.zeros(b.shape[1]),)
-                sse += ((y[test] - b[test] @ w) ** 2).sum()
-            out.append((f["level"].iloc[0], f["component"].iloc[0], name, 1 - sse / sst if sst > 0 else None))
+            for own in by:
+                rest = total - own
+                w = np.linalg.lstsq(rest[at, at], rest[at, -1], rcond=None)[0]
+                sse += own[-1, -1] - 2 * w @ own[at, -1] + w @ own[at, at] @ w
+            out.append((f["level"].iloc[0], f["component"].iloc[0], name, 1 - sse / total[-1, -1] if total[-1, -1] > 0 else None))
         return pd.DataFrame(out, columns=["level", "component", "basis", "r2"])
 
-    return points.groupBy("level", "component").applyInPandas(fit, "level int, component int, basis string, r2 double")
+    sums = rows.select("level", "component", "target", "leading_digit", "score", "m", "s", "y").mapInPandas(partial, "level int, component int, fold int, p array<double>")
+    return sums.groupBy("level", "component").applyInPandas(fit, "level int, component int, basis string, r2 double")
+

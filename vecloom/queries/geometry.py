@@ -56,6 +56,18 @@ def a20_shape_of_scores(spark, d):
     return rounded(geometry.shape_of_scores(model, metrics.centroids(s, _digits(spark, d))))
 
 
+def a21_folds(spark, d):
+    """Out-of-fold fits of each level's first coordinate by a line and by the leading digit."""
+    rows = cube(spark, d).select("level", "point_id", F.lit(1).alias("component"), F.col("vec")[0].alias("score")).join(points(spark, d), "point_id")
+    return rounded(project.cross_validated(rows.select("level", "component", "target", "leading_digit", "score")).where("basis <> 'cubic'"))
+
+
+def a7_pca_moments(spark, d):
+    """The sums of all variances and of their squares: the trace and the norm of the covariance."""
+    m = project.pca(cube(spark, d), 16)
+    return rounded(m.groupBy("level").agg(F.sum("variance").alias("trace"), F.sum(F.col("variance") ** 2).alias("squares"), F.sum("ratio").alias("ratios")))
+
+
 def a24_pair_correlations(spark, d):
     return rounded(geometry.pair_correlations(cube(spark, d), _pairs(spark, d)))
 
@@ -121,6 +133,14 @@ n AS (SELECT level, component, count(*) AS n FROM comp GROUP BY ALL), cc AS (SEL
 o AS (SELECT n.level, round(count(o.src) / count(DISTINCT n.src) / 4, 6) AS overlap FROM knn n LEFT JOIN knn o ON o.level = n.level - 1 AND o.src = n.src AND o.dst = n.dst WHERE n.level > 0 GROUP BY n.level)
 SELECT s.*, components, largest_share, overlap FROM s JOIN cc USING (level) LEFT JOIN o USING (level)"""),
     "a20_shape_of_scores": (a20_shape_of_scores, None),
+    "a21_folds": (a21_folds, f"""WITH {CUBE}, {POINTS}, r AS (SELECT level, vec[1] AS y, target::DOUBLE AS x, leading_digit AS g, target // 100 % 5 AS fold FROM cube JOIN points USING (point_id)),
+f AS (SELECT DISTINCT level, fold FROM r), line AS (SELECT f.level, f.fold, regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM f JOIN r ON r.level = f.level AND r.fold <> f.fold GROUP BY ALL),
+mean AS (SELECT f.level, f.fold, g, avg(y) AS m FROM f JOIN r ON r.level = f.level AND r.fold <> f.fold GROUP BY ALL), c AS (SELECT level, avg(y) AS c FROM r GROUP BY level),
+s AS (SELECT r.level, sum((y - c) ** 2) AS sst, sum((y - a - b * x) ** 2) AS sl, sum((y - coalesce(m, c)) ** 2) AS sd FROM r JOIN line USING (level, fold) JOIN c USING (level) LEFT JOIN mean USING (level, fold, g) GROUP BY r.level)
+SELECT level, 1::INT AS component, 'linear' AS basis, round(1 - sl / sst, 6) AS r2 FROM s UNION ALL SELECT level, 1::INT, 'digit', round(1 - sd / sst, 6) FROM s"""),
+    "a7_pca_moments": (a7_pca_moments, f"""WITH {CUBE}, x AS (SELECT level, point_id, unnest(range(16)) AS dim, unnest(vec) AS x FROM cube),
+c AS (SELECT a.level, a.dim AS i, b.dim AS j, covar_samp(a.x, b.x) AS c FROM x a JOIN x b USING (level, point_id) GROUP BY ALL)
+SELECT level, round(sum(c) FILTER (i = j), 6) AS trace, round(sum(c * c), 6) AS squares, 1.0::DOUBLE AS ratios FROM c GROUP BY level"""),
     "a24_pair_correlations": (a24_pair_correlations, f"""WITH {_DIST}, b AS (SELECT n.level, n.d AS d, o.d AS e FROM dd n JOIN dd o ON o.level = n.level - 1 AND o.k = n.k), r AS (SELECT *, {_RANK('d')} AS rd, {_RANK('e')} AS re FROM b)
 SELECT level, level - 1 AS previous, round(corr(d, e), 6) AS pearson, round(corr(rd, re), 6) AS rho FROM r GROUP BY level"""),
     "a24_subspace_angles": (a24_subspace_angles, None),

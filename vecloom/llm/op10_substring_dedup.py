@@ -92,33 +92,32 @@ def anchors(h: np.ndarray, doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray,
     return name, place
 
 
-def _ranges(doc: np.ndarray, start: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    """For each document its repeated windows as pairs (first, number)."""
-    if not len(doc):
-        return
+def _ranges(doc: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Windows as stretches of neighbouring ones, a row each: document, first, number."""
     order = np.lexsort((start, doc))
     doc, start = doc[order], start[order]
     new = np.ones(len(doc), bool)
     new[1:] = (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + 1)
     first = np.flatnonzero(new)
-    packed = np.stack([start[first], np.diff(np.append(first, len(doc)))], 1).astype("<u4")
-    owner = doc[first]
-    cut = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
-    for i, j in zip(cut, np.append(cut[1:], len(owner)), strict=True):
-        yield int(owner[i]), packed[i:j].tobytes()
+    return np.stack([doc[first], start[first], np.diff(np.append(first, len(doc)))], 1).astype("<i8")
 
 
 def _groups(name: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of windows with one anchor and hash: an order that brings them together, the place of each group in it, its size."""
-    order = np.lexsort((h, name))
+    order = np.argsort(h)
+    same = h[order[1:]] == h[order[:-1]]
+    other = name[order[1:]] != name[order[:-1]]
+    if (same & other).any():  # a hash under two anchors: by both
+        order = np.lexsort((h, name))
+        same, other = h[order[1:]] == h[order[:-1]], name[order[1:]] != name[order[:-1]]
     new = np.ones(len(order), bool)
-    new[1:] = (h[order[1:]] != h[order[:-1]]) | (name[order[1:]] != name[order[:-1]])
+    new[1:] = ~same | other
     first = np.flatnonzero(new)
     return order, first, np.diff(np.append(first, len(order)))
 
 
-def _sent(w: Words, ids: np.ndarray, parts: int, bits: int) -> Iterator[tuple[int, int, bytes, bytes, bytes]]:
-    """Records of one slice of documents: (part, doc, ids, segments, hashes), or the repeats it found itself."""
+def _sent(w: Words, ids: np.ndarray, parts: int, bits: int) -> Iterator[tuple[int, bytes, bytes, bytes]]:
+    """Records of one slice of documents: (part, ids, segments, hashes), and one without ids: the repeats it found itself."""
     count = np.diff(w.offset)
     if not len(w.hash) or count.max() < WINDOW:
         return
@@ -130,8 +129,8 @@ def _sent(w: Words, ids: np.ndarray, parts: int, bits: int) -> Iterator[tuple[in
     again = np.zeros(len(start), bool)
     again[order] = np.repeat(times > 1, times)
     own = doc[start]
-    for d, data in _ranges(own[again], start[again] - w.offset[own[again]]):
-        yield int(ids[d] % parts), int(ids[d]), b"", b"", data
+    if again.any():
+        yield int(ids[0] % parts), b"", b"", _ranges(ids[own[again]], start[again] - w.offset[own[again]]).tobytes()
     keep = np.sort(order[first])
     start, h, own, again, name, place = (x[keep] for x in (start, h, own, again, name, place))
     low = place % (ROUNDS + 2) < LOW_ROUND
@@ -151,15 +150,15 @@ def _sent(w: Words, ids: np.ndarray, parts: int, bits: int) -> Iterator[tuple[in
     for x, y in zip(cut.tolist(), [*cut[1:].tolist(), len(segment)], strict=True):
         s = segment[x:y].copy()
         docs, s["doc"] = np.unique(s["doc"], return_inverse=True)
-        yield int(sorted_part[x]), -1, ids[docs].tobytes(), s.tobytes(), h[edge[x] : edge[y]].tobytes()
+        yield int(sorted_part[x]), ids[docs].tobytes(), s.tobytes(), h[edge[x] : edge[y]].tobytes()
 
 
-_RECORD = "part int, doc long, ids binary, segments binary, hashes binary"
+_RECORD = "part int, ids binary, segments binary, hashes binary"
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
-    return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["part", "doc", "ids", "segments", "hashes"])
+    kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
+    return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["part", "ids", "segments", "hashes"])
 
 
 class _Part:
@@ -168,8 +167,8 @@ class _Part:
     def __init__(self):
         self.windows = [np.zeros(0, k) for k in ("<u8", "<u8", "<i8", "<i8")]  # anchor, hash and mark, document, start
 
-    def add(self, ids: list[bytes], segments: list[bytes], hashes: list[bytes]) -> Iterator[tuple[int, bytes]]:
-        """The windows that are known to repeat by now and have not been proposed, by document."""
+    def add(self, ids: list[bytes], segments: list[bytes], hashes: list[bytes]) -> np.ndarray:
+        """The windows that are known to repeat by now and have not been proposed."""
         base = np.cumsum([0, *[len(x) // 8 for x in ids]])
         seg = np.frombuffer(b"".join(segments), SEGMENT)
         batch = np.repeat(np.arange(len(ids)), [len(x) // SEGMENT.itemsize for x in segments])
@@ -182,13 +181,15 @@ class _Part:
         again = np.zeros(len(order), bool)
         again[order] = np.repeat(times > 1, times)
         out = again & (h & U(1) == 0)  # the others are marked: they have been proposed
-        yield from _ranges(doc[out], start[out])
         keep = order[first]
-        self.windows = [name[keep], h[keep] | (times > 1).astype(np.uint64), doc[keep], start[keep]]
+        # A mark on any of a group is kept on the one that stays.
+        marked = np.bitwise_or.reduceat(h[order], first) & U(1) if len(first) else h
+        self.windows = [name[keep], (h[keep] >> U(1) << U(1)) | marked | (times > 1).astype(np.uint64), doc[keep], start[keep]]
+        return _ranges(doc[out], start[out])
 
 
 def repeated(docs: DataFrame, parts: int, bits: int = BITS) -> DataFrame:
-    """(doc, ranges): for documents with windows that may repeat, packed pairs (first, number); several rows a document."""
+    """(doc, first, n): stretches of windows that may repeat."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -197,7 +198,7 @@ def repeated(docs: DataFrame, parts: int, bits: int = BITS) -> DataFrame:
                 rows, size = [], 0
                 for row in _sent(w, ids[w.first : w.first + len(w.offset) - 1], parts, bits):
                     rows.append(row)
-                    size += sum(map(len, row[2:]))
+                    size += sum(map(len, row[1:]))
                     if size > 4 << 20:
                         yield _batch(rows)
                         rows, size = [], 0
@@ -207,33 +208,29 @@ def repeated(docs: DataFrame, parts: int, bits: int = BITS) -> DataFrame:
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part: dict[int, _Part] = {}
-        kinds = (pa.int64(), pa.binary())
-        out = lambda rows: pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc", "ranges"])
         for batch in sliced(batches, "hashes", 1 << 20, 8 << 20):
             done, came = [], {}
-            for p, d, *data in zip(*[batch.column(c).to_pylist() for c in ("part", "doc", "ids", "segments", "hashes")], strict=True):
+            for p, *data in zip(*[batch.column(c).to_pylist() for c in ("part", "ids", "segments", "hashes")], strict=True):
                 if data[0]:
                     for k, x in zip(came.setdefault(p, ([], [], [])), data, strict=True):
                         k.append(x)
                 else:
-                    done.append((d, data[2]))
-            for p, data in came.items():
-                done += part.setdefault(p, _Part()).add(*data)
-            for i in range(0, len(done), 10_000):
-                yield out(done[i : i + 10_000])
+                    done.append(np.frombuffer(data[2], "<i8").reshape(-1, 3))
+            done += [part.setdefault(p, _Part()).add(*data) for p, data in came.items()]
+            out = np.concatenate([np.zeros((0, 3), np.int64), *done])
+            for i in range(0, len(out), 100_000):
+                rows = out[i : i + 100_000]
+                yield pa.record_batch([pa.array(rows[:, 0]), pa.array(rows[:, 1].astype(np.int32)), pa.array(rows[:, 2].astype(np.int32))], ["doc", "first", "n"])
         part.clear()
         give_back()
 
     sent = docs.mapInArrow(send, _RECORD).repartitionById(parts, F.col("part"))
-    return sent.mapInArrow(settle, "doc long, ranges binary")
+    return sent.mapInArrow(settle, "doc long, first int, n int")
 
 
-def starts_of(ranges: list[bytes], refuted: list[int] = ()) -> np.ndarray:
-    """The windows of packed ranges, each once, without those that are refuted."""
-    if not ranges:
-        return np.zeros(0, np.int64)
-    r = np.frombuffer(b"".join(ranges), "<u4").reshape(-1, 2).astype(np.int64)
-    at = np.unique(np.repeat(r[:, 0] - (np.cumsum(r[:, 1]) - r[:, 1]), r[:, 1]) + np.arange(r[:, 1].sum()))
+def starts_of(first: np.ndarray, n: np.ndarray, refuted: list[int] = ()) -> np.ndarray:
+    """The windows of stretches, each once, without those that are refuted."""
+    at = np.unique(np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum()))
     return at[~np.isin(at, refuted)] if len(refuted) else at
 
 
@@ -260,10 +257,14 @@ _CUT = "doc long, doc_id long, n_words long, n_removed long, kept string, starts
 
 def _cut(batches: Iterator[pa.RecordBatch], digest: bool) -> Iterator[pa.RecordBatch]:
     for batch in sliced(batches, "text"):
-        rows = []
-        for doc, i, t, r, no in zip(*[batch.column(c).to_pylist() for c in ("doc", "doc_id")], batch.column("text").cast(pa.binary()).to_pylist(), batch.column("ranges").to_pylist(), batch.column("refuted").to_pylist(), strict=True):
+        rows, none = [], np.zeros(0, np.int64)
+        lists = batch.column("ranges")
+        cut, flat = lists.offsets.to_numpy(), lists.values
+        first, length = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
+        found = [(first[x:y], length[x:y]) for x, y in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+        for doc, i, t, r, no in zip(*[batch.column(c).to_pylist() for c in ("doc", "doc_id")], batch.column("text").cast(pa.binary()).to_pylist(), found, batch.column("refuted").to_pylist(), strict=True):
             words = (t or b"").split()
-            starts = starts_of(r or [], no or [])
+            starts = starts_of(*r, no or []) if len(r[0]) else none
             kept = kept_words(words, starts)
             text = b" ".join(kept)
             rows.append((doc, i, len(words), len(words) - len(kept), sha256(text).hexdigest() if digest else text.decode("utf-8", "replace"), starts.astype("<u4").tobytes(), digests(words, starts)))
@@ -296,7 +297,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = staged(repeated(rows.select("doc", "text"), parts, bits), "op10-repeats")
 
     def cut(rows: DataFrame, refuted: DataFrame | None = None) -> DataFrame:
-        ranges = found.groupBy(F.col("doc").alias("_doc")).agg(F.collect_list("ranges").alias("ranges"))
+        ranges = found.groupBy(F.col("doc").alias("_doc")).agg(F.collect_list(F.struct("first", "n")).alias("ranges"))
         joined = rows.join(ranges.hint("merge"), F.col("doc") == F.col("_doc"), "left")
         joined = joined.withColumn("refuted", F.lit(None).cast("array<int>")) if refuted is None else joined.join(refuted.hint("merge"), "doc")
         return joined.select("doc", "doc_id", "text", "ranges", "refuted").mapInArrow(lambda b: _cut(b, digest), _CUT)

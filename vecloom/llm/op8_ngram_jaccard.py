@@ -241,14 +241,15 @@ def classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     signs = rows.select(F.col("row").alias("rep"), "sign").hint("merge")
     loose = members(clusters, "op8-loose").select("rep", "cluster", "blocks").join(signs, "rep")
-    near = staged(_dealt(loose, "blocks").groupBy("cluster", "x", "y").applyInPandas(_near, "rep long, root long"), "op8-pruned")
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # units are few bytes and much work: not to be put together
+    near = staged(_dealt(loose, "blocks").repartition(tasks, "cluster", "x", "y").groupBy("cluster", "x", "y").applyInPandas(_near, "rep long, root long"), "op8-pruned")
     member = members(connected(near.select(F.col("rep").alias("a"), F.col("root").alias("b")), "op8-split"), "op8-member")
     # The shingles are made again, from the texts of those representatives alone.  These joins grow with the
     # corpus, so they are merge joins at every size.
     full = text.join(member.select("rep", "key", F.col("doc_id").alias("_id")).hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id"))).select("rep", "key", "text")
     sets = full.mapInArrow(_sets, "rep long, shingles binary").dropDuplicates(["rep"])
     unit = member.select("rep", "cluster", "set_blocks", "copies").join(signs, "rep").join(sets.hint("merge"), "rep")
-    found = staged(_dealt(unit, "set_blocks").groupBy("cluster", "x", "y").applyInPandas(_unit, "rep long, links long, root long"), "op8-found")
+    found = staged(_dealt(unit, "set_blocks").repartition(tasks, "cluster", "x", "y").groupBy("cluster", "x", "y").applyInPandas(_unit, "rep long, links long, root long"), "op8-found")
     labels = connected(found.select(F.col("rep").alias("a"), F.col("root").alias("b")), "op8-class")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     known = staged(reps.join(links, "rep", "left").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep")), "op8-known")

@@ -100,6 +100,22 @@ def test_mst_keeps_zero_lengths():
     assert sorted(w) == pytest.approx([0, 1e-12, 1 - 1e-12])
 
 
+def test_trees_grown_in_rounds(spark):
+    rng = np.random.default_rng(6)
+    clouds = [rng.normal(size=(70, 3)), np.repeat(rng.normal(size=(9, 2)), 5, 0), np.array([[float(i % 7), float(i // 7)] for i in range(42)])]
+    for x in clouds:
+        v = cloud(spark, x)
+        want = sorted(r["length"] for r in graph.minimum_spanning_trees(v).collect())
+        tree = graph.grown_trees(v, block=16).collect()
+        assert sorted(r["length"] for r in tree) == pytest.approx(want)
+        parts = {i: i for i in range(len(x))}
+        for r in tree:  # no cycle
+            p, q = parts[r["a"]], parts[r["b"]]
+            assert p != q
+            parts = {k: p if c == q else c for k, c in parts.items()}
+    assert graph.minimum_spanning_trees(cloud(spark, clouds[0]), small=10).count() == 69
+
+
 def test_ranges(spark):
     rows = spark.createDataFrame([(1, t) for t in (0, 1, 2, 5, 6)], "k int, t int")
     assert sorted((r["start"], r["stop"]) for r in graph.contiguous_ranges(rows, ["k"], "t").collect()) == [(1, 4), (6, 8)]

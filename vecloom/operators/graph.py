@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-
-
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..staging import staged
-from .knn import distances
+from .knn import BLOCK, blocks, cells, distances
+
+#: Points of a level whose tree one task builds.
+SMALL = 4096
 
 
 def union_graph(knn: DataFrame) -> DataFrame:
@@ -125,15 +127,58 @@ def _level_matrix(f: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return f["point_id"].to_numpy(np.int64), np.array(f["vec"].tolist(), np.float64)
 
 
-def minimum_spanning_trees(vectors: DataFrame) -> DataFrame:
-    """(level, a, b, length): a level's minimum spanning tree; lengths are unique, edges of equal length are not."""
+def minimum_spanning_trees(vectors: DataFrame, small: int = SMALL) -> DataFrame:
+    """(level, a, b, length): a level's minimum spanning tree; lengths are unique, edges of equal length are not.
+
+    A level of at most ``small`` points is one unit of work; a larger one grows its tree in rounds over all pairs of blocks.
+    """
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
         ids, x = _level_matrix(f)
         a, b, w = mst(x)
         return pd.DataFrame({"level": np.full(len(w), f["level"].iloc[0], np.int32), "a": np.minimum(ids[a], ids[b]), "b": np.maximum(ids[a], ids[b]), "length": w})
 
-    return vectors.groupBy("level").applyInPandas(run, "level int, a long, b long, length double")
+    large = [r["level"] for r in vectors.groupBy("level").count().where(F.col("count") > small).collect()]  # a row a level
+    trees = vectors.where(~F.col("level").isin(large)).groupBy("level").applyInPandas(run, "level int, a long, b long, length double")
+    return trees.unionByName(grown_trees(vectors.where(F.col("level").isin(large)))) if large else trees
+
+
+def grown_trees(vectors: DataFrame, block: int = BLOCK, max_rounds: int = 60) -> DataFrame:
+    """Minimum spanning trees in rounds: each component takes the shortest edge that leaves it, the one of least ids among equals.
+
+    A cell of two blocks returns an edge a component at most; a round at least halves the components.
+    """
+    packed = staged(blocks(vectors, block), "tree-blocks")
+    place = packed.select("level", "block", F.explode("ids").alias("point_id"))
+    label = place.select("level", "block", "point_id", F.col("point_id").alias("component"))
+    edges = None
+
+    def leaving(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                xi, yi, xc, yc = (batch.column(c)[i].values.to_numpy() for c in ("ids", "ids2", "own", "own2"))
+                x, y = (batch.column(c)[i].values.to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1) for c, n in (("data", len(xi)), ("data2", len(yi))))
+                d = distances(x, y)
+                d[xc[:, None] == yc[None, :]] = np.inf
+                row, col = np.nonzero((d == d.min(1)[:, None]) & np.isfinite(d))
+                a, b = np.minimum(xi[row], yi[col]), np.maximum(xi[row], yi[col])
+                order = np.lexsort((b, a, d[row, col], xc[row]))
+                row, col, a, b = row[order], col[order], a[order], b[order]
+                first = np.append(True, xc[row[1:]] != xc[row[:-1]]) if len(row) else np.zeros(0, bool)
+                row, col = row[first], col[first]
+                yield pa.record_batch([pa.array(np.full(len(row), batch.column("level")[i].as_py(), np.int32)), pa.array(xc[row]), pa.array(yc[col]), pa.array(d[row, col]), pa.array(a[first]), pa.array(b[first])], ["level", "c", "other", "length", "a", "b"])
+
+    for _ in range(max_rounds):
+        own = label.groupBy("level", "block").agg(F.transform(F.array_sort(F.collect_list(F.struct("point_id", "component"))), lambda s: s["component"]).alias("own"))
+        out = cells(packed.join(own, ["level", "block"]), "own").mapInArrow(leaving, "level int, c long, other long, length double, a long, b long")
+        best = staged(out.groupBy("level", "c").agg(F.min(F.struct("length", "a", "b", "other")).alias("e")).select("level", "c", "e.*"), "tree-edges")
+        if best.isEmpty():
+            return edges if edges is not None else best.select("level", "a", "b", "length")
+        new = best.select("level", "a", "b", "length").distinct()
+        edges = new if edges is None else edges.unionByName(new)
+        parts = components(label.select("level", F.col("component").alias("point_id")).distinct(), best.select("level", F.least("c", "other").alias("a"), F.greatest("c", "other").alias("b")))
+        label = staged(label.withColumnRenamed("component", "c").join(parts.withColumnRenamed("point_id", "c"), ["level", "c"]).select("level", "block", "point_id", "component"), "tree-labels")
+    raise RuntimeError("trees did not converge")
 
 
 def h0_intervals(tree: DataFrame, points_per_level: DataFrame) -> DataFrame:

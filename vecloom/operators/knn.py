@@ -70,11 +70,11 @@ def nearest(x: np.ndarray, xi: np.ndarray, y: np.ndarray, yi: np.ndarray, k: int
     return row[keep], yi[col[keep]], d[keep]
 
 
-def cells(packed: DataFrame) -> DataFrame:
-    """(level, x, y, ids, data, ids2, data2): every ordered pair of a level's blocks, brought together by its own key."""
+def cells(packed: DataFrame, *more: str) -> DataFrame:
+    """(level, x, y, ids, data, ids2, data2): every ordered pair of a level's blocks, brought together by its own key; with ``more`` columns of both."""
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    left = packed.select("level", F.col("block").alias("x"), every.alias("y"), "ids", "data")
-    right = packed.select("level", every.alias("x"), F.col("block").alias("y"), F.col("ids").alias("ids2"), F.col("data").alias("data2"))
+    left = packed.select("level", F.col("block").alias("x"), every.alias("y"), "ids", "data", *more)
+    right = packed.select("level", every.alias("x"), F.col("block").alias("y"), F.col("ids").alias("ids2"), F.col("data").alias("data2"), *[F.col(c).alias(f"{c}2") for c in more])
     return left.join(right.hint("shuffle_hash"), ["level", "x", "y"])
 
 

@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and
 read again as the next one's documents.
+
+All stages take null and empty texts, null and repeated ids, very long texts, an empty table and further columns of any name, and
+all but the last return the columns they were given.  A null text counts as empty: it is scored by the machine's bias, is equal to
+every empty text (one stays), links to nothing, is mixed like any other and has the begin and end ids alone.  Rows that share
+an id are rows of their own: each is scored; of equal texts, and of a near-duplicate class, one row stays; they share the numbers
+that the mixture draws; each is encoded.  Columns that the last stage adds take underscores where the names are taken.
 """
 
 from __future__ import annotations

@@ -45,7 +45,7 @@ def r4_strong_components(spark, d):
     p = points(spark, d).select("point_id", "label")
     e = k.join(p.select(F.col("point_id").alias("src"), F.col("label").alias("g")), "src").join(p.select(F.col("point_id").alias("dst"), F.col("label").alias("h")), "dst").where("g = h")
     found = graph.strong_components(e.select((F.col("level") * 1000 + F.col("g")).cast("long").alias("grp"), "src", "dst"))
-    return found.select(F.floor(F.col("grp") / 1000).cast("int").alias("level"), F.pmod("grp", F.lit(1000)).alias("label"), "node", "component")
+    return found.select(F.floor(F.col("grp") / 1000).cast("int").alias("level"), F.pmod("grp", F.lit(1000)).cast("int").alias("label"), "node", "component")
 
 
 def r5_mst(spark, d):
@@ -60,8 +60,9 @@ def r5_h0_intervals(spark, d):
 
 
 def r6_threshold_partition(spark, d):
+    """Trees cut at the median distance of nearest neighbours: the same parts as all pairs that near give."""
     t = graph.minimum_spanning_trees(cube(spark, d))
-    cut = t.approxQuantile("length", [0.5], 0.0)[0]
+    cut = knn.exact_knn(cube(spark, d), 1).agg(F.median("dist")).first()[0]
     c = graph.threshold_partition(_nodes(spark, d), t, cut)
     return c.groupBy("level", "component").agg(F.count("*").alias("n")).groupBy("level").agg(F.count("*").alias("components"), F.max("n").alias("largest"), F.count_if(F.col("n") == 1).alias("singletons"))
 
@@ -151,10 +152,16 @@ QUERIES = {
 SELECT level, point_id, coalesce(in_degree, 0) AS in_degree, coalesce(union_degree, 0) AS union_degree FROM cube LEFT JOIN i USING (level, point_id) LEFT JOIN u USING (level, point_id)"""),
     "r3_components": (r3_components, f"WITH RECURSIVE {_COMP}, n AS (SELECT level, component, count(*) AS n FROM comp GROUP BY ALL) SELECT level, count(*) AS components, round(max(n) / sum(n), 6) AS largest, sum(component)::BIGINT AS least_ids FROM n GROUP BY level"),
     "r3_component_labels": (r3_component_labels, f"WITH RECURSIVE {_COMP} SELECT * FROM comp"),
-    "r4_strong_components": (r4_strong_components, None),
+    "r4_strong_components": (r4_strong_components, f"""WITH RECURSIVE {EDGES}, e AS (SELECT k.level, p.label, k.src AS s, k.dst AS d FROM knn k JOIN embeddings p ON p.vec_id = k.src JOIN embeddings q ON q.vec_id = k.dst WHERE p.label = q.label),
+n AS (SELECT level, label, s AS v FROM e UNION SELECT level, label, d FROM e),
+reach(level, label, a, b) AS (SELECT level, label, v, v FROM n UNION SELECT r.level, r.label, r.a, e.d FROM reach r JOIN e ON e.level = r.level AND e.label = r.label AND e.s = r.b)
+SELECT x.level, x.label, x.a AS node, min(x.b) AS component FROM reach x JOIN reach y ON y.level = x.level AND y.label = x.label AND y.a = x.b AND y.b = x.a GROUP BY ALL"""),
     "r5_mst": (r5_mst, None),
     "r5_h0_intervals": (r5_h0_intervals, None),
-    "r6_threshold_partition": (r6_threshold_partition, None),
+    "r6_threshold_partition": (r6_threshold_partition, f"""WITH RECURSIVE {EDGES}, c AS (SELECT median(dist) AS r FROM knn WHERE rank = 1), m AS (SELECT level, src AS x, dst AS y FROM pairs, c WHERE dist <= r),
+reach(level, node, c) AS (SELECT level, point_id, point_id FROM cube UNION SELECT m.level, m.y, r.c FROM reach r JOIN m ON m.level = r.level AND m.x = r.node AND r.c < m.y),
+n AS (SELECT level, component, count(*) AS n FROM (SELECT level, node, min(c) AS component FROM reach GROUP BY ALL) GROUP BY ALL)
+SELECT level, count(*) AS components, max(n) AS largest, count(*) FILTER (n = 1) AS singletons FROM n GROUP BY level"""),
     "r7_merge_curve": (r7_merge_curve, None),
     "r8_cliques": (r8_cliques, f"WITH {_CL} SELECT level, 0 AS dim, count(*) AS n FROM cube GROUP BY level UNION ALL SELECT level, 1, count(*) FROM e GROUP BY level UNION ALL SELECT level, 2, count(*) FROM c3 GROUP BY level UNION ALL SELECT level, 3, count(*) FROM c4 GROUP BY level UNION ALL SELECT level, 4, count(*) FROM c5 GROUP BY level"),
     "r8_triangles": (r8_triangles, f"WITH {_CL} SELECT level, a AS v1, b AS v2, c AS v3 FROM c3"),

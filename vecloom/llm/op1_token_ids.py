@@ -113,7 +113,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", te
         give_back()
 
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    dealt = slim.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+    order = F.col("doc_id").asc_nulls_first(), F.xxhash64("text")  # by both, so rows of one id may lie in several partitions
+    dealt = slim.repartitionByRange(*order).sortWithinPartitions(*order)
     dealt.mapInArrow(groups, _GROUPS).write.parquet(path)
 
 

@@ -181,8 +181,13 @@ def search(t: Tree, query: int, q: np.ndarray, k: int, floor: float) -> list[tup
             break
         low, high = t.low[i], t.high[i]
         if t.leaf[i]:
-            at = low + np.flatnonzero(own + size * t.offset[low:high] + slack >= least)
-            score = t.rows[at] @ q
+            may = own + size * t.offset[low:high] + slack >= least
+            if 4 * np.count_nonzero(may) > len(may):  # a page as it lies costs less than to pick its rows
+                at, score = np.arange(low, high), t.rows[low:high] @ q
+                score[~may] = -np.inf
+            else:
+                at = low + np.flatnonzero(may)
+                score = t.rows[at] @ q
             good = [g for g in np.flatnonzero(score >= least - (0 if whole else slack)) if t.ids[at[g]] != query]
             if whole and len(good) > k:  # scores are sums already: few are the best
                 cut = np.partition(score[good], len(good) - k)[len(good) - k]

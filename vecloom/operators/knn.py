@@ -100,6 +100,16 @@ def exact_knn(vectors: DataFrame, k: int = 4, block: int = BLOCK) -> DataFrame:
     return staged(best, "knn")  # a query asks it more than once
 
 
+def exact_knn_by(vectors: DataFrame, keys: tuple[str, ...], k: int = 4, block: int = BLOCK) -> DataFrame:
+    """(keys, src, rank, dst, dist): neighbours within each group of ``vectors(keys, point_id, vec)``, groups numbered as levels are."""
+    groups = vectors.select(*keys).distinct().withColumn("group", F.row_number().over(Window.orderBy(*keys)))  # a row a group
+    groups = staged(groups, "knn-groups")
+    same = [vectors[c].eqNullSafe(groups[c]) for c in keys]
+    numbered = vectors.join(F.broadcast(groups), same).select(F.col("group").alias("level"), "point_id", "vec")
+    found = exact_knn(numbered, k, block).withColumnRenamed("level", "group")
+    return found.join(F.broadcast(groups), "group").select(*keys, "src", "rank", "dst", "dist")
+
+
 def exact_knn_sql(vectors: DataFrame, k: int = 4) -> DataFrame:
     """The same as a theta join of the table with itself: for small levels and as a cross-check."""
     a, b = vectors.select("level", F.col("point_id").alias("src"), F.col("vec").alias("x")), vectors.select("level", F.col("point_id").alias("dst"), F.col("vec").alias("y"))

@@ -17,6 +17,12 @@ def j1_exact_knn_sql(spark, d):
     return rounded(knn.exact_knn_sql(cube(spark, d)))
 
 
+def j2_knn_by_group(spark, d):
+    """Neighbours within each level's labels, as within a task and context."""
+    c = cube(spark, d).join(points(spark, d).select("point_id", "label"), "point_id")
+    return rounded(knn.exact_knn_by(c, ("level", "label")))
+
+
 def j4_scalar_knn(spark, d):
     return knn.scalar_knn(points(spark, d))
 
@@ -127,6 +133,9 @@ s AS (SELECT level, list_max(list_transform(list_zip(x, y), lambda p: abs(p[1] -
 SELECT level, count(*) AS n, round(max(m), 6) AS max_abs, round(sqrt(sum(dd)) / sqrt(sum(xx)), 6) AS rel_l2, round(max(1 - xy / sqrt(xx * yy)), 6) AS cosine_error FROM s GROUP BY level"""),
     "j1_exact_knn": (j1_exact_knn, f"WITH {KNN} SELECT level, src, rank, dst, round(dist, 6) AS dist FROM knn"),
     "j1_exact_knn_sql": (j1_exact_knn_sql, f"WITH {KNN} SELECT level, src, rank, dst, round(dist, 6) AS dist FROM knn"),
+    "j2_knn_by_group": (j2_knn_by_group, f"""WITH {CUBE}, g AS (SELECT level, label, point_id, vec FROM cube JOIN embeddings ON vec_id = point_id),
+p AS (SELECT a.level, a.label, a.point_id AS src, b.point_id AS dst, list_distance(a.vec, b.vec) AS dist FROM g a JOIN g b ON a.level = b.level AND a.label = b.label AND a.point_id <> b.point_id)
+SELECT level, label, src, (row_number() OVER w)::INT AS rank, dst, round(dist, 6) AS dist FROM p WINDOW w AS (PARTITION BY level, label, src ORDER BY dist, dst) QUALIFY row_number() OVER w <= 4"""),
     "j4_scalar_knn": (j4_scalar_knn, f"WITH {POINTS}, p AS (SELECT a.point_id AS src, b.point_id AS dst, abs(a.target - b.target)::DOUBLE AS dist FROM points a JOIN points b ON a.point_id <> b.point_id) SELECT src, (row_number() OVER w)::INT AS rank, dst, dist FROM p WINDOW w AS (PARTITION BY src ORDER BY dist, dst) QUALIFY row_number() OVER w <= 4"),
     "j4_scalar_knn_tied": (j4_scalar_knn_tied, f"WITH {POINTS}, p AS (SELECT a.point_id AS src, b.point_id AS dst, abs(a.label - b.label)::DOUBLE AS dist FROM points a JOIN points b ON a.point_id <> b.point_id) SELECT src, (row_number() OVER w)::INT AS rank, dst, dist FROM p WINDOW w AS (PARTITION BY src ORDER BY dist, dst) QUALIFY row_number() OVER w <= 4"),
     "j5_distance_checks": (j5_distance_checks, f"WITH {CUBE}, p AS (SELECT a.level, a.point_id AS i, b.point_id AS j, list_distance(a.vec, b.vec) AS d, list_distance(b.vec, a.vec) AS e FROM cube a JOIN cube b ON a.level = b.level) SELECT level, count(*) AS pairs, round(sum(d), 6) AS total, round(max(d), 6) AS largest, count(*) FILTER (d <> e) AS asymmetric, count(*) FILTER (i = j AND d <> 0) AS diagonal FROM p GROUP BY level"),

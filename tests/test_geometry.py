@@ -123,3 +123,13 @@ def test_neighbours_of_wide_and_degenerate_clouds(spark):
         d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
         want = {(i, r + 1, j) for i in range(len(x)) for r, j in enumerate(sorted((j for j in range(len(x)) if j != i), key=lambda j: (d[i, j], j))[:4])}
         assert got == want
+
+
+def test_digits_on_a_circle(spark):
+    turn = lambda v: [float(np.cos(2 * np.pi * v / 10)), float(np.sin(2 * np.pi * v / 10)), 0.0]
+    vectors = spark.createDataFrame([(0, i, turn((i + 1) % 10)) for i in range(99)], SCORES)
+    points = spark.createDataFrame([(i, i + 1) for i in range(99)], "point_id long, target long")
+    got = {r["position"]: r for r in geometry.digit_harmonics(vectors, points).collect()}
+    assert (got[0]["share"], got[0]["circular_r2"], got[0]["axis_ratio"]) == pytest.approx((1, 1, 1), abs=0.05) and got[1]["share"] < 0.05
+    steps = geometry.carry_steps(vectors, points).first()
+    assert steps["carry_10"] == pytest.approx(1) and steps["carry_100"] is None

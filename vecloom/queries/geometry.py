@@ -50,6 +50,14 @@ def a1_metric_row(spark, d):
     return rounded(metrics.metric_row(k, p))
 
 
+def a18_digit_harmonics(spark, d):
+    return rounded(geometry.digit_harmonics(cube(spark, d), points(spark, d)))
+
+
+def a18_carry_steps(spark, d):
+    return rounded(geometry.carry_steps(cube(spark, d), points(spark, d)))
+
+
 def a20_shape_of_scores(spark, d):
     model = project.pca(cube(spark, d), 3)
     s = project.scores(cube(spark, d), model).groupBy("level", "point_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("component", "score"))), lambda x: x["score"]).alias("vec"))
@@ -132,6 +140,9 @@ s AS (SELECT level, count(DISTINCT src) AS point_count, round(avg((sd = dd)::INT
 n AS (SELECT level, component, count(*) AS n FROM comp GROUP BY ALL), cc AS (SELECT level, count(*) AS components, round(max(n) / sum(n), 6) AS largest_share FROM n GROUP BY level),
 o AS (SELECT n.level, round(count(o.src) / count(DISTINCT n.src) / 4, 6) AS overlap FROM knn n LEFT JOIN knn o ON o.level = n.level - 1 AND o.src = n.src AND o.dst = n.dst WHERE n.level > 0 GROUP BY n.level)
 SELECT s.*, components, largest_share, overlap FROM s JOIN cc USING (level) LEFT JOIN o USING (level)"""),
+    "a18_digit_harmonics": (a18_digit_harmonics, None),
+    "a18_carry_steps": (a18_carry_steps, f"""WITH {CUBE}, s AS (SELECT a.level, b.point_id + 1 AS t, list_distance(a.vec, b.vec) AS d FROM cube a JOIN cube b ON a.level = b.level AND b.point_id = a.point_id + 1)
+SELECT level, {", ".join(f"round(median(d) FILTER (t % {k} = 0) / median(d) FILTER (t % 10 <> 0), 6) AS carry_{k}" for k in (10, 100))} FROM s GROUP BY level"""),
     "a20_shape_of_scores": (a20_shape_of_scores, None),
     "a21_folds": (a21_folds, f"""WITH {CUBE}, {POINTS}, r AS (SELECT level, vec[1] AS y, target::DOUBLE AS x, leading_digit AS g, target // 100 % 5 AS fold FROM cube JOIN points USING (point_id)),
 f AS (SELECT DISTINCT level, fold FROM r), line AS (SELECT f.level, f.fold, regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM f JOIN r ON r.level = f.level AND r.fold <> f.fold GROUP BY ALL),

@@ -12,8 +12,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Words that a worker remembers: some 20 MB of bytes, offsets and ids.
-REMEMBERED = 500_000
+#: Words that a worker remembers: some 30 MB of bytes, offsets and ids.
+REMEMBERED = 800_000
 
 
 class Words:
@@ -34,8 +34,11 @@ class Words:
         at[pc.is_null(known).to_numpy(zero_copy_only=False)] = len(self.words) + np.arange(len(new))
         every = np.concatenate([self.ids, ids]), np.concatenate([self.begin, begin + len(self.ids)]), np.concatenate([self.size, size])
         found = every[0], every[1][at], every[2][at]
-        if len(self.words) + len(new) > REMEMBERED:  # begin again with the latest
-            self.words, (self.ids, self.begin, self.size) = new, (ids, begin, size)
+        if len(self.words) + len(new) > REMEMBERED:  # keep those of this batch: what is frequent is among them
+            ids, begin, size = found
+            last = np.cumsum(size)
+            self.words, self.begin, self.size = words, last - size, size
+            self.ids = ids[np.repeat(begin - (last - size), size) + np.arange(size.sum())]
         else:
             self.words, (self.ids, self.begin, self.size) = pa.concat_arrays([self.words, new]), every
         return found

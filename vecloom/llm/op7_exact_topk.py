@@ -246,7 +246,7 @@ def index(vectors: DataFrame, some: pd.DataFrame) -> DataFrame:
         dim, wide = int(f["dim"].iloc[0]), bool(f["wide"].iloc[0])
         f = f.sort_values(["vec_id", "v"])
         t = build(f["vec_id"].to_numpy(np.int64), matrix(list(f["v"]), dim, wide))
-        return pd.DataFrame({"tree": [f"{dim}-{wide}-{f['pivot'].iloc[0]}-{f['part'].iloc[0]}"], "dim": [dim], "wide": [wide], "data": [t.to_bytes()]})
+        return pd.DataFrame({"tree": pd.Series([f"{dim}-{wide}-{f['pivot'].iloc[0]}-{f['part'].iloc[0]}"], dtype=object), "dim": [dim], "wide": [wide], "data": [t.to_bytes()]})
 
     return staged(split.groupBy("dim", "wide", "pivot", "part").applyInPandas(grown, "tree string, dim int, wide boolean, data binary"), "op7-trees")
 
@@ -338,7 +338,7 @@ def top_k(table_: DataFrame, queries: str, k: int = 5, id_col: str = "vec_id", v
             for i, x, f in zip(*_unpacked(ids, q, floor), strict=True):
                 rows += [(int(i), -v, s) for s, v in search(t, int(i), x, k, float(f))]
         fits = [s if -(1 << 63) <= s < 1 << 63 else None for *_, s in rows]
-        return pd.DataFrame({"query_id": [r[0] for r in rows], "vec_id": [r[1] for r in rows], "score": pd.array(fits, "Int64"), "place": [ordered(r[2]) for r in rows]})
+        return pd.DataFrame({"query_id": [r[0] for r in rows], "vec_id": [r[1] for r in rows], "score": pd.array(fits, "Int64"), "place": pd.Series([ordered(r[2]) for r in rows], dtype=object)})
 
     found = ready.groupBy("tree", "slice").cogroup(asked.groupBy("tree", "slice")).applyInPandas(answer, "query_id long, vec_id long, score long, place string")
     w = Window.partitionBy("query_id").orderBy(F.desc("place"), "vec_id")

@@ -91,9 +91,12 @@ def rank_flips(scores: DataFrame, points: DataFrame, first: int, second: int, gr
                 one, two = np.sign(d[0] * d[2]), np.sign(d[1] * d[2])
                 use = np.triu(np.ones(one.shape, bool), 1) if batch.column("x")[i] == batch.column("y")[i] else np.ones(one.shape, bool)
                 kind = ((one > 0) & (two < 0)) + 2 * ((one < 0) & (two > 0)) + 4 * ((one == 0) | (two == 0))
-                low, high = np.minimum(p[:, None, 3], q[None, :, 3]), np.maximum(p[:, None, 3], q[None, :, 3])
-                found, n = np.unique(np.stack([low[use], high[use], kind[use]], 1), axis=0, return_counts=True)
-                yield pa.record_batch([pa.array(found[:, 0]), pa.array(found[:, 1]), pa.array(found[:, 2].astype(np.int32)), pa.array(n)], ["g1", "g2", "kind", "n"])
+                groups, at = np.unique(np.concatenate([p[:, 3], q[:, 3]]), return_inverse=True)
+                a, b, size = at[: len(p), None], at[None, len(p) :], len(groups)
+                code = (np.minimum(a, b) * size + np.maximum(a, b)) * 8 + kind
+                n = np.bincount(code[use], minlength=size * size * 8)
+                code = np.flatnonzero(n)
+                yield pa.record_batch([pa.array(groups[code // 8 // size]), pa.array(groups[code // 8 % size]), pa.array((code % 8).astype(np.int32)), pa.array(n[code])], ["g1", "g2", "kind", "n"])
 
     found = cells(packed).where("x <= y").mapInArrow(count, "g1 double, g2 double, kind int, n long")
     of = lambda k: F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0))

@@ -333,23 +333,3 @@ def test_rank_change_contributions_sum_to_the_change_of_rho(spark):
     rho = {r["level"]: r["rho"] for r in stats.spearman(s.join(p, "point_id"), "score", "target", "level").collect()}
     total = compare.rank_changes(s, p, 0, 1).agg(F.sum("contribution")).collect()[0][0]
     assert total == pytest.approx(rho[1] - rho[0])
-
-
-def test_every_level_and_label_is_fitted(spark, data):
-    """Clouds hold all points of every level, and fits take the cap of 384 for rows and template points."""
-    sizes = {r["cloud"]: r["n"] for r in shape_queries._clouds(spark, data).select("cloud", F.size("points").alias("n")).collect()}
-    labels = {r["label"]: r["count"] for r in spark.read.parquet(f"{data}/embeddings.parquet").groupBy("label").count().collect()}
-    assert sizes == {f"{v}-{g}": n for v in range(4) for g, n in labels.items()}
-    assert shapes.fit_all.__defaults__ == (384, 384)
-
-
-def test_shapes_fit_their_own_templates():
-    kinds = {n: x for n, _, _, x in shapes.templates(128)}
-    assert len(kinds) == 32
-    x = kinds["tetrahedron_vertices"].repeat(4, 0) + np.random.default_rng(0).normal(size=(512, 3)) * 0.02
-    q, _ = np.linalg.qr(np.random.default_rng(1).normal(size=(3, 3)))
-    train, test = shapes.split_normalise(3 * x @ q + 5, cap=200)
-    scale, r, shift = shapes.register(kinds["tetrahedron_vertices"], train)
-    assert shapes.evaluate(scale * kinds["tetrahedron_vertices"] @ r.T + shift, test)["rms_cloud"] < 0.1
-    wrong = shapes.register(kinds["circle"], train)
-    assert shapes.evaluate(wrong[0] * kinds["circle"] @ wrong[1].T + wrong[2], test)["rms_cloud"] > 0.2

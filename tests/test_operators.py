@@ -8,9 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from vecloom.functions import stats, text
-from vecloom.operators import compare, graph, homology, knn, metrics, project, shapes, tasks, topology
+from vecloom.operators import compare, graph, homology, knn, metrics, project, tasks, topology
 from vecloom.queries import graphs
-from vecloom.queries import shapes as shape_queries
 
 INF = float("inf")
 

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vecloom import schemas
-from vecloom.operators import shapes, tasks
+from vecloom.operators import tasks
 from vecloom.plans import catalog, full_range
 from vecloom.sources import store, tables
 from vecloom.streaming import ingest

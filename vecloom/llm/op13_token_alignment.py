@@ -30,11 +30,10 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, give_back, sliced, staged, table
 from .op1_token_ids import Encoder, default_tokenizer
 from .op9_sentencepiece import default_model
-from .parts import Words
 from .words import text_bytes
 
 #: Bytes of text after which a slice ends.
-SLICE = 16 << 20
+SLICE = 8 << 20
 #: Units whose groups are written out at once.
 UNITS = 1 << 17
 SALTS = 16
@@ -84,7 +83,6 @@ class Pair:
         self.bound = np.zeros(256, bool)
         self.bound[[t[k - 1] for t in held for k in range(1, len(t)) if t[k] == 0x20]] = True
         self.bound[0x20] = True
-        self.known_a, self.known_b = Words(self._words_a, "<u2"), Words(self._words_b, "<u2")
 
     def _words_a(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words, each after a space, and where each word's begin.  Those that may not stand in a row of words are encoded alone."""
@@ -129,9 +127,10 @@ class Pair:
     def aligned(self, words: pa.Array) -> dict[str, np.ndarray | pa.Array]:
         """Of units, each a space and one of ``words``: the numbers of tokens, groups and links, the groups written out, and their links' id pairs."""
         sides = []
-        for known, (data, begin, size) in ((self.known_a, self.bytes_a), (self.known_b, self.bytes_b)):
-            ids, first, n = known.look(words)
-            ids = ids[_gathered(first, n)].astype(np.int64)
+        for encode, (data, begin, size) in ((self._words_a, self.bytes_a), (self._words_b, self.bytes_b)):
+            ids, first = encode(words)
+            n = np.diff(first, append=len(ids))
+            ids = ids.astype(np.int64)
             sides.append((ids, n, data[_gathered(begin[ids], size[ids])], size[ids]))
         want = 1 + pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
         text = np.full(int(want.sum()), 0x20, np.uint8)
@@ -248,6 +247,7 @@ def slices(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", te
             if full >= size:
                 yield row()
                 held, full, number = [], 0, number + 1
+                give_back()
         if held:
             yield row()
         give_back()

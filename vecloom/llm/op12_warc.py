@@ -32,8 +32,8 @@ from .common import bounded_batches, delete_at_exit, give_back, shared_dir, slic
 
 #: Bytes after which a task goes on to a new archive.
 ROLL = 1 << 30
-#: Bytes between two records that are read rather than skipped, and bytes of a read.
-GAP, READ = 64 << 10, 8 << 20
+#: Bytes between two records that are read rather than skipped, bytes of a read, and bytes of records that a task reads, or thereabouts.
+GAP, READ, TASK = 64 << 10, 8 << 20, 16 << 20
 #: Keys that the copies of one payload are spread over.
 SALTS = 32
 _URL_SAFE = "".join(map(chr, range(0x21, 0x7F)))
@@ -185,7 +185,8 @@ def read(index: DataFrame, payload: bool = False) -> DataFrame:
         give_back()
 
     order = "archive", "offset"
-    return index.select(*order, "length").repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, schema)
+    parts = (index.agg(F.sum("length").alias("bytes")).first()["bytes"] or 0) // TASK + 1  # index rows are small: left to their size, one task would read them all
+    return index.select(*order, "length").repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(run, schema)
 
 
 def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

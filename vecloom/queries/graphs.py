@@ -6,10 +6,13 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import adjusted_rand, contingency, purity
 from ..operators import graph, homology, knn, topology
-from ..sources.tables import cube, points, table
+from ..sources.tables import LEVELS, cube, points, table
 from ..staging import staged
 from .base import EDGES, rounded
 
+#: The largest dimension of cliques in zigzags.
+TOP = 4
+
 
 def _edges(spark, d):
     return graph.union_graph(knn.exact_knn(cube(spark, d)))
@@ -98,13 +101,25 @@ def r10_ranges(spark, d):
 def _component_runs(nodes, e):
     """(run, simplex, start, stop): the union graphs' zigzag, a run for each component of all levels' edges together, which no simplex crosses."""
     joint = graph.components(nodes.select(F.lit(0).alias("level"), "point_id").distinct(), e.select(F.lit(0).alias("level"), "a", "b").distinct())
-    t = graph.zigzag_times(graph.simplices(nodes, e, 2)).withColumn("point_id", F.col("simplex")[0])
+    t = graph.zigzag_times(graph.simplices(nodes, e, TOP)).withColumn("point_id", F.col("simplex")[0])
     return t.join(joint.select("point_id", F.col("component").alias("run")), "point_id").select("run", "simplex", (F.col("start") - 1).alias("start"), (F.col("stop") - 1).alias("stop"))
 
 
+def _zigzag(spark, d):
+    return homology.zigzag_intervals(_component_runs(_nodes(spark, d), staged(_edges(spark, d), "zigzag-edges")), LEVELS)
+
+
 def r11_zigzag(spark, d):
-    """Zigzag intervals of the union graphs' complexes, one run for each connected component of all levels' edges together."""
-    return topology.effective_levels(homology.zigzag_intervals(_component_runs(_nodes(spark, d), staged(_edges(spark, d), "zigzag-edges")), 4))
+    """Zigzag intervals of the union graphs' complexes, one run for each connected component of all levels' edges together.  Of cliques up to dimension
+    4, so classes of dimensions 0 to 3: those of dimension 4 might be filled by cliques that aren't there."""
+    return topology.effective_levels(_zigzag(spark, d)).where(F.col("dim") < TOP)
+
+
+def r11_euler(spark, d):
+    """The classes alive at each level, added up with signs by dimension: the complex's Euler characteristic, which its cliques give too."""
+    bars = _zigzag(spark, d).withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1))))
+    alive = bars.where((F.col("raw_birth") <= 2 * F.col("level")) & (F.col("raw_death") > 2 * F.col("level")))
+    return alive.groupBy("level").agg(F.sum(F.when(F.pmod("dim", F.lit(2)) == 0, 1).otherwise(-1)).alias("euler"))
 
 
 def r12_induced_edges(spark, d):
@@ -169,6 +184,7 @@ SELECT level, count(*) AS components, max(n) AS largest, count(*) FILTER (n = 1)
     "r10_runs": (r10_runs, f"WITH {_TIMES} SELECT dim, start, stop, count(*) AS n FROM runs GROUP BY ALL"),
     "r10_ranges": (r10_ranges, "WITH g AS (SELECT o_orderpriority, o_orderkey, o_orderkey - row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS g FROM orders) SELECT o_orderpriority, min(o_orderkey) + 1 AS start, max(o_orderkey) + 2 AS stop FROM g GROUP BY o_orderpriority, g"),
     "r11_zigzag": (r11_zigzag, None),
+    "r11_euler": (r11_euler, f"WITH {_CL}, n AS (SELECT level, count(*) AS n FROM cube GROUP BY level UNION ALL SELECT level, -count(*) FROM e GROUP BY level UNION ALL SELECT level, count(*) FROM c3 GROUP BY level UNION ALL SELECT level, -count(*) FROM c4 GROUP BY level UNION ALL SELECT level, count(*) FROM c5 GROUP BY level) SELECT level, sum(n)::BIGINT AS euler FROM n GROUP BY level"),
     "r12_induced_edges": (r12_induced_edges, f"WITH {EDGES} SELECT level, least(p.label, q.label) AS g1, greatest(p.label, q.label) AS g2, count(*) AS n FROM edges JOIN embeddings p ON p.vec_id = a JOIN embeddings q ON q.vec_id = b GROUP BY ALL"),
     "t4_rips_h1": (t4_rips_h1, None),
     "t25_quotient": (t25_quotient, "WITH x AS (SELECT l::INT AS level, embedding[16 * l + 1 : 16 * l + 16] AS v, count(*) AS n FROM embeddings, range(4) t(l) GROUP BY ALL) SELECT level, count(*) AS distinct_vectors, sum(n)::BIGINT AS points, max(n) AS most FROM x GROUP BY level"),

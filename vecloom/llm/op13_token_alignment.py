@@ -19,6 +19,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import sha256
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,9 +34,9 @@ from .op9_sentencepiece import default_model
 from .words import text_bytes
 
 #: Bytes of text after which a slice ends.
-SLICE = 8 << 20
-#: Units whose groups are written out at once.
-UNITS = 1 << 17
+SLICE = 4 << 20
+#: Units whose groups are written out at once, and words encoded at once.
+UNITS, WORDS = 1 << 17, 1 << 14
 SALTS = 16
 _LISTS = {"doc_id": "long", "at": "long", "unit": "int", "n_a": "long", "n_b": "long", "n_groups": "long", "n_links": "long", "groups_sha256": "string", "link_at": "long", "link": "int", "key": "long", "n": "long"}
 _KINDS = {"long": pa.int64(), "int": pa.int32(), "string": pa.string()}
@@ -100,10 +101,13 @@ class Pair:
         return np.concatenate([ids, *alone])[_gathered(at, n)].astype("<u2"), np.cumsum(n) - n
 
     def _words_b(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        mark = [self.sp.piece_to_id("▁")]
-        found = [x or mark for x in self.sp.encode(words.to_pylist(), num_threads=1)]  # a space alone is its mark
-        size = np.array([len(x) for x in found], np.int64)
-        return np.fromiter((i for x in found for i in x), "<u2", size.sum()), np.cumsum(size) - size
+        mark, ids, sizes = [self.sp.piece_to_id("▁")], [np.zeros(0, "<u2")], [np.zeros(0, np.int64)]
+        for low in range(0, len(words), WORDS):
+            found = [x or mark for x in self.sp.encode(words.slice(low, WORDS).to_pylist(), num_threads=1)]  # a space alone is its mark
+            sizes.append(np.array([len(x) for x in found], np.int64))
+            ids.append(np.fromiter(chain.from_iterable(found), "<u2", sizes[-1].sum()))
+        size = np.concatenate(sizes)
+        return np.concatenate(ids), np.cumsum(size) - size
 
     def units(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
         """(different units less their first space, each unit's number in order, where each text's begin; one more than texts).  A null or empty text has none."""

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vecloom.functions import stats, text
-from vecloom.operators import compare, graph, homology, knn, metrics, project, tasks, topology
+from vecloom.operators import compare, graph, homology, knn, metrics, project, rips, tasks, topology
 from vecloom.queries import graphs
 
 INF = float("inf")
@@ -161,10 +161,10 @@ def test_bottleneck():
 
 def test_rips_of_a_circle_and_a_line():
     t = np.linspace(0, 2 * np.pi, 32, endpoint=False)
-    bars = homology.rips_h1(np.stack([np.cos(t), np.sin(t)], 1))
+    bars = rips.rips_h1(np.stack([np.cos(t), np.sin(t)], 1))
     assert len(bars) == 1 and bars[0, 1] - bars[0, 0] > 1.4
-    assert len(homology.rips_h1(np.arange(20.0)[:, None])) == 0
-    scaled = homology.rips_h1(7 * np.stack([np.cos(t), np.sin(t)], 1))
+    assert len(rips.rips_h1(np.arange(20.0)[:, None])) == 0
+    scaled = rips.rips_h1(7 * np.stack([np.cos(t), np.sin(t)], 1))
     assert scaled == pytest.approx(7 * bars, rel=1e-5)
 
 
@@ -176,7 +176,7 @@ def test_rips_agrees_with_ranks():
         s = [(i,) for i in range(14)] + edges
         e = set(edges)
         s += [(i, j, k) for i, j in edges for k in range(j + 1, 14) if (i, k) in e and (j, k) in e]
-        bars = homology.rips_h1(x)
+        bars = rips.rips_h1(x)
         alive = ((bars[:, 0] <= np.float32(limit)) & (bars[:, 1] > np.float32(limit))).sum()
         assert alive == homology.complex_betti(s)[1]
 
@@ -189,9 +189,56 @@ def test_first_homology_of_every_label(spark, data):
     for level in range(4):
         for g in np.unique(label):
             bars = got[(got["level"] == level) & (got["label"] == g)].sort_values(["birth", "death"])[["birth", "death"]].to_numpy()
-            np.testing.assert_allclose(bars, homology.rips_h1(x[label == g, 16 * level : 16 * level + 16]), atol=1e-6)
-    with pytest.raises(Exception, match="3 points; first homology is for 2 at most"):
-        homology.h1_intervals(spark.createDataFrame([(0, i, [float(i)]) for i in range(3)], "level int, point_id long, vec array<double>"), most=2).collect()
+            np.testing.assert_allclose(bars, rips.rips_h1(x[label == g, 16 * level : 16 * level + 16]), atol=1e-6)
+
+
+def plain_h1(x, threshold=np.inf):
+    """Bars by reducing the whole boundary matrix of the triangles."""
+    n, d = len(x), knn.distances(x, x).astype(np.float32)
+    edges = sorted((d[i, j], i, j) for i, j in combinations(range(n), 2) if d[i, j] <= threshold)
+    at = {(i, j): k for k, (_, i, j) in enumerate(edges)}
+    triangles = sorted(sorted((at[a], at[b], at[c]), reverse=True) for i, j, k in combinations(range(n), 3) if all(e in at for e in ((i, j), (i, k), (j, k))) for a, b, c in [((i, j), (i, k), (j, k))])
+    pairs = dict(homology.reduced([[]] * n + [[i, j] for _, i, j in edges] + [[n + e for e in t] for t in triangles], [0] * n + [1] * len(edges) + [2] * len(triangles)))
+    killers = {v for v in pairs.values()}
+    out = [(edges[e][0], edges[triangles[pairs[n + e] - n - len(edges)][0]][0] if n + e in pairs else np.inf) for e in range(len(edges)) if n + e not in killers]
+    found = np.array([r for r in out if r[1] > r[0]], float).reshape(-1, 2)
+    return found[np.lexsort((found[:, 1], found[:, 0]))]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_rips_is_the_whole_matrixs(seed):
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(24, 2 + seed % 3))
+    if seed % 2:
+        x = np.round(x)  # equal lengths and points that coincide
+    for threshold in (np.inf, 1.0, 1.6):
+        assert rips.rips_h1(x, threshold) == pytest.approx(plain_h1(x, threshold))
+    assert rips.rips_h1(x[:1]).shape == rips.rips_h1(x[:0]).shape == (0, 2)
+
+
+def test_rips_in_rounds_of_small_chunks(spark, monkeypatch):
+    """Columns of many chunks meet and give way until each has a triangle of its own; clouds are apart, keys may be null."""
+    rng = np.random.default_rng(8)
+    a, b = rng.normal(size=(90, 3)), np.round(rng.normal(size=(40, 2)) * 2) / 2
+    rows = [("a", i, x.tolist()) for i, x in enumerate(a)] + [(None, i, x.tolist()) for i, x in enumerate(b)] + [("one", 0, [1.0]), ("two", 0, [1.0]), ("two", 1, [3.0])]
+    df = spark.createDataFrame(rows, "cloud string, point_id long, vec array<double>")
+    for threshold in (math.inf, 1.2):
+        got = rips.h1_intervals(df, threshold, ("cloud",), chunk=3).toPandas().sort_values(["birth", "death"])
+        for name, x in (("a", a), (None, b)):
+            mine = got[got["cloud"].isna()] if name is None else got[got["cloud"] == name]
+            assert mine[["birth", "death"]].to_numpy() == pytest.approx(plain_h1(x, threshold))
+        assert not set(got["cloud"].dropna()) - {"a"}
+
+
+def test_persistence_on_one_grid(spark):
+    t = np.linspace(0, 2 * np.pi, 16, endpoint=False)
+    x = np.concatenate([np.stack([np.cos(t), np.sin(t)], 1), [[1.0, 0.0]]])  # the first point twice
+    v = spark.createDataFrame([(0, i, p.tolist()) for i, p in enumerate(x)], "level int, point_id long, vec array<double>")
+    p = topology.persistence(v.select("level").distinct(), graph.minimum_spanning_trees(v), rips.h1_intervals(v)).orderBy("i").toPandas()
+    side = 2 * math.sin(math.pi / 16)
+    assert len(p) == 301 and p["i"].tolist() == list(range(301)) and p["radius"].iloc[-1] == pytest.approx(1.05 * rips.rips_h1(x)[-1, 1])
+    assert (p["betti0"] == np.where(p["radius"] < side, 16, 1)).all()  # the merge of no length is omitted
+    assert p["betti1"].max() == 1 and p["betti1"].iloc[0] == p["betti1"].iloc[-1] == 0
 
 
 def test_zigzag_of_constant_and_changing_complexes():

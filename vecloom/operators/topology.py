@@ -60,6 +60,22 @@ def betti_grid(intervals: DataFrame, grid: DataFrame, *keys: str) -> DataFrame:
     return every.withColumn("betti", F.sum("v").over(w)).where("asked").select(*keys, "t", "betti")
 
 
+def persistence(levels: DataFrame, tree: DataFrame, h1: DataFrame, steps: int = 301, reach: float = 1.05) -> DataFrame:
+    """(level, i, radius, betti0, betti1): classes alive on one grid a level, from 0 to ``reach`` times the last death of either dimension.
+
+    ``tree(level, length)`` gives the merges, of which those of no length are omitted, ``levels(level)`` the class that stays.
+    """
+    h0 = tree.where("length > 0").select("level", F.lit(0).alias("dim"), F.lit(0.0).alias("birth"), F.col("length").alias("death"))
+    h0 = h0.unionByName(levels.select("level", F.lit(0).alias("dim"), F.lit(0.0).alias("birth"), F.lit(INFINITY).alias("death")))
+    every = h0.unionByName(h1.select("level", F.lit(1).alias("dim"), "birth", "death"))
+    last = every.groupBy("level").agg(F.coalesce(F.max(F.when(F.col("death") < INFINITY, F.col("death"))), F.lit(0.0)).alias("last"))
+    grid = last.select("level", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))).alias("i"), (F.col("last") * reach / (steps - 1)).alias("step")).withColumn("t", F.col("i") * F.col("step"))
+    both = grid.select("level", "i", "t", F.explode(F.array(F.lit(0), F.lit(1))).alias("dim"))
+    alive = betti_grid(every, both.select("level", "dim", "t").distinct(), "level", "dim")
+    wide = alive.groupBy("level", "t").agg(*[F.max(F.when(F.col("dim") == k, F.col("betti"))).alias(f"betti{k}") for k in (0, 1)])
+    return grid.join(wide, ["level", "t"]).select("level", "i", F.col("t").alias("radius"), "betti0", "betti1")
+
+
 def uniform_grid(intervals: DataFrame, steps: int = 301, reach: float = 1.05, *keys: str) -> DataFrame:
     """(keys, t): ``steps`` times from 0 to ``reach`` times the largest finite death."""
     top = intervals.where(F.col("death") < INFINITY).groupBy(*keys).agg((F.max("death") * reach).alias("top"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.stats import adjusted_rand, contingency, purity
-from ..operators import graph, homology, knn, topology
+from ..operators import graph, homology, knn, rips, topology
 from ..sources.tables import LEVELS, cube, points, table
 from ..staging import staged
 from .base import EDGES, rounded
@@ -129,9 +129,31 @@ def r12_induced_edges(spark, d):
 
 
 def t4_rips_h1(spark, d):
-    """First homology of each level's labels, a cloud each: together they hold every point, and a cloud above the kernel's limit is refused."""
+    """First homology of each level's labels, a cloud each: together they hold every point."""
     c = cube(spark, d).join(points(spark, d).select("point_id", "label"), "point_id")
-    return rounded(homology.h1_intervals(c, keys=("level", "label")))
+    return rounded(rips.h1_intervals(c, keys=("level", "label")))
+
+
+def t4_level_h1(spark, d):
+    """First homology of whole levels."""
+    return rounded(rips.h1_intervals(cube(spark, d)))
+
+
+def t7_censored_h1(spark, d):
+    """First homology up to each label's median neighbour distance, over all levels' labels: classes alive there never die."""
+    c = cube(spark, d).join(points(spark, d).select("point_id", "label"), "point_id")
+    cut = knn.exact_knn(cube(spark, d), 1).agg(F.median("dist")).first()[0]
+    return rounded(rips.h1_intervals(c, threshold=cut * 1.25, keys=("level", "label")).groupBy("level", "label").agg(F.count("*").alias("bars"), F.count_if(F.col("death") == float("inf")).alias("censored"), F.max("birth").alias("last_birth")))
+
+
+def _persistence(spark, d):
+    c = cube(spark, d)
+    return topology.persistence(c.select("level").distinct(), staged(graph.minimum_spanning_trees(c), "persistence-trees"), staged(rips.h1_intervals(c), "persistence-h1"))
+
+
+def t8_persistence(spark, d):
+    """H0 without its bars of no length, and H1, on each level's one grid of 301 radii: how many classes are alive at each."""
+    return rounded(_persistence(spark, d))
 
 
 def t25_quotient(spark, d):
@@ -187,6 +209,9 @@ SELECT level, count(*) AS components, max(n) AS largest, count(*) FILTER (n = 1)
     "r11_euler": (r11_euler, f"WITH {_CL}, n AS (SELECT level, count(*) AS n FROM cube GROUP BY level UNION ALL SELECT level, -count(*) FROM e GROUP BY level UNION ALL SELECT level, count(*) FROM c3 GROUP BY level UNION ALL SELECT level, -count(*) FROM c4 GROUP BY level UNION ALL SELECT level, count(*) FROM c5 GROUP BY level) SELECT level, sum(n)::BIGINT AS euler FROM n GROUP BY level"),
     "r12_induced_edges": (r12_induced_edges, f"WITH {EDGES} SELECT level, least(p.label, q.label) AS g1, greatest(p.label, q.label) AS g2, count(*) AS n FROM edges JOIN embeddings p ON p.vec_id = a JOIN embeddings q ON q.vec_id = b GROUP BY ALL"),
     "t4_rips_h1": (t4_rips_h1, None),
+    "t4_level_h1": (t4_level_h1, None),
+    "t7_censored_h1": (t7_censored_h1, None),
+    "t8_persistence": (t8_persistence, None),
     "t25_quotient": (t25_quotient, "WITH x AS (SELECT l::INT AS level, embedding[16 * l + 1 : 16 * l + 16] AS v, count(*) AS n FROM embeddings, range(4) t(l) GROUP BY ALL) SELECT level, count(*) AS distinct_vectors, sum(n)::BIGINT AS points, max(n) AS most FROM x GROUP BY level"),
     "a25_contingency": (a25_contingency, "SELECT left((vec_id + 1)::VARCHAR, 1)::INT AS a, label AS b, count(*) AS n FROM embeddings GROUP BY ALL"),
     "a25_purity": (a25_purity, "WITH c AS (SELECT left((vec_id + 1)::VARCHAR, 1) AS a, label AS b, count(*) AS n FROM embeddings GROUP BY ALL), m AS (SELECT a, max(n) AS m, sum(n) AS n FROM c GROUP BY a) SELECT round(sum(m) / sum(n), 6) AS purity FROM m"),

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vecloom.functions import stats, text
-from vecloom.operators import compare, graph, homology, knn, metrics, project, rips, tasks, topology
+from vecloom.operators import compare, graph, homology, knn, metrics, project, rips, tasks, topology, trees
 from vecloom.queries import graphs
 
 INF = float("inf")
@@ -127,7 +127,23 @@ def test_cliques_of_a_complete_graph(spark):
 
 def test_strong_components(spark):
     e = spark.createDataFrame([(1, 0, 1), (1, 1, 2), (1, 2, 0), (1, 2, 3)], "grp long, src long, dst long")
-    assert {r["node"]: r["component"] for r in graph.strong_components(e).collect()} == {0: 0, 1: 0, 2: 0, 3: 3}
+    assert {r["node"]: r["component"] for r in graph.strong_components(e, "grp").collect()} == {0: 0, 1: 0, 2: 0, 3: 3}
+
+
+def test_strong_components_of_random_graphs(spark):
+    """Groups apart by both keys, against the closure of reach."""
+    rng = np.random.default_rng(2)
+    rows = [(level, label, int(a), int(b)) for level, label in ((0, 1000), (1, 0)) for a, b in rng.integers(0, 25, (32, 2))]
+    got = graph.strong_components(spark.createDataFrame(rows, "level int, label int, src long, dst long"), "level", "label").collect()
+    for level, label in ((0, 1000), (1, 0)):
+        reach = np.eye(25, dtype=bool)
+        for lv, lb, a, b in rows:
+            if (lv, lb) == (level, label):
+                reach[a, b] = True
+        for _ in range(5):
+            reach = reach | ((reach.astype(int) @ reach.astype(int)) > 0)
+        nodes = {v for r in rows if r[:2] == (level, label) for v in r[2:]}
+        assert {(r["node"], r["component"]) for r in got if (r["level"], r["label"]) == (level, label)} == {(v, int((reach[v] & reach[:, v]).argmax())) for v in nodes}
 
 
 def test_betti_and_distances(spark):
@@ -349,7 +365,7 @@ def test_agreement_of_partitions(spark):
 def test_merge_curve_ends_in_one_cluster(spark):
     x = cloud(spark, [[0.0], [0.1], [5.0], [5.1]])
     labels = spark.createDataFrame([(0, 0), (1, 0), (2, 1), (3, 1)], "point_id long, label int")
-    rows = graph.merge_curve(graph.minimum_spanning_trees(x), labels).orderBy("radius").collect()
+    rows = trees.merge_curve(graph.minimum_spanning_trees(x), labels).orderBy("radius").collect()
     assert rows[-1]["clusters"] == 1 and max(r["ari"] for r in rows) == 1
 
 

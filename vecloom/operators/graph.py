@@ -192,68 +192,53 @@ def threshold_partition(nodes: DataFrame, tree: DataFrame, radius: float) -> Dat
     return components(nodes, tree.where(F.col("length") <= radius))
 
 
-def merge_curve(tree: DataFrame, labels: DataFrame) -> DataFrame:
-    """(level, radius, clusters, ari): agreement of single linkage with ``labels(point_id, label)``, a row for each distinct merge length."""
-    joined = tree.join(labels.select(F.col("point_id").alias("a"), F.col("label").alias("la")), "a").join(labels.select(F.col("point_id").alias("b"), F.col("label").alias("lb")), "b")
+def strong_components(edges: DataFrame, *keys: str) -> DataFrame:
+    """(keys, node, component) of the directed graphs ``edges(keys, src, dst)``: nodes that reach each other, named by the least.
 
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values(["length", "a", "b"])
-        label = dict(zip(f["a"], f["la"], strict=True)) | dict(zip(f["b"], f["lb"], strict=True))
-        root, count = {i: i for i in label}, {i: {label[i]: 1} for i in label}
-
-        def find(i: int) -> int:
-            while root[i] != i:
-                root[i] = root[root[i]]
-                i = root[i]
-            return i
-
-        pairs = lambda n: n * (n - 1) / 2
-        n = len(label)
-        by_label = sum(pairs(v) for v in pd.Series(list(label.values())).value_counts())
-        together = same = 0.0
-        clusters, out = n, []
-        lengths = f["length"].to_numpy()
-        for k, (a, b) in enumerate(zip(f["a"], f["b"], strict=True)):
-            a, b = find(a), find(b)
-            if a != b:
-                x, y = count[a], count[b]
-                if len(x) < len(y):
-                    a, b, x, y = b, a, y, x
-                together += sum(x.values()) * sum(y.values())
-                same += sum(v * x.get(c, 0) for c, v in y.items())
-                for c, v in y.items():
-                    x[c] = x.get(c, 0) + v
-                root[b] = a
-                del count[b]
-                clusters -= 1
-            if k + 1 == len(lengths) or lengths[k + 1] != lengths[k]:
-                expected = together * by_label / pairs(n) if n > 1 else 0.0
-                top = (together + by_label) / 2
-                out.append((lengths[k], clusters, (same - expected) / (top - expected) if top != expected else 1.0))
-        r = pd.DataFrame(out, columns=["radius", "clusters", "ari"])
-        r.insert(0, "level", np.int32(f["level"].iloc[0]))
-        return r
-
-    return joined.groupBy("level").applyInPandas(run, "level int, radius double, clusters long, ari double")
-
-
-def strong_components(edges: DataFrame) -> DataFrame:
-    """(grp, node, component) of small directed graphs ``edges(grp, src, dst)``: nodes that reach each other, named by the least."""
+    A graph is a unit of work, in memory of the order of its nodes and edges: a walk along the edges orders the nodes by when they are
+    left, and walks against the edges, from the last left on, gather the components.
+    """
+    types = dict(edges.dtypes)
+
+    def links(n: int, src: np.ndarray, dst: np.ndarray) -> tuple[list[int], list[int]]:
+        by = np.argsort(src, kind="stable")
+        return np.searchsorted(src[by], np.arange(n + 1)).tolist(), dst[by].tolist()
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
-        nodes = np.unique(np.concatenate([f["src"], f["dst"]]))
-        at = {v: i for i, v in enumerate(nodes)}
-        reach = np.eye(len(nodes), dtype=bool)
-        reach[[at[v] for v in f["src"]], [at[v] for v in f["dst"]]] = True
-        while True:
-            new = (reach.astype(np.float32) @ reach.astype(np.float32)) > 0
-            if (new == reach).all():
-                break
-            reach = new
-        both = reach & reach.T
-        return pd.DataFrame({"grp": f["grp"].iloc[0], "node": nodes, "component": nodes[both.argmax(axis=1)]})
-
-    return edges.groupBy("grp").applyInPandas(run, "grp long, node long, component long")
+        nodes, code = np.unique(np.concatenate([f["src"], f["dst"]]), return_inverse=True)
+        src, dst = code.reshape(2, -1)
+        n = len(nodes)
+        at, to = links(n, src, dst)
+        nxt, seen, left = at[:-1].copy(), [False] * n, []
+        for start in range(n):
+            path = [] if seen[start] else [start]
+            seen[start] = True
+            while path:
+                v = path[-1]
+                if nxt[v] == at[v + 1]:
+                    left.append(path.pop())
+                    continue
+                w = to[nxt[v]]
+                nxt[v] += 1
+                if not seen[w]:
+                    seen[w] = True
+                    path.append(w)
+        at, to = links(n, dst, src)
+        part = [-1] * n
+        for start in reversed(left):
+            if part[start] < 0:
+                part[start], path = start, [start]
+                while path:
+                    v = path.pop()
+                    for w in to[at[v] : at[v + 1]]:
+                        if part[w] < 0:
+                            part[w] = start
+                            path.append(w)
+        least = np.full(n, n)
+        np.minimum.at(least, part, np.arange(n))
+        return pd.DataFrame({**{k: [f[k].iloc[0]] * n for k in keys}, "node": nodes, "component": nodes[least[part]]})
+
+    return edges.groupBy(*keys).applyInPandas(run, "".join(f"`{k}` {types[k]}, " for k in keys) + "node long, component long")
 
 
 def cross_edges(edges: DataFrame, points: DataFrame, group: str) -> tuple[DataFrame, DataFrame]:

@@ -56,6 +56,18 @@ def metric_row(knn: DataFrame, points: DataFrame, k: int = 4) -> DataFrame:
     return stats.join(F.broadcast(parts), "level").join(F.broadcast(overlap), "level", "left")  # a row a level
 
 
+def whole_row(knn: DataFrame, points: DataFrame, k: int = 4) -> DataFrame:
+    """All of ``graph_metrics`` and ``metric_row`` in one row a level, with the counts behind each share: relations of one length, those across lengths
+    that keep the digit, neighbours kept from the level before out of how many (NULL for the first), and the gaps of logarithms in full."""
+    r = labelled(knn, points)
+    log_gap = F.abs(F.log10(F.col("st").cast("double")) - F.log10(F.col("dt").cast("double")))
+    more = r.groupBy("level").agg(F.avg((F.col("sn") == F.col("dn")).cast("double")).alias("same_digit_length"), F.count_if((F.col("sn") != F.col("dn")) & (F.col("sd") == F.col("dd"))).alias("same_cross_count"), *distribution(log_gap, "log_gap"))
+    row = metric_row(knn, points, k).drop("point_count", "same_leading_digit", "log_gap_median", "log_gap_max")
+    out = graph_metrics(knn, points, k).drop("log_gap_mean").join(F.broadcast(more), "level").join(F.broadcast(row), "level")  # a row a level
+    shared = F.round(F.col("overlap") * F.col("relations")).cast("long")
+    return out.withColumn("overlap_count", shared).withColumn("overlap_denominator", F.when(F.col("overlap").isNotNull(), F.col("relations"))).withColumn("mutual_fraction", 2 * F.col("mutual_edges") / F.col("relations"))
+
+
 def digit_transitions(knn: DataFrame, points: DataFrame) -> DataFrame:
     """(level, source_digit, target_digit, n, share) on the full 9 x 9 grid; the share is NULL in an empty row."""
     n = labelled(knn, points).groupBy("level", F.col("sd").alias("source_digit"), F.col("dd").alias("target_digit")).agg(F.count("*").alias("n"))

@@ -194,3 +194,109 @@ def cross_validated(points: DataFrame, folds: int = 5, degree: int = 3) -> DataF
     sums = rows.select("level", "component", "target", "leading_digit", "score", "m", "s", "y").mapInPandas(partial, "level int, component int, fold int, p array<double>")
     return sums.groupBy("level", "component").applyInPandas(fit, "level int, component int, basis string, r2 double")
 
+
+
+def shared_basis(vectors: DataFrame, k: int = 3, slices: int = 64) -> DataFrame:
+    """(level, other, n, displacement, scale, relative, pair_correlation): two levels' points in one basis, for every pair of levels.
+
+    All levels' vectors are stacked for the components.  ``displacement`` is the median distance of a point from itself, ``scale`` the root mean square radius
+    of the first level's points about their mean, ``relative`` the one over the other, and ``pair_correlation`` that of the distances between pairs of points in the two levels.
+    Pairs are each point and the next of its slice of ids, modulo ``slices``: as many as points, and no task orders them all.
+    """
+    one = vectors.select(F.lit(0).alias("stack"), "level", "point_id", "vec")
+    model = pca(one.select("stack", "point_id", "vec"), k, ("stack",))
+    center = model.groupBy("stack").agg(F.first("mean").alias("mean"), F.transform(F.array_sort(F.collect_list(F.struct("component", "loadings"))), lambda c: c["loadings"]).alias("axes"))  # one row
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
+    placed = one.join(F.broadcast(center), "stack").withColumn("off", F.zip_with("vec", "mean", lambda p, q: p - q)).select("level", "point_id", F.transform("axes", lambda a: dot("off", a)).alias("p"))
+    far = lambda x, y: F.sqrt(F.aggregate(F.zip_with(x, y, lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, v: s + v))
+    nxt = F.lead("p").over(Window.partitionBy("level", F.pmod("point_id", F.lit(slices))).orderBy("point_id"))
+    placed = placed.withColumn("pair", far("p", nxt))
+    spread = placed.select("level", F.posexplode("p").alias("c", "v")).groupBy("level", "c").agg(F.var_pop("v").alias("v")).groupBy("level").agg(F.sqrt(F.sum("v")).alias("scale"))  # a row a level
+    a, b = placed, placed.select(F.col("level").alias("other"), "point_id", F.col("p").alias("q"), F.col("pair").alias("pair2"))
+    j = a.join(b, "point_id").where("level < other").withColumn("d", far("p", "q"))
+    out = j.groupBy("level", "other").agg(F.count("*").alias("n"), F.median("d").alias("displacement"), F.corr("pair", "pair2").alias("pair_correlation")).join(F.broadcast(spread), "level")
+    return out.select("level", "other", "n", "displacement", "scale", F.try_divide("displacement", "scale").alias("relative"), "pair_correlation")
+
+
+#: The periods of the harmonic bases.
+PERIODS = (2, 5, 10, 100, 1000, 3000, 10000)
+
+
+def _basis_columns(n: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, dict[str, list[int]]]:
+    """Every column that a basis uses, for positive targets n and their standard scores u, and which are whose."""
+    size = np.floor(np.log10(n) + 1e-9).astype(int)
+    lead = n // 10**size
+    own = np.eye(9)[lead - 1]
+    within = (n / 10.0**size - lead) - 0.4995
+    parts = {"power": np.stack([u**k for k in range(4)], 1), "lead": own, "slope": own * within[:, None]}
+    for k in (1, 10, 100):
+        parts[f"digit{k}"] = np.eye(10)[n // k % 10][:, 1:]
+    for p in PERIODS:
+        angle = 2 * np.pi * (n % p) / p
+        parts[f"T{p}"] = np.cos(angle)[:, None] if p == 2 else np.stack([np.cos(angle), np.sin(angle)], 1)
+    at, low = {}, 0
+    for k, v in parts.items():
+        at[k] = list(range(low, low + v.shape[1]))
+        low += v.shape[1]
+    line = at["power"][:2]
+    pieces = at["lead"] + at["slope"]
+    bases = {"linear": line, "cubic": at["power"], "leading_digit": at["lead"], "piecewise_digit_lines": pieces, "decimal_digits": at["lead"] + at["digit1"] + at["digit10"] + at["digit100"]}
+    for p in PERIODS:
+        bases[f"helix_T{p}"] = line + at[f"T{p}"]
+        bases[f"within_digit_T{p}"] = pieces + at[f"T{p}"]
+    bases["generalized_decimal"] = line + [c for p in (2, 5, 10, 100, 1000) for c in at[f"T{p}"]]
+    bases["generalized_plus_global_bend"] = bases["generalized_decimal"] + at["T10000"]
+    return np.concatenate(list(parts.values()), 1), bases
+
+
+def basis_fits(points: DataFrame, folds: int = 5, seed: int = 1729, block: int = 100) -> DataFrame:
+    """(level, basis, split, r2): out-of-fold fits of all of a level's components by the target, for every basis and both ways of folding.
+
+    ``points`` holds level, component, target (positive), score.  ``random`` deals targets into folds by hash, ``block100`` stretches of a hundred.  A task keeps, for each
+    level, split and fold, the triangular factor of its rows, columns of all bases and components side by side; factors of parts are stacked and factored again, in a tree,
+    and a fold is predicted from the factor of the others.  No product of columns is formed, so ill-conditioned bases lose no digits.  R2 is over all components, about their means.
+    """
+    kept = points.select("level", "component", F.col("target").cast("long").alias("target"), "score")
+    scale = kept.groupBy("level").agg(F.avg("target").alias("m"), F.stddev_pop("target").alias("s"))
+    center = kept.groupBy("level", "component").agg(F.avg("score").alias("y"))
+    wide = kept.join(F.broadcast(center), ["level", "component"]).groupBy("level", "target").agg(F.transform(F.array_sort(F.collect_list(F.struct("component", (F.col("score") - F.col("y")).alias("v")))), lambda c: c["v"]).alias("y"))
+    dealt = lambda what, salt: F.pmod(F.xxhash64(F.lit(seed + salt), what), F.lit(folds)).cast("int")
+    rows = wide.join(F.broadcast(scale), "level").withColumn("f", F.explode(F.array(F.struct(F.lit("random").alias("split"), dealt(F.col("target"), 0).alias("fold")), F.struct(F.lit("block100").alias("split"), dealt(F.floor(F.col("target") / block), 1).alias("fold")))))
+    keys = ["level", "split", "fold"]
+    schema = "level int, split string, fold int, wide int, r array<double>"
+
+    def factor(x: np.ndarray) -> np.ndarray:
+        return np.linalg.qr(x, mode="r")
+
+    def partial(batches):
+        held: dict = {}
+        for f in batches:
+            for key, g in f.groupby(keys):
+                s = g["s"].to_numpy(float)
+                x, _ = _basis_columns(g["target"].to_numpy(np.int64), (g["target"] - g["m"]).to_numpy(float) / np.where(s > 0, s, 1.0))
+                part = np.concatenate([x, np.array(g["y"].tolist(), float)], 1)
+                held[key] = factor(np.concatenate([held[key], part]) if key in held else part)
+        yield pd.DataFrame([(*k, v.shape[1], v.ravel().tolist()) for k, v in held.items()], columns=[*keys, "wide", "r"])
+
+    def merged(f: pd.DataFrame) -> pd.DataFrame:
+        r = factor(np.concatenate([np.array(v).reshape(-1, w) for v, w in zip(f["r"], f["wide"], strict=True)]))
+        return pd.DataFrame([(*[f[k].iloc[0] for k in keys], r.shape[1], r.ravel().tolist())], columns=[*keys, "wide", "r"])
+
+    def fit(f: pd.DataFrame) -> pd.DataFrame:
+        own = [np.array(v).reshape(-1, w) for v, w in zip(f["r"], f["wide"], strict=True)]
+        width, bases = _basis_columns(np.array([1]), np.array([0.0]))
+        width = width.shape[1]
+        total = sum(float((r[:, width:] ** 2).sum()) for r in own)
+        out = []
+        for name, at in bases.items():
+            error = 0.0
+            for k, mine in enumerate(own):
+                rest = factor(np.concatenate([r for i, r in enumerate(own) if i != k])) if len(own) > 1 else np.zeros_like(mine)
+                w = np.linalg.lstsq(rest[:, at], rest[:, width:], rcond=None)[0]
+                error += float(((mine[:, width:] - mine[:, at] @ w) ** 2).sum())
+            out.append((f["level"].iloc[0], name, f["split"].iloc[0], 1 - error / total if total > 0 else None))
+        return pd.DataFrame(out, columns=["level", "basis", "split", "r2"])
+
+    parts = rows.select(*[F.col("f.split").alias("split"), F.col("f.fold").alias("fold")], "level", "target", "m", "s", "y").mapInPandas(partial, schema)
+    by_fold = parts.groupBy(*keys).applyInPandas(merged, schema)
+    return by_fold.groupBy("level", "split").applyInPandas(fit, "level int, basis string, split string, r2 double")

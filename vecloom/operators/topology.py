@@ -47,6 +47,39 @@ def feature_vector(intervals: DataFrame, key: str, longer: tuple[float, ...] = (
     return out.withColumn("top_ratio", F.try_divide("top", "second")).withColumn("top_share", F.try_divide("top", "total")).withColumn("most_share", F.try_divide("_most", "total")).drop("_l", "_most")
 
 
+#: Lives beyond which bars are counted, and radii at which classes are, in units of the scale.
+LIVES, RADII = (0.01, 0.02, 0.05, 0.1, 0.2), (0.1, 0.25, 0.5, 1.0, 2.0)
+
+
+def layer_features(tree: DataFrame, h1: DataFrame, scale: DataFrame, row: DataFrame, axes: DataFrame) -> DataFrame:
+    """One row a level: its diagrams of dimensions 0 and 1 in units of its scale, beside its neighbour and projection metrics.
+
+    ``tree(level, length)`` holds the merges, ``h1(level, birth, death)`` finite bars, ``scale(level, scale)`` the median distance, ``row`` a level's
+    ``metrics.whole_row`` and ``axes`` its (level, rho_pc1, rho_pc2, ev_pc1, ev_pc2).  Levels without scale have no row; those without bars have zeros and NULLs.
+    Lengths are float32, so a life is known to two half units of the last place: ``h1_below_rounding`` counts bars within that.
+    """
+    sized = scale.where("scale > 0").select("level", "scale")  # a row a level
+    unit = lambda f, *cs: f.join(F.broadcast(sized), "level").select("level", *[(F.col(c) / F.col("scale")).alias(c) for c in cs])
+    name = lambda x: str(x).replace(".", "_")
+    q = F.percentile("length", F.array(F.lit(0.5), F.lit(0.9)))
+    h0 = unit(tree, "length").groupBy("level").agg(q[0].alias("h0_median"), q[1].alias("h0_q90"), F.max("length").alias("h0_connect"), *[(1 + F.count_if(F.col("length") > x)).alias(f"h0_components_at_{name(x)}") for x in RADII])
+    bars = unit(h1.where(F.col("death") < INFINITY), "birth", "death")
+    f = feature_vector(bars, "level", LIVES, RADII)
+    renamed = {"bars": "h1_count", "top": "h1_max", "second": "h1_second", "top_ratio": "h1_top_ratio", "q25": "h1_q25", "q50": "h1_median", "q75": "h1_q75", "q90": "h1_q90", "q99": "h1_q99", "top_birth": "h1_top_birth", "top_death": "h1_top_death", "total": "h1_total", "top_share": "h1_top_share", "most_share": "h1_top30_share", "entropy": "h1_entropy", "entropy_share": "h1_entropy_normalized", "peak_betti": "h1_peak_betti", "peak_radius": "h1_peak_scale", "first_birth": "h1_first_birth", "last_death": "h1_last_death"} | {f"longer_{name(x)}": f"h1_count_gt_{name(x)}" for x in LIVES} | {f"betti_{name(x)}": f"h1_betti_at_{name(x)}" for x in RADII}
+    f = f.select("level", *[F.col(a).alias(b) for a, b in renamed.items()])
+    raw = h1.where(F.col("death") < INFINITY).groupBy("level").agg(F.max(F.col("death") - F.col("birth")).alias("h1_raw_max"), F.max("death").alias("_most"))
+    bound = raw.join(F.broadcast(sized), "level").select("level", "h1_raw_max", (F.col("_most") * 2.0**-23 / F.col("scale")).alias("h1_rounding_bound"))
+    below = bars.join(F.broadcast(bound), "level").groupBy("level").agg(F.count_if(F.col("death") - F.col("birth") <= F.col("h1_rounding_bound")).alias("h1_below_rounding"))
+    out = sized.withColumnRenamed("scale", "distance_scale")
+    depth = F.when(F.max("level").over(Window.partitionBy()) > 0, F.col("level") / F.max("level").over(Window.partitionBy())).otherwise(0.0)
+    for part in (axes.withColumn("ev_pc12", F.col("ev_pc1") + F.col("ev_pc2")).drop("ev_pc2"), row.select("level", "same_leading_digit", "same_digit_length", F.col("gap_median").alias("neighbor_numeric_gap"), F.col("log_gap_median").alias("neighbor_log_gap")), h0, f, bound, below):
+        out = out.join(F.broadcast(part), "level", "left")  # a row a level
+    out = out.withColumn("depth", depth)
+    out = out.withColumn("phase", F.when(F.col("depth") <= 1 / 3, "early").when(F.col("depth") <= 2 / 3, "middle").otherwise("late"))
+    counts = [c for c in out.columns if c.startswith(("h1_count", "h1_betti", "h1_below", "h1_peak_betti"))]
+    return out.na.fill(0, counts)
+
+
 def betti_grid(intervals: DataFrame, grid: DataFrame, *keys: str) -> DataFrame:
     """(keys, t, betti) at the times of ``grid(keys, t)``: intervals with birth <= t < death.
 

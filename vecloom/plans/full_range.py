@@ -14,7 +14,7 @@ def study(catalog: Catalog, points: DataFrame, vectors: DataFrame, k: int = 4) -
     valid = vectors.join(shape.where("NOT degenerate").select("level"), "level", "left_semi")
     near, b = catalog.get("knn", lambda: knn.exact_knn(valid, k), (a,))
     edges, c = catalog.get("edges", lambda: graph.union_graph(near), (b,))
-    stats, _ = catalog.get("metrics", lambda: metrics.graph_metrics(near, points, k), (b,))
+    stats, _ = catalog.get("metrics", lambda: metrics.whole_row(near, points, k), (b,))
     model, e = catalog.get("pca", lambda: project.pca(valid, 2), (a,))
     scores, _ = catalog.get("scores", lambda: project.oriented(project.scores(valid, model), points)[0], (e,))
     overlap, _ = catalog.get("overlap", lambda: knn.neighbour_overlap(near, k), (b,))

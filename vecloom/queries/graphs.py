@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.stats import adjusted_rand, contingency, purity
-from ..operators import graph, homology, knn, rips, topology
+from ..operators import audit, graph, homology, knn, metrics, project, rips, topology, trees
 from ..sources.tables import LEVELS, cube, points, table
 from ..staging import staged
-from .base import EDGES, rounded
+from .base import EDGES, POINTS, rounded
 
 #: The largest dimension of cliques in zigzags.
 TOP = 4
@@ -47,8 +47,7 @@ def r4_strong_components(spark, d):
     k = knn.exact_knn(cube(spark, d))
     p = points(spark, d).select("point_id", "label")
     e = k.join(p.select(F.col("point_id").alias("src"), F.col("label").alias("g")), "src").join(p.select(F.col("point_id").alias("dst"), F.col("label").alias("h")), "dst").where("g = h")
-    found = graph.strong_components(e.select((F.col("level") * 1000 + F.col("g")).cast("long").alias("grp"), "src", "dst"))
-    return found.select(F.floor(F.col("grp") / 1000).cast("int").alias("level"), F.pmod("grp", F.lit(1000)).cast("int").alias("label"), "node", "component")
+    return graph.strong_components(e.select("level", F.col("g").cast("int").alias("label"), "src", "dst"), "level", "label")
 
 
 def r5_mst(spark, d):
@@ -71,7 +70,7 @@ def r6_threshold_partition(spark, d):
 
 
 def r7_merge_curve(spark, d):
-    return rounded(graph.merge_curve(graph.minimum_spanning_trees(cube(spark, d)), points(spark, d).select("point_id", F.col("leading_digit").alias("label"))))
+    return rounded(trees.merge_curve(graph.minimum_spanning_trees(cube(spark, d)), points(spark, d).select("point_id", F.col("leading_digit").alias("label"))))
 
 
 def r8_cliques(spark, d):
@@ -122,6 +121,17 @@ def r11_euler(spark, d):
     return alive.groupBy("level").agg(F.sum(F.when(F.pmod("dim", F.lit(2)) == 0, 1).otherwise(-1)).alias("euler"))
 
 
+def o19_tree_checks(spark, d):
+    """Stored spanning trees checked against the vectors: number of edges, one part, lengths, and no pair nearer than its path's longest edge."""
+    c = cube(spark, d)
+    return trees.tree_checks(c, staged(graph.minimum_spanning_trees(c), "stored-trees"))
+
+
+def a1_whole_row(spark, d):
+    """All of a level's row: relations, lengths, both kinds of gaps, components, overlap with its count and denominator, digits."""
+    return rounded(metrics.whole_row(knn.exact_knn(cube(spark, d)), points(spark, d)))
+
+
 def r12_induced_edges(spark, d):
     p = points(spark, d).select("point_id", "label")
     e = _edges(spark, d).join(p.select(F.col("point_id").alias("a"), F.col("label").alias("ga")), "a").join(p.select(F.col("point_id").alias("b"), F.col("label").alias("gb")), "b")
@@ -151,6 +161,30 @@ def _persistence(spark, d):
     return topology.persistence(c.select("level").distinct(), staged(graph.minimum_spanning_trees(c), "persistence-trees"), staged(rips.h1_intervals(c), "persistence-h1"))
 
 
+def t24_layer_features(spark, d):
+    """Everything that a level is described by: diagrams in units of its median distance, neighbours and projections."""
+    c, p = cube(spark, d), points(spark, d)
+    model = project.pca(c, 2)
+    rho = project.oriented(project.scores(c, model), p)[1]
+    pick = lambda f, v, n: f.groupBy("level").agg(*[F.max(F.when(F.col("component") == i, F.col(v))).alias(f"{n}_pc{i}") for i in (1, 2)])
+    axes = pick(rho, "rho", "rho").join(pick(model, "ratio", "ev"), "level")
+    row = staged(metrics.whole_row(knn.exact_knn(c), p), "layer-rows")
+    return rounded(topology.layer_features(staged(graph.minimum_spanning_trees(c), "layer-trees"), staged(rips.h1_intervals(c), "layer-h1"), staged(knn.pair_median(c), "layer-scales"), row, staged(axes, "layer-axes")))
+
+
+def o8_audit(spark, d):
+    """The stored relation, components and transitions of every level, audited against its vectors."""
+    c, p = cube(spark, d), points(spark, d)
+    k = knn.exact_knn(c)
+    return audit.relation_audit(c, k, staged(project.pca(c, 4), "audit-model"), metrics.digit_transitions(k, p))
+
+
+def a41_order_report(spark, d):
+    """Whether the cube's copy of three places keeps each point's neighbours, and for which points that is certain beforehand."""
+    c = cube(spark, d)
+    return rounded(audit.order_report(c, c.withColumn("vec", F.transform("vec", lambda x: F.floor(x * 1000) / 1000))))
+
+
 def t8_persistence(spark, d):
     """H0 without its bars of no length, and H1, on each level's one grid of 301 radii: how many classes are alive at each."""
     return rounded(_persistence(spark, d))
@@ -183,6 +217,8 @@ _TIMES = EDGES + """, s AS (SELECT level, 0 AS dim, [point_id] AS x FROM cube UN
 t AS (SELECT dim, x, 2 * level AS t FROM s UNION ALL SELECT p.dim, p.x, 2 * p.level + 1 FROM s p JOIN s q ON q.level = p.level + 1 AND q.x = p.x AND q.dim = p.dim),
 g AS (SELECT dim, x, t, t - row_number() OVER (PARTITION BY dim, x ORDER BY t) AS g FROM t), runs AS (SELECT dim, x, (min(t) + 1)::INT AS start, (max(t) + 2)::INT AS stop FROM g GROUP BY dim, x, g)"""
 
+_six = lambda v, p: f"round(min({v}), 6) AS {p}_min, round(quantile_cont({v}, 0.25), 6) AS {p}_q25, round(quantile_cont({v}, 0.5), 6) AS {p}_median, round(quantile_cont({v}, 0.75), 6) AS {p}_q75, round(max({v}), 6) AS {p}_max, round(avg({v}), 6) AS {p}_mean"
+
 QUERIES = {
     "r1_union_graph": (r1_union_graph, f"WITH {EDGES} SELECT * FROM edges"),
     "r2_degrees": (r2_degrees, f"""WITH {EDGES}, i AS (SELECT level, dst AS point_id, count(*) AS in_degree FROM knn GROUP BY ALL), u AS (SELECT level, p AS point_id, count(*) AS union_degree FROM (SELECT level, a AS p FROM edges UNION ALL SELECT level, b FROM edges) GROUP BY ALL)
@@ -207,11 +243,29 @@ SELECT level, count(*) AS components, max(n) AS largest, count(*) FILTER (n = 1)
     "r10_ranges": (r10_ranges, "WITH g AS (SELECT o_orderpriority, o_orderkey, o_orderkey - row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS g FROM orders) SELECT o_orderpriority, min(o_orderkey) + 1 AS start, max(o_orderkey) + 2 AS stop FROM g GROUP BY o_orderpriority, g"),
     "r11_zigzag": (r11_zigzag, None),
     "r11_euler": (r11_euler, f"WITH {_CL}, n AS (SELECT level, count(*) AS n FROM cube GROUP BY level UNION ALL SELECT level, -count(*) FROM e GROUP BY level UNION ALL SELECT level, count(*) FROM c3 GROUP BY level UNION ALL SELECT level, -count(*) FROM c4 GROUP BY level UNION ALL SELECT level, count(*) FROM c5 GROUP BY level) SELECT level, sum(n)::BIGINT AS euler FROM n GROUP BY level"),
+    "o19_tree_checks": (o19_tree_checks, "SELECT l::INT AS level, c AS \"check\", 0::BIGINT AS wrong FROM range(4) t(l), (VALUES ('edges'), ('parts'), ('lengths'), ('cycles')) v(c) WHERE (SELECT count(*) FROM embeddings) > 1"),
+    "a1_whole_row": (a1_whole_row, f"""WITH RECURSIVE {_COMP}, {POINTS}, rel AS (SELECT k.*, s.target AS st, s.leading_digit AS sd, s.digit_count AS sn, d.target AS dt, d.leading_digit AS dd, d.digit_count AS dn FROM knn k JOIN points s ON s.point_id = k.src JOIN points d ON d.point_id = k.dst),
+mm AS MATERIALIZED (SELECT level, count(DISTINCT src) AS point_count, count(*) AS relations, round(avg((sd = dd)::INT), 6) AS same_leading_digit, round(avg((sn = dn)::INT), 6) AS same_digit_length, count(*) FILTER (sn <> dn) AS cross_length_count, round(avg((sn <> dn)::INT), 6) AS cross_length,
+count(*) FILTER (sn <> dn AND sd = dd) AS same_cross_count, round(count(*) FILTER (sn <> dn AND sd = dd) / nullif(count(*) FILTER (sn <> dn), 0), 6) AS same_given_cross, {_six("abs(st - dt)::DOUBLE", "gap")}, {_six("abs(log10(st) - log10(dt))", "log_gap")}, {_six("dist", "dist")},
+{", ".join(f"round(avg((sd = dd)::INT) FILTER (sd = {i}), 6) AS same_{i}" for i in range(1, 10))} FROM rel GROUP BY level),
+u AS (SELECT level, count(*) AS union_edges, count(*) FILTER (mutual) AS mutual_edges FROM edges GROUP BY level),
+q AS (SELECT level, component, count(*) AS n FROM comp GROUP BY ALL), c AS (SELECT level, count(*) AS components, round(max(n) / sum(n), 6) AS largest_share FROM q GROUP BY level),
+o AS (SELECT n.level, count(o.src) AS overlap_count, count(*) AS overlap_denominator, round(count(o.src) / count(*), 6) AS overlap FROM knn n LEFT JOIN knn o ON o.level = n.level - 1 AND o.src = n.src AND o.dst = n.dst WHERE n.level > 0 GROUP BY n.level)
+SELECT mm.*, union_edges, mutual_edges, round(2 * mutual_edges / relations, 6) AS mutual_fraction, components, largest_share, overlap_count, overlap_denominator, overlap FROM mm JOIN u USING (level) JOIN c USING (level) LEFT JOIN o USING (level)"""),
     "r12_induced_edges": (r12_induced_edges, f"WITH {EDGES} SELECT level, least(p.label, q.label) AS g1, greatest(p.label, q.label) AS g2, count(*) AS n FROM edges JOIN embeddings p ON p.vec_id = a JOIN embeddings q ON q.vec_id = b GROUP BY ALL"),
     "t4_rips_h1": (t4_rips_h1, None),
     "t4_level_h1": (t4_level_h1, None),
     "t7_censored_h1": (t7_censored_h1, None),
     "t8_persistence": (t8_persistence, None),
+    "t24_layer_features": (t24_layer_features, None),
+    "o8_audit": (o8_audit, "SELECT l::INT AS level, c AS \"check\", 0::BIGINT AS wrong FROM range(4) t(l), (VALUES ('ranks'), ('self'), ('order'), ('lengths'), ('sample'), ('basis'), ('ratios'), ('totals')) v(c) WHERE (SELECT count(*) FROM embeddings) > 0"),
+    "a41_order_report": (a41_order_report, """WITH v AS (SELECT l::INT AS level, vec_id AS i, list_transform(embedding[16 * l + 1 : 16 * l + 16], lambda x: x::DOUBLE) AS x FROM embeddings, range(4) t(l)),
+w AS (SELECT level, i, x, list_transform(x, lambda c: floor(c * 1000) / 1000) AS y FROM v), m AS (SELECT level, max(list_distance(x, y)) AS m FROM w GROUP BY level),
+p AS (SELECT a.level, a.i AS src, b.i AS dst, list_distance(a.x, b.x) AS d, list_distance(a.y, b.y) AS e FROM w a JOIN w b ON a.level = b.level AND a.i <> b.i),
+r AS (SELECT *, row_number() OVER (PARTITION BY level, src ORDER BY d, dst) AS rd, row_number() OVER (PARTITION BY level, src ORDER BY e, dst) AS re FROM p),
+s AS (SELECT level, src, list(dst ORDER BY rd) FILTER (rd <= 4) AS a, list(dst ORDER BY re) FILTER (re <= 4) AS b, list(d ORDER BY rd) FILTER (rd <= 5) AS ds FROM r WHERE rd <= 5 OR re <= 5 GROUP BY level, src),
+g AS (SELECT level, a = b AS o, list_sort(a) = list_sort(b) AS t, list_min(list_transform(range(1, len(ds)), lambda k: ds[k + 1] - ds[k])) AS gap, ds[5] - ds[4] AS margin FROM s)
+SELECT level, count(*) AS n, count(*) FILTER (o) AS same_order, count(*) FILTER (t) AS same_set, count(*) FILTER (gap > 4 * m) AS certain, count(*) FILTER (gap > 4 * m AND NOT o) AS broken, count(*) FILTER (NOT gap > 4 * m) AS near_ties, round(min(margin), 6) AS least_margin FROM g JOIN m USING (level) GROUP BY level"""),
     "t25_quotient": (t25_quotient, "WITH x AS (SELECT l::INT AS level, embedding[16 * l + 1 : 16 * l + 16] AS v, count(*) AS n FROM embeddings, range(4) t(l) GROUP BY ALL) SELECT level, count(*) AS distinct_vectors, sum(n)::BIGINT AS points, max(n) AS most FROM x GROUP BY level"),
     "a25_contingency": (a25_contingency, "SELECT left((vec_id + 1)::VARCHAR, 1)::INT AS a, label AS b, count(*) AS n FROM embeddings GROUP BY ALL"),
     "a25_purity": (a25_purity, "WITH c AS (SELECT left((vec_id + 1)::VARCHAR, 1) AS a, label AS b, count(*) AS n FROM embeddings GROUP BY ALL), m AS (SELECT a, max(n) AS m, sum(n) AS n FROM c GROUP BY a) SELECT round(sum(m) / sum(n), 6) AS purity FROM m"),

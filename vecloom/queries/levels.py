@@ -23,10 +23,20 @@ def a8_pca3_scores(spark, d):
 
 
 def a10_shared_pca(spark, d):
-    """One basis for two labels' points, and how far the second's centre lies from the first's in it."""
-    c = cube(spark, d).join(points(spark, d).where("label IN (0, 1)").select("point_id", "label"), "point_id")
-    s = project.scores(c, project.pca(c, 2)).join(points(spark, d).select("point_id", "label"), "point_id")
-    return rounded(s.groupBy("level", "component").agg(F.abs(F.avg(F.when(F.col("label") == 0, F.col("score"))) - F.avg(F.when(F.col("label") == 1, F.col("score")))).alias("displacement"), F.stddev("score").alias("spread")))
+    """Every two levels' points in the first three components of all levels together: displacement, scale, correlation of pair distances."""
+    return rounded(project.shared_basis(cube(spark, d), 3))
+
+
+def a10_whole_basis(spark, d):
+    """The same in all components, where distances are those of the vectors."""
+    return rounded(project.shared_basis(cube(spark, d), 16))
+
+
+def a21_bases(spark, d):
+    """Out-of-fold fits of each level's first three components by every basis, with both kinds of folds."""
+    c = cube(spark, d)
+    s = project.scores(c, project.pca(c, 3)).join(points(spark, d).select("point_id", "target"), "point_id")
+    return rounded(project.basis_fits(s.select("level", "component", "target", "score")))
 
 
 def a11_layer_metrics(spark, d):
@@ -192,6 +202,11 @@ QUERIES = {
     "a7_pca": (a7_pca, None),
     "a8_pca3_scores": (a8_pca3_scores, None),
     "a10_shared_pca": (a10_shared_pca, None),
+    "a21_bases": (a21_bases, None),
+    "a10_whole_basis": (a10_whole_basis, f"""WITH {CUBE}, x AS (SELECT *, lead(vec) OVER (PARTITION BY level, point_id % 64 ORDER BY point_id) AS nxt FROM cube), p AS (SELECT level, point_id, vec, list_distance(vec, nxt) AS pair FROM x),
+e AS (SELECT level, unnest(range(16)) AS c, unnest(vec) AS v FROM cube), s AS (SELECT level, sqrt(sum(v)) AS scale FROM (SELECT level, c, var_pop(v) AS v FROM e GROUP BY ALL) GROUP BY level)
+SELECT a.level, b.level AS other, count(*) AS n, round(median(list_distance(a.vec, b.vec)), 6) AS displacement, round(max(scale), 6) AS scale, round(median(list_distance(a.vec, b.vec)) / max(scale), 6) AS relative, round(corr(a.pair, b.pair), 6) AS pair_correlation
+FROM p a JOIN p b ON a.point_id = b.point_id AND a.level < b.level JOIN s ON s.level = a.level GROUP BY a.level, b.level"""),
     "a11_layer_metrics": (a11_layer_metrics, None),
     "a12_best_level": (a12_best_level, None),
     "a13_spearman": (a13_spearman, f"WITH r AS (SELECT l_returnflag, {_rank('l_quantity', 'l_returnflag')} AS x, {_rank('l_extendedprice', 'l_returnflag')} AS y FROM lineitem) SELECT l_returnflag, round(corr(x, y), 6) AS rho FROM r GROUP BY ALL"),

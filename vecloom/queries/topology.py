@@ -70,7 +70,7 @@ def t16_global_k(spark, d):
 
 
 def t17_top_bars(spark, d):
-    return rounded(topology.top_bars(intervals(spark, d).dropDuplicates(), 10, "diagram")[0])
+    return rounded(topology.top_bars(intervals(spark, d), 10, "diagram")[0])
 
 
 def t17_sketch_error(spark, d):
@@ -151,7 +151,7 @@ FROM s JOIN b USING (diagram) JOIN p USING (diagram)"""),
 SELECT i AS level, round(avg(coalesce(m / nullif(n, 0), 0)), 6) AS value FROM c GROUP BY i"""),
     "t15_interval_counts": (t15_interval_counts, f"WITH {_LAYERS} SELECT count(*) AS features, count(*) FILTER (lifetime_layers > 0) AS positive, round(avg(lifetime_layers), 6) AS mean_lifetime FROM ef"),
     "t16_global_k": (t16_global_k, "SELECT l_linenumber AS k, count(*) FILTER (l_quantity > 25) AS n FROM lineitem GROUP BY k ORDER BY n DESC, k LIMIT 1"),
-    "t17_top_bars": (t17_top_bars, f"WITH {INTERVALS} SELECT diagram, birth, death, round(death - birth, 6) AS life, (row_number() OVER w)::INT AS rank FROM (SELECT DISTINCT * FROM intervals) WINDOW w AS (PARTITION BY diagram ORDER BY death - birth DESC, birth, death) QUALIFY row_number() OVER w <= 10"),
+    "t17_top_bars": (t17_top_bars, f"WITH {INTERVALS} SELECT diagram, birth, death, round(death - birth, 6) AS life, (row_number() OVER w)::INT AS rank FROM intervals WINDOW w AS (PARTITION BY diagram ORDER BY death - birth DESC, birth, death) QUALIFY row_number() OVER w <= 10"),
     "t17_sketch_error": (t17_sketch_error, f"WITH {INTERVALS}, r AS (SELECT diagram, death - birth AS life, row_number() OVER (PARTITION BY diagram ORDER BY death - birth DESC, birth, death) AS rank FROM intervals) SELECT diagram, round(coalesce(max(life) FILTER (rank > 10), 0) / 2, 6) AS error FROM r GROUP BY diagram"),
     "t19_witness": (t19_witness, f"WITH {INTERVALS}, i AS (SELECT DISTINCT * FROM intervals), k AS (SELECT * FROM i WHERE diagram = 'A-F' QUALIFY row_number() OVER (ORDER BY death - birth DESC, birth, death) <= 5), n AS (SELECT k.birth AS b, k.death AS d, min(greatest(abs(k.birth - i.birth), abs(k.death - i.death))) AS near FROM k, i WHERE i.diagram = 'N-O' AND i.birth >= 0.3::DOUBLE GROUP BY ALL) SELECT round(max(least((d - b) / 2, near)), 6) AS bound FROM n"),
     "t20_betti_l1": (t20_betti_l1, f"WITH {INTERVALS}, iw AS (SELECT *, 1.0::DOUBLE AS w FROM intervals), {_L1}"),

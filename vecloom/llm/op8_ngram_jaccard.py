@@ -204,7 +204,7 @@ def _unit(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The shingles of representatives; of rows that share an id, those whose set is the wanted one."""
+    """The shingles of representatives, of each as many times as its row is repeated."""
     for batch in sliced(batches, "text"):
         rep, want = batch.column("rep"), batch.column("key").to_pylist()
         for w in batch_words(batch.column("text")):
@@ -218,6 +218,12 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     give_back()
 
 
+def _texts(hashed: DataFrame, member: DataFrame) -> DataFrame:
+    """(rep, key, text): the representatives' texts; rows that share an id are told apart by the hashes of theirs."""
+    mine = [F.col("doc_id").eqNullSafe(F.col("_id")), F.col("text_hash") == F.col("rep_hash")]
+    return hashed.join(member.select("rep", "key", "rep_hash", F.col("doc_id").alias("_id")).hint("merge"), mine).select("rep", "key", "text")
+
+
 def classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """One row per input row: doc_id, text_hash, key (of its shingle set), size, class_id, n_links, label (of the class)."""
     bounded_batches(docs.sparkSession)
@@ -226,8 +232,8 @@ def classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = hashed.mapInArrow(_prints, "doc_id long, text_hash binary, key binary, size int, sign binary, bands array<long>")
     rows = staged(rows.withColumn("row", F.monotonically_increasing_id()), "op8-rows")
     order = F.coalesce("doc_id", F.lit((1 << 63) - 1))
-    reps = rows.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.min_by("row", order).alias("rep"), F.count("*").alias("copies"), F.first("size").alias("size"))
-    reps = staged(reps, "op8-reps")
+    reps = rows.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.min_by(F.struct("row", "text_hash"), order).alias("r"), F.count("*").alias("copies"), F.first("size").alias("size"))
+    reps = staged(reps.select("key", "doc_id", F.col("r.row").alias("rep"), F.col("r.text_hash").alias("rep_hash"), "copies", "size"), "op8-reps")
     band = rows.join(reps.select(F.col("rep").alias("row")), "row", "left_semi").select(F.col("row").alias("rep"), F.explode("bands").alias("band"))
     heads = staged(band.groupBy("band").agg(F.min("rep").alias("head"), F.max("rep").alias("most")).where("head < most").select("band", "head"), "op8-heads")
     clusters = connected(band.join(heads, "band").select(F.col("rep").alias("a"), F.col("head").alias("b")), "op8-near")
@@ -246,8 +252,7 @@ def classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     member = members(connected(near.select(F.col("rep").alias("a"), F.col("root").alias("b")), "op8-split"), "op8-member")
     # The shingles are made again, from the texts of those representatives alone.  These joins grow with the
     # corpus, so they are merge joins at every size.
-    full = text.join(member.select("rep", "key", F.col("doc_id").alias("_id")).hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id"))).select("rep", "key", "text")
-    sets = full.mapInArrow(_sets, "rep long, shingles binary").dropDuplicates(["rep"])
+    sets = _texts(hashed, member).mapInArrow(_sets, "rep long, shingles binary").dropDuplicates(["rep"])
     unit = member.select("rep", "cluster", "set_blocks", "copies").join(signs, "rep").join(sets.hint("merge"), "rep")
     found = staged(_dealt(unit, "set_blocks").repartition(tasks, "cluster", "x", "y").groupBy("cluster", "x", "y").applyInPandas(_unit, "rep long, links long, root long"), "op8-found")
     labels = connected(found.select(F.col("rep").alias("a"), F.col("root").alias("b")), "op8-class")

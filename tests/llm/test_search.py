@@ -251,3 +251,30 @@ def test_digests_of_long_documents_are_taken_in_parts(monkeypatch):
 def test_alignment_of_an_empty_table(spark, odd):
     assert op13_token_alignment.alignment(odd.limit(0), op13_token_alignment.default_tokenizer(), op13_token_alignment.default_model()).count() == 0
     assert values(op13_token_alignment.alignment(odd.where("text IS NULL"), op13_token_alignment.default_tokenizer(), op13_token_alignment.default_model()), "n_a", "groups_sha256") == [(0, ""), (0, "")]
+
+
+# Of earlier operators.
+
+
+def test_texts_of_rows_without_ids_are_sent_once(spark):
+    """n near copies whose ids are null send n texts, and are one class."""
+    from vecloom.llm import op8_ngram_jaccard as op8
+
+    for n in (20, 40):
+        rows = [(None, " ".join([f"w{i}" for i in range(60)] + [f"own{k}"])) for k in range(n)]
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        hashed = df.withColumn("text_hash", F.unhex(F.sha2("text", 256)))
+        member = hashed.select(F.monotonically_increasing_id().alias("rep"), F.col("text_hash").alias("key"), F.col("text_hash").alias("rep_hash"), "doc_id")
+        assert op8._texts(hashed, member).count() == n
+        assert values(op8.jaccard_join(df), "doc_id", "class_id", "n_links") == [(None, None, n - 1)] * n
+
+
+def test_ids_of_texts_whose_tokens_span_spaces():
+    from vecloom.llm import op1_token_ids
+
+    path = op1_token_ids.default_tokenizer()
+    t, e = Tokenizer.from_file(path), op1_token_ids.Encoder(path)
+    texts = ["a \u00a0 \u00a0 b", "\u00a0 \u00a0 \u00a0 \u00a0 \u00a0", "x\u00a0 y", "plain words", None, "x \u00a0y \u00a0 \u00a0 \u00a0 \u00a0z"]
+    ids, n = e.encode(pa.array(texts))
+    want = [[*t.encode(x or "", add_special_tokens=False).ids, 0] for x in texts]
+    assert n.tolist() == [len(w) for w in want] and ids.tolist() == sum(want, []) and e.spanned == ["\u00a0 "]

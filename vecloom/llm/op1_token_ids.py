@@ -6,7 +6,7 @@ their ids and lengths, how many ids the shard holds before them, the group's ord
 reset, checksummed blocks of the adaptive coder in ``id_coder``.  The container is Parquet, so
 Spark's own commit protocol writes it to whatever store the path names.
 
-Texts are cut at single spaces, which no token spans, and each different word of some megabytes of them, if it is not known yet, is
+Texts are cut at single spaces, which no token spans (texts where one may, after a no-break space, are not cut), and each different word of some megabytes of them, if it is not known yet, is
 encoded once; the ids are those of the whole text.  Null text counts as empty (the end id alone).  A null id comes first;
 rows that repeat an id are documents of their own, in the order of their texts' hashes.  An empty table gives no rows.
 """
@@ -48,7 +48,9 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         size = self.tokenizer.get_vocab_size()
         self.spaced = np.array([(self.tokenizer.id_to_token(i) or "").startswith("\u0120") for i in range(size)])
-
+        # Tokens may span a space after some characters (a no-break space, in this vocabulary): texts that have those are encoded whole.
+        crossing = [self.tokenizer.decode([i]) for i in range(size) if "\u0120" in (self.tokenizer.id_to_token(i) or "").lstrip("\u0120")]
+        self.spanned = sorted({t[k - 1 : k + 1] for t in crossing for k in range(1, len(t)) if t[k] == " " != t[k - 1]})
         self.known = Words(self.words, "<u2")
 
     def words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -72,7 +74,10 @@ class Encoder:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, END after each text, and how many each text has (uint16, int64)."""
         heads = lambda own, _: [np.array(e.ids, "<u2") for e in self.tokenizer.encode_batch_fast(own, add_special_tokens=False)]
-        return assembled(texts, self.known, heads, True, END)
+        also = np.zeros(len(texts), bool)
+        for pair in self.spanned:
+            also |= pc.fill_null(pc.match_substring(texts, pair), False).to_numpy(zero_copy_only=False)
+        return assembled(texts, self.known, heads, True, END, also)
 
 
 @lru_cache(maxsize=2)

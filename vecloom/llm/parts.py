@@ -44,11 +44,11 @@ class Words:
         return found
 
 
-def assembled(texts: pa.Array, words: Words, heads: Callable[[list[str], list[bool]], list[np.ndarray]], first: bool, end: int) -> tuple[np.ndarray, np.ndarray]:
+def assembled(texts: pa.Array, words: Words, heads: Callable[[list[str], list[bool]], list[np.ndarray]], first: bool, end: int, also: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """All ids of the texts, ``end`` after each, and how many each has.
 
     ``heads`` gives the ids that a text begins with: of all of it where it has a run of spaces or one at an end, and else of its
-    first word if ``first``.
+    first word if ``first``.  Texts that ``also`` marks are taken whole too.
     """
     if not len(texts):
         return np.zeros(0, words.kind), np.zeros(0, np.int64)
@@ -61,6 +61,8 @@ def assembled(texts: pa.Array, words: Words, heads: Callable[[list[str], list[bo
     whole = np.zeros(len(texts), bool)
     if none >= 0:
         whole[np.searchsorted(offset, np.flatnonzero(at == none), side="right") - 1] = True
+    if also is not None:
+        whole |= also
     begin_of = offset[:-1]
     alone = coded.dictionary.take(pa.array(at[begin_of])) if first else pa.array([""] * len(texts))
     own = heads(pc.if_else(pa.array(whole), pc.fill_null(texts, ""), alone).to_pylist(), whole.tolist())

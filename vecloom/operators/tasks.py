@@ -73,6 +73,50 @@ def records(spark: SparkSession, n: int = 10_000, seed: int = 42, only: tuple[in
     ).withColumn("character_count", F.length("prompt"))
 
 
+def drawn(seed: int, low: Column, high: Column, *what: Column) -> Column:
+    """A whole number of low..high, both included, drawn by the md5 of the seed and ``what``: alike on any cluster and engine."""
+    h = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), *[w.cast("string") for w in what])), 1, 8), 16, 10).cast("long")
+    return low + F.pmod(h, high - low + 1)
+
+
+def records_of(targets: DataFrame, seed: int = 42) -> DataFrame:
+    """Full-range prompt records of a table's ``targets(target)``, of any number: demonstrations of one to four digits, drawn by hash in the tasks.
+
+    Ids are the targets less one, as of a full range.  A repeated target has the same demonstrations each time.
+    """
+    t = F.col("target").cast("string")
+    demos = F.array(*[drawn(seed, F.lit(10**d if d else 1).cast("long"), F.lit(10 ** (d + 1) - 1).cast("long"), F.col("target"), F.lit(d)) for d in range(4)])
+    rows = targets.select(F.col("target").cast("long").alias("target")).withColumn("demonstrations", demos)
+    shown = F.transform("demonstrations", lambda x: F.concat(x.cast("string"), F.lit("="), x.cast("string")))
+    return rows.select(
+        (F.col("target") - 1).alias("point_id"), "target", t.alias("target_string"), F.left(t, F.lit(1)).cast("int").alias("leading_digit"), F.length(t).alias("digit_count"), "demonstrations",
+        F.transform("demonstrations", lambda x: F.length(x.cast("string"))).alias("demonstration_digit_lengths"), F.transform("demonstrations", lambda x: x == F.col("target")).alias("demonstration_equals_target"),
+        F.concat(F.array_join(shown, ","), F.lit(","), t, F.lit("=")).alias("prompt"), F.lit(seed).alias("seed"),
+    ).withColumn("character_count", F.length("prompt"))
+
+
+def same_context_prompts(numbers: DataFrame, examples: int = 4) -> DataFrame:
+    """(group, pos, target, prompt) of ``numbers(group, pos, target)``: every number of a group after the group's first ones, as equations.
+
+    The first ones are a bounded number a group, so they reach the others by a join on the group that is broadcast where groups are few.
+    """
+    first = numbers.withColumn("r", F.row_number().over(Window.partitionBy("group").orderBy("pos"))).where(F.col("r") <= examples)
+    first = first.groupBy("group").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "target"))), lambda x: F.concat_ws("=", x["target"].cast("string"), x["target"].cast("string"))).alias("shown"))
+    return numbers.join(first, "group").select("group", "pos", "target", F.concat(F.array_join("shown", ","), F.lit(","), F.col("target").cast("string"), F.lit("=")).alias("prompt"))
+
+
+def four_digit_sample(targets: DataFrame, n: int = 1000, seed: int = 42) -> DataFrame:
+    """(pos, target): n of a table's different four-digit ``targets(target)`` without the demonstrations, ascending.
+
+    Dealt round the leading digits in the order of a hash, 1000 and 9999 first in theirs, so a smaller n is a subset of a larger; all, if fewer.
+    """
+    shown = sorted({x for demos in DIGIT_DEMOS for x in demos})
+    pool = targets.select(F.col("target").cast("long").alias("target")).where(F.col("target").between(1000, 9999) & ~F.col("target").isin(*shown)).distinct()
+    turn = F.row_number().over(Window.partitionBy(F.floor(F.col("target") / 1000)).orderBy(F.col("target").isin(1000, 9999).cast("int").desc(), F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("target").cast("string"))), "target"))
+    dealt = pool.withColumn("turn", turn).where(F.col("turn") <= n).orderBy("turn", F.floor(F.col("target") / 1000)).limit(n)
+    return dealt.withColumn("pos", F.row_number().over(Window.orderBy("target")) - 1).select("pos", "target")  # n rows
+
+
 def bad_records(rows: DataFrame) -> DataFrame:
     """Records that break an invariant, with the first one they break."""
     t = F.col("target").cast("string")

@@ -11,8 +11,9 @@ from .base import rounded
 
 
 def g16_templates(spark, d):
-    t = shapes.template_table(spark)
-    return t.groupBy("name", "family", "dimension").agg(F.count("*").alias("n"), F.round(F.avg(F.col("x") ** 2 + F.col("y") ** 2 + F.col("z") ** 2), 6).alias("size"))
+    """Templates with as many points as each label has: their number, and their mean square radius, which is 1."""
+    sizes = points(spark, d).groupBy("label").agg(F.count("*").alias("n"))
+    return rounded(shapes.template_sizes(sizes))
 
 
 def _clouds(spark, d):
@@ -86,7 +87,7 @@ def s18_centred_slice(spark, d):
 
 
 QUERIES = {
-    "g16_templates": (g16_templates, None),
+    "g16_templates": (g16_templates, "SELECT label, unnest(" + str([t[0] for t in shapes.templates(24)]) + ") AS name, count(*) AS n, 1.0::DOUBLE AS size FROM embeddings GROUP BY label"),
     "f1_halves": (f1_halves, "SELECT l || '-' || label AS cloud, " + ", ".join(f"{v}::DOUBLE AS {c}" for c, v in [*[(f"mean_{c}", 0) for c in "xyz"], ("size", 1), *[(f"mixed_{c}", 0) for c in ("xy", "xz", "yz")]]) + " FROM embeddings, range(4) t(l) GROUP BY l, label"),
     "f6_template_fits": (f6_template_fits, None),
     "f7_closest": (f7_closest, None),

@@ -1,9 +1,10 @@
 """Exact nearest neighbours within each level, with deterministic ties.
 
-The pair comparison is done on blocks: points are packed into blocks of ``BLOCK`` rows, written once, and each pair of
-blocks of a level is a cell, the key of the join that brings the two together.  A cell is one unit of work for a numpy kernel and
-returns only the k nearest it saw, so no task gathers a level, no pair of points is ever a row, and the work spreads over
-(N / BLOCK) ** 2 cells.  A matrix product of centred blocks proposes neighbours, with room for its rounding; distances are then
+The pair comparison is done on blocks: points are packed into blocks, written once, and each pair of
+blocks of a level is a cell, the key of the join that brings the two together.  A cell is one unit of work for a numpy kernel, which gives both blocks their
+k nearest in the other, so no task gathers a level, no pair of points is ever a row, and the work spreads over the cells.  A block goes to every cell of
+its row once: neighbours take blocks of an eighth of a level, between ``BLOCK`` rows and ``BLOCK_BYTES``, so what is sent is at most some nine times a table that fits
+eight such blocks, and beyond that grows with the number of blocks that BLOCK_BYTES allows.  A matrix product of centred blocks proposes neighbours, with room for its rounding; distances are then
 taken by differences before squaring, in doubles: vectors far from the origin lose nothing.
 """
 
@@ -19,13 +20,17 @@ from pyspark.sql import functions as F
 from ..staging import staged
 
 BLOCK = 512
+#: Bytes of a block's vectors, and blocks of a level, where neither BLOCK nor these bytes decide.
+BLOCK_BYTES, SPREAD = 4 << 20, 8
 #: Numbers that a step of direct differences holds.
 CHUNK = 1 << 19
 
 
-def blocks(vectors: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(level, block, ids, data): packed points; a block has ``block`` rows or thereabouts."""
-    sizes = vectors.groupBy("level").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+def blocks(vectors: DataFrame, block: int | None = BLOCK) -> DataFrame:
+    """(level, block, ids, data): packed points; a block has ``block`` rows or thereabouts, without it a part of its level between BLOCK rows and BLOCK_BYTES."""
+    most = F.floor(F.lit(BLOCK_BYTES) / (8 * F.greatest(F.max(F.size("vec")), F.lit(1))))
+    rows = F.greatest(F.lit(BLOCK), F.least(most, F.ceil(F.count("*") / SPREAD))) if block is None else F.lit(block)
+    sizes = vectors.groupBy("level").agg(F.ceil(F.count("*") / rows).cast("int").alias("blocks"))
     dealt = vectors.join(F.broadcast(sizes), "level").withColumn("block", F.pmod(F.xxhash64("point_id"), F.col("blocks")).cast("int"))
     rows = dealt.groupBy("level", "block").agg(F.array_sort(F.collect_list(F.struct("point_id", "vec"))).alias("rows"))
     return rows.join(F.broadcast(sizes), "level").select("level", "block", "blocks", F.transform("rows", lambda r: r["point_id"]).alias("ids"), F.flatten(F.transform("rows", lambda r: r["vec"])).alias("data"))
@@ -50,6 +55,15 @@ def _paired(x: np.ndarray, y: np.ndarray, row: np.ndarray, col: np.ndarray) -> n
     return out
 
 
+def nearest_all(x: np.ndarray, xi: np.ndarray, y: np.ndarray, yi: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids of x, ids of y, distances) as ``nearest`` gives them, BLOCK rows of x at a time."""
+    parts = []
+    for i in range(0, len(x), BLOCK):
+        row, dst, dist = nearest(x[i : i + BLOCK], xi[i : i + BLOCK], y, yi, k)
+        parts.append((xi[i + row], dst, dist))
+    return tuple(np.concatenate(c) for c in zip(*parts, strict=True))
+
+
 def nearest(x: np.ndarray, xi: np.ndarray, y: np.ndarray, yi: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row of x, id of y, distance) of each x's k nearest other points of y, ties by id; ``yi`` ascends."""
     k = min(k, len(yi))
@@ -78,21 +92,29 @@ def cells(packed: DataFrame, *more: str) -> DataFrame:
     return left.join(right.hint("shuffle_hash"), ["level", "x", "y"])
 
 
-def exact_knn(vectors: DataFrame, k: int = 4, block: int = BLOCK) -> DataFrame:
+def half_cells(packed: DataFrame) -> DataFrame:
+    """As ``cells``, each pair of blocks once: x <= y."""
+    left = packed.select("level", F.col("block").alias("x"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("y"), "ids", "data")
+    right = packed.select("level", F.explode(F.sequence(F.lit(0), "block")).alias("x"), F.col("block").alias("y"), F.col("ids").alias("ids2"), F.col("data").alias("data2"))
+    return left.join(right.hint("shuffle_hash"), ["level", "x", "y"])
+
+
+def exact_knn(vectors: DataFrame, k: int = 4, block: int | None = None) -> DataFrame:
     """(level, src, rank, dst, dist): the k nearest others of each point, stable by (dist, dst).
 
     Points at distance 0 are neighbours; only the point itself is left out.  A level with no more
     than k points gives each all others.
     """
-    units = cells(staged(blocks(vectors, block), "knn-blocks"))
+    units = half_cells(staged(blocks(vectors, block), "knn-blocks"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 xi, yi = (batch.column(c)[i].values.to_numpy() for c in ("ids", "ids2"))
                 x, y = (batch.column(c)[i].values.to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1) for c, n in (("data", len(xi)), ("data2", len(yi))))
-                row, dst, dist = nearest(x, xi, y, yi, k)
-                yield pa.record_batch([pa.array(np.full(len(row), batch.column("level")[i].as_py(), np.int32)), pa.array(xi[row]), pa.array(dst), pa.array(dist)], ["level", "src", "dst", "dist"])
+                for a, ai, b, bi in ((x, xi, y, yi), (y, yi, x, xi))[: 1 if batch.column("x")[i] == batch.column("y")[i] else 2]:
+                    src, dst, dist = nearest_all(a, ai, b, bi, k)
+                    yield pa.record_batch([pa.array(np.full(len(src), batch.column("level")[i].as_py(), np.int32)), pa.array(src), pa.array(dst), pa.array(dist)], ["level", "src", "dst", "dist"])
 
     found = units.mapInArrow(run, "level int, src long, dst long, dist double")
     w = Window.partitionBy("level", "src").orderBy("dist", "dst")
@@ -100,7 +122,7 @@ def exact_knn(vectors: DataFrame, k: int = 4, block: int = BLOCK) -> DataFrame:
     return staged(best, "knn")  # a query asks it more than once
 
 
-def exact_knn_by(vectors: DataFrame, keys: tuple[str, ...], k: int = 4, block: int = BLOCK) -> DataFrame:
+def exact_knn_by(vectors: DataFrame, keys: tuple[str, ...], k: int = 4, block: int | None = None) -> DataFrame:
     """(keys, src, rank, dst, dist): neighbours within each group of ``vectors(keys, point_id, vec)``, groups numbered as levels are."""
     groups = vectors.select(*keys).distinct().withColumn("group", F.row_number().over(Window.orderBy(*keys)))  # a row a group
     groups = staged(groups, "knn-groups")

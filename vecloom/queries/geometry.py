@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.stats import contingency
-from ..operators import geometry, graph, knn, metrics, project, topology
+from ..operators import clusters, geometry, graph, knn, metrics, project, topology
 from ..sources.tables import cube, intervals, points, table
+from ..staging import staged
 from .base import CUBE, EDGES, LABELLED, POINTS, rounded
 from .graphs import _COMP
 
@@ -94,6 +95,25 @@ def a27_branches(spark, d):
     return rounded(geometry.branches(s, cube(spark, d), points(spark, d), "label")[1])
 
 
+def a27_kmeans(spark, d):
+    """k-means of every level's first three components for k = 2, 4 and 9: clusters' sizes, inertia, and the silhouette there and of the vectors."""
+    c = cube(spark, d)
+    s = project.scores(c, project.pca(c, 3)).groupBy("level", "point_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("component", "score"))), lambda x: x["score"]).alias("vec"))
+    s, out = staged(s, "means-scores"), None
+    for k in (2, 4, 9):
+        labels, centres = clusters.kmeans(s, k)
+        labels = staged(labels, "means-labels")
+        one = centres.groupBy("level").agg(F.sum("inertia").alias("inertia"), F.min("n").alias("least"), F.max("n").alias("most")).join(clusters.silhouettes(s, labels), "level").join(clusters.silhouettes(c, labels).select("level", F.col("silhouette").alias("silhouette_full")), "level").withColumn("k", F.lit(k))
+        out = one if out is None else out.unionByName(one)
+    return rounded(out)
+
+
+def a27_label_silhouettes(spark, d):
+    """How well the labels part each level's vectors."""
+    labels = cube(spark, d).select("level", "point_id").join(points(spark, d).select("point_id", F.col("label").alias("cluster")), "point_id")
+    return rounded(clusters.silhouettes(cube(spark, d), labels))
+
+
 def a36_centroid_statistics(spark, d):
     return rounded(geometry.centroid_statistics(metrics.centroids(cube(spark, d), _digits(spark, d)), cube(spark, d), _digits(spark, d)))
 
@@ -162,6 +182,10 @@ k AS (SELECT x, y, t.n, unnest(range(greatest(1, x + y - t.n), least(x, y) + 1))
 e AS (SELECT sum(k / n::DOUBLE * ln(n * k / (x * y)::DOUBLE) * exp(lgamma(x + 1) + lgamma(y + 1) + lgamma(n - x + 1) + lgamma(n - y + 1) - lgamma(n + 1) - lgamma(k + 1) - lgamma(x - k + 1) - lgamma(y - k + 1) - lgamma(n - x - y + k + 1))) AS e FROM k)
 SELECT round((mi - e) / ((hx.h + hy.h) / 2 - e), 6) AS ami FROM mi, hx, hy, e"""),
     "a27_branches": (a27_branches, None),
+    "a27_kmeans": (a27_kmeans, None),
+    "a27_label_silhouettes": (a27_label_silhouettes, f"""WITH {CUBE}, v AS (SELECT level, point_id, vec, label FROM cube JOIN embeddings ON vec_id = point_id), s AS (SELECT a.level, a.point_id, a.label AS own, b.label AS other, sum(list_distance(a.vec, b.vec)) AS d, count(*) AS n FROM v a JOIN v b ON a.level = b.level GROUP BY ALL),
+e AS (SELECT level, point_id, own, max(d / (n - 1)) FILTER (own = other AND n > 1) AS a, min(d / n) FILTER (own <> other) AS b FROM s GROUP BY ALL)
+SELECT level, count(*) AS n, count(DISTINCT own) AS clusters, round(avg(CASE WHEN b IS NULL THEN NULL WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette FROM e GROUP BY level"""),
     "a36_centroid_statistics": (a36_centroid_statistics, f"""WITH {_CENTRES}, w AS (SELECT level, sqrt(sum((x - g) ** 2) / count(DISTINCT point_id)) AS w FROM m GROUP BY level),
 s AS (SELECT level, avg(d) FILTER (a >= 7) / avg(d) FILTER (b <= 5) AS s, min(d) AS n FROM p GROUP BY level), r AS (SELECT level, {_RANK('d')} AS rd, {_RANK('gap')} AS rg FROM p), q AS (SELECT level, corr(rg, rd) AS q FROM r GROUP BY level)
 SELECT level, round(s, 6) AS spread_ratio, round(q, 6) AS gap_rho, round(n, 6) AS nearest, round(w, 6) AS within_rms FROM s JOIN q USING (level) JOIN w USING (level)"""),

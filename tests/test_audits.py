@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vecloom.operators import audit, graph, knn, metrics, project, rips, topology, trees
+from vecloom.operators import audit, compare, graph, knn, metrics, project, rips, tasks, topology, trees
 from vecloom.sources import tables
 
 
@@ -186,3 +186,16 @@ def test_whole_row_counts_what_its_shares_are_of(spark):
     for r in rows.values():
         assert r["same_digit_length"] == pytest.approx(1 - r["cross_length"]) and r["same_given_cross"] == pytest.approx(r["same_cross_count"] / r["cross_length_count"])
         assert r["components"] == 1 and r["largest_share"] == 1 and r["log_gap_min"] <= r["log_gap_q25"] <= r["log_gap_max"]
+
+
+def test_referential_audit_finds_what_is_planted(spark):
+    records = spark.createDataFrame([(1, 10.0), (2, 5.0), (3, 1.0)], "k long, total double")
+    parts = spark.createDataFrame([(1, 1, 4.0, "a"), (1, 2, 6.0, "b"), (2, 1, 1.0, "a"), (2, 1, 1.0, "a"), (9, 1, 1.0, "a")], "k long, line int, v double, flag string")
+    got = {tuple(r) for r in tasks.referential_audit(records, parts, "k", "line", {"total": ("v", 0.5)}, ("line", "flag")).collect()}
+    assert got == {("no_parts", 3, 0), ("no_record", 9, 1), ("repeated", 2, 2), ("field total", 2, 2), ("grid 1 b", None, 4), ("grid 2 a", None, 1)}
+
+
+def test_sides_that_hardly_vary_have_no_association(spark):
+    rows = [("flat", i, 1.0 + 1e-14 * i, float(i)) for i in range(5)] + [("steps", i, float(i), float(i * i)) for i in range(5)] + [("both", i, float((i * 3) % 5), float(i)) for i in range(5)]
+    got = {r["model"]: r for r in compare.associations(spark.createDataFrame(rows, "model string, level int, x double, y double"), "x", "y").collect()}
+    assert got["flat"]["rho"] is None and got["steps"]["rho"] == pytest.approx(1) and got["steps"]["rho_steps"] is None and got["both"]["rho"] is not None

@@ -11,6 +11,9 @@ from ..functions.stats import average_rank, spearman
 from ..staging import staged
 from .knn import blocks, cells
 
+#: Fixed value: the variation, as a part of the largest size, below which a side counts as constant.
+NEARLY = 1e-12
+
 
 def relative_depth(levels: DataFrame, model: str = "model", level: str = "level") -> DataFrame:
     """Depth of a level from 0 to 1 within its model."""
@@ -112,10 +115,17 @@ def phase_medians(metrics: DataFrame, value: str) -> DataFrame:
 
 
 def associations(metrics: DataFrame, x: str, y: str) -> DataFrame:
-    """(model, rho, rho_steps): Spearman of two metrics over the levels, and of their first differences."""
+    """(model, rho, rho_steps): Spearman of two metrics over the levels, and of their first differences; NULL where either side hardly varies: by no more than
+    NEARLY of its largest size."""
     w = Window.partitionBy("model").orderBy("level")
-    steps = metrics.withColumn("dx", F.col(x) - F.lag(x).over(w)).withColumn("dy", F.col(y) - F.lag(y).over(w))
-    return spearman(metrics, x, y, "model").join(spearman(steps.where("dx IS NOT NULL"), "dx", "dy", "model", name="rho_steps"), "model")
+    steps = metrics.withColumn("dx", F.col(x) - F.lag(x).over(w)).withColumn("dy", F.col(y) - F.lag(y).over(w)).where("dx IS NOT NULL")
+
+    def varied(rows: DataFrame, a: str, b: str, name: str) -> DataFrame:
+        flat = lambda v: F.max(v) - F.min(v) <= NEARLY * F.max(F.abs(v))
+        still = rows.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy("model").agg((flat(a) | flat(b)).alias("flat"))
+        return spearman(rows, a, b, "model", name=name).join(still, "model").select("model", F.when(~F.col("flat"), F.col(name)).alias(name))
+
+    return varied(metrics, x, y, "rho").join(varied(steps, "dx", "dy", "rho_steps"), "model")
 
 
 def peak_windows(metrics: DataFrame, value: str, reach: int = 2) -> DataFrame:

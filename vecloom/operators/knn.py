@@ -22,6 +22,8 @@ from ..staging import staged
 BLOCK = 512
 #: Bytes of a block's vectors, and blocks of a level, where neither BLOCK nor these bytes decide.
 BLOCK_BYTES, SPREAD = 4 << 20, 8
+#: Different values of a range of scalar neighbours.
+RANGE = 100_000
 #: Numbers that a step of direct differences holds.
 CHUNK = 1 << 19
 
@@ -151,9 +153,11 @@ def scalar_knn(points: DataFrame, k: int = 4, value: str = "target", id_col: str
     ordered = points.select(F.col(id_col).alias("src"), F.col(value).cast("double").alias("v"))
     least = Window.partitionBy("v").orderBy("src")
     values = ordered.withColumn("r", F.row_number().over(least)).where(F.col("r") <= k + 1).groupBy("v").agg(F.array_sort(F.collect_list("src")).alias("ids"))
-    values = staged(values, "scalar-values")
-    n = values.count()
-    parts = min(buckets or n // 100_000 + 1, max(1, n // (k + 1)))
+    parts = 1
+    if buckets or points.count() > RANGE:  # else one range holds all values, however many are equal
+        values = staged(values, "scalar-values")
+        n = values.count()
+        parts = min(buckets or n // RANGE + 1, max(1, n // (k + 1)))
     if parts > 1:
         cuts = values.approxQuantile("v", [i / parts for i in range(1, parts)], 0.001)
         values = values.withColumn("c", sum(((F.col("v") > c).cast("int") for c in cuts), F.lit(0)))

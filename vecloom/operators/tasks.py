@@ -259,3 +259,25 @@ def budget(ledger: DataFrame, limit: float, order: str = "started", cost: str =
 
 def reservation_cost(seconds: Column, rate: Column, grace: float = 240.0, margin: float = 1.25) -> Column:
     return margin * (seconds + grace) * rate
+
+
+def referential_audit(records: DataFrame, parts: DataFrame, key: str, part_key: str, fields: dict[str, tuple[str, float]], grid: tuple[str, str]) -> DataFrame:
+    """(finding, id, n) of records and their parts, everything that doesn't fit together, counted by record.
+
+    ``no_parts`` and ``no_record``: keys on one side of a full join only; ``repeated``: keys and part keys met more than once; ``field <name>``: records whose stored value is
+    further from the sum over their parts than the room that ``fields`` (name: expression over the parts, room) gives; ``grid <value>``: combinations of the parts' two ``grid``
+    columns that no part has, though each value is had, with the first value's number of parts.
+    """
+    sums = parts.groupBy(F.col(key).alias("_k")).agg(F.count("*").alias("n"), *[F.sum(F.expr(e)).alias(f"_{name}") for name, (e, _) in fields.items()])
+    joined = records.join(sums, F.col(key) == F.col("_k"), "full")
+    out = joined.where("_k IS NULL").select(F.lit("no_parts").alias("finding"), F.col(key).alias("id"), F.lit(0).cast("long").alias("n"))
+    out = out.unionByName(joined.where(F.col(key).isNull()).select(F.lit("no_record").alias("finding"), F.col("_k").alias("id"), "n"))
+    again = parts.groupBy(key, part_key).agg(F.count("*").alias("n")).where("n > 1")
+    out = out.unionByName(again.select(F.lit("repeated").alias("finding"), F.col(key).alias("id"), "n"))
+    for name, (_, room) in fields.items():
+        off = joined.where(F.abs(F.col(name) - F.col(f"_{name}")) > room)
+        out = out.unionByName(off.select(F.lit(f"field {name}").alias("finding"), F.col(key).alias("id"), "n"))
+    a, b = (parts.groupBy(F.col(c).alias(c)).agg(F.count("*").alias(f"n_{c}")) for c in grid)
+    had = parts.select(*grid).distinct()
+    empty = a.join(F.broadcast(b), how="cross").join(had, list(grid), "left_anti")  # values are few: a row a combination
+    return out.unionByName(empty.select(F.concat_ws(" ", F.lit("grid"), *[F.col(c).cast("string") for c in grid]).alias("finding"), F.lit(None).cast("long").alias("id"), F.col(f"n_{grid[0]}").alias("n")))

@@ -164,6 +164,12 @@ def o16_coverage(spark, d):
     return tasks.coverage_gaps(table(spark, d, "lineitem"), ["l_orderkey"], 4)
 
 
+def o16_referential(spark, d):
+    """Orders against their line items: keys on one side only, repeated lines, totals that the lines don't give, and combinations of line number and flag that never occur."""
+    o = table(spark, d, "orders").select("o_orderkey", F.col("o_totalprice").alias("total")).withColumnRenamed("o_orderkey", "l_orderkey")
+    return tasks.referential_audit(o, table(spark, d, "lineitem"), "l_orderkey", "l_linenumber", {"total": ("l_extendedprice * (1 - l_discount) * (1 + l_tax)", 50_000.0)}, ("l_linenumber", "l_returnflag"))
+
+
 def o17_forecast(spark, d):
     """The most seconds of a model times its levels, rate and margin."""
     li = table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.max("l_quantity").alias("most"), F.countDistinct("l_linenumber").alias("levels"))
@@ -223,6 +229,10 @@ SELECT task, context_id, point_id, target FROM h WHERE chosen AND (has = 1 OR ze
     "o9_bad_vectors": (o9_bad_vectors, "SELECT l::INT AS level, vec_id AS point_id, CASE label WHEN 0 THEN 'null' WHEN 1 THEN 'empty' WHEN 2 THEN 'length' ELSE 'non-finite' END AS problem FROM embeddings, range(4) t(l) WHERE label < 4"),
     "o10_budget": (o10_budget, "WITH t AS (SELECT o_orderkey AS job, sum(round(o_totalprice)) OVER (ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING) AS total FROM orders) SELECT job, total, total <= 5e7 AS admitted FROM t"),
     "o16_coverage": (o16_coverage, "SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY l_orderkey HAVING count(*) <> 4"),
+    "o16_referential": (o16_referential, """WITH s AS (SELECT l_orderkey AS k, count(*) AS n, sum(l_extendedprice * (1 - l_discount) * (1 + l_tax)) AS t FROM lineitem GROUP BY ALL), j AS (SELECT * FROM orders FULL JOIN s ON o_orderkey = k),
+a AS (SELECT l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL), b AS (SELECT DISTINCT l_returnflag FROM lineitem)
+SELECT 'no_parts' AS finding, o_orderkey AS id, 0::BIGINT AS n FROM j WHERE k IS NULL UNION ALL SELECT 'no_record', k, n FROM j WHERE o_orderkey IS NULL UNION ALL SELECT 'repeated', l_orderkey, count(*) FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1
+UNION ALL SELECT 'field total', o_orderkey, n FROM j WHERE abs(o_totalprice - t) > 50000 UNION ALL SELECT 'grid ' || l_linenumber || ' ' || l_returnflag, NULL, n FROM a, b WHERE (l_linenumber, l_returnflag) NOT IN (SELECT l_linenumber, l_returnflag FROM lineitem)"""),
     "o17_forecast": (o17_forecast, "SELECT l_returnflag, round(max(l_quantity) * count(DISTINCT l_linenumber) * 0.0005::DOUBLE * 1.5::DOUBLE, 6) AS cost FROM lineitem GROUP BY l_returnflag"),
     "o18_migration": (o18_migration, "SELECT s_suppkey, unnest([s_name, lower(s_name)]) AS s_name FROM supplier WHERE s_acctbal < 0 AND s_name <> lower(s_name)"),
 }

@@ -25,7 +25,8 @@ def spearman(rows: DataFrame, x: str, y: str, *keys: str, name: str = "rho") ->
     """One row a group: the correlation of average ranks; NULL where a side is constant."""
     ranked = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumn("_x", average_rank(x, *keys)).withColumn("_y", average_rank(y, *keys))
     constant = (F.min("_x") == F.max("_x")) | (F.min("_y") == F.max("_y"))
-    agg = F.when(~constant, F.corr("_x", "_y")).alias(name)
+    rho = F.try_divide(F.covar_pop("_x", "_y"), F.stddev_pop("_x") * F.stddev_pop("_y"))  # corr fails on a constant side
+    agg = F.when(~constant, rho).alias(name)
     return ranked.groupBy(*keys).agg(agg) if keys else ranked.agg(agg)
 
 

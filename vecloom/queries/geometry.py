@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.stats import contingency
-from ..operators import clusters, geometry, graph, knn, metrics, project, topology
+from ..operators import clusters, geometry, graph, knn, metrics, project, topology, trees
 from ..sources.tables import cube, intervals, points, table
 from ..staging import staged
 from .base import CUBE, EDGES, LABELLED, POINTS, rounded
@@ -131,7 +131,7 @@ def a38_component_counts(spark, d):
 
 
 def a39_best_radius(spark, d):
-    return rounded(geometry.best_radius(graph.merge_curve(graph.minimum_spanning_trees(cube(spark, d)), _digits(spark, d))))
+    return rounded(geometry.best_radius(trees.merge_curve(graph.minimum_spanning_trees(cube(spark, d)), _digits(spark, d))))
 
 
 def a40_tree_labels(spark, d):

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..staging import staged
 from .graph import components
-from .knn import BLOCK, cells, distances
+from .knn import BLOCK, BLOCK_BYTES, SPREAD, half_cells, paired, places, squares
 
 #: Labels whose counts along the leaves are held at once.
 LABELS = 64
@@ -94,7 +94,7 @@ def merge_curve(tree: DataFrame, labels: DataFrame) -> DataFrame:
     return joined.groupBy("level").applyInPandas(run, "level int, radius double, clusters long, ari double")
 
 
-def tree_checks(vectors: DataFrame, tree: DataFrame, block: int = BLOCK, room: float = 1e-9) -> DataFrame:
+def tree_checks(vectors: DataFrame, tree: DataFrame, block: int | None = None, room: float = 1e-9) -> DataFrame:
     """(level, check, wrong) of stored trees ``tree(level, a, b, length)``, nothing built anew.
 
     ``edges``: how many the tree has too few or too many; ``parts``: components beyond one; ``lengths``: edges whose length isn't that of their ends' vectors;
@@ -119,7 +119,12 @@ def tree_checks(vectors: DataFrame, tree: DataFrame, block: int = BLOCK, room: f
         return pd.DataFrame({"level": np.int32(f["level"].iloc[0]), "point_id": order, "place": np.arange(len(order)), "gap": np.append(long_[merge], 0.0)})
 
     placed = staged(tree.join(F.broadcast(whole), "level").groupBy("level").applyInPandas(leaves, "level int, point_id long, place long, gap double"), "tree-leaves")
-    rows = placed.join(vectors.select("level", "point_id", "vec"), ["level", "point_id"]).withColumn("block", F.floor(F.col("place") / block).cast("int"))
+    # Blocks as of neighbours: a part of a level, between BLOCK rows and BLOCK_BYTES; floats travel as floats where nothing is lost.
+    exact = vectors.where(F.exists("vec", lambda v: v.cast("float").cast("double") != v.cast("double"))).isEmpty()
+    most = F.floor(F.lit(BLOCK_BYTES) / (8 * F.greatest(F.max(F.size("vec")), F.lit(1))))
+    rows = F.greatest(F.lit(BLOCK), F.least(most, F.ceil(F.count("*") / SPREAD))) if block is None else F.lit(block)
+    length = vectors.groupBy("level").agg(rows.cast("long").alias("rows"))
+    rows = placed.join(vectors.select("level", "point_id", F.col("vec").cast("array<float>" if exact else "array<double>").alias("vec")), ["level", "point_id"]).join(F.broadcast(length), "level").withColumn("block", F.floor(F.col("place") / F.col("rows")).cast("int"))
     rows = rows.groupBy("level", "block").agg(F.array_sort(F.collect_list(F.struct("place", "point_id", "vec", "gap"))).alias("r"))
     rows = rows.select("level", "block", F.transform("r", lambda r: r["point_id"]).alias("ids"), F.flatten(F.transform("r", lambda r: r["vec"])).alias("data"), F.transform("r", lambda r: r["gap"]).alias("gaps"))
     tops = rows.groupBy("level").agg(F.transform(F.array_sort(F.collect_list(F.struct("block", F.array_max("gaps").alias("m")))), lambda s: s["m"]).alias("tops"), F.count("*").cast("int").alias("blocks"))
@@ -132,16 +137,27 @@ def tree_checks(vectors: DataFrame, tree: DataFrame, block: int = BLOCK, room: f
                 x, y = (get(c).astype(float).reshape(n, -1) for c, n in (("data", len(get("ids"))), ("data2", len(get("ids2")))))
                 k, m = batch.column("x")[i].as_py(), batch.column("y")[i].as_py()
                 p, q = get("gaps"), get("gaps2")
-                if k == m:
-                    path = np.zeros((len(x), len(x)))
-                    for j in range(len(x) - 1):
-                        path[j, j + 1 :] = np.maximum.accumulate(p[j:-1])
-                else:
+                wrong = 0
+                if k != m:
                     between = get("tops")[k + 1 : m].max(initial=0.0)
-                    path = np.maximum(np.maximum(np.maximum.accumulate(p[::-1])[::-1], between)[:, None], np.maximum.accumulate(np.append(0.0, q[:-1])))
-                wrong = int((distances(x, y) < path - room * (1 + path)).sum())
+                    ahead, behind = np.maximum(np.maximum.accumulate(p[::-1])[::-1], between), np.maximum.accumulate(np.append(0.0, q[:-1]))
+                for low in range(0, len(x), BLOCK):
+                    part = x[low : low + BLOCK]
+                    if k == m:
+                        path = np.zeros((len(part), len(y) - low))
+                        for j in range(len(part)):
+                            np.maximum.accumulate(p[low + j : -1], out=path[j, j + 1 :])
+                    for low2 in range(low if k == m else 0, len(y), BLOCK):
+                        other = y[low2 : low2 + BLOCK]
+                        least = path[:, low2 - low : low2 - low + BLOCK] if k == m else np.maximum(ahead[low : low + BLOCK, None], behind[low2 : low2 + BLOCK])
+                        least = np.maximum(least - room * (1 + least), 0)
+                        # Products propose, with room for their rounding; differences decide.
+                        near = least * least
+                        near *= 1 + 1e-8
+                        row, col = places((squares(part, other) < near) & (least > 0))
+                        wrong += int((paired(part, other, row, col) < least[row, col]).sum())
                 yield pa.record_batch([pa.array([batch.column("level")[i].as_py()], pa.int32()), pa.array([wrong], pa.int64())], ["level", "wrong"])
 
-    pairs = cells(packed, "gaps", "tops").where("x <= y").mapInArrow(nearer, "level int, wrong long")
+    pairs = half_cells(packed, "gaps", "tops").mapInArrow(nearer, "level int, wrong long")
     cycles = pairs.groupBy("level").agg(F.sum("wrong").alias("wrong")).select("level", F.lit("cycles").alias("check"), "wrong")
     return found.unionByName(lengths).unionByName(cycles)

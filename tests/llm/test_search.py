@@ -248,6 +248,28 @@ def test_digests_of_long_documents_are_taken_in_parts(monkeypatch):
     assert got == [hashlib.sha256(b"a;b;c;a;b;c;a").hexdigest(), "", hashlib.sha256(b"a").hexdigest(), ""]
 
 
+def test_units_aligned_in_parts_are_alike(monkeypatch):
+    p = op13_token_alignment.pair(op13_token_alignment.default_tokenizer(), op13_token_alignment.default_model())
+    words = pa.array(["plain", "", "naïve", "x\u00a0y", "two  spaces", "日本語", "a\tb", "ﬁne", "end"] * 3)
+    whole = p.aligned(words)
+    monkeypatch.setattr(op13_token_alignment, "ALIGNED", 4)
+    parts = p.aligned(words)
+    assert {k: list(v) for k, v in parts.items() if k != "written"} == {k: list(v) for k, v in whole.items() if k != "written"}
+    assert parts["written"].to_pylist() == whole["written"].to_pylist()
+
+
+def test_rows_of_a_slice_are_bounded(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet").coalesce(1)
+    size = 1 << 18
+    found = op13_token_alignment.slices(docs, op13_token_alignment.default_tokenizer(), op13_token_alignment.default_model(), size=size).toPandas()
+    assert max(len(v) for c in op13_token_alignment._LISTS for v in found[c]) == op13_token_alignment.PART
+    length = {r["doc_id"]: len((r["text"] or "").encode()) for r in docs.collect()}
+    for _, rows in found.groupby("slice"):
+        assert sorted(rows["place"]) == list(range(len(rows)))
+        own = [d for ids in rows["doc_id"] for d in ids]
+        assert len(own) == 1 or sum(length[d] for d in own) <= size
+
+
 def test_alignment_of_an_empty_table(spark, odd):
     assert op13_token_alignment.alignment(odd.limit(0), op13_token_alignment.default_tokenizer(), op13_token_alignment.default_model()).count() == 0
     assert values(op13_token_alignment.alignment(odd.where("text IS NULL"), op13_token_alignment.default_tokenizer(), op13_token_alignment.default_model()), "n_a", "groups_sha256") == [(0, ""), (0, "")]

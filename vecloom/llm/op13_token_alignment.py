@@ -5,8 +5,9 @@ cut), and the different units of some megabytes of documents are encoded and ali
 together: running sums of token bytes are the ends, the ends that both have are the cuts, a search among the cuts labels the groups, and a
 repeat of each token by the number of tokens that it overlaps makes the links.  What a document has is a sum over its units.
 
-Such a slice of documents is written as a row: its documents as lists of units, its units' links as places in the slice's list of different
-id pairs, and how often it has each pair.  Pairs are summed over the corpus in two stages, by a salted key and then by the key; each
+Such a slice of documents is written as lists: its documents' units, its units' links as places in the slice's list of different
+id pairs, and how often it has each pair.  Its lists are parted into rows of at most ``PART`` values of each, so neither a row nor the rows that Spark
+reads or writes at once grow with a slice.  Pairs are summed over the corpus in two stages, by a salted key and then by the key; each
 slice gets the counts of its own pairs back by a join, and adds them up by unit and document.  No count of the corpus is broadcast.
 
 Null and empty texts, and those whose tokens' bytes are not the text's (a character that a tokenizer rewrites), have no tokens: zeros and an
@@ -33,10 +34,10 @@ from .op1_token_ids import Encoder, default_tokenizer
 from .op9_sentencepiece import default_model
 from .words import text_bytes
 
-#: Bytes of text after which a slice ends.
-SLICE = 4 << 20
-#: Units whose groups are written out at once, and words encoded at once.
-UNITS, WORDS = 1 << 17, 1 << 14
+#: Most bytes of a slice's texts (a document at least), and values of a list in a row.
+SLICE, PART = 6 << 20, 512
+#: Units whose groups are written out at once, units aligned at once, and words encoded at once.
+UNITS, ALIGNED, WORDS = 1 << 17, 1 << 15, 1 << 14
 SALTS = 16
 _LISTS = {"doc_id": "long", "at": "long", "unit": "int", "n_a": "long", "n_b": "long", "n_groups": "long", "n_links": "long", "groups_sha256": "string", "link_at": "long", "link": "int", "key": "long", "n": "long"}
 _KINDS = {"long": pa.int64(), "int": pa.int32(), "string": pa.string()}
@@ -130,6 +131,10 @@ class Pair:
 
     def aligned(self, words: pa.Array) -> dict[str, np.ndarray | pa.Array]:
         """Of units, each a space and one of ``words``: the numbers of tokens, groups and links, the groups written out, and their links' id pairs."""
+        found = [self._aligned(words.slice(low, ALIGNED)) for low in range(0, max(len(words), 1), ALIGNED)]
+        return {k: (pa.concat_arrays if k == "written" else np.concatenate)([f[k] for f in found]) for k in found[0]}
+
+    def _aligned(self, words: pa.Array) -> dict[str, np.ndarray | pa.Array]:
         sides = []
         for encode, (data, begin, size) in ((self._words_a, self.bytes_a), (self._words_b, self.bytes_b)):
             ids, first = encode(words)
@@ -140,7 +145,8 @@ class Pair:
         text = np.full(int(want.sum()), 0x20, np.uint8)
         inside = np.ones(len(text), bool)
         inside[np.cumsum(want) - want] = False
-        text[inside] = text_bytes(words)[0][: int((want - 1).sum())]
+        data, offsets = text_bytes(words)
+        text[inside] = data[offsets[0] : offsets[-1]]
         # A unit stands if both sides' bytes are its own.
         good = np.ones(len(words), bool)
         for ids, n, own, size in sides:
@@ -216,21 +222,25 @@ def _digests(written: pa.Array, unit: np.ndarray, at: np.ndarray, good: np.ndarr
     return out
 
 
-def _one(values: dict[str, object]) -> pa.RecordBatch:
-    """A row of lists."""
-    cells = [pa.array([v], pa.int64()) if k == "slice" else pa.array([v], pa.list_(_KINDS[_LISTS[k]])) for k, v in values.items()]
-    return pa.record_batch(cells, [*values])
+def _parted(number: int, values: dict[str, object]) -> Iterator[pa.RecordBatch]:
+    """Rows of a slice: in each, by its place, at most PART values of every list."""
+    lists = {k: pa.array(v, _KINDS[_LISTS[k]]) for k, v in values.items()}
+    rows = max(-(-len(v) // PART) for v in lists.values())
+    cells = {k: pa.ListArray.from_arrays(pa.array(np.minimum(np.arange(rows + 1) * PART, len(v)), pa.int32()), v) for k, v in lists.items()}
+    batch = pa.record_batch({"slice": pa.array(np.full(rows, number)), "place": pa.array(np.arange(rows, dtype=np.int32)), **cells})
+    for low in range(0, rows, PART):
+        yield batch.slice(low, PART)
 
 
 def slices(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text", size: int = SLICE) -> DataFrame:
-    """A row for each slice of some ``size`` bytes of documents: documents, units, links and pair counts, as this module's head says."""
+    """Rows of each slice of at most ``size`` bytes of documents: documents, units, links and pair counts, as this module's head says."""
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p, number = pair(path_a, path_b), TaskContext.get().partitionId() << 32
         held: list[pa.RecordBatch] = []
 
-        def row() -> pa.RecordBatch:
+        def rows() -> Iterator[pa.RecordBatch]:
             own = pa.Table.from_batches(held).combine_chunks()
             texts = own["text"].combine_chunks()
             words, unit, at = p.units(texts)
@@ -242,22 +252,22 @@ def slices(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", te
             n = np.bincount(link, np.repeat(times, f["n_links"]), len(key)).astype(np.int64)
             docs_ = {c: np.where(good, _summed(f[c][unit], at), 0) for c in ("n_a", "n_b", "n_groups", "n_links")}
             good &= at[1:] > at[:-1]
-            return _one({"slice": number, "doc_id": own["doc_id"].to_pylist(), "at": at, "unit": unit.astype(np.int32), **docs_, "groups_sha256": _digests(f["written"], unit, at, good), "link_at": np.concatenate([[0], np.cumsum(f["n_links"])]), "link": link.astype(np.int32), "key": key, "n": n})
+            return _parted(number, {"doc_id": own["doc_id"].combine_chunks(), "at": at, "unit": unit.astype(np.int32), **docs_, "groups_sha256": _digests(f["written"], unit, at, good), "link_at": np.concatenate([[0], np.cumsum(f["n_links"])]), "link": link.astype(np.int32), "key": key, "n": n})
 
         full = 0
-        for batch in sliced(batches, "text", 1 << 20, size):
-            held.append(batch)
-            full += batch.column("text").nbytes
-            if full >= size:
-                yield row()
+        for batch in sliced(batches, "text", 1 << 20, max(size // 8, 1)):
+            if held and full + batch.column("text").nbytes > size:
+                yield from rows()
                 held, full, number = [], 0, number + 1
                 give_back()
+            held.append(batch)
+            full += batch.column("text").nbytes
         if held:
-            yield row()
+            yield from rows()
         give_back()
 
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return slim.mapInArrow(run, "slice long, " + ", ".join(f"{k} array<{v}>" for k, v in _LISTS.items()))
+    return slim.mapInArrow(run, "slice long, place int, " + ", ".join(f"{k} array<{v}>" for k, v in _LISTS.items()))
 
 
 def pair_counts(rows: DataFrame) -> DataFrame:
@@ -274,11 +284,12 @@ def pair_counts(rows: DataFrame) -> DataFrame:
 def alignment(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text", size: int = SLICE) -> DataFrame:
     """(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256) of each row."""
     cut = staged(slices(docs, path_a, path_b, id_col, text_col, size), "op13-slices")
-    pairs = cut.select("slice", F.posexplode(F.arrays_zip("key", "n")).alias("pos", "p")).select("slice", "pos", F.col("p.key").alias("key"), F.col("p.n").alias("n"))
+    pairs = cut.select("slice", "place", F.posexplode(F.arrays_zip("key", "n")).alias("pos", "p")).select("slice", (F.col("place") * PART + F.col("pos")).alias("pos"), F.col("p.key").alias("key"), F.col("p.n").alias("n"))
     counts = staged(pair_counts(pairs), "op13-counts")
     back = pairs.where("n > 0").select("slice", "pos", "key").join(counts, "key").select(F.col("slice").alias("part"), "pos", "links", "best")
 
     def total(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        left = left.sort_by("place")
         r = {c: left[c].combine_chunks().flatten().to_numpy(zero_copy_only=False) for c in ("at", "unit", "link_at", "link", "n_links")}
         width = int(r["link"].max()) + 1 if len(r["link"]) else 0
         links, best = np.zeros(width, np.int64), np.zeros(width, np.int64)

@@ -234,6 +234,34 @@ def test_rips_is_the_whole_matrixs(seed):
     assert rips.rips_h1(x[:1]).shape == rips.rips_h1(x[:0]).shape == (0, 2)
 
 
+@pytest.mark.parametrize("width", [2, 8])
+def test_edges_left_are_those_of_all_points(monkeypatch, width):
+    rng = np.random.default_rng(width)
+    x = rng.normal(size=(90, width))
+    x[80:] = x[:10]  # repeated points
+    x[60:80] = np.round(x[60:80])  # equal lengths
+    monkeypatch.setattr(rips, "BLOCK", 32)
+    monkeypatch.setattr(rips, "NEAR", 4)
+    held, places = [], rips.Cloud.places
+    monkeypatch.setattr(rips.Cloud, "places", lambda self, at: held.append(len(at)) or places(self, at))
+    cloud = rips.Cloud(x, np.inf)
+    rows = places(cloud, np.arange(90))
+    want = [e for a in range(90) for e in rows[a, a + 1 :].tolist() if not (np.maximum(rows[a], rows[rips.Cloud.ends(e)[1]]) < e).any()]
+    blocks = [np.arange(i, min(i + 32, 90)) for i in range(0, 90, 32)]
+    assert sorted(e for at in blocks for e in rips._left(cloud, at).tolist()) == sorted(want)
+    assert sum(held) < 90 + 3 * 90  # less than all rows again for every block
+
+
+def test_columns_are_reduced_once_a_round(spark, monkeypatch):
+    """What a round has reduced is written before its two readers."""
+    names, staged = [], rips.staged
+    monkeypatch.setattr(rips, "staged", lambda df, name: names.append(name) or staged(df, name))
+    x = np.random.default_rng(5).normal(size=(40, 3))
+    df = spark.createDataFrame([(0, i, v.tolist()) for i, v in enumerate(x)], "level int, point_id long, vec array<double>")
+    assert rips.h1_intervals(df, chunk=3).count() == len(rips.rips_h1(x))
+    assert names.count("rips-reduced") == names.count("rips-columns") - 1 > 0
+
+
 def test_rips_in_rounds_of_small_chunks(spark, monkeypatch):
     """Columns of many chunks meet and give way until each has a triangle of its own; clouds are apart, keys may be null."""
     rng = np.random.default_rng(8)

@@ -177,6 +177,17 @@ def test_bottleneck():
     assert homology.bottleneck(np.zeros((0, 2)), np.zeros((0, 2))) == 0
 
 
+def test_numbers_reduce_as_sets_do(monkeypatch):
+    rng = np.random.default_rng(3)
+    cells = [(i,) for i in range(30)] + [tuple(sorted(rng.choice(30, 3, replace=False).tolist())) for _ in range(60)]
+    every = sorted({c[:k] + c[k + 1 :] for c in cells if len(c) == 3 for k in range(3)} | set(cells), key=lambda c: (len(c), rng.random()))
+    number = {c: i for i, c in enumerate(every)}
+    columns = [[number[c[:k] + c[k + 1 :]] for k in range(len(c))] if len(c) > 1 else [] for c in every]
+    as_numbers = homology.reduced(columns, [len(c) - 1 for c in every])
+    monkeypatch.setattr(homology, "DENSE", 0)
+    assert sorted(as_numbers) == sorted(homology.reduced(columns, [len(c) - 1 for c in every])) and len(as_numbers) > 60
+
+
 def test_rips_of_a_circle_and_a_line():
     t = np.linspace(0, 2 * np.pi, 32, endpoint=False)
     bars = rips.rips_h1(np.stack([np.cos(t), np.sin(t)], 1))

@@ -273,6 +273,33 @@ def test_columns_are_reduced_once_a_round(spark, monkeypatch):
     assert names.count("rips-reduced") == names.count("rips-columns") - 1 > 0
 
 
+def test_a_clouds_last_columns_end_in_one_round(spark, monkeypatch):
+    """Columns that give way to others of the last chunk go on at once, not in a round of their own."""
+    names, staged = [], rips.staged
+    monkeypatch.setattr(rips, "staged", lambda df, name: names.append(name) or staged(df, name))
+    x = np.random.default_rng(2).normal(size=(150, 3))
+    df = spark.createDataFrame([(0, i, v.tolist()) for i, v in enumerate(x)], "level int, point_id long, vec array<double>")
+    got = rips.h1_intervals(df, chunk=40).toPandas().sort_values(["birth", "death"])
+    assert got[["birth", "death"]].to_numpy() == pytest.approx(rips.rips_h1(x))
+    assert names.count("rips-reduced") == 2
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_triangles_are_looked_for_among_near_points_first(monkeypatch, seed):
+    """Most columns of a cloud never see all points; those that must have the bars of the whole matrix."""
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(28, 3)) if seed % 2 else np.round(rng.normal(size=(28, 2)) * 2) / 2
+    want = plain_h1(x)
+    for close in (3, 12, 40):
+        monkeypatch.setattr(rips, "CLOSE", close)
+        assert rips.rips_h1(x) == pytest.approx(want)
+    x, whole, row = rng.normal(size=(400, 8)), [], rips.Cloud.row
+    monkeypatch.setattr(rips, "CLOSE", 100)
+    monkeypatch.setattr(rips.Cloud, "row", lambda self, point: whole.append(point) or row(self, point))
+    bars = rips.rips_h1(x)
+    assert len(whole) < len(bars)
+
+
 def test_rips_in_rounds_of_small_chunks(spark, monkeypatch):
     """Columns of many chunks meet and give way until each has a triangle of its own; clouds are apart, keys may be null."""
     rng = np.random.default_rng(8)

@@ -188,6 +188,29 @@ def test_numbers_reduce_as_sets_do(monkeypatch):
     assert sorted(as_numbers) == sorted(homology.reduced(columns, [len(c) - 1 for c in every])) and len(as_numbers) > 60
 
 
+@pytest.mark.parametrize("dense", [0, 2000, 1 << 31])
+def test_coboundaries_give_the_pairs_of_boundaries(monkeypatch, dense):
+    """Also where columns of few cells are held as lists, and those of many are not."""
+    rng = np.random.default_rng(12)
+    n = 40
+    e = {(i, j) for i, j in combinations(range(n), 2) if rng.random() < 0.3}
+    every = [(i,) for i in range(n)] + sorted(e) + [t for t in combinations(range(n), 3) if all(p in e for p in combinations(t, 2))]
+    at = {s: k for k, s in enumerate(every)}
+    columns, dim = [[at[f] for f in combinations(c, len(c) - 1)] if len(c) > 1 else [] for c in every], [len(c) - 1 for c in every]
+    want = sorted(homology.reduced(columns, dim))
+    monkeypatch.setattr(homology, "DENSE", dense)
+    assert sorted(homology.paired(columns, dim)) == want and len(want) > 200
+    assert homology.paired([], []) == []
+
+
+def test_times_of_simplices_take_one_pass(spark):
+    """Runs of times come from runs of levels: no level is joined to the next."""
+    df = spark.createDataFrame([(l, 0, [p]) for p, ls in ((1, (0, 1, 3)), (2, (2,)), (3, (0, 1, 2, 3))) for l in ls], "level int, dim int, simplex array<long>")
+    times = graph.zigzag_times(df)
+    assert sorted((r["simplex"][0], r["start"], r["stop"]) for r in times.collect()) == [(1, 1, 4), (1, 7, 8), (2, 5, 6), (3, 1, 8)]
+    assert "Join" not in times._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_rips_of_a_circle_and_a_line():
     t = np.linspace(0, 2 * np.pi, 32, endpoint=False)
     bars = rips.rips_h1(np.stack([np.cos(t), np.sin(t)], 1))

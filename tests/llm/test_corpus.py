@@ -101,6 +101,31 @@ def test_token_ids_are_the_librarys(spark, odd, empty, tmp_path):
     assert op1_token_ids.documents(op1_token_ids.read(spark, f"{tmp_path}/none")).count() == 0
 
 
+def test_stems_are_encoded_once():
+    from tokenizers import Tokenizer
+
+    path = op1_token_ids.default_tokenizer()
+    t, e = Tokenizer.from_file(path), op1_token_ids.Encoder(path)
+    rows = ["x stemm stemm, stemm. stemm's stemm;\nstemm é, é\n\n né. n1, n\u0301, x<|endoftext|>y a<|endoftext|> it'll, b'c \u00d7, \u01c5! z\t, z\n \u4e2d, k\u00a0,"] * 2 + ["q stemm: w"]
+    rng = np.random.default_rng(2)
+    rows += ["".join(rng.choice(list("ab'sé ×.,\n<|>\t1中ß"), rng.integers(0, 60))) + "<|endoftext|>" * (k % 3 == 0) for k in range(1500)]
+    for part in (rows[:2], rows[2:]):
+        ids, n = e.encode(pa.array(part))
+        assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [[*t.encode(x, add_special_tokens=False).ids, 0] for x in part]
+    new = []
+    e.known.stems.encode = lambda words, f=e.words: new.extend(words.to_pylist()) or f(words)
+    e.encode(pa.array(["x other other, other. other's stemm!"]))
+    assert new == ["other"]
+
+
+def test_small_last_group_stays_with_the_one_before():
+    sizes = lambda *n: [[len(x[1]) for x in g] for g in op1_token_ids.grouped((([k], np.zeros(x, "<u2"), np.array([x])) for k, x in enumerate(n)), 1000)]
+    assert sizes(600, 500, 300, 100) == [[600, 500, 300, 100]]
+    assert sizes(600, 500, 300, 200) == [[600, 500], [300, 200]]
+    assert sizes(600, 500, 300, 800, 100) == [[600, 500], [300, 800, 100]]
+    assert sizes(5000, 5000, 1) == [[5000], [5000, 1]] and sizes(1) == [[1]] and sizes() == []
+
+
 def test_parts_of_texts_encode_as_the_whole():
     from tokenizers import Tokenizer
 

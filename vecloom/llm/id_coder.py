@@ -24,6 +24,8 @@ import numpy as np
 BLOCK = 4096
 #: Ids after which shares, weights and classes learn, from the first ``SEEN`` of them.
 STEP, SEEN = 64, 16
+#: Ids of each lane that the coder looks at together: what it holds of them then stays in the cache.
+ROWS = 8
 SLOTS1, SLOTS2 = 256, 512
 #: Classes of a table: at most so many, each of so many slots.
 CLASSES, SLOT_BITS = 32, 14
@@ -37,6 +39,14 @@ _STRETCH = np.array([max(-2047, min(2047, round(256 * math.log((p + 0.5) / (4095
 #: Cells of each share: order 2 by its certainty, order 1 by its certainty and agreement, order 0 by class, second candidate.
 _CELLS = (4, 8, CLASSES, 4)
 _FIRST = (20000, 12000, 6000, 6000)
+#: Of the certainties of orders 2 and 1, the lesser.
+_LESS = np.minimum.outer(np.arange(4), np.arange(4))
+#: (1 << 32) / (12 + n): a share learns from n ids.
+_SHARE = (1 << 32) // (12 + np.arange(SEEN + 1))
+#: Numbers as arrays, which NumPy would make of them at every call: certainties << 16, and shifts.
+_ONE, _THREE, _FOUR, _CERTAINTY, _SIGN, _ONCE, _TWICE, _MOST = (np.array(x, np.int32) for x in (1, 3, 4, 16, 31, 0x10000, 0x20000, 0x30000))
+_HASH1, _HASH2 = np.array(0x9E3779B97F4A7C15, np.uint64), np.array(0xD6E8FEB86659FD93, np.uint64)
+_TOP1, _TOP2 = (np.array(64 - (k.bit_length() - 1), np.uint64) for k in (SLOTS1, SLOTS2))
 
 
 @dataclass
@@ -94,75 +104,108 @@ class Table:
 
 
 class _Model:
-    """The state of all lanes; the same for coding and decoding."""
+    """The state of all lanes; the same for coding and decoding.  Tables of cells hold a row a cell and a column a lane."""
 
     def __init__(self, lanes: int, table: Table):
         self.n, self.table, self.classes = lanes, table, len(table.size)
-        lane = np.arange(lanes)
-        self.id1, self.id2 = np.zeros(lanes * SLOTS1, np.int32), np.zeros(lanes * SLOTS2, np.int32)
-        self.base1, self.base2, self.base_class, self.base_slot = lane * SLOTS1, lane * SLOTS2, lane * self.classes, lane * 256
-        self.of = [lane * k for k in _CELLS]
-        self.p = [np.full(lanes * k, p, np.int64) for k, p in zip(_CELLS, _FIRST, strict=True)]
+        self.lane = np.arange(lanes)
+        self.lane32 = self.lane.astype(np.int32)
+        # What followed one id, and what followed two, by lane: certainty << 16 | id.
+        self.last = np.zeros(lanes * (SLOTS1 + SLOTS2), np.int32)
+        self.base1 = self.lane * (SLOTS1 + SLOTS2)
+        self.base2, self.base_slot = self.base1 + SLOTS1, self.lane * 256
+        self.row = table.klass.astype(np.int64) * lanes
+        self.p = [np.full((k, lanes), p, np.int64) for k, p in zip(_CELLS, _FIRST, strict=True)]
         self.weight = [np.full(lanes, 22000, np.int64) for _ in range(3)]
-        self.count = np.tile(np.full(self.classes, 8, np.int64), (lanes, 1))
+        self.count = np.full((self.classes, lanes), 8, np.int64)
         self.settle()
 
     def settle(self) -> None:
         """What each cell adds to the mixture, and each class's part of 256, until the next learning."""
-        self.st = [_STRETCH[p >> 4] for p in self.p[:3]]
-        self.mix = [(st.reshape(self.n, k) * w[:, None] >> 16).astype(np.int32).ravel() for st, w, k in zip(self.st, self.weight, _CELLS, strict=False)]
-        self.second = np.clip(self.p[3] >> 4, 32, 4064).astype(np.int32)
-        w = 1 + self.count * (256 - self.classes) // self.count.sum(1, keepdims=True)
-        w[:, 0] += 256 - w.sum(1)
-        self.part = ((np.cumsum(w, 1) - w << 16) + w).ravel()  # what is below a class, and its part
-        self.inverse = np.repeat(np.tile(np.arange(self.classes, dtype=np.uint8), self.n), w.ravel())
-
-    def slots(self, one, two) -> tuple[np.ndarray, np.ndarray]:
-        """Places of the order-1 and order-2 candidates after the ids ``two``, ``one``."""
-        x = one * 40503
-        return (x >> 4 & SLOTS1 - 1) + self.base1, (x + two * 30011 >> 3 & SLOTS2 - 1) + self.base2
-
-    def look(self, e1, e2) -> tuple:
-        """Candidates, the cells that were asked, and the shares that they give."""
-        k1, k2, c1, c2 = e1 >> 16, e2 >> 16, e1 & 0xFFFF, e2 & 0xFFFF
-        use2 = k2 > 0
-        first, other = np.where(use2, c2, c1), np.where(use2, c1, c2)
-        same = c1 == c2
-        i2, i1, i0 = k2 + self.of[0], k1 + (same << 2) + self.of[1], self.table.klass[first] + self.of[2]
-        a = _SQUASH[self.mix[0][i2] + self.mix[1][i1] + self.mix[2][i0] + _EDGE].astype(np.int64)
-        ib = np.minimum(k1, k2) + self.of[3]
-        b = self.second[ib] * ~same
-        rest = 4096 - a
+        self.st = [_STRETCH.take(p >> 4) for p in self.p[:3]]
+        two, one, none = ((st * w >> 16).astype(np.int32) for st, w in zip(self.st, self.weight, strict=True))
+        # Of certainties of order 2, of whether both candidates are one, and of certainties of order 1, in this order.
+        self.mix = (two[:, None] + (one + _EDGE)).ravel()
+        self.mix_class = none.ravel()
+        self.second = np.zeros((4, 2, 4, self.n), np.int64)
+        self.second[:, 0] = np.clip(self.p[3] >> 4, 32, 4064)[_LESS]
+        self.second = self.second.ravel()
+        # Quotients of whole numbers that are exact in doubles.
+        w = 1 + (self.count * (256 - self.classes) / self.count.sum(0)).astype(np.int64)
+        w[0] += 256 - w.sum(0)
+        self.part = ((np.cumsum(w, 0) - w << 16) + w).ravel()  # what is below a class, and its part
+        self.inverse = np.repeat(np.tile(np.arange(self.classes, dtype=np.uint8), self.n), w.T.ravel())
+
+    def slots(self, one, two, out1, out2) -> None:
+        """Places of the order-1 and order-2 entries after the ids ``two``, ``one``."""
+        x = one * _HASH1
+        np.add((x >> _TOP1).view(np.int64), self.base1, out=out1)
+        x += two * _HASH2
+        x >>= _TOP2
+        np.add(x.view(np.int64), self.base2, out=out2)
+
+    def look(self, c1, c2, k1, k2) -> tuple:
+        """Candidates of order 1 and 2 and their certainties << 16: the first, the cells that were asked, and the shares that they give."""
+        first = c2 | (c1 & (k2 - _ONE >> _SIGN))  # of order 1 where order 2 has none
+        key = (k2 << _THREE | k1) >> _CERTAINTY
+        key += ((first ^ c1) - _ONE >> _SIGN) & _FOUR
+        key *= self.n
+        key += self.lane32
+        key, first = key.astype(np.int64), first.astype(np.int64)
+        cell = self.row.take(first)
+        cell += self.lane
+        mixed = self.mix.take(key)
+        mixed += self.mix_class.take(cell)
+        a = _SQUASH.take(mixed).astype(np.int64)
         low2 = a << 24
-        low3 = low2 + (rest * b << 12)
-        return first, other, (i2, i1, i0, ib), a, low2, low3, rest * (4096 - b) << 4
-
-    def learn(self, cells, a, hit, hit2, missed) -> None:
-        """From arrays of ids (rows) by lanes; ``missed`` holds lane and class of ids that no candidate gave."""
-        error = (hit * 4095 - a).ravel()
-        seen = (1 + (hit << 20)).ravel()
-        for j in range(3):
-            at, size = cells[j].ravel(), len(self.p[j])
-            got = np.bincount(at, seen, size).astype(np.int64)
-            n, h = got & 0xFFFFF, got >> 20
-            slope = np.bincount(at, error, size).astype(np.int64) * self.st[j]
-            self.weight[j] = np.clip(self.weight[j] + (slope.reshape(self.n, -1).sum(1) * 12 >> 15), -(1 << 16), 3 << 15)
-            self.p[j] = (self.p[j] * 12 + h * 65535) // (12 + n)
-        out = ~hit.ravel()
-        got = np.bincount(cells[3].ravel()[out], (1 + (hit2 << 20)).ravel()[out], len(self.p[3])).astype(np.int64)
-        self.p[3] = (self.p[3] * 12 + (got >> 20) * 65535) // (12 + (got & 0xFFFFF))
+        low3 = 4096 - a
+        low3 *= self.second.take(key)
+        low3 <<= 12
+        low3 += low2
+        return first, key, cell, a, low2, low3, (1 << TOTAL_BITS) - low3 >> 8
+
+    def learn(self, key, cell, a, hit, hit2, missed) -> None:
+        """From arrays of ids (rows) by lanes; ``missed`` holds class and lane of ids that no candidate gave."""
+        # How many, how many the first candidate gave and the second gave, and the sum of shares, in one number.
+        seen = (1 + (hit.astype(np.int64) << 8) + (hit2.astype(np.int64) << 16) + (a << 24)).ravel()
+        by_key = np.bincount(key.ravel(), seen, 32 * self.n).astype(np.int64).reshape(4, 8, self.n)
+        by_class = np.bincount(cell.ravel(), seen, CLASSES * self.n).astype(np.int64).reshape(CLASSES, self.n)
+        for j, got in enumerate((by_key.sum(1), by_key.sum(0), by_class)):
+            h = got >> 8 & 0xFF
+            slope = ((4095 * h - (got >> 24)) * self.st[j]).sum(0)
+            self.weight[j] = np.clip(self.weight[j] + (slope * 12 >> 15), -(1 << 16), 3 << 15)
+            self.p[j] = (self.p[j] * 12 + h * 65535) * _SHARE.take(got & 0xFF) >> 32
+        apart = by_key.reshape(4, 2, 4, self.n)[:, 0]
+        for k in range(4):
+            got = apart[_LESS == k].sum(0)
+            h = got >> 16 & 0xFF
+            self.p[3][k] = (self.p[3][k] * 12 + h * 65535) * _SHARE.take((got & 0xFF) - (got >> 8 & 0xFF)) >> 32
         self.count += 8 * np.bincount(missed, minlength=self.count.size).reshape(self.count.shape)
         self.settle()
 
 
-def _after(e: np.ndarray, c: np.ndarray, ids: np.ndarray, sure: np.ndarray, new: np.ndarray) -> np.ndarray:
-    """Entries (certainty << 16 | id) once ``ids`` have followed: surer, less sure, or another."""
-    return np.where(c == ids, np.minimum(e + 0x10000, sure), np.where(e >= 0x20000, e - 0x10000, new))
+def _after(c: np.ndarray, k: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Entries once ``ids`` have followed: surer by one if they are the candidates, less sure if not, and others from the second time."""
+    x = c ^ ids
+    sure = (x - _ONE >> _SIGN) & _TWICE
+    sure += k
+    sure -= _ONCE
+    np.maximum(sure, _ONCE, out=sure)
+    np.minimum(sure, _MOST, out=sure)
+    x &= k - _TWICE >> _SIGN
+    x ^= c
+    x |= sure
+    return x
+
+
+def _apart(size: int, line: int) -> int:
+    """At least ``size``, an odd number of cache lines: lanes that are as far along then don't contend for one place in the cache."""
+    return (-(-size // line) | 1) * line
 
 
 def _lanes(ids: np.ndarray) -> np.ndarray:
     n = -(-len(ids) // BLOCK)
-    out = np.zeros((n, BLOCK), np.int32)
+    out = np.zeros((n, BLOCK), np.uint16)
     out.ravel()[: len(ids)] = ids
     return out
 
@@ -179,52 +222,53 @@ def encode(ids: np.ndarray) -> tuple[bytes, list[bytes], list[int]]:
     n, steps = columns.shape[1], min(BLOCK, len(ids))
     m = _Model(n, table)
     low, span = np.zeros(n, np.int64), np.full(n, 1 << 56, np.int64)
-    room = 3 * steps + 2  # an id takes three words at most
+    room = _apart(3 * steps + 2, 16)  # an id takes three words at most
     words, pos = np.zeros(n * room, np.uint32), np.arange(n) * room
     start = pos.copy()
-    before = np.zeros((2, n), np.int32)
-    for t in range(0, steps, STEP):
-        now = columns[t : min(t + STEP, steps)]
+    past = np.zeros((ROWS + 2, n), np.uint64)
+    at = np.empty((ROWS, 2, n), np.int64)
+    c, k = np.empty((ROWS, 2, n), np.int32), np.empty((ROWS, 2, n), np.int32)
+    learnt: list[tuple] = []
+    for t in range(0, steps, ROWS):
+        if t and t % STEP == 0:
+            m.learn(*map(np.concatenate, zip(*learnt, strict=True)))
+            learnt.clear()
+        now = columns[t : min(t + ROWS, steps)].astype(np.int32)
         h = len(now)
-        past = np.concatenate([before, now])
-        at1, at2 = m.slots(past[1 : h + 1].astype(np.int64), past[:h].astype(np.int64))
-        sure, new = now | 0x30000, now | 0x10000
-        e1, e2 = np.empty((h, n), np.int32), np.empty((h, n), np.int32)
-        for k in range(h):
-            x = e1[k] = m.id1[at1[k]]
-            y = e2[k] = m.id2[at2[k]]
-            m.id1[at1[k]] = _after(x, x & 0xFFFF, now[k], sure[k], new[k])
-            m.id2[at2[k]] = _after(y, y & 0xFFFF, now[k], sure[k], new[k])
-        first, other, cells, a, low2, low3, unit = m.look(e1, e2)
-        place = table.place[now]
-        klass = (place >> 40) + m.base_class
-        hit, hit2 = now == first, now == other
-        part = m.part[klass]
+        past[2 : h + 2] = now
+        m.slots(past[1 : h + 1], past[:h], at[:h, 0], at[:h, 1])
+        for j in range(h):
+            e = m.last.take(at[j])
+            np.bitwise_and(e, _MOST, out=k[j])
+            np.bitwise_xor(e, k[j], out=c[j])
+            m.last[at[j]] = _after(c[j], k[j], now[j])
+        first, key, cell, a, low2, low3, unit = m.look(c[:h, 0], c[:h, 1], k[:h, 0], k[:h, 1])
+        place = table.place.take(now)
+        klass = (place >> 40) * n
+        klass += m.lane
+        hit, hit2 = now == first, now == c[:h, 0]
+        part = m.part.take(klass)
         slot = unit * (part & 0xFFFF) >> SLOT_BITS
         lows = np.where(hit, 0, np.where(hit2, low2, low3 + unit * (part >> 16) + slot * (place >> 20 & 0xFFFFF)))
         sizes = np.where(hit, low2, np.where(hit2, low3 - low2, slot * (place & 0xFFFFF)))
-        for k in range(h):
+        for j in range(h):
             r = span >> TOTAL_BITS
-            low += r * lows[k]
-            span = r * sizes[k]
-            short = span < LEAST
-            while True:  # twice or more only after an id of very small share
-                words[pos] = low >> 40
-                pos += short
-                by = short << 4
-                low = np.where(short, low & _LOW, low) << by
-                span <<= by
-                short = span < LEAST
-                if not short.any():
-                    break
-        m.learn([c[:SEEN] for c in cells], a[:SEEN], hit[:SEEN], hit2[:SEEN], klass[:SEEN][~(hit | hit2)[:SEEN]])
-        before = past[-2:]
+            low += r * lows[j]
+            np.multiply(r, sizes[j], out=span)
+            short = np.flatnonzero(span < LEAST)
+            while len(short):  # twice or more only after an id of very small share
+                put, of, left = pos.take(short), low.take(short), span.take(short) << 16
+                words[put] = of >> 40
+                pos[short], low[short], span[short] = put + 1, (of & _LOW) << 16, left
+                short = short[left < LEAST]
+        if t % STEP < SEEN:
+            learnt.append((key, cell, a, hit, hit2, klass[~(hit | hit2)]))
+        past[:2] = past[h : h + 2]
     words[pos] = low + _LOW >> 40
     while len(over := np.flatnonzero(words > 0xFFFF)):  # a carry goes to the word before
         words[over] -= 1 << 16
         words[over - 1] += 1
-    flat = words.astype(">u2")
-    data = [flat[x : y + 1].tobytes() for x, y in zip(start.tolist(), pos.tolist(), strict=True)]
+    data = [words[x : y + 1].astype(">u2").tobytes() for x, y in zip(start.tolist(), pos.tolist(), strict=True)]
     return table.to_bytes(), data, [zlib.crc32(ids[k : k + BLOCK].astype("<u4").tobytes()) for k in range(0, len(ids), BLOCK)]
 
 
@@ -236,68 +280,85 @@ def _quotient(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 def decode(header: bytes, data: list[bytes], crcs: list[int], n: int) -> np.ndarray:
     """The ``n`` ids of coded blocks; a block whose checksum differs is an error."""
     if not data:
-        return np.zeros(0, np.int32)
+        return np.zeros(0, np.uint16)
     table = Table.from_bytes(header)
     lanes, steps = len(data), min(BLOCK, n)
-    # The first seven bytes of a block are the coder's first value; what follows are its words.
-    width = max(map(len, data)) // 2 + 8
+    # The first seven bytes of a block are the coder's first value; what follow are its words.
+    width = _apart(max(map(len, data)) // 2 + 8, 32)
     raw = np.zeros((lanes, 2 * width + 8), np.uint8)
     for row, d in zip(raw, data, strict=True):
         row[: len(d)] = np.frombuffer(d, np.uint8)
     x = np.zeros(lanes, np.int64)
     for k in range(7):
         x = x << 8 | raw[:, k]
-    words = np.ascontiguousarray(raw[:, 7 : 7 + 2 * width]).view(">u2").astype(np.int32).ravel()
+    words = np.ascontiguousarray(raw[:, 7 : 7 + 2 * width]).view(">u2").astype(np.uint16).ravel()
     m = _Model(lanes, table)
-    pos, last = np.arange(lanes) * width, np.arange(lanes) * width + width - 1
+    pos = np.arange(lanes) * width
     span = np.full(lanes, 1 << 56, np.int64)
-    columns = np.zeros((BLOCK, lanes), np.int32)
-    two, one = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+    columns = np.zeros((BLOCK, lanes), np.uint16)
+    two, one = np.zeros(lanes, np.uint64), np.zeros(lanes, np.uint64)
+    at = np.empty((2, lanes), np.int64)
+    # What is drawn by order 0, the second candidate, the first: their ids, and their parts of the range.
+    of, under, size = np.empty((3, lanes), np.int64), np.zeros((3, lanes), np.int64), np.empty((3, lanes), np.int64)
     for t in range(0, steps, STEP):
         h = min(STEP, steps - t)
         seen = min(h, SEEN)
-        cells = [np.empty((seen, lanes), np.int64) for _ in _CELLS]
-        shares, hits, hits2, classes = np.empty((seen, lanes), np.int64), np.empty((seen, lanes), bool), np.empty((seen, lanes), bool), np.empty((seen, lanes), np.int64)
-        for k in range(h):
-            at1, at2 = m.slots(one, two)
-            e1, e2 = m.id1[at1], m.id2[at2]
-            first, other, asked, a, low2, low3, unit = m.look(e1, e2)
+        keys, cells, shares, classes = (np.empty((seen, lanes), np.int64) for _ in range(4))
+        hits, hits2 = np.empty((seen, lanes), bool), np.empty((seen, lanes), bool)
+        for j in range(h):
+            m.slots(one, two, at[0], at[1])
+            e = m.last.take(at)
+            k = e & _MOST
+            c = e ^ k
+            of[2], key, cell, a, low2, low3, unit = m.look(c[0], c[1], k[0], k[1])
+            of[1] = c[0]
             r = span >> TOTAL_BITS
-            v = _quotient(x, r)
-            hit, below3 = v < low2, v < low3
-            p = np.maximum(v - low3, 0)
-            klass = m.inverse[np.minimum(_quotient(p, unit), 255) + m.base_slot]
-            at = klass + m.base_class
-            part = m.part[at]
-            under = unit * (part >> 16)
-            slot = unit * (part & 0xFFFF) >> SLOT_BITS
-            inner = np.minimum(_quotient(np.maximum(p - under, 0), slot), SLOTS - 1)
-            drawn = table.slot[(klass.astype(np.int64) << SLOT_BITS) + inner]
-            place = table.place[drawn]
-            now = np.where(hit, first, np.where(below3, other, drawn))
-            low = np.where(hit, 0, np.where(below3, low2, low3 + under + slot * (place >> 20 & 0xFFFFF)))
-            size = np.where(hit, low2, np.where(below3, low3 - low2, slot * (place & 0xFFFFF)))
-            x = x - r * low
-            span = r * size
-            short = span < LEAST
-            while True:
-                by = short << 4
-                x = x << by | words[np.minimum(pos, last)] * short
-                span <<= by
-                pos += short
-                short = span < LEAST
-                if not short.any():
-                    break
-            sure, new = now | 0x30000, now | 0x10000
-            m.id1[at1] = _after(e1, e1 & 0xFFFF, now, sure, new)
-            m.id2[at2] = _after(e2, e2 & 0xFFFF, now, sure, new)
-            columns[t + k] = now
-            two, one = one, now.astype(np.int64)
-            if k < seen:
-                for c, found in zip(cells, asked, strict=True):
-                    c[k] = found
-                shares[k], hits[k], hits2[k], classes[k] = a, hit, now == other, at
-        m.learn(cells, shares, hits, hits2, classes[~(hits | hits2)])
+            below2 = np.multiply(r, low2, out=size[2])
+            below3 = r * low3
+            np.subtract(below3, below2, out=size[1])
+            under[1] = below2
+            pick = ((x < below2).view(np.int8) + (x < below3).view(np.int8)).astype(np.int64)
+            pick *= lanes
+            pick += m.lane
+            p = x - below3
+            np.maximum(p, 0, out=p)
+            ru = r * unit
+            klass = m.inverse.take(np.minimum(_quotient(p, ru), 255) + m.base_slot).astype(np.int64)
+            place_of = klass * lanes
+            place_of += m.lane
+            part = m.part.take(place_of)
+            ru *= part >> 16
+            p -= ru
+            unit *= part & 0xFFFF
+            unit >>= SLOT_BITS
+            r *= unit
+            inner = _quotient(p, r)
+            np.minimum(inner, SLOTS - 1, out=inner)
+            klass <<= SLOT_BITS
+            inner += klass
+            of[0] = drawn = table.slot.take(inner)
+            place = table.place.take(drawn)
+            np.multiply(r, place & 0xFFFFF, out=size[0])
+            place >>= 20
+            place &= 0xFFFFF
+            place *= r
+            place += ru
+            np.add(place, below3, out=under[0])
+            now = of.take(pick)
+            x -= under.take(pick)
+            span = size.take(pick)
+            short = np.flatnonzero(span < LEAST)
+            while len(short):
+                get, left = pos.take(short), span.take(short) << 16
+                x[short] = x.take(short) << 16 | words.take(get, mode="clip")
+                pos[short], span[short] = get + 1, left
+                short = short[left < LEAST]
+            columns[t + j] = now
+            m.last[at] = _after(c, k, now.astype(np.int32))
+            two, one = one, now.view(np.uint64)
+            if j < seen:
+                keys[j], cells[j], shares[j], classes[j], hits[j], hits2[j] = key, cell, a, place_of, now == of[2], now == of[1]
+        m.learn(keys, cells, shares, hits, hits2, classes[~(hits | hits2)])
     ids = np.ascontiguousarray(columns.T).ravel()[:n]
     for k, crc in enumerate(crcs):
         if zlib.crc32(ids[k * BLOCK : (k + 1) * BLOCK].astype("<u4").tobytes()) != crc:

@@ -308,6 +308,36 @@ def test_columns_are_reduced_once_a_round(spark, monkeypatch):
     assert names.count("rips-reduced") == names.count("rips-columns") - 1 > 0
 
 
+def test_edges_of_more_points_than_16_bits_tell():
+    """Edges of a cloud of 70,000 points keep their order, ends and lengths; lengths that can't be told apart are an error, not a guess."""
+    x = np.random.default_rng(7).normal(size=(70_000, 2))
+    cloud = rips.Cloud(x, rips._radius(x, np.array([3, 69_000])))
+    p = cloud.places([69_999])[0]
+    p = np.sort(p[p < rips._LAST])
+    a, b = cloud.ends(p, cloud.width)
+    far = np.linalg.norm(x[a] - x[69_999], axis=1).astype(np.float32)
+    assert len(p) > 65_536 and (b == 69_999).all() and len(set(a.tolist())) == len(p) and (np.diff(far) > -1e-6).all()
+    assert rips.lengths_of(p, cloud.width, cloud.base) == pytest.approx(far)
+    assert {a for e in rips._left(cloud, np.array([69_999])).tolist() for a in cloud.ends(e, cloud.width)} > {69_999}
+    y = np.array([[0.0, 0], [1e-9, 0], [1, 1], [0, 1], [1, 0]])
+    assert len(rips.rips_h1(y)) == len(rips.rips_h1(y, ends=17)) == 1
+    with pytest.raises(ValueError):
+        rips.rips_h1(y, ends=18)
+
+
+def test_rips_with_longer_ends(spark):
+    """Clouds whose edges' ends take 17 or 18 bits have the bars of those with 16; equal points and thresholds too."""
+    rng = np.random.default_rng(8)
+    a, b = rng.normal(size=(60, 3)), np.repeat(rng.integers(0, 4, size=(20, 2)), 2, 0).astype(float)
+    rows = [(cloud, i, x.tolist()) for cloud, v in (("a", a), ("b", b)) for i, x in enumerate(v)]
+    df = spark.createDataFrame(rows, "cloud string, point_id long, vec array<double>")
+    for ends, threshold in ((17, math.inf), (18, 1.2)):
+        got = rips.h1_intervals(df, threshold, ("cloud",), chunk=9, ends=ends).toPandas().sort_values(["birth", "death"])
+        for name, x in (("a", a), ("b", b)):
+            assert got[got["cloud"] == name][["birth", "death"]].to_numpy() == pytest.approx(rips.rips_h1(x, threshold))
+            assert np.array_equal(rips.rips_h1(x, threshold), rips.rips_h1(x, threshold, ends))
+
+
 def test_a_clouds_last_columns_end_in_one_round(spark, monkeypatch):
     """Columns that give way to others of the last chunk go on at once, not in a round of their own."""
     names, staged = [], rips.staged
